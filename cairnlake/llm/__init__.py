@@ -14,8 +14,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Query -> module; each module holds a function of the query's name, and ORACLE if SQL can express it.
 MODULES = {
     "op1_media": "media",
+    "op3_license": "license_scan",
     "op6_mixing": "mixing",
     "op9_url_filter": "url_filter",
+    "op10_tokens": "token_files",
 }
 
 
