@@ -16,6 +16,8 @@ MODULES = {
     "op1_media": "media",
     "op3_license": "license_scan",
     "op6_mixing": "mixing",
+    "op7_pii": "pii",
+    "op8_quality": "quality",
     "op9_url_filter": "url_filter",
     "op10_tokens": "token_files",
 }

@@ -19,8 +19,9 @@ from .common import BLANK, stored, table, word_count
 
 #: Weights by rank of the source, repeating; the share of all words that the mix has.
 WEIGHTS, SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2
-#: Words in a block; words in a shard, about; seed of the order and of the first block.
-BLOCK, SHARD_WORDS, SEED = 32, 1_000_000, 20240607
+#: Words in a block; words in a shard, about, and the shards at which they grow instead; seed
+#: of the order and of the first block.
+BLOCK, SHARD_WORDS, MANY_SHARDS, SEED = 32, 100_000, 100_000, 20240607
 
 
 def capped_targets(sources: DataFrame, share: float = SHARE, times: float = MOST_TIMES) -> DataFrame:
@@ -80,7 +81,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     )
     sized = sized.filter("size > 0").unionByName(sized.filter("size <= 0"))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
+    shards = min(MANY_SHARDS, max(1, -(-total // shard_words)))
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
     cells = stored(sized.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
