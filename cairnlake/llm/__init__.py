@@ -14,6 +14,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Query -> module; each module holds a function of the query's name, and ORACLE if SQL can express it.
 MODULES = {
     "op1_media": "media",
+    "op2_ann": "ann",
     "op3_license": "license_scan",
     "op6_mixing": "mixing",
     "op7_pii": "pii",
