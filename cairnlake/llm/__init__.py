@@ -16,6 +16,7 @@ MODULES = {
     "op1_media": "media",
     "op2_ann": "ann",
     "op3_license": "license_scan",
+    "op4_jaccard": "jaccard",
     "op6_mixing": "mixing",
     "op7_pii": "pii",
     "op8_quality": "quality",
