@@ -17,6 +17,7 @@ MODULES = {
     "op2_ann": "ann",
     "op3_license": "license_scan",
     "op4_jaccard": "jaccard",
+    "op5_sentencepiece": "pieces",
     "op6_mixing": "mixing",
     "op7_pii": "pii",
     "op8_quality": "quality",
