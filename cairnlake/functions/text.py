@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -31,7 +32,7 @@ def _plain(x: str | None) -> str | None:
     return "0" if d == 0 else format(d.normalize(), "f")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decimal_text(s: pd.Series) -> pd.Series:
     """Plain decimal text without trailing zeros; null if it isn't a finite number."""
     return s.map(_plain)

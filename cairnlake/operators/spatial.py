@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, DoubleType
 
 from cairnlake.functions import geometry as G
 
@@ -29,7 +30,7 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * G.MEAN_RADIUS)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def spheroid(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     return pd.Series([G.geodesic(*p) for p in zip(lon1, lat1, lon2, lat2, strict=True)], dtype="float64")
 
@@ -109,7 +110,7 @@ def _polys(wkb: bytes):
     return G.rings(*G.from_wkb(bytes(wkb)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def overlap_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area of the intersection by that of the first; both around one latitude."""
     out = []
@@ -122,7 +123,7 @@ def overlap_share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def polygons_intersect(a: pd.Series, b: pd.Series) -> pd.Series:
     def meets(x: bytes, y: bytes) -> bool:
         (k, c), (m, d) = G.from_wkb(bytes(x)), G.from_wkb(bytes(y))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.functions.hashing import sha256_ref, uuid3
+from cairnlake.functions.hashing import sha256_ref
 from cairnlake.operators import access, admission, canonical, graph, identity, intake, lake, paging, relate, spatial
 from cairnlake.sources.registry import registry, registry_sql
 from cairnlake.streaming.intake import tumbling_activity
@@ -360,3 +360,582 @@ def weighted_decide(spark, sf):
     incoming, known = _weighted(spark, sf)
     scores = identity.weighted_scores(incoming, known, WEIGHTED).withColumn("score", F.round("score", 9))
     return identity.weighted_decisions(incoming, scores, WEIGHTED)
+
+
+GOVERNED = identity.GovernedPolicy((("p_name", "TEXT_V1"), ("p_brand", "CONCEPT"), ("p_size", "DECIMAL_V1")), (("p_name", "p_brand"),), (("p_name", "p_size"),), 12, True)
+_SUBJECTS = "SELECT concat('h', CAST(p_partkey AS STRING)) AS handoff_id, CASE WHEN p_partkey % 7 <> 0 THEN upper(p_name) END AS p_name, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 3 = 0 THEN concat(CAST(p_size AS STRING), '.0') END AS p_size FROM {part} WHERE p_partkey % 4 = 0"
+_MASTERS = "SELECT concat('part:', lpad(CAST(p_partkey AS STRING), 9, '0')) AS object_id, p_name, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS STRING) END AS p_size FROM {part} WHERE p_partkey % 40 IN (0, 3, 8)"
+
+
+def _governed(spark, sf):
+    part = base(spark, sf, "part")
+    return spark.sql(_SUBJECTS, part=part), spark.sql(_MASTERS, part=part)
+
+
+_TOKENS = """SELECT {k} AS k, p, comparator, sha256(v) AS token FROM (
+  SELECT {k}, 'p_name' AS p, 'TEXT_V1' AS comparator, lower(trim(p_name)) AS v FROM {t} UNION ALL SELECT {k}, 'p_brand', 'CONCEPT', p_brand FROM {t} UNION ALL SELECT {k}, 'p_size', 'DECIMAL_V1', replace(p_size, '.0', '') FROM {t}
+) x WHERE v IS NOT NULL"""
+
+
+@query(f"WITH m AS ({_MASTERS.replace('{part}', 'part')}), t AS ({_TOKENS.format(k='object_id', t='m')}) SELECT k AS object_id, p AS property, comparator, token FROM t")
+def governed_tokens(spark, sf):
+    return identity.tokens(_governed(spark, sf)[1], "object_id", GOVERNED)
+
+
+@query(f"""
+WITH m AS ({_MASTERS.replace('{part}', 'part')}), t AS ({_TOKENS.format(k='object_id', t='m')}), s AS (SELECT k, list_sort(list(p)) AS f FROM t GROUP BY k)
+SELECT array_to_string(f, ',') AS fields, sha256(array_to_string(f, chr(0))) AS shape, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY f
+""")
+def shape_catalog(spark, sf):
+    out = identity.shapes(identity.tokens(_governed(spark, sf)[1], "object_id", GOVERNED), "object_id")
+    return out.groupBy(F.array_join("fields", ",").alias("fields"), "shape").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH s AS ({_SUBJECTS.replace('{part}', 'part')}), m AS ({_MASTERS.replace('{part}', 'part')}),
+pairs AS (
+  SELECT s.handoff_id, m.object_id,
+    CASE WHEN s.p_name IS NOT NULL AND m.p_name IS NOT NULL THEN CAST(lower(s.p_name) = lower(m.p_name) AS INT) END AS n,
+    CASE WHEN s.p_brand IS NOT NULL AND m.p_brand IS NOT NULL THEN CAST(s.p_brand = m.p_brand AS INT) END AS b,
+    CASE WHEN s.p_size IS NOT NULL AND m.p_size IS NOT NULL THEN CAST(replace(s.p_size, '.0', '') = m.p_size AS INT) END AS z,
+    [s.p_name IS NOT NULL, s.p_brand IS NOT NULL, s.p_size IS NOT NULL] AS fs, [m.p_name IS NOT NULL, m.p_brand IS NOT NULL, m.p_size IS NOT NULL] AS fm
+  FROM s CROSS JOIN m
+), hits AS (
+  SELECT *, (n IS NOT NULL)::INT + (b IS NOT NULL)::INT + (z IS NOT NULL)::INT AS shared, coalesce(n, 0) + coalesce(b, 0) + coalesce(z, 0) AS agree,
+    (NOT (fs[1] AND NOT fm[1]) AND NOT (fs[2] AND NOT fm[2]) AND NOT (fs[3] AND NOT fm[3])) OR (NOT (fm[1] AND NOT fs[1]) AND NOT (fm[2] AND NOT fs[2]) AND NOT (fm[3] AND NOT fs[3])) AS nested
+  FROM pairs WHERE (fs[1] OR fs[2] OR fs[3]) AND (coalesce(n, 0) + coalesce(b, 0) + coalesce(z, 0) > 0 OR (n IS NULL AND b IS NULL AND z IS NULL))
+), marked AS (
+  SELECT *, nested AND n = 1 AND b = 1 AND agree = shared AS exact,
+    (shared > 0 AND agree = 0) OR (NOT coalesce(n = 1 AND b = 1, FALSE) AND coalesce(n = 0 AND z = 0, FALSE)) AS out FROM hits
+), d AS (
+  SELECT handoff_id, count(*) AS c, sum(coalesce(exact, FALSE)::INT) AS e, sum((out AND NOT coalesce(exact, FALSE))::INT) AS x, min(CASE WHEN exact THEN object_id END) AS hit FROM marked GROUP BY handoff_id
+), r AS (
+  SELECT s.handoff_id, coalesce(c, 0) AS c, hit, CASE WHEN c > 12 THEN 'RESOLUTION_TOO_BROAD' WHEN s.p_name IS NULL AND s.p_brand IS NULL AND s.p_size IS NULL THEN 'NO_EXPOSED_CANONICAL_FIELDS' WHEN c IS NULL THEN 'NO_CANDIDATES'
+    WHEN e = 1 AND x = c - 1 THEN 'COMPLETE_CANONICAL_EQUALITY' WHEN e = 0 AND x = c THEN 'ALL_CANDIDATES_DISTINCT' ELSE 'UNRESOLVED_IDENTITY' END AS reason
+  FROM s LEFT JOIN d USING (handoff_id)
+)
+SELECT handoff_id, CASE reason WHEN 'COMPLETE_CANONICAL_EQUALITY' THEN 'MATCH' WHEN 'NO_CANDIDATES' THEN 'NEW_OBJECT' WHEN 'ALL_CANDIDATES_DISTINCT' THEN 'NEW_OBJECT' ELSE 'REVIEW_REQUIRED' END AS outcome, reason,
+  CASE WHEN reason = 'COMPLETE_CANONICAL_EQUALITY' THEN hit END AS target, CAST(c AS BIGINT) AS candidates FROM r
+""")
+def governed_decide(spark, sf):
+    return identity.governed_decisions(*_governed(spark, sf), GOVERNED)
+
+
+# --- canonical state ---
+
+
+ORDER = ("purchase", "signup")
+_RANK = "CASE source_id WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 10000 END"
+
+
+@query("SELECT object_id, source_id, value, contribution_id FROM R(OBSERVATIONS) QUALIFY row_number() OVER (PARTITION BY object_id, property, source_id ORDER BY observed_at DESC NULLS LAST, created_at DESC, contribution_id) = 1")
+def latest_per_source(spark, sf):
+    return canonical.latest_per_source(registry(spark, sf, "OBSERVATIONS")).select("object_id", "source_id", "value", "contribution_id")
+
+
+def _winner_sql(rank: str) -> str:
+    return f"""
+WITH l AS (SELECT *, {rank} AS r FROM R(OBSERVATIONS) QUALIFY row_number() OVER (PARTITION BY object_id, source_id ORDER BY observed_at DESC, contribution_id) = 1),
+b AS (SELECT *, min(r) OVER (PARTITION BY object_id) AS best FROM l),
+g AS (SELECT object_id, property, count(DISTINCT value) AS n, min(source_id) AS src, min(value) AS v FROM b WHERE r = best GROUP BY ALL)
+SELECT object_id, property, CASE WHEN n = 1 THEN 'SELECTED' ELSE 'CONFLICT' END AS status, CASE WHEN n = 1 THEN v END AS value, CASE WHEN n = 1 THEN src END AS source_id, CAST(n AS BIGINT) AS n_values FROM g
+"""
+
+
+@query(_winner_sql(_RANK))
+def property_winner(spark, sf):
+    return canonical.property_winners(registry(spark, sf, "OBSERVATIONS"), ORDER).drop("evidence_hash")
+
+
+@query(_winner_sql("10000"))
+def property_conflicts(spark, sf):
+    """Without an authority order all sources compete."""
+    return canonical.property_winners(registry(spark, sf, "OBSERVATIONS"), ()).drop("evidence_hash")
+
+
+@query(f"""
+WITH l AS (SELECT *, sha256(CAST(value AS STRING)) AS h FROM R(OBSERVATIONS) QUALIFY row_number() OVER (PARTITION BY object_id, source_id ORDER BY observed_at DESC, contribution_id) = 1),
+g AS (SELECT object_id, user_id, property, count(DISTINCT value) AS n, min_by(value, source_id) AS v, max(value) AS top, sha256(array_to_string(list_sort(list(source_id || ':' || h)), '|')) AS e FROM l GROUP BY ALL)
+SELECT object_id, CASE WHEN user_id % 2 = 0 THEN 'HUMAN_SELECTED' WHEN n = 1 THEN 'SELECTED' ELSE 'CONFLICT' END AS status, CASE WHEN user_id % 2 = 0 THEN top WHEN n = 1 THEN v END AS value, e AS evidence_hash FROM g
+""")
+def property_decide(spark, sf):
+    """Decisions on exactly the present evidence win for every second object; others don't fit."""
+    rows = registry(spark, sf, "OBSERVATIONS")
+    open_ = canonical.property_winners(rows, ())
+    top = canonical.latest_per_source(rows).groupBy("object_id", "property").agg(F.max("value").alias("value"), F.max("user_id").alias("u"))
+    made = open_.select("object_id", "property", "evidence_hash").join(top, ["object_id", "property"])
+    made = made.withColumn("evidence_hash", F.when(F.col("u") % 2 == 0, F.col("evidence_hash")).otherwise("stale")).drop("u")
+    return canonical.property_winners(rows, (), made).select("object_id", "status", "value", "evidence_hash")
+
+
+_LINKED = f"""SELECT object_id, property, source_id, CAST(user_id % 3 AS STRING) AS record_id, contribution_id % 50 AS revision, {_RANK} AS authority_rank, concat(' v', CAST(value AS STRING), ' ') AS value,
+  CASE WHEN contribution_id % 9 = 0 THEN TIMESTAMP '2030-01-01 00:00:00' END AS valid_from, CASE WHEN contribution_id % 7 = 0 THEN TIMESTAMP '2000-01-01 00:00:00' END AS valid_to,
+  contribution_id % 41 = 0 AS deleted FROM {{obs}} WHERE contribution_id % 20 < 11"""
+_ELIGIBLE = f"""l AS ({_LINKED.replace('{obs}', 'R(OBSERVATIONS)')}), f AS (SELECT * FROM l WHERE valid_from IS NULL OR valid_from <= {NOW}),
+m AS (SELECT *, max(revision) OVER (PARTITION BY object_id, property, source_id, record_id) AS newest FROM f), e AS (SELECT * FROM m WHERE revision = newest AND (valid_to IS NULL OR valid_to > {NOW}))"""
+
+
+def _linked_sql(multi: bool) -> str:
+    pool = "SELECT * FROM e" if multi else "SELECT * FROM (SELECT *, min(authority_rank) OVER (PARTITION BY object_id, property) AS b FROM e) q WHERE authority_rank = b"
+    clash = "del AND n > 0" if multi else "(del AND n > 0) OR n > 1"
+    return f"""
+WITH {_ELIGIBLE}, t AS ({pool}),
+g AS (SELECT object_id, property, bool_or(deleted) AS del, count(*) AS c, coalesce(list_sort(list(DISTINCT {{'h': sha256('string|' || trim(value)), 'v': trim(value)}}) FILTER (WHERE NOT deleted)), []) AS m FROM t GROUP BY ALL),
+a AS (SELECT DISTINCT object_id, property FROM l),
+s AS (SELECT a.*, g.m, coalesce(c, 0) AS c, coalesce(len(m), 0) AS n, del FROM a LEFT JOIN g USING (object_id, property)),
+r AS (SELECT *, CASE WHEN c = 0 THEN 'NO_VALID_CONTRIBUTION' WHEN {clash} THEN 'CONFLICT' WHEN del THEN 'DELETED' ELSE 'RECONCILED' END AS status FROM s)
+SELECT object_id, property, status, CASE WHEN status = 'RECONCILED' THEN array_to_string(list_transform(m, lambda x: x.v), '|') END AS value, CAST(CASE WHEN status = 'RECONCILED' THEN n ELSE 0 END AS BIGINT) AS members, CAST(c AS BIGINT) AS n_contributions FROM r
+"""
+
+
+@query(_linked_sql(False))
+def linked_single(spark, sf):
+    return canonical.reconcile_linked(spark.sql(_LINKED, obs=registry(spark, sf, "OBSERVATIONS")), F.expr(NOW), normaliser="NFC_TRIM")
+
+
+@query(_linked_sql(True))
+def linked_multi(spark, sf):
+    return canonical.reconcile_linked(spark.sql(_LINKED, obs=registry(spark, sf, "OBSERVATIONS")), F.expr(NOW), multi=True, normaliser="NFC_TRIM")
+
+
+@query(f"WITH {_ELIGIBLE} SELECT object_id, source_id, record_id, CAST(revision AS BIGINT) AS revision, value, deleted FROM e")
+def linked_supersede(spark, sf):
+    rows = canonical.linked_eligible(spark.sql(_LINKED, obs=registry(spark, sf, "OBSERVATIONS")), F.expr(NOW))
+    return rows.select("object_id", "source_id", "record_id", F.col("revision").cast("long").alias("revision"), "value", "deleted")
+
+
+# the winner as of each arrival: the best source's latest value so far, by (observed_at, seq)
+_RUNNING = """
+a AS (SELECT object_id, property, seq, observed_at, source_id, value FROM R(OBSERVATIONS) WHERE source_id IN ('purchase', 'signup')),
+s AS (SELECT *, max(CASE WHEN source_id = 'purchase' THEN row(observed_at, seq, value) END) OVER w AS p, max(CASE WHEN source_id = 'signup' THEN row(observed_at, seq, value) END) OVER w AS g FROM a WINDOW w AS (PARTITION BY object_id, property ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT object_id, property, seq, observed_at, coalesce(p[3], g[3]) AS value FROM s),
+ch AS (SELECT *, value IS DISTINCT FROM lag(value) OVER (PARTITION BY object_id, property ORDER BY seq) AS changed FROM v),
+rv AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY seq) AS no FROM ch WHERE changed)
+"""
+
+
+def _changes(spark, sf):
+    rows = registry(spark, sf, "OBSERVATIONS").filter(F.col("source_id").isin(*ORDER))
+    return canonical.running_winners(rows, ORDER).filter("changed")
+
+
+@query(f"WITH {_RUNNING} SELECT object_id, seq, 'value=' || CAST(value AS STRING) AS delta, CAST(no AS BIGINT) AS revision_no, (no - 1) % 4 = 0 AS is_checkpoint FROM rv")
+def revision_chain(spark, sf):
+    return canonical.revision_chain(_changes(spark, sf), 4)
+
+
+@query(f"WITH {_RUNNING}, t AS (SELECT * FROM rv WHERE no <= 5 QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY no DESC) = 1) SELECT object_id, CAST(no AS BIGINT) AS revision_no, property, value FROM t")
+def reconstruct_at_n(spark, sf):
+    changes = _changes(spark, sf)
+    return canonical.reconstruct(changes, canonical.revision_chain(changes), 5)
+
+
+@query("""
+WITH t AS (SELECT o_custkey, o_orderstatus, CAST(count(*) AS STRING) AS n, max(o_orderkey) % 2 = 0 AS even FROM orders GROUP BY ALL),
+b AS (SELECT o_custkey, o_orderstatus AS k, n AS v FROM t), a AS (SELECT o_custkey, o_orderstatus AS k, CASE WHEN even THEN n ELSE 'x' || n END AS v FROM t WHERE o_orderstatus <> 'P'),
+c AS (SELECT DISTINCT o_custkey FROM t)
+SELECT c.o_custkey, coalesce((SELECT string_agg(a.k || '=' || a.v, '|' ORDER BY a.k) FROM a LEFT JOIN b ON b.o_custkey = a.o_custkey AND b.k = a.k WHERE a.o_custkey = c.o_custkey AND a.v IS DISTINCT FROM b.v), '') AS set_part,
+  coalesce((SELECT string_agg(b.k, '|' ORDER BY b.k) FROM b WHERE b.o_custkey = c.o_custkey AND b.k = 'P'), '') AS remove_part FROM c
+""")
+def delta_patch(spark, sf):
+    """Customers' order counts by status before, and after pending ones went and some changed."""
+    t = base(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).cast("string").alias("n"), (F.max("o_orderkey") % 2 == 0).alias("even"))
+    after = F.when(F.col("o_orderstatus") != "P", F.struct(F.col("o_orderstatus").alias("k"), F.when(F.col("even"), F.col("n")).otherwise(F.concat(F.lit("x"), F.col("n"))).alias("v")))
+    maps = t.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("b"), F.map_from_entries(F.collect_list(after)).alias("a"))
+    d = maps.select("o_custkey", canonical.delta(F.col("b"), F.col("a")).alias("d"))
+    return d.select("o_custkey", F.array_join(F.array_sort(F.transform(F.map_entries("d.set"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|").alias("set_part"), F.array_join("d.remove", "|").alias("remove_part"))
+
+
+_FACTS = "SELECT object_id, property, value, CASE WHEN value % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS valid_from, CASE WHEN value % 3 = 0 THEN TIMESTAMP '2024-03-01 00:00:00' END AS valid_to, observed_at AS system_at FROM {obs} WHERE source_id = 'purchase'"
+_INTERVALS = f"""f AS ({_FACTS.replace('{obs}', 'R(OBSERVATIONS)')}),
+k AS (SELECT * FROM f WINDOW w AS (PARTITION BY object_id, property ORDER BY system_at) QUALIFY row_number() OVER w = 1 OR value IS DISTINCT FROM lag(value) OVER w OR valid_from IS DISTINCT FROM lag(valid_from) OVER w OR valid_to IS DISTINCT FROM lag(valid_to) OVER w),
+i AS (SELECT object_id, property, value, valid_from, valid_to, system_at AS system_from, lead(system_at) OVER (PARTITION BY object_id, property ORDER BY system_at) AS system_to FROM k)"""
+
+
+@query(f"WITH {_INTERVALS} SELECT * FROM i")
+def bitemporal_intervals(spark, sf):
+    return canonical.bitemporal(spark.sql(_FACTS, obs=registry(spark, sf, "OBSERVATIONS")))
+
+
+@query(f"WITH {_INTERVALS} SELECT object_id, value FROM i WHERE system_from <= TIMESTAMP '2024-01-20 00:00:00' AND (system_to IS NULL OR system_to > TIMESTAMP '2024-01-20 00:00:00') AND (valid_from IS NULL OR valid_from <= TIMESTAMP '2024-02-01 00:00:00') AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-02-01 00:00:00')")
+def bitemporal_asof(spark, sf):
+    intervals = canonical.bitemporal(spark.sql(_FACTS, obs=registry(spark, sf, "OBSERVATIONS")))
+    return canonical.as_of(intervals, F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")).select("object_id", "value")
+
+
+# --- relationships ---
+
+
+_REFS = "SELECT concat('order:', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS source_id, 'default' AS tenant_id, 'about' AS relation, 'Nation' AS target_type, CASE o_orderkey % 5 WHEN 0 THEN concat(' ', lower(n_name)) WHEN 1 THEN 'NOWHERE' WHEN 2 THEN '  ' WHEN 3 THEN 'SHARED' ELSE n_name END AS needle FROM {orders} JOIN {nation} ON n_nationkey = o_orderkey % 25"
+_PLACES = "SELECT concat('nation:', CAST(n_nationkey AS STRING)) AS object_id, 'default' AS tenant_id, 'Nation' AS canonical_type, CASE WHEN n_nationkey = 4 THEN 'MERGED' ELSE 'ACTIVE' END AS status, CASE WHEN n_nationkey IN (7, 8) THEN 'shared' ELSE lower(n_name) END AS match_key FROM {nation}"
+
+
+@query(f"""
+WITH r AS ({_REFS.replace('{orders}', 'orders').replace('{nation}', 'nation')}), p AS ({_PLACES.replace('{nation}', 'nation')}),
+k AS (SELECT match_key, count(*) AS n, min(object_id) AS one FROM p WHERE status = 'ACTIVE' GROUP BY 1),
+j AS (SELECT r.*, nullif(lower(trim(needle)), '') AS mk, n, one FROM r LEFT JOIN k ON k.match_key = lower(trim(needle))),
+o AS (SELECT *, CASE WHEN mk IS NULL THEN 'SKIPPED' WHEN n IS NULL THEN 'NO_MATCH' WHEN n > 1 THEN 'MULTIPLE_MATCHES' ELSE 'MATCHED' END AS outcome FROM j),
+h AS (SELECT *, md5(source_id || '|' || relation || '|' || one) AS m FROM o)
+SELECT source_id, outcome, CASE WHEN outcome = 'MATCHED' THEN one END AS target_id,
+  CASE WHEN outcome = 'MATCHED' THEN substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-3' || substr(m, 14, 3) || '-' || translate(substr(m, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(m, 18, 3) || '-' || substr(m, 21, 12) END AS relationship_id FROM h
+""")
+def relationship_resolve(spark, sf):
+    refs = spark.sql(_REFS, orders=base(spark, sf, "orders"), nation=base(spark, sf, "nation"))
+    return relate.resolve_references(refs, spark.sql(_PLACES, nation=base(spark, sf, "nation"))).select("source_id", "outcome", "target_id", "relationship_id")
+
+
+@query(f"""
+WITH r AS ({_REFS.replace('{orders}', 'orders').replace('{nation}', 'nation')}), p AS ({_PLACES.replace('{nation}', 'nation')}), k AS (SELECT match_key, count(*) AS n FROM p WHERE status = 'ACTIVE' GROUP BY 1)
+SELECT CASE WHEN n IS NULL THEN 'NO_MATCH' ELSE 'MULTIPLE_MATCHES' END AS outcome, lower(trim(needle)) AS needle, CAST(count(*) AS BIGINT) AS n_issues FROM r LEFT JOIN k ON k.match_key = lower(trim(needle)) WHERE trim(needle) <> '' AND (n IS NULL OR n > 1) GROUP BY ALL
+""")
+def relationship_issues(spark, sf):
+    refs = spark.sql(_REFS, orders=base(spark, sf, "orders"), nation=base(spark, sf, "nation"))
+    out = relate.resolve_references(refs, spark.sql(_PLACES, nation=base(spark, sf, "nation"))).filter(F.col("outcome").isin("NO_MATCH", "MULTIPLE_MATCHES"))
+    return out.groupBy("outcome", F.lower(F.trim("needle")).alias("needle")).agg(F.count(F.lit(1)).alias("n_issues"))
+
+
+_SUPPORTS = "SELECT concat('u', CAST(user_id AS STRING)) AS relationship_id, event_id AS revision_no, CASE event_type WHEN 'purchase' THEN 'RESTRICTED' WHEN 'signup' THEN 'SENSITIVE' ELSE 'OPEN' END AS label, CASE WHEN event_id % 4 = 0 OR event_type = 'purchase' AND user_id % 2 = 0 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status FROM {events}"
+
+
+@query(f"WITH s AS ({_SUPPORTS.replace('{events}', 'events')}) SELECT relationship_id, revision_no, label, status FROM s WHERE status = 'ACTIVE' QUALIFY row_number() OVER (PARTITION BY relationship_id ORDER BY CASE label WHEN 'RESTRICTED' THEN 5 WHEN 'SENSITIVE' THEN 4 ELSE 1 END DESC, revision_no DESC) = 1")
+def edge_representative(spark, sf):
+    return relate.edge_representative(spark.sql(_SUPPORTS, events=base(spark, sf, "events")))
+
+
+@query("SELECT handoff_id, source_id, object_id, row_number() OVER (PARTITION BY source_id, object_id ORDER BY observed_at DESC, handoff_id DESC) = 1 AS is_newest FROM R(OBSERVATIONS)")
+def newest_observation(spark, sf):
+    rows = registry(spark, sf, "OBSERVATIONS").select("handoff_id", "source_id", F.col("object_id").alias("source_object_id"), "observed_at", F.col("created_at").alias("received_at"))
+    return relate.newest_observations(rows).select("handoff_id", "source_id", F.col("source_object_id").alias("object_id"), "is_newest")
+
+
+_MERGES = "SELECT concat('supplier:', lpad(CAST(s_suppkey AS STRING), 9, '0')) AS merged_id, concat('supplier:', lpad(CAST(s_suppkey - 1 AS STRING), 9, '0')) AS survivor_id FROM {supplier} WHERE s_suppkey % 3 = 2 UNION ALL SELECT 'nation:000000003', 'region:000000001'"
+_REPOINT = f"""m AS ({_MERGES.replace('{supplier}', 'supplier')}),
+j AS (SELECT e.relationship_id, e.relation, coalesce(a.survivor_id, e.source_id) AS new_source, coalesce(b.survivor_id, e.target_id) AS new_target, a.survivor_id IS NOT NULL OR b.survivor_id IS NOT NULL AS moved FROM R(EDGES) e LEFT JOIN m a ON a.merged_id = e.source_id LEFT JOIN m b ON b.merged_id = e.target_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY new_source, relation, new_target ORDER BY moved, relationship_id) AS n FROM j),
+s AS (SELECT *, CASE WHEN moved AND new_source = new_target THEN 'SUPERSEDED_SELF_LOOP' WHEN moved AND n > 1 THEN 'SUPERSEDED_DUPLICATE' WHEN moved THEN 'REPOINTED' ELSE 'UNCHANGED' END AS new_status FROM n)"""
+
+
+@query(f"WITH {_REPOINT} SELECT relationship_id, relation, new_source, new_target, new_status FROM s")
+def merge_repoint(spark, sf):
+    return relate.repoint(registry(spark, sf, "EDGES"), spark.sql(_MERGES, supplier=base(spark, sf, "supplier")))
+
+
+@query(f"""
+WITH {_REPOINT}, x AS (SELECT new_source AS survivor_id, new_status FROM s WHERE new_status <> 'UNCHANGED' UNION ALL SELECT new_target, new_status FROM s WHERE new_status <> 'UNCHANGED' AND new_source <> new_target)
+SELECT survivor_id, new_status, CAST(count(*) AS BIGINT) AS n_edges FROM x WHERE survivor_id IN (SELECT survivor_id FROM m) GROUP BY ALL
+""")
+def merge_impact(spark, sf):
+    return relate.merge_impact(registry(spark, sf, "EDGES"), spark.sql(_MERGES, supplier=base(spark, sf, "supplier")))
+
+
+@query("""
+WITH sp AS (SELECT object_id, k % 3 + 2 AS n FROM R(OBJECTS) WHERE canonical_type = 'Supplier' AND k % 4 = 0),
+x AS (SELECT relationship_id, relation, source_id AS o FROM R(EDGES) UNION SELECT relationship_id, relation, target_id FROM R(EDGES))
+SELECT relationship_id, relation, CAST(max(n) AS BIGINT) AS successors, 'REVIEW_REQUIRED' AS status FROM x JOIN sp ON sp.object_id = x.o GROUP BY ALL
+""")
+def split_issues(spark, sf):
+    o = registry(spark, sf, "OBJECTS").filter("canonical_type = 'Supplier' AND k % 4 = 0")
+    splits = o.select("object_id", F.explode(F.transform(F.sequence(F.lit(1), (F.col("k") % 3 + 2).cast("int")), lambda i: F.concat_ws("/", F.col("object_id"), i.cast("string")))).alias("successor_id"))
+    return relate.split_edges(registry(spark, sf, "EDGES"), splits)
+
+
+@query("""
+WITH r AS (SELECT c_custkey AS merged_id, c_custkey - 1 AS survivor_id FROM customer WHERE c_custkey % 10 <> 0), w AS (SELECT merged_id, survivor_id AS final_id, 1 AS hops FROM r UNION ALL SELECT w.merged_id, r.survivor_id, w.hops + 1 FROM w JOIN r ON r.merged_id = w.final_id)
+SELECT merged_id, max_by(final_id, hops) AS final_id, CAST(max(hops) AS BIGINT) AS hops FROM w GROUP BY merged_id
+""", recursive=True)
+def resolve_redirect(spark, sf):
+    return relate.resolve_redirects(base(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("merged_id"), (F.col("c_custkey") - 1).alias("survivor_id")), 4)
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS issue_id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CONCAT('t', CAST(o_orderkey % 2 AS STRING)) END AS tenant_id FROM orders WHERE o_orderkey % 5 < 2)
+SELECT issue_id, min(tenant_id) AS tenant_id, CAST(count(*) AS BIGINT) AS candidates FROM s GROUP BY issue_id HAVING count(DISTINCT tenant_id) = 1 AND count(tenant_id) = count(*)
+""")
+def tenant_backfill(spark, sf):
+    o = base(spark, sf, "orders").filter("o_orderkey % 5 < 2")
+    return relate.tenant_backfill(o.select(F.col("o_custkey").alias("issue_id"), F.when(F.col("o_orderkey") % 50 != 0, F.concat(F.lit("t"), (F.col("o_orderkey") % 2).cast("string"))).alias("tenant_id")))
+
+
+# --- requests ---
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'purchase' THEN 'PASS' WHEN 'view' THEN 'REJECT' WHEN 'click' THEN 'REDIRECT' WHEN 'signup' THEN 'REDIRECT' ELSE 'REJECT' END AS decision,
+  CASE event_type WHEN 'click' THEN 'neighbors' WHEN 'signup' THEN 'nearby' END AS use, event_type IN ('click', 'signup') AS retryable FROM events
+""")
+def route_requests(spark, sf):
+    purpose = F.when(F.col("event_type") == "purchase", "RECURSIVE_HIERARCHY").when(F.col("event_type") == "view", "ANALYTICAL_COMPOSITE").when(F.col("event_type") == "click", "EXPLORATORY_ONE_HOP").when(F.col("event_type") == "signup", "SPATIAL").otherwise("WHATEVER")
+    return base(spark, sf, "events").select("event_id", admission.route(purpose).alias("r")).select("event_id", "r.*")
+
+
+@query("""
+SELECT event_id, sha256('graph' || chr(10) || event_type || chr(10) || CAST(user_id AS STRING) || chr(10) || array_to_string(list_sort(list_distinct(['rel' || CAST(event_id % 3 AS STRING), 'rel' || CAST(user_id % 3 AS STRING), 'rel1'])), chr(10))) AS fingerprint FROM events
+""")
+def semantic_fingerprint(spark, sf):
+    rel = F.array(F.concat(F.lit(" rel"), (F.col("event_id") % 3).cast("string")), F.concat(F.lit("rel"), (F.col("user_id") % 3).cast("string"), F.lit("  ")), F.lit("rel1"))
+    return base(spark, sf, "events").select("event_id", admission.fingerprint(F.lit("graph"), F.col("event_type"), F.col("user_id").cast("string"), rel).alias("fingerprint"))
+
+
+@query("""
+WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS a FROM s)
+SELECT user_id, event_id, CAST(session AS BIGINT) AS session, CAST(least(a, 3) AS BIGINT) AS attempt, CASE WHEN a >= 3 THEN 'STALLED' ELSE 'OPEN' END AS state FROM n
+""")
+def retry_guard_sessions(spark, sf):
+    log = base(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("request_id"))
+    return admission.retry_guard(log, 3, 6 * 3600).select(F.col("key").alias("user_id"), F.col("request_id").alias("event_id"), "session", "attempt", "state")
+
+
+def _budget_sql(amounts: str, ceilings: dict[str, float], seconds: int) -> str:
+    names = list(ceilings)
+    fits = " AND ".join(f"w.{n} + l.{n} <= {ceilings[n]}" for n in names)
+    return f"""
+WITH l AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, {amounts} FROM events),
+w AS (
+  SELECT user_id, n, t + {seconds}::BIGINT * 1000000 AS until, 1 AS accepted, {', '.join(names)}, {', '.join(f'{n} AS all_{n}' for n in names)} FROM l WHERE n = 1
+  UNION ALL
+  SELECT l.user_id, l.n, CASE WHEN l.t >= w.until THEN l.t + {seconds}::BIGINT * 1000000 ELSE w.until END, w.accepted + CASE WHEN l.t >= w.until OR ({fits}) THEN 1 ELSE 0 END,
+    {', '.join(f'CASE WHEN l.t >= w.until THEN l.{n} WHEN {fits} THEN w.{n} + l.{n} ELSE w.{n} END' for n in names)}, {', '.join(f'w.all_{n} + CASE WHEN l.t >= w.until OR ({fits}) THEN l.{n} ELSE 0 END' for n in names)}
+  FROM w JOIN l ON l.user_id = w.user_id AND l.n = w.n + 1
+)
+SELECT user_id AS key, CAST(max(n) AS BIGINT) AS requests, CAST(max_by(accepted, n) AS BIGINT) AS accepted, CAST(max(n) - max_by(accepted, n) AS BIGINT) AS rejected, {', '.join(f'max_by(all_{n}, n) AS sum_{n}' for n in names)} FROM w GROUP BY user_id
+"""
+
+
+@query(_budget_sql("1.0::DOUBLE AS calls, floor(value) AS nodes", {"calls": 30, "nodes": 2000}, 7 * 86400), recursive=True)
+def budget_graph(spark, sf):
+    log = base(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("request_id"), F.lit(1.0).alias("calls"), F.floor("value").alias("nodes"))
+    return admission.admit(log, {"calls": "calls", "nodes": "nodes"}, admission.GRAPH_CEILINGS, 7 * 86400)
+
+
+@query(_budget_sql("1.0::DOUBLE AS calls, floor(value * 100) AS radius_m", {"calls": 30, "radius_m": 100_000}, 7 * 86400), recursive=True)
+def budget_spatial(spark, sf):
+    log = base(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("request_id"), F.lit(1.0).alias("calls"), F.floor(F.col("value") * 100).alias("radius_m"))
+    return admission.admit(log, {"calls": "calls", "radius_m": "radius_m"}, admission.SPATIAL_CEILINGS, 7 * 86400)
+
+
+# --- space ---
+
+
+_HAVERSINE = "2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(t.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - a.lon) / 2), 2))))"
+_NEAR = f"n AS (SELECT a.object_id AS anchor_id, t.object_id, {_HAVERSINE} AS d FROM R(POINTS) a JOIN R(POINTS) t ON a.canonical_type = 'Supplier' AND t.canonical_type = 'Customer' AND abs(a.lat - t.lat) < 0.02 AND abs(a.lon - t.lon) < 0.03)"
+
+
+def _points(spark, sf):
+    p = registry(spark, sf, "POINTS")
+    return p.filter("canonical_type = 'Supplier'"), p.filter("canonical_type = 'Customer'")
+
+
+@query(f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY round(d, 3), object_id) AS rank FROM n WHERE d <= 450) SELECT anchor_id, object_id, round(d, 3) AS distance_m, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def nearby_sphere(spark, sf):
+    """The customers nearest to every supplier."""
+    from pyspark.sql import Window
+
+    pairs = spatial.nearby_pairs(*_points(spark, sf), 450.0).withColumn("distance_m", F.round("distance_m", 3))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("anchor_id").orderBy("distance_m", "object_id"))).filter("rank <= 10")
+
+
+@query()
+def nearby_spheroid(spark, sf):
+    return spatial.nearby(*_points(spark, sf), 450.0, 10, "spheroid").withColumn("distance_m", F.round("distance_m", 3))
+
+
+@query("SELECT object_id, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM R(POINTS) WHERE lon >= 13.62 AND lon <= 13.66 AND lat >= 45.6 AND lat <= 45.61 AND tenant_id = 't1'")
+def envelope_intersects(spark, sf):
+    p = registry(spark, sf, "POINTS").filter("tenant_id = 't1'").withColumn("lon", F.col("lon").cast("double")).withColumn("lat", F.col("lat").cast("double"))
+    return spatial.envelope_points(p, 13.62, 45.6, 13.66, 45.61).select("object_id", "lon", "lat")
+
+
+@query("SELECT object_id FROM R(POINTS) WHERE lon > 13.62 AND lon < 13.66 AND lat > 45.6 AND lat < 45.61 AND tenant_id = 't1'")
+def envelope_within(spark, sf):
+    return spatial.envelope_points(registry(spark, sf, "POINTS").filter("tenant_id = 't1'"), 13.62, 45.6, 13.66, 45.61, within=True).select("object_id")
+
+
+@query(f"""
+WITH {_NEAR}, r AS (SELECT anchor_id, object_id, round(d, 3) AS d, row_number() OVER w AS n, lead(round(d, 3)) OVER w AS second FROM n WHERE d <= 450 WINDOW w AS (PARTITION BY anchor_id ORDER BY round(d, 3), object_id))
+SELECT anchor_id, CASE WHEN second IS NULL OR second - d >= 50 THEN 'MATCHED' ELSE 'SPATIAL_MULTIPLE_MATCHES' END AS outcome, CASE WHEN second IS NULL OR second - d >= 50 THEN object_id END AS object_id, d AS distance_m FROM r WHERE n = 1
+""")
+def nearest_margin(spark, sf):
+    return spatial.choose_nearest(spatial.nearby_pairs(*_points(spark, sf), 450.0).withColumn("distance_m", F.round("distance_m", 3)), 50.0)
+
+
+def _squares(spark, sf, size: float, kind: str):
+    p = registry(spark, sf, "POINTS").filter(F.col("canonical_type") == kind).select("object_id", F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y"))
+    text = F.format_string('{"type":"Polygon","coordinates":[[[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f]]]}', "x", "y", F.col("x") + size, "y", F.col("x") + size, F.col("y") + size, "x", F.col("y") + size, "x", "y")
+    return spatial.with_bounds(p.select("object_id", text.alias("geojson")))
+
+
+@query("""
+WITH p AS (SELECT object_id, canonical_type, CAST(lon AS DOUBLE) AS x, CAST(lat AS DOUBLE) AS y FROM R(POINTS))
+SELECT a.object_id AS anchor_id, b.object_id FROM p a JOIN p b ON a.canonical_type = 'Supplier' AND b.canonical_type = 'Customer'
+  AND round(a.x, 6) <= round(b.x + 0.0025, 6) AND round(b.x, 6) <= round(a.x + 0.0015, 6) AND round(a.y, 6) <= round(b.y + 0.0025, 6) AND round(b.y, 6) <= round(a.y + 0.0015, 6)
+""")
+def polygon_intersection(spark, sf):
+    """Squares of suppliers that meet squares of customers."""
+    return spatial.intersection_pairs(_squares(spark, sf, 0.0015, "Supplier"), _squares(spark, sf, 0.0025, "Customer"), 0.01)
+
+
+@query("""
+WITH p AS (SELECT object_id, canonical_type, CAST(lon AS DOUBLE) AS x, CAST(lat AS DOUBLE) AS y FROM R(POINTS)),
+o AS (SELECT a.object_id AS anchor_id, b.object_id, greatest(0, least(a.x + 0.0015, b.x + 0.0025) - greatest(a.x, b.x)) * greatest(0, least(a.y + 0.0015, b.y + 0.0025) - greatest(a.y, b.y)) / (0.0015 * 0.0015) AS share FROM p a JOIN p b ON a.canonical_type = 'Supplier' AND b.canonical_type = 'Customer')
+SELECT anchor_id, object_id, round(share, 4) AS share FROM o WHERE share >= 0.3
+""")
+def overlap_ratio(spark, sf):
+    return spatial.overlap_pairs(_squares(spark, sf, 0.0015, "Supplier"), _squares(spark, sf, 0.0025, "Customer"), 0.3, 0.01).withColumn("share", F.round("share", 4))
+
+
+@query()
+def crs_transform(spark, sf):
+    """Customers' points in UTM zone 33."""
+    p = registry(spark, sf, "POINTS").filter("canonical_type = 'Customer'")
+    text = F.format_string('{"type":"Point","coordinates":[%.6f,%.6f]}', F.col("lon").cast("double"), F.col("lat").cast("double"))
+    out = spatial.projected(p.select("object_id", text.alias("geojson")), "+proj=pipeline +step +proj=unitconvert +xy_in=deg +xy_out=rad +step +proj=utm +zone=33")
+    return out.select("object_id", "project_status", F.hex("projected").alias("wkb"))
+
+
+_GEOMETRIES = """SELECT event_id AS k, event_type AS source_id, ts AS observed_at, CASE WHEN event_id % 7 = 0 THEN TIMESTAMP '2030-01-01 00:00:00' END AS valid_from, CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2020-01-01 00:00:00' END AS valid_to, CAST(event_id % 3 AS STRING) AS geometry_hash,
+  CASE WHEN event_id % 11 <> 0 THEN CASE user_id % 3 WHEN 0 THEN 'purchase' WHEN 1 THEN 'signup' ELSE 'view' END END AS cur_source_id, TIMESTAMP '2024-01-15 00:00:00' AS cur_observed_at, CAST(user_id % 3 AS STRING) AS cur_geometry_hash FROM {events}"""
+
+
+@query(f"""
+WITH g AS ({_GEOMETRIES.replace('{events}', 'events')}), r AS (SELECT *, {_RANK} AS mine, {_RANK.replace('source_id', 'cur_source_id')} AS theirs FROM g)
+SELECT k, CASE WHEN valid_from > {NOW} THEN 'FUTURE' WHEN valid_to <= {NOW} THEN 'HISTORICAL_ONLY' WHEN cur_source_id IS NULL THEN 'ADVANCE' WHEN source_id = cur_source_id AND observed_at < cur_observed_at THEN 'HISTORICAL_ONLY'
+  WHEN geometry_hash = cur_geometry_hash THEN 'RETAIN' WHEN source_id = cur_source_id OR mine < theirs THEN 'ADVANCE' WHEN mine > theirs THEN 'HISTORICAL_ONLY' ELSE 'REVIEW_REQUIRED' END AS action FROM r
+""")
+def geometry_arbitrate(spark, sf):
+    return spatial.arbitrate(spark.sql(_GEOMETRIES, events=base(spark, sf, "events")), ORDER, F.expr(NOW)).select("k", "action")
+
+
+# --- the lake ---
+
+
+def _inventory(lake_rows):
+    n = F.col("doc_id") % 50
+    kept = lake_rows.filter(n != 7).select("locator", F.when(n == 9, F.lit("0" * 64)).otherwise(F.col("content_hash")).alias("content_hash"))
+    return kept.unionByName(lake_rows.filter(n == 11).select(F.concat("locator", F.lit(".orphan")).alias("locator"), "content_hash"))
+
+
+@query("""
+WITH i AS (SELECT locator, CASE WHEN doc_id % 50 = 9 THEN repeat('0', 64) ELSE content_hash END AS h FROM R(LAKE) WHERE doc_id % 50 <> 7 UNION ALL SELECT locator || '.orphan', content_hash FROM R(LAKE) WHERE doc_id % 50 = 11)
+SELECT lake_id, l.locator, CASE WHEN i.h IS NULL THEN 'MISSING_OBJECT' ELSE 'CHECKSUM_MISMATCH' END AS finding, 'CRITICAL' AS severity FROM R(LAKE) l LEFT JOIN i ON i.locator = l.locator WHERE l.status NOT IN ('DELETED', 'COMPACTED') AND (i.h IS NULL OR i.h <> l.content_hash)
+UNION ALL SELECT NULL, i.locator, 'ORPHAN_STORAGE', 'HIGH' FROM i WHERE i.locator NOT IN (SELECT locator FROM R(LAKE))
+""")
+def lake_reconcile(spark, sf):
+    rows = registry(spark, sf, "LAKE")
+    return lake.reconcile(rows, _inventory(rows))
+
+
+@query("""
+WITH v AS (SELECT *, coalesce(sum(size_bytes) OVER (PARTITION BY tenant_id, tier, retention_class, label ORDER BY lake_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM R(LAKE) WHERE status = 'VERIFIED' AND size_bytes <= 50000),
+b AS (SELECT *, CAST(floor(before / 50000) AS BIGINT) AS blk FROM v), p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY tenant_id, tier, retention_class, label, blk ORDER BY lake_id) - 1) / 20) AS BIGINT) AS part FROM b)
+SELECT lake_id, CAST(row_number() OVER w AS BIGINT) AS position, CAST(sum(size_bytes) OVER w - size_bytes AS BIGINT) AS logical_offset, md5(concat_ws('|', tenant_id, tier, retention_class, label, '0', CAST(blk AS STRING), CAST(part AS STRING))) AS bin_id FROM p WINDOW w AS (PARTITION BY tenant_id, tier, retention_class, label, blk, part ORDER BY lake_id ROWS UNBOUNDED PRECEDING)
+""")
+def lake_compact(spark, sf):
+    return lake.compaction_plan(registry(spark, sf, "LAKE"), most_inputs=20, most_bytes=100_000).select("lake_id", "position", "logical_offset", "bin_id")
+
+
+@query("SELECT tenant_id, sha256(string_agg(lake_id || ':' || content_hash || ':' || CAST(size_bytes AS STRING), '|' ORDER BY lake_id)) AS digest, CAST(count(*) AS BIGINT) AS n FROM R(LAKE) GROUP BY tenant_id")
+def lake_digest(spark, sf):
+    return lake.snapshot_digest(registry(spark, sf, "LAKE"))
+
+
+@query(f"""
+SELECT lake_id, concat_ws(',', CASE WHEN doc_id % 17 = 0 THEN 'EXPORT' END, CASE WHEN retention_class = 'LEGAL_HOLD' THEN 'LEGAL_HOLD' END, CASE WHEN doc_id % 6 > 3 THEN 'LINEAGE' END, CASE WHEN doc_id % 19 = 3 THEN 'REPLAY' END, CASE WHEN doc_id % 4 = 0 THEN 'RETENTION' END) AS blocks FROM R(LAKE)
+""")
+def deletion_guard(spark, sf):
+    d = F.col("doc_id")
+    rows = registry(spark, sf, "LAKE").select("lake_id", "retention_class", F.when(d % 17 == 0, 1).alias("open_exports"), F.lit(None).cast("boolean").alias("legal_hold"), F.greatest(d % 6 - 3, F.lit(0)).alias("lineage_refs"), (d % 19 == 3).alias("replay_needed"), F.when(d % 4 != 0, F.expr("TIMESTAMP '2024-01-01 00:00:00'")).alias("retain_until"))
+    return rows.select("lake_id", F.array_join(lake.deletion_blocks(F.expr(NOW)), ",").alias("blocks"))
+
+
+@query("""
+SELECT lake_id, CASE WHEN doc_id % 20 = 5 THEN 'VANISHED' WHEN doc_id % 20 = 6 THEN 'IDENTITY' WHEN doc_id % 20 = 7 THEN 'VERSION' WHEN status IN ('DELETION_PENDING', 'STAGED', 'COMPACTED') THEN 'STATUS' END AS problem FROM R(LAKE)
+WHERE doc_id % 20 IN (5, 6, 7) OR (doc_id % 20 <> 8 AND status IN ('DELETION_PENDING', 'STAGED', 'COMPACTED'))
+""")
+def lifecycle_guard(spark, sf):
+    """After: verified entries went cold; some vanished, changed identity, skipped a version or stayed."""
+    rows, d = registry(spark, sf, "LAKE"), F.col("doc_id") % 20
+    kept = ["lake_id", "tenant_id", "content_hash", "status"]
+    before = rows.select(*kept, F.lit(1).alias("version"))
+    after = rows.filter(d != 5).select("lake_id", "tenant_id", F.when(d == 6, "x").otherwise(F.col("content_hash")).alias("content_hash"), F.when(d == 8, F.col("status")).otherwise(F.when(F.col("status") == "VERIFIED", "COLD").otherwise("DURABLE2")).alias("status"), F.when(d == 8, 1).when(d == 7, 3).otherwise(2).alias("version"))
+    return lake.transition_problems(before, after)
+
+
+@query("SELECT lake_id, content_hash, CASE WHEN doc_id % 30 = 1 THEN 'COPY_FAILED' WHEN doc_id % 30 = 2 THEN 'DRIFTED' ELSE 'READY' END AS shadow_status FROM R(LAKE)")
+def shadow_rebuild(spark, sf):
+    rows, d = registry(spark, sf, "LAKE"), F.col("doc_id") % 30
+    plan = rows.select("lake_id", "locator", "content_hash")
+    copied = rows.filter(d != 1).select("lake_id", "content_hash")
+    current = rows.select("lake_id", F.when(d == 2, "elsewhere").otherwise(F.col("locator")).alias("locator"), "content_hash")
+    return lake.shadow_status(plan, copied, current).select("lake_id", "content_hash", "shadow_status")
+
+
+@query("""
+WITH s AS (SELECT tenant_id, tier, content_hash, source_id, type_code, min(size_bytes) AS c FROM R(LAKE) GROUP BY ALL)
+SELECT tenant_id, tier, content_hash, source_id, type_code FROM s WHERE (tenant_id, tier, content_hash, source_id, type_code) NOT IN (SELECT (tenant_id, tier, content_hash, source_id, type_code) FROM R(LAKE) WHERE doc_id % 2 = 0)
+""")
+def lake_store(spark, sf):
+    docs = base(spark, sf, "documents")
+    rows = registry(spark, sf, "LAKE")
+    incoming = rows.join(docs.select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id")
+    return lake.store_objects(incoming, rows.filter("doc_id % 2 = 0")).select("tenant_id", "tier", "content_hash", "source_id", "type_code")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 9 = 1 THEN 'BASE64' WHEN octet_length(encode(text)) > 3000 THEN 'TOO_LARGE' WHEN doc_id % 9 = 2 THEN 'ZONE' WHEN doc_id % 9 = 3 THEN 'HASH' END AS problem FROM documents
+""")
+def lake_write_api(spark, sf):
+    n = F.col("doc_id") % 9
+    raw = F.encode("text", "UTF-8")
+    rows = base(spark, sf, "documents").select("doc_id", F.when(n == 1, "!").otherwise(F.base64(raw)).alias("content_base64"), F.when(n == 2, "SECRET").otherwise("RAW").alias("zone"), F.when(n == 3, "0").otherwise(F.sha2(raw, 256)).alias("declared_hash"))
+    return lake.write_checks(rows, 3000).select("doc_id", "problem")
+
+
+_PLANS = "SELECT concat('p', CAST(o_custkey % 200 AS STRING)) AS plan_id, CASE o_orderkey % 2 WHEN 0 THEN 'schema' ELSE 'mapping' END AS kind, concat('ref', CAST(o_orderkey % 300 AS STRING)) AS ref FROM {orders}"
+
+
+@query(f"""
+WITH r AS (SELECT DISTINCT * FROM ({_PLANS.replace('{orders}', 'orders')}) x), j AS (SELECT plan_id, kind || chr(10) || ref AS line, CAST(substr(ref, 4) AS INT) % 100 = 99 AS gone FROM r),
+g AS (SELECT plan_id, coalesce(string_agg(sha256(line), ',' ORDER BY sha256(line)) FILTER (WHERE gone), '') AS missing, sha256(string_agg(line, chr(10) ORDER BY line)) AS baseline_hash, CAST(count(*) AS BIGINT) AS n_refs FROM j GROUP BY plan_id)
+SELECT *, CASE WHEN missing = '' THEN 'READY' ELSE 'BLOCKED' END AS replay_status FROM g
+""")
+def replay_plan(spark, sf):
+    refs = spark.sql(_PLANS, orders=base(spark, sf, "orders"))
+    return lake.missing_references(refs, refs.select("kind", "ref").distinct().filter("CAST(substr(ref, 4) AS INT) % 100 <> 99"))
+
+
+@query("""
+SELECT event_id AS job_id, CASE WHEN event_id % 13 = 0 THEN 'QUARANTINE' WHEN event_id % 3 <> 0 THEN 'PASS' WHEN event_id % 8 >= 5 THEN 'QUARANTINE' ELSE 'PAUSE' END AS gate,
+  CASE WHEN event_id % 13 <> 0 AND event_id % 3 = 0 AND event_id % 8 < 5 THEN CAST(least(3600, 60 * pow(2, event_id % 8)) AS BIGINT) END AS wait_s FROM events
+""")
+def reference_gate(spark, sf):
+    n = F.col("event_id")
+    jobs = base(spark, sf, "events").select(n.alias("job_id"), F.when((n % 3 == 0) & (n % 13 != 0), "gone").otherwise("bundle").alias("ref"), F.when(n % 13 == 0, "old").otherwise("h").alias("ref_hash"), (n % 8).alias("attempts"), F.col("ts").alias("failed_at"))
+    known = spark.createDataFrame([("bundle", "h")], "ref string, ref_hash string")
+    return lake.reference_gate(jobs, known).select("job_id", "gate", "wait_s")
+
+
+@query("""
+WITH d AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT user_id, event_id, event_type AS decision FROM d WHERE n = 1
+""")
+def latest_decision(spark, sf):
+    """The latest human decision of each issue: one aggregate, no window."""
+    d = base(spark, sf, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x"))
+    return d.select("user_id", "x.event_id", F.col("x.event_type").alias("decision"))
+
+
+@query("""
+WITH d AS (SELECT user_id, CAST(event_id AS STRING) || ':' || event_type AS line FROM events)
+SELECT user_id, 'sha256:' || sha256(string_agg(line, '|' ORDER BY line)) AS snapshot, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY user_id
+""")
+def review_package(spark, sf):
+    """The digest that a reviewed package of issues is confirmed by."""
+    line = F.concat_ws(":", F.col("event_id").cast("string"), "event_type")
+    return base(spark, sf, "events").groupBy("user_id").agg(sha256_ref(F.array_join(F.sort_array(F.collect_list(line)), "|")).alias("snapshot"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n_events, round(CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE), 3) AS total FROM events GROUP BY ALL")
+def tumbling_activity_hourly(spark, sf):
+    return tumbling_activity(base(spark, sf, "events"))
