@@ -88,10 +88,10 @@ def signal_score(s: Signal, mine: Column, theirs: Column) -> Column:
         out = F.when((F.length(a) > 512) | (F.length(b) > 512), F.raise_error(F.lit("a compared text has over 512 characters"))).otherwise(similarity(a, b))
     elif s.kind == "NUMBER":
         a, b = mine.try_cast("double"), theirs.try_cast("double")
-        fine = ~F.isnan(a) & ~F.isnan(b)
+        fine = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)  # greatest() would pass over a null
         out = F.when(fine, F.greatest(F.lit(0.0), 1 - F.abs(a - b) / F.lit(s.tolerance)))
     elif s.kind == "DISTANCE":
-        out = F.greatest(F.lit(0.0), 1 - theirs / F.lit(s.tolerance))
+        out = F.when(theirs.isNotNull(), F.greatest(F.lit(0.0), 1 - theirs / F.lit(s.tolerance)))
     else:
         raise ValueError(s.kind)
     return out
