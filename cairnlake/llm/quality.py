@@ -3,9 +3,9 @@
 One view sees the text itself, the other only what is known about the page. Each is a logistic
 regression. Round by round each labels the unlabelled documents it is surest of, and these join
 the other's training rows. Both are calibrated (Platt) on labelled rows kept out of training,
-and their log odds add up, the prior counted once. Fitting uses at most MOST_LABELLED labelled
-and MOST_UNLABELLED other documents, those with the smallest seeded hashes; features and scores
-of all documents are JVM expressions.
+and their log odds add up, the prior counted once. Fitting uses about MOST_LABELLED labelled
+and MOST_UNLABELLED other documents, twice that at most, drawn by seeded hashes of doc_id;
+features and scores of all documents are JVM expressions.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import BLANK, table, word_count
 #: Bounds of the fitting sample, rounds, pseudo-labels a round and class, and its seed.
 MOST_LABELLED, MOST_UNLABELLED, ROUNDS, SURE, SEED = 8_000, 8_000, 4, 200, 20240607
 #: A document is kept unless the chance that it is good is below this.
-KEEP_FROM = 0.5
+KEEP_FROM = 0.2
 LANGS = ("de", "en", "es", "fr")
 
 
@@ -157,13 +157,14 @@ def score_quality(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS,
     has = set(own)
     text, page = text_features(F.col("text")), page_features(has)
     feats = [c.cast("double").alias(f"f{i}") for i, c in enumerate([*text.values(), *page.values()])]
-    mark = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"), F.xxhash64("doc_id", F.lit(seed)).alias("_m"))
-    picked = known.orderBy("_m", "_id", "_y").limit(most_labelled)  # bounded, so it may be broadcast
-    a = documents.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(*feats, F.col("_y"), F.col("_m")).orderBy("_m", *[f"f{i}" for i in range(len(feats))]).limit(most_labelled).toPandas()
-    others = documents.select("*", mark.alias("_m")).select("_m", *feats).orderBy("_m").limit(most_unlabelled).toPandas()
+    sampled = lambda df, most: df.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(most / max(most, df.count()) * (1 << 30))).limit(2 * most)
+    known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("_y"))
+    picked = sampled(known, most_labelled).withColumnRenamed("doc_id", "_id")  # bounded, so it may be broadcast
+    a = documents.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(*feats, F.col("_y")).limit(2 * most_labelled).toPandas()
+    others = sampled(documents, most_unlabelled).select(*feats).toPandas()
+    a, others = a.sort_values(list(a.columns)), others.sort_values(list(others.columns))
     k = len(text)
-    x, u = a.iloc[:, : len(feats)].to_numpy(float), others.iloc[:, 1:].to_numpy(float)
+    x, u = a.iloc[:, : len(feats)].to_numpy(float), others.to_numpy(float)
     models, prior = co_train([x[:, :k], x[:, k:]], a["_y"].to_numpy(int), [u[:, :k], u[:, k:]], rounds)
     scored = documents.select(*own, F.array(*[c.cast("double") for c in [*text.values(), *page.values()]]).alias("_f"))
     odds = [m.column([F.col("_f")[j] for j in at]) for m, at in zip(models, (range(k), range(k, len(feats))), strict=True)]
