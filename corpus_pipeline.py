@@ -19,7 +19,9 @@ from cairnlake.llm.quality import score_quality
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+    used = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
+    whole = docs.select(*used, F.struct("*").alias("_row"))  # so that no name clashes
+    return score_quality(whole, table(spark, sf_dir, "labels")).filter("keep").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data spans replaced by their kind; no document goes."""
-    found = find_pii(docs, keep=[c for c in docs.columns if c != "text"])
-    out = found.withColumn("text", F.when(F.size("base") + F.size("added") > 0, redacted(F.col("text"), F.concat("base", "added"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    found = find_pii(docs.select("text", F.struct("*").alias("_row")), keep=["_row"])
+    spans = F.concat("base", "added")
+    out = found.select("_row", F.when(F.size(spans) > 0, redacted(F.col("text"), spans)).otherwise(F.col("_row")["text"]).alias("_new"))
+    columns = [F.col("_new").alias(c) if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]
+    return out.select(*columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
