@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions.hashing import sha256_ref
-from cairnlake.operators import access, admission, canonical, graph, identity, intake, lake, paging, relate, spatial
+from cairnlake.operators import access, admission, canonical, graph, identity, intake, lake, paging, relate, serve, spatial
 from cairnlake.sources.registry import registry, registry_sql
 from cairnlake.streaming.intake import tumbling_activity
 
@@ -939,3 +939,70 @@ def review_package(spark, sf):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n_events, round(CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE), 3) AS total FROM events GROUP BY ALL")
 def tumbling_activity_hourly(spark, sf):
     return tumbling_activity(base(spark, sf, "events"))
+
+
+# --- serving ---
+
+
+@query(f"WITH {_RUNNING} SELECT object_id, CAST(no AS BIGINT) AS revision_no, value, observed_at AS recorded_at FROM rv WHERE observed_at <= TIMESTAMP '2024-01-20 00:00:00' QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY no DESC) <= 2")
+def object_history_asof(spark, sf):
+    """Each object's last two revisions as recorded by a day."""
+    changes = _changes(spark, sf)
+    numbered = canonical.revision_chain(changes).select("object_id", "seq", "revision_no").join(changes, ["object_id", "seq"])
+    rows = numbered.select("object_id", "revision_no", "value", F.col("observed_at").alias("recorded_at"))
+    return serve.object_history(rows, 2, F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"))
+
+
+@query(f"""
+WITH props AS ({_PROPS.replace('{objects}', 'R(OBJECTS)')}), v AS (SELECT object_id, property, value FROM props WHERE label IN {LABELS} AND (valid_from IS NULL OR valid_from <= {NOW}) AND (valid_to IS NULL OR valid_to > {NOW}))
+SELECT o.object_id, o.canonical_type, o.name, coalesce(string_agg(v.property || '=' || v.value, '|' ORDER BY v.property), '') AS properties FROM R(OBJECTS) o LEFT JOIN v USING (object_id)
+WHERE o.tenant_id = 'default' AND o.canonical_type = 'Part' AND o.label IN {LABELS} GROUP BY ALL
+""")
+def object_current(spark, sf):
+    seen, _ = access.redact_properties(_properties(spark, sf), SCOPE.labels, F.expr(NOW))
+    rows = access.scoped(registry(spark, sf, "OBJECTS"), "default", SCOPE.labels).filter("canonical_type = 'Part'").select("object_id", "canonical_type", "name")
+    out = serve.object_current(rows, seen)
+    return out.withColumn("properties", F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|"))
+
+
+@query(f"SELECT outcome, reason, CAST(count(*) AS BIGINT) AS n, max(candidates) AS most_candidates FROM ({ORACLES['governed_decide']}) d GROUP BY ALL")
+def preflight(spark, sf):
+    return identity.preflight(identity.governed_decisions(*_governed(spark, sf), GOVERNED))
+
+
+@query(f"WITH m AS ({_MASTERS.replace('{part}', 'part')}), t AS ({_TOKENS.format(k='object_id', t='m')}) SELECT CAST(count(DISTINCT k) AS BIGINT) AS objects, CAST(count(*) AS BIGINT) AS tokens FROM t")
+def identity_coverage(spark, sf):
+    rows = identity.tokens(_governed(spark, sf)[1], "object_id", GOVERNED)
+    return serve.coverage(rows, "object_id", identity.policy_fingerprint(GOVERNED)).select("objects", "tokens")
+
+
+@query("""
+SELECT event_id AS job_id FROM events WHERE (event_id % 3 = 0 OR (event_id % 3 = 1 AND ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-20 00:00:00')) AND ts <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts, event_id LIMIT 10
+""")
+def due_jobs(spark, sf):
+    """The ten oldest due jobs."""
+    n = F.col("event_id")
+    jobs = base(spark, sf, "events").select(n.alias("job_id"), F.when(n % 3 == 0, "READY").when(n % 3 == 1, "LEASED").otherwise("DONE").alias("status"), F.expr("ts + INTERVAL 1 HOUR").alias("lease_until"), F.col("ts").alias("due_at"))
+    return serve.due_jobs(jobs, F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), 10).select("job_id")
+
+
+@query("SELECT lake_id, locator AS delete_locator FROM R(LAKE) WHERE status = 'DELETION_PENDING' AND doc_id % 4 <> 1 ORDER BY doc_id LIMIT 20")
+def purge_due(spark, sf):
+    rows = registry(spark, sf, "LAKE").withColumn("purge_after", F.when(F.col("doc_id") % 4 == 1, F.expr("TIMESTAMP '2030-01-01 00:00:00'")).otherwise(F.expr("TIMESTAMP '2020-01-01 00:00:00'"))).withColumn("previous_locator", F.lit(None).cast("string"))
+    return lake.purge_due(rows, F.expr(NOW), 20).select("lake_id", "delete_locator")
+
+
+@query(f"WITH p AS ({_PLANS.replace('{orders}', 'orders')}) SELECT kind, ref, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY ALL HAVING count(*) > 1")
+def catalogue_duplicates(spark, sf):
+    return lake.catalogue_duplicates(spark.sql(_PLANS, orders=base(spark, sf, "orders")))
+
+
+@query("SELECT 'replay-p1-' || CAST(handoff_id AS VARCHAR) AS handoff_id, source_id, 'p1' AS replay_of FROM R(OBSERVATIONS) WHERE source_id = 'purchase'")
+def historical_replay(spark, sf):
+    rows = registry(spark, sf, "OBSERVATIONS").filter("source_id = 'purchase'").select(F.col("handoff_id").cast("string").alias("handoff_id"), "source_id")
+    return lake.replayed(rows, "p1")
+
+
+@query("SELECT user_id, event_id, CAST(least(3600, 60 * pow(2, least(event_id % 9, 30))) AS BIGINT) AS wait_s FROM events")
+def maintenance_backoff(spark, sf):
+    return base(spark, sf, "events").select("user_id", "event_id", lake.backoff_seconds(F.col("event_id") % 9).alias("wait_s"))
