@@ -15,7 +15,7 @@ Shingles that many sets have (passages repeated all over) are left out of the pa
 last in the prefix. That loses nothing, as leaving shingles out only lowers differences while
 the bound stays, and any choice of shingles is valid; it keeps the buckets small.
 
-Equal sets are one node. In a bucket every node pairs with the smallest (a star). Pairs are
+Equal sets are one node. In a bucket every node pairs with one center (a star). Pairs are
 verified on the whole texts. Where a bucket's nodes are then still in several components, all
 its pairs across components are verified too, so no link between components is missed.
 """
@@ -34,12 +34,13 @@ from .common import stored, table
 from .shingles import Shingler, mix, split_sets, texts
 
 #: Similarity in hundredths; signatures a reducing task holds, about.
-LEAST, TASK_SIGNATURES = 75, 3_000_000
+LEAST, TASK_SIGNATURES = 75, 1_500_000
 #: A shingle is frequent from so many sets on; a task reports those it saw in LOCAL sets; the
 #: most frequent MOST_FREQUENT of them are used (8 bytes each on every executor).
-FREQUENT, LOCAL, MOST_FREQUENT = 32, 3, 200_000
-#: Distinct shingles a task counts before it forgets those seen once; texts held by verification.
-COUNTED, HELD_TEXTS = 4_000_000, 64
+FREQUENT, LOCAL, MOST_FREQUENT = 6, 2, 1_000_000
+#: Distinct shingles a task counts before it forgets those seen once; texts held by verification;
+#: pairs held to be told apart.
+COUNTED, HELD_TEXTS, HELD_PAIRS = 2_000_000, 64, 1_000_000
 RATIO = 2**0.5
 
 
@@ -52,13 +53,17 @@ def parts_of(level: int) -> int:
     return max(1, int(np.ceil(0.2 * RATIO ** (level + 1))))
 
 
+def among(elements: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which elements are in the sorted known ones, by bisection: known may be long."""
+    if not len(known):
+        return np.zeros(len(elements), bool)
+    return known[np.minimum(np.searchsorted(known, elements), len(known) - 1)] == elements
+
+
 def signatures(elements: np.ndarray, level: int, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
     """A set's PartEnum signatures in a band, and whether they alone guarantee its links."""
     n, parts = len(elements), parts_of(level)
-    if len(frequent):
-        at = np.searchsorted(frequent, elements)
-        at[at == len(frequent)] = 0
-        elements = elements[frequent[at] != elements]
+    elements = elements[~among(elements, frequent)]
     h = mix(elements + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     cell = (h >> np.uint64(32)).astype(np.int64) % (3 * parts)
     values = mix(h ^ np.uint64(0x5851F42D4C957F2D))
@@ -85,13 +90,15 @@ def signatures(elements: np.ndarray, level: int, frequent: np.ndarray) -> tuple[
 def prefix(elements: np.ndarray, frequent: np.ndarray, least: int = LEAST) -> np.ndarray:
     """Signatures of the first |A| - ⌈least |A| / 100⌉ + 1 shingles, frequent ones last."""
     n = len(elements)
-    last = np.isin(elements, frequent)
+    last = among(elements, frequent)
     h = mix(elements ^ np.uint64(0x2545F4914F6CDD1D))
     order = np.lexsort((h, last))
     return mix(h[order[: n - -(-least * n // 100) + 1]] + np.uint64(0x632BE59BD9B4E019))
 
 
-def all_signatures(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def all_signatures(elements: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's signatures, and how many shingles come before each in its prefix (0 for those of
+    parts). If a signature is the first that two sets share, what comes before isn't common."""
     n = len(elements)
     own, sure = signatures(elements, band(n), frequent)
     out = [own]
@@ -99,9 +106,21 @@ def all_signatures(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         more, sure_up = signatures(elements, up, frequent)
         out.append(more)
         sure &= sure_up
+    skipped = np.zeros(sum(map(len, out)), np.int64)
     if not sure:
         out.append(prefix(elements, frequent))
-    return np.concatenate(out)
+        skipped = np.concatenate([skipped, np.arange(len(out[-1]))])
+    sig, at = np.unique(np.concatenate(out), return_index=True)
+    return sig, skipped[at]
+
+
+def possible(size: np.ndarray, skipped: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Members of buckets that may have a partner there: two sets of a and b shingles that link
+    have 3 (a + b) / 7 in common at least, all behind the shingles skipped; b is 3 a / 4 at least,
+    and no smaller than the bucket's smallest."""
+    smallest = np.repeat(np.minimum.reduceat(size, starts), counts)
+    other = np.maximum(-(-LEAST * size // 100), smallest)
+    return (size - skipped) * (100 + LEAST) >= LEAST * (size + other)
 
 
 # --- passes over the texts ---
@@ -160,12 +179,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sign(tasks: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, hot = Shingler(), set(), frequent.value
-        docs, sigs, held = [], [], 0
+        docs, sigs, skips, held = [], [], [], 0
 
         def blocks() -> Iterator[pa.RecordBatch]:
             if not sigs:
                 return
-            sig, doc = np.concatenate(sigs), np.repeat(np.array([d for d, _ in docs], np.int64), [n for _, n in docs])
+            each = [len(x) for x in sigs]
+            spread = lambda i, t: np.repeat(np.array([d[i] for d in docs], t), each)
+            sig, skip, doc, size, rare = np.concatenate(sigs), np.concatenate(skips), spread(0, np.int64), spread(1, "<u4"), spread(2, np.uint8)
             to = (sig >> np.uint64(48)).astype(np.int64) * tasks >> 16
             order = np.argsort(to, kind="stable")
             bounds = np.searchsorted(to[order], np.arange(tasks + 1))
@@ -174,7 +195,7 @@ def _sign(tasks: int, frequent):
                 on = order[bounds[p] : bounds[p + 1]]
                 s, d = sig[on], doc[on]
                 low, high = (s & np.uint64(0xFFFFFFFF)).astype("<u4"), (s >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2")
-                rows.append((int(p), len(on), low.tobytes() + high.tobytes(), np.diff(d, prepend=0).astype("<i8").tobytes()))
+                rows.append((int(p), len(on), b"".join((low.tobytes(), high.tobytes(), rare[on].tobytes(), size[on].tobytes(), skip[on].astype("<u4").tobytes())), np.diff(d, prepend=0).astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["p", "n", "sig", "doc"])
 
         for b in batches:
@@ -187,44 +208,59 @@ def _sign(tasks: int, frequent):
                     if ids[i + k] is None or key in seen:  # equal sets sign once in a task
                         continue
                     seen.add(key)
-                    s = np.unique(all_signatures(elements[bounds[k] : bounds[k + 1]], hot))
-                    docs.append((ids[i + k], len(s)))
+                    own = elements[bounds[k] : bounds[k + 1]]
+                    s, skipped = all_signatures(own, hot)
+                    docs.append((ids[i + k], len(own), int(255 * (1 - among(own, hot).mean()))))
                     sigs.append(s)
+                    skips.append(skipped)
                     held += len(s)
                 if held > TASK_SIGNATURES:
                     yield from blocks()
-                    docs, sigs, held = [], [], 0
+                    docs, sigs, skips, held = [], [], [], 0
         yield from blocks()
 
     return run
 
 
 def _buckets(batch: pa.Table) -> pa.Table:
-    """Of one task's signatures: star pairs (other = []), and larger buckets' members."""
-    sigs, docs = [], []
+    """Of one task's signatures: star pairs (a the center; members empty), and larger buckets'
+    centers (a) and members. A star's
+    center is the node with the smallest share of rare shingles: among copies that each differ
+    a little, the one most like what they have in common."""
+    columns: list[tuple] = []
     for n, sig, doc in zip(batch.column("n").to_pylist(), batch.column("sig").to_pylist(), batch.column("doc").to_pylist(), strict=True):
-        sigs.append(np.frombuffer(sig, "<u4", n).astype(np.uint64) | np.frombuffer(sig, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
-        docs.append(np.cumsum(np.frombuffer(doc, "<i8", n)))
-    sig, doc = np.concatenate(sigs), np.concatenate(docs)
-    del sigs, docs
+        take = lambda t, at: np.frombuffer(sig, t, n, at * n)  # noqa: B023, E731
+        columns.append((take("<u4", 0).astype(np.uint64) | take("<u2", 4).astype(np.uint64) << np.uint64(32), np.cumsum(np.frombuffer(doc, "<i8", n)), take("u1", 6), take("<u4", 7), take("<u4", 11)))
+    sig, doc, rare, size, skip = (np.concatenate(c) for c in zip(*columns, strict=True))
+    del columns
     order = np.argsort(sig)
     sig = sig[order]
     start = np.concatenate([[True], sig[1:] != sig[:-1]])
     many = ~start | np.concatenate([~start[1:], [False]])  # of buckets of two or more
-    sig, doc = sig[many], doc[order[many]]
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])]) if len(sig) else np.zeros(0, bool)
-    sig, doc = sig[fresh], doc[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
-    ends = np.concatenate([starts[1:], [len(sig)]]) if len(sig) else starts
+    sig, order = sig[many], order[many]
+    by = np.lexsort((doc[order], rare[order], sig))
+    sig, order = sig[by], order[by]
+    doc, size, skip = doc[order], size[order].astype(np.int64), skip[order].astype(np.int64)
+    del order, rare
+
+    def bounds() -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
+        return starts, np.concatenate([starts[1:], [len(sig)]]) if len(sig) else starts
+
+    for _ in range(2):  # who goes may take the smallest along
+        starts, ends = bounds()
+        keep = possible(size, skip, starts, ends - starts) if len(sig) else np.zeros(0, bool)
+        if len(sig):
+            keep[1:] &= (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+        sig, doc, size, skip = sig[keep], doc[keep], size[keep], skip[keep]
+    starts, ends = bounds()
     center = np.repeat(doc[starts], ends - starts) if len(sig) else doc
     pair = center != doc
     pairs = np.unique(np.column_stack([center[pair], doc[pair]]), axis=0) if pair.any() else np.zeros((0, 2), np.int64)
-    lists = {doc[a:b].tobytes() for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True)}
-    members = [[]] * len(pairs) + [np.frombuffer(x, np.int64).tolist() for x in sorted(lists)]
-    none = [0] * len(lists)
-    return pa.Table.from_arrays([pa.array(pairs[:, 0].tolist() + none, pa.int64()), pa.array(pairs[:, 1].tolist() + none, pa.int64()), pa.array(members, pa.list_(pa.int64()))], ["a", "b", "members"])
+    lists = sorted({(int(doc[a]), np.sort(doc[a:b]).tobytes()) for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True)})
+    members = [[]] * len(pairs) + [np.frombuffer(x, np.int64).tolist() for _, x in lists]
+    firsts, seconds = pairs[:, 0].tolist() + [c for c, _ in lists], pairs[:, 1].tolist() + [0] * len(lists)
+    return pa.Table.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(members, pa.list_(pa.int64()))], ["a", "b", "members"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +288,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From buckets' members [(comp, node, size)]: pairs of different components whose sizes
-    allow a link, without those of the smallest node, which the stars had."""
+    allow a link, each once as far as HELD_PAIRS go."""
+    held: list[np.ndarray] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            held.clear()
+
+    size = 0
     for batch in batches:
         for members in batch.column("m"):
-            m = [(x["node"], x["comp"], x["n"]) for x in members.as_py()]
-            node, comp, n = (np.array(c, np.int64) for c in zip(*sorted(m), strict=True))
-            for i in range(1, len(m)):
+            m = sorted({(x["node"], x["comp"], x["n"]) for x in members.as_py()})
+            node, comp, n = (np.array(c, np.int64) for c in zip(*m, strict=True))
+            for i in range(len(m)):
                 on = (comp[i + 1 :] != comp[i]) & (100 * n[i + 1 :] >= LEAST * n[i]) & (LEAST * n[i + 1 :] <= 100 * n[i])
                 if on.any():
                     other = node[i + 1 :][on]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), node[i])), pa.array(other)], ["a", "b"])
+                    held.append(np.column_stack([np.full(len(other), node[i]), other]))
+                    size += len(other)
+                    if size >= HELD_PAIRS:
+                        yield from done()
+                        size = 0
+    yield from done()
 
 
 # --- components ---
@@ -316,6 +366,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
     def as_reps(pairs: DataFrame) -> DataFrame:
         """Distinct pairs of representatives whose sizes allow a link."""
+        pairs = pairs.distinct()
         for side in ("a", "b"):
             pairs = pairs.join(rep.select(F.col("doc_id").alias(side), F.col("rep").alias(f"r{side}"), F.col("n").alias(f"n{side}")), side)
         pairs = pairs.filter("ra <> rb").filter(f"100 * na >= {LEAST} * nb AND {LEAST} * na <= 100 * nb")
@@ -326,13 +377,19 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
             pairs = pairs.join(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
         return stored(pairs.mapInArrow(_verify, "a long, b long").distinct(), name)
 
-    stars = stored(as_reps(found.filter("size(members) = 0").select("a", "b")), "jaccard-stars")
+    pairs = stored(found.filter("size(members) = 0").select("a", "b").distinct(), "jaccard-pairs")
+    stars = stored(as_reps(pairs), "jaccard-stars")
     links = verified(stars, "jaccard-links")
     comp = components(links)
-    lists = found.filter("size(members) > 0").select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("doc_id"))
-    seen = lists.join(rep, "doc_id").select("bucket", F.col("rep").alias("node"), "n").distinct().join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = seen.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    mixed = seen.join(mixed, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("comp", "node", "n")).alias("m")).filter("size(m) > 2")
+    placed = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"), F.col("rep").alias("node"), "n")
+    # a bucket all of whose nodes are in its center's component is done; others have an open pair
+    ends = [placed.select(F.col("doc_id").alias(s), F.col("comp").alias(f"c{s}")) for s in ("a", "b")]
+    centers = pairs.join(ends[0], "a").join(ends[1], "b").filter("ca <> cb").select("a").distinct()
+    lists = found.filter("size(members) > 0").join(centers, "a", "left_semi")
+    lists = lists.select("a", F.xxhash64("a", "members").alias("bucket"), F.explode("members").alias("doc_id"))
+    seen = lists.join(placed, "doc_id").groupBy("a", "bucket", "node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    mixed = seen.groupBy("a", "bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.collect_list(F.struct("comp", "node", "n")).alias("m")).filter("x <> y")
+    mixed = mixed.repartition("a")  # equal pairs of a center's buckets meet
     rest = mixed.select("m").mapInArrow(_across, "a long, b long").distinct()
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(stored(rest, "jaccard-rest"), "jaccard-more")
