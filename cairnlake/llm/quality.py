@@ -149,7 +149,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], ro
 def score_quality(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most_labelled: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED, seed: int = SEED) -> DataFrame:
     """The documents with p_text, p_page, score (chances that a document is good) and keep.
 
-    Null texts count as empty. Label rows whose quality isn't 0 or 1, or without a document,
+    A null or empty text, or one without words, is no evidence and scores the prior. Label rows whose quality isn't 0 or 1, or without a document,
     are passed over. Without labels of both classes every document has the same score and is
     kept. All columns of documents stay; of the four added names, documents' own give way.
     """
@@ -166,9 +166,11 @@ def score_quality(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS,
     k = len(text)
     x, u = a.iloc[:, : len(feats)].to_numpy(float), others.to_numpy(float)
     models, prior = co_train([x[:, :k], x[:, k:]], a["_y"].to_numpy(int), [u[:, :k], u[:, k:]], rounds)
-    scored = documents.select(*own, F.array(*[c.cast("double") for c in [*text.values(), *page.values()]]).alias("_f"))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    scored = documents.select(*own, worded.alias("_w"), F.array(*[c.cast("double") for c in [*text.values(), *page.values()]]).alias("_f"))
     odds = [m.column([F.col("_f")[j] for j in at]) for m, at in zip(models, (range(k), range(k, len(feats))), strict=True)]
     chance = lambda z: 1 / (1 + F.exp(-z))
+    odds = [F.when(F.col("_w"), z).otherwise(F.lit(prior)) for z in odds]
     out = scored.select(*own, odds[0].alias("_t"), odds[1].alias("_p")).withColumn("score", chance(F.col("_t") + F.col("_p") - F.lit(prior)))
     return out.select(*own, chance(F.col("_t")).alias("p_text"), chance(F.col("_p")).alias("p_page"), "score", (F.col("score") >= KEEP_FROM).alias("keep"))
 
