@@ -148,9 +148,13 @@ class Segmenter:
         return whole, first, last, h, counts
 
 
+DOCS = ["chunk", "doc_ids", "counts", "shas", "codes", "lengths", "segs"]
+
+
 def _chunks(path: str, want: str):
-    """Rows of a task's chunks: want="segments" gives (chunk, code, seg), "documents" one row a
-    chunk with doc_ids, segment counts, SHA-256 of the texts, and the packed segment codes."""
+    """Rows of a task's chunks: want="segments" gives (chunk, code, seg) of the segments that
+    need the lattice, "documents" one row a chunk with doc_ids, segment counts, SHA-256 of the
+    texts, the packed segment codes and the packed segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -167,14 +171,17 @@ def _chunks(path: str, want: str):
             if ids:
                 chunk = int.from_bytes(name.digest(), "little", signed=True)
                 if want == "segments":
-                    for i in range(0, len(segs), 50_000):
-                        part = segs[i : i + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part)], ["chunk", "code", "seg"])
+                    latticed = [i for i, x in enumerate(segs) if 1 < len(x) <= MASK_CHARS]
+                    for i in range(0, len(latticed), 50_000):
+                        part = latticed[i : i + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part, pa.int32()), pa.array([segs[j] for j in part])], ["chunk", "code", "seg"])
                 else:
                     flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
                     plane = (flat & 0xFF).astype(np.uint8).tobytes() + (flat >> 8 & 0xFF).astype(np.uint8).tobytes() + (flat >> 16).astype("<u2").tobytes()
-                    packed = zstandard.ZstdCompressor(level=1).compress(plane)
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(shas)]), pa.array([packed])], ["chunk", "doc_ids", "counts", "shas", "codes"])
+                    pack = zstandard.ZstdCompressor(level=4).compress
+                    lengths = np.array([len(x) for x in segs], "<u4").tobytes()
+                    columns = [pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(shas)]), pa.array([pack(plane)]), pa.array([pack(lengths)]), pa.array([pack("".join(segs).encode())])]
+                    yield pa.RecordBatch.from_arrays(columns, DOCS)
             known.clear()
             for x in (segs, ids, counts, shas, codes):
                 x.clear()
@@ -214,62 +221,123 @@ def _chunks(path: str, want: str):
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, code, picks) as a row a chunk, or a few: codes, numbers of picks and picks."""
+    import zstandard
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        if not held:
+            return
+        chunk, code, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+        picks = np.concatenate([h[3] for h in held])
+        at = np.cumsum(n) - n
+        order = np.lexsort((code, chunk))
+        names, first = np.unique(chunk[order], return_index=True)
+        for name, rows in zip(names.tolist(), np.split(order, first[1:]), strict=True):
+            mine = picks[_runs(at[rows], n[rows])]
+            parts = [np.diff(code[rows], prepend=0).astype("<i4"), n[rows].astype("u1"), (mine >> 20).astype("u1"), (mine & 0xFFFF).astype("<u2"), (mine >> 16 & 0xF).astype("u1")]
+            blob = pack(b"".join(x.tobytes() for x in parts))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)]), pa.array([len(mine)]), pa.array([blob])], ["chunk", "n", "m", "blob"])
+        held.clear()
+
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lists = b.column("picks")
+        held.append((b.column("chunk").to_numpy(), b.column("code").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
+        size += b.num_rows
+        if size >= 1 << 20:
+            yield from done()
+            size = 0
+    yield from done()
+
+
+def _unpack(n: int, m: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, numbers of picks, starts and ids."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    code = np.cumsum(np.frombuffer(raw, "<i4", n))
+    at = 5 * n
+    ids = np.frombuffer(raw, "<u2", m, at + m).astype(np.int64) | np.frombuffer(raw, "u1", m, at + 3 * m).astype(np.int64) << 16
+    return code, np.frombuffer(raw, "u1", n, 4 * n).astype(np.int64), np.frombuffer(raw, "u1", m, at).astype(np.int64), ids
+
+
+class Assembler:
+    def __init__(self, path: str):
+        self.pieces = p = Pieces.load(path)
+        self.chars = np.array([len(t.decode()) if t[:1] < b"\x80" or len(t) > 1 else 1 for t in p.text], np.int64)
+        self.length = np.array([len(t) for t in p.text], np.int64)
+        self.at = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(p.text), np.uint8)
+
+    def lists(self, whole: str, lengths: np.ndarray, code: np.ndarray, n: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All segments' ids in a row, and how many each has."""
+        begin = np.cumsum(lengths) - lengths
+        at = np.repeat(begin[code], n) + start
+        for i in np.flatnonzero(lengths > MASK_CHARS).tolist():
+            if found := self.pieces.merged(whole[begin[i] : begin[i] + lengths[i]]):
+                more = np.array(found, np.int64)
+                at, ids = np.concatenate([at, begin[i] + more[:, 0]]), np.concatenate([ids, more[:, 1]])
+        kinds, back = np.unique(np.frombuffer(whole.encode("utf-32-le"), np.uint32), return_inverse=True)
+        single = [self.pieces.single(chr(k)) for k in kinds.tolist()]
+        sizes = np.array([len(x) for x in single], np.int64)[back] if len(kinds) else np.zeros(0, np.int64)
+        covered = np.zeros(len(back) + 1, np.int64)
+        np.add.at(covered, at + 1, 1)
+        np.add.at(covered, at + self.chars[ids], -1)
+        sizes[np.cumsum(covered)[:-1] > 0] = 0
+        sizes[at] = 1
+        ends = np.cumsum(sizes)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        first = ends - sizes
+        lead = np.array([x[0] for x in single], np.int32)[back] if len(kinds) else np.zeros(0, np.int32)
+        flat[first[sizes > 0]] = lead[sizes > 0]
+        for j in np.flatnonzero(sizes > 1).tolist():  # characters that go by their bytes
+            flat[first[j] : ends[j]] = single[back[j]]
+        flat[first[at]] = ids
+        total = np.concatenate([[0], ends])
+        return flat, total[begin + lengths] - total[begin]
+
+    def documents(self, d: dict, flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+        import zstandard
+
+        plane = zstandard.ZstdDecompressor().decompress(d["codes"])
+        n = len(plane) // 4
+        seq = np.frombuffer(plane, np.uint8, n).astype(np.int64) | np.frombuffer(plane, np.uint8, n, n).astype(np.int64) << 8 | np.frombuffer(plane, "<u2", n, 2 * n).astype(np.int64) << 16
+        starts, at = np.cumsum(sizes) - sizes, 0
+        for k, (doc, count) in enumerate(zip(d["doc_ids"], d["counts"], strict=True)):
+            mine = seq[at : at + count]
+            ids = flat[_runs(starts[mine], sizes[mine])]
+            at += count
+            text = self.bytes[_runs(self.at[ids], self.length[ids])].tobytes()[1:]  # without the space put before
+            sha = hashlib.sha256(text)
+            yield doc, ids, zlib.crc32(ids.astype("<u4").tobytes()), text, sha.hexdigest(), sha.digest() == d["shas"][32 * k : 32 * k + 32]
+
+
 def _assemble(path: str):
-    def run(key, docs: pa.Table, segs: pa.Table) -> pa.Table:
+    def run(key, docs: pa.Table, packed: pa.Table) -> pa.Table:
         import zstandard
 
-        pieces = Pieces.load(path)
+        make, unzip, rows = Assembler(path), zstandard.ZstdDecompressor().decompress, []
         if not docs.num_rows:
             raise ValueError("a chunk's documents and segments went apart")
-        code, seg, picks = segs.column("code").to_numpy(), segs.column("seg").to_pylist(), segs.column("picks").to_pylist()
-        if len(code) != len(set(code.tolist())) and docs.num_rows == 1:
-            raise ValueError("a chunk's segment numbers repeat")
-        lists: list[list[int]] = [[]] * (int(code.max()) + 1 if len(code) else 0)
-        single: dict[str, list[int]] = {}
-        lengths = [len(t) for t in pieces.text]
-        for c, s, found in zip(code.tolist(), seg, picks, strict=True):
-            out, at = [], 0
-            for packed in found or ():
-                i, piece = packed >> 20, packed & 0xFFFFF
-                for ch in s[at:i]:
-                    if ch not in single:
-                        single[ch] = pieces.single(ch)
-                    out += single[ch]
-                out.append(piece)
-                at = i + _chars(pieces, piece)
-            for ch in s[at:]:
-                if ch not in single:
-                    single[ch] = pieces.single(ch)
-                out += single[ch]
-            lists[c] = out
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.int32)
-        starts = np.cumsum(sizes) - sizes
-        piece_len = np.array(lengths, np.int64)
-        piece_at = np.cumsum(piece_len) - piece_len
-        piece_bytes = np.frombuffer(b"".join(pieces.text), np.uint8)
-        rows: list[tuple] = []
-        for d in docs.to_pylist():
-            plane = zstandard.ZstdDecompressor().decompress(d["codes"])
-            n = len(plane) // 4
-            seq = np.frombuffer(plane, np.uint8, n).astype(np.int64) | np.frombuffer(plane, np.uint8, n, n).astype(np.int64) << 8 | np.frombuffer(plane, "<u2", n, 2 * n).astype(np.int64) << 16
-            at = 0
-            for k, (doc, count) in enumerate(zip(d["doc_ids"], d["counts"], strict=True)):
-                ids = flat[_runs(starts[seq[at : at + count]], sizes[seq[at : at + count]])]
-                at += count
-                text = piece_bytes[_runs(piece_at[ids], piece_len[ids])].tobytes()[1:]  # without the space put before
-                same = hashlib.sha256(text).digest()
-                rows.append((doc, ids, zlib.crc32(ids.astype("<u4").tobytes()), text, same.hex(), same == d["shas"][32 * k : 32 * k + 32]))
+        got = [_unpack(r["n"], r["m"], r["blob"]) for r in packed.to_pylist()]
+        none = np.zeros(0, np.int64)
+        code, n, start, ids = (np.concatenate([g[i] for g in got]) if got else none for i in range(4))
+        for d in docs.slice(0, 1).to_pylist():
+            lists = make.lists(unzip(d["segs"]).decode(), np.frombuffer(unzip(d["lengths"]), "<u4").astype(np.int64), code, n, start, ids)
+        for d in docs.to_pylist():  # equal chunks, if the input repeats, share the lists
+            rows += make.documents(d, *lists)
         kinds = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.string(), pa.bool_()]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "ids", "ids_crc32", "decoded", "decoded_sha256", "round_trip"])
 
     return run
 
 
-def _chars(pieces: Pieces, piece: int) -> int:
-    return len(pieces.text[piece].decode())
-
-
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... sizes[0] of them, then the next run's."""
     ends = np.cumsum(sizes)
@@ -277,50 +345,45 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _long_picks(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(path)
-        for b in batches:
-            found = [[i << 20 | p for i, p in pieces.merged(s)] for s in b.column("seg").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("seg"), pa.array(found, pa.list_(pa.int64()))], ["seg", "picks"])
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
-    return run
+
+def lattice_edge(rank: Column, i: Column, j: Column, piece: Column) -> Column:
+    """An edge from character i to j: its ends and the places inside as bits, and its pick."""
+    ends, inside = _bit(i).bitwiseOR(_bit(j)), _bit(j) - _bit(i + 1)
+    pick = F.call_function("shiftleft", i.cast("long"), F.lit(20)).bitwiseOR(piece.cast("long"))
+    return F.struct(rank.alias("rank"), i.alias("i"), ends.alias("ends"), inside.alias("inside"), pick.alias("pick"))
 
 
 def fold_merges(n: Column, edges: Column) -> Column:
     """Start << 20 | id of the pieces of two or more characters, in order, of a segment of n
-    characters. edges: sorted (rank, i, j, id), a piece from character i to j.
+    characters. edges: sorted edges of its lattice.
 
     What the lambdas use again and again comes to them as lambda variables, which are computed
     once; the optimiser may put a column's whole expression in its place.
     """
-    one = F.lit(1).cast("long")
-    shift = lambda v, k: F.call_function("shiftleft", v, k)
-
-    def inside(e: Column) -> Column:  # bits i + 1 to j - 1
-        return shift(one, e["j"]) - shift(one, e["i"] + 1)
-
-    def joins_two(m: Column, e: Column) -> Column:
-        ends = shift(one, e["i"]).bitwiseOR(shift(one, e["j"]))
-        return (m.bitwiseAND(ends) == ends) & (F.bit_count(m.bitwiseAND(inside(e))) == 1)
 
     def fold(edges: Column) -> Column:
-        def step(m: Column, _: Column) -> Column:
-            best = F.get(F.filter(edges, lambda e: joins_two(m, e)), F.lit(0))
-            return m.bitwiseAND(F.coalesce(F.bitwise_not(inside(best)), F.lit(-1).cast("long")))
+        def step(s: Column, _: Column) -> Column:  # the mask, or its complement when nothing is left to join
+            joins = lambda e: (s.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(s.bitwiseAND(e["inside"])) == 1)
+            inside = F.get(F.filter(edges, joins), F.lit(0))["inside"]
+            return F.when(s < 0, s).otherwise(F.coalesce(s.bitwiseAND(F.bitwise_not(inside)), F.bitwise_not(s)))
 
-        def picks(m: Column) -> Column:
-            kept = lambda e: m.bitwiseAND(shift(one, e["j"] + 1) - shift(one, e["i"])) == shift(one, e["i"]).bitwiseOR(shift(one, e["j"]))
-            return F.sort_array(F.transform(F.filter(edges, kept), lambda e: shift(e["i"].cast("long"), F.lit(20)).bitwiseOR(e["id"].cast("long"))))
+        def picks(s: Column) -> Column:
+            mask = F.when(s < 0, F.bitwise_not(s)).otherwise(s)
+            kept = F.transform(F.array(mask), lambda m: F.filter(edges, lambda e: m.bitwiseAND(e["inside"].bitwiseOR(e["ends"])) == e["ends"]))[0]
+            return F.sort_array(F.transform(kept, lambda e: e["pick"]))
 
-        return F.aggregate(F.sequence(F.lit(1), n - 1), shift(one, n + 1) - 1, step, picks)
+        return F.aggregate(F.sequence(F.lit(1), n - 1), _bit(n + 1) - 1, step, picks)
 
     return F.transform(F.array(edges), fold)[0]
 
 
 def segment_pieces(segments: DataFrame, path: str) -> DataFrame:
-    """(seg, picks) for distinct segments: picks = start << 20 | id of each piece of two or more
-    characters, in order; all other characters stand alone. Segments without any are left out."""
+    """(seg, picks) for distinct segments of up to MASK_CHARS characters: picks = start << 20 | id
+    of each piece of two or more characters, in order; all other characters stand alone. Segments
+    without any are left out."""
     spark, pieces = segments.sparkSession, Pieces.load(path)
     rows = [(p, pieces.rank[p], i) for p, i in pieces.ids.items() if len(p) > 1]
     vocabulary = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, id int"))  # the model's size
@@ -329,10 +392,8 @@ def segment_pieces(segments: DataFrame, path: str) -> DataFrame:
     spans = short.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 2)))
     spans = spans.withColumn("j", F.explode(F.sequence(F.col("i") + 2, F.least(F.col("n"), F.col("i") + pieces.longest()))))
     edges = spans.join(vocabulary, F.substring("seg", F.col("i") + 1, F.col("j") - F.col("i")) == F.col("piece"))
-    grouped = edges.groupBy("seg").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "i", "j", "id"))).alias("edges"))
-    folded = grouped.select("seg", fold_merges(F.col("n"), F.col("edges")).alias("picks"))
-    long = segments.filter(n > MASK_CHARS).mapInArrow(_long_picks(path), "seg string, picks array<long>")
-    return folded.unionByName(long)
+    grouped = edges.groupBy("seg").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(lattice_edge(F.col("rank"), F.col("i"), F.col("j"), F.col("id")))).alias("edges"))
+    return grouped.select("seg", fold_merges(F.col("n"), F.col("edges")).alias("picks"))
 
 
 def sentencepiece_documents(documents: DataFrame, path: str) -> DataFrame:
@@ -344,10 +405,13 @@ def sentencepiece_documents(documents: DataFrame, path: str) -> DataFrame:
     model's own space mark decodes with spaces in its place, and round_trip says so.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.mapInArrow(_chunks(path, "segments"), "chunk long, code int, seg string")
-    packed = docs.mapInArrow(_chunks(path, "documents"), "chunk long, doc_ids array<long>, counts array<int>, shas binary, codes binary")
-    picked = segment_pieces(named.select("seg").distinct(), path)
-    coded = named.join(picked, "seg", "left").select("chunk", "code", "seg", "picks")
+    # The one exchange by segment serves both the distinct segments and the join with them; the
+    # minima are there so that both sides need the same columns of it.
+    named = docs.mapInArrow(_chunks(path, "segments"), "chunk long, code int, seg string").repartition("seg")
+    distinct = named.groupBy("seg").agg(F.min("chunk").alias("c"), F.min("code").alias("d")).filter("c IS NOT NULL AND d IS NOT NULL").select("seg")
+    packed = docs.mapInArrow(_chunks(path, "documents"), "chunk long, doc_ids array<long>, counts array<int>, shas binary, codes binary, lengths binary, segs binary")
+    picked = segment_pieces(distinct, path)
+    coded = named.join(picked, "seg").select("chunk", "code", "picks").mapInArrow(_pack, "chunk long, n long, m long, blob binary")
     schema = "doc_id long, ids array<int>, ids_crc32 long, decoded binary, decoded_sha256 string, round_trip boolean"
     return packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_assemble(path), schema)
 
