@@ -77,14 +77,26 @@ def split_edges(edges: DataFrame, splits: DataFrame) -> DataFrame:
     return ends.join(n, "object_id").groupBy("relationship_id", "relation").agg(F.max("successors").alias("successors")).withColumn("status", F.lit("REVIEW_REQUIRED"))
 
 
-def resolve_redirects(merges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(merged_id, final_id, hops): redirect chains followed by doubling, 2 ** rounds steps at
-    most; a longer chain or a cycle raises an error."""
-    out = merges.select("merged_id", F.col("survivor_id").alias("final_id"), F.lit(1).cast("long").alias("hops"))
-    for _ in range(rounds):
-        nxt = out.select(F.col("merged_id").alias("final_id"), F.col("final_id").alias("_f"), F.col("hops").alias("_h"))
-        out = out.join(nxt, "final_id", "left").select("merged_id", F.coalesce("_f", "final_id").alias("final_id"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
-    return out
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once, its plan cut; in the shared folder where there is one."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
+def resolve_redirects(merges: DataFrame) -> DataFrame:
+    """(merged_id, final_id, hops): redirect chains of any length, followed by doubling until no
+    final_id is itself merged; a cycle raises an error. A merge into null ends its chain."""
+    out = _kept(merges.select("merged_id", F.col("survivor_id").alias("final_id"), F.lit(1).cast("long").alias("hops")))
+    most, reach = out.count(), 1  # a chain without a cycle has a hop per merge at most
+    while True:
+        nxt = out.filter("final_id IS NOT NULL").select(F.col("merged_id").alias("final_id"), F.col("final_id").alias("_f"), F.col("hops").alias("_h"))
+        rows = out.join(nxt, "final_id", "left")
+        step = _kept(rows.select("merged_id", F.coalesce("_f", "final_id").alias("final_id"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_f").isNotNull().alias("_moved")))
+        out = step.drop("_moved")
+        if step.filter("_moved").isEmpty():
+            return out
+        if reach >= most:
+            raise ValueError("redirects form a cycle")
+        reach *= 2
 
 
 def tenant_backfill(scopes: DataFrame) -> DataFrame:

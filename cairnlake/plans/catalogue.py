@@ -644,7 +644,7 @@ WITH r AS (SELECT c_custkey AS merged_id, c_custkey - 1 AS survivor_id FROM cust
 SELECT merged_id, max_by(final_id, hops) AS final_id, CAST(max(hops) AS BIGINT) AS hops FROM w GROUP BY merged_id
 """, recursive=True)
 def resolve_redirect(spark, sf):
-    return relate.resolve_redirects(base(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("merged_id"), (F.col("c_custkey") - 1).alias("survivor_id")), 4)
+    return relate.resolve_redirects(base(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("merged_id"), (F.col("c_custkey") - 1).alias("survivor_id")))
 
 
 @query("""

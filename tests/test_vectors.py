@@ -224,3 +224,14 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c.json").write_text("\n".join(json.dumps(x) for x in (good, good | {"ref": "q"}, good | {"ref": "q"}, good | {"ref": "z", "hash": "x"})))
     ok, bad = load_catalogue(spark, str(tmp_path / "c.json"))
     assert ([r.ref for r in ok.collect()], sorted(r.ref for r in bad.collect())) == (["r"], ["q", "q", "z"])
+
+
+def test_redirects_of_any_length(spark):
+    merges = lambda pairs: spark.createDataFrame(pairs, "merged_id long, survivor_id long")
+    chain = [(i, i - 1) for i in range(1, 301)] + [(1000, 1001), (1002, None)]
+    got = {r.merged_id: (r.final_id, r.hops) for r in relate.resolve_redirects(merges(chain)).collect()}
+    assert got == {i: (0, i) for i in range(1, 301)} | {1000: (1001, 1), 1002: (None, 1)}
+    assert relate.resolve_redirects(merges([])).collect() == []
+    for loop in ([(1, 2), (2, 1)], [(7, 7)], [(1, 2), (2, 3), (3, 4), (4, 2), (9, 8)]):
+        with pytest.raises(ValueError, match="cycle"):
+            relate.resolve_redirects(merges(loop))
