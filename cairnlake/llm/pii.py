@@ -3,10 +3,12 @@
 Base spans follow fixed patterns and checks and are always found. Wider generators propose
 further spans, overlapping each other and the base ones. Each candidate has small categorical
 features of its format and its context, so all candidates of the corpus fit one bounded table
-of counts per combination (at most CELLS rows). Gradient boosted trees of depth two are fitted to that table,
-the label being whether a candidate meets a base span; their score is calibrated by isotonic
-regression over the same counts, and candidates outside all base spans whose calibrated chance
-reaches THRESHOLD are added. Model and choice are plain expressions; no Python touches a row.
+of counts per combination (at most 2 * CELLS rows). Gradient boosted trees of depth two are fitted
+to that table. The label is evidence in the candidate and before it (check digits, form, a cue
+word), whatever the base rules make of it. Scores are calibrated by isotonic regression over all
+counts, and a generator's own cut rises until its candidates in a quarter of the texts, kept out
+of the fit, are right often enough. Candidates outside all base spans that reach the cut of
+THRESHOLD are added. Model and choice are plain expressions; no Python touches a row.
 """
 
 from __future__ import annotations
@@ -33,12 +35,16 @@ OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1
 #: the marks that phone, card and identity numbers have.
 MAIL_LIKE = r"[\p{L}\p{N}._%+-]{1,64}\x20?(?:@|[\[(]at[\])])\x20?[\p{L}\p{N}._-]{1,255}"
 NUMBER_LIKE = r"(?<![\p{L}\p{N}])[+(]?[0-9][0-9\x20().-]{6,28}[0-9](?![\p{L}\p{N}])"
-GENERATORS = (("mail_like", MAIL_LIKE), ("number_like", NUMBER_LIKE))
-CUES = r"(?i)(?:tel|phone|call|fax|mobile|card|account|iban|mail|contact|ssn|passport)[^\n]{0,12}$"
+#: Card numbers standing alone, each for itself also where several follow one another.
+CARD_LIKE = r"(?<![\p{L}\p{N}])(?<![0-9]\.)(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2}[\x20-][0-9]{2,7}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5})(?![\p{L}\p{N}])(?!\.[0-9])"
+GENERATORS = (("mail_like", MAIL_LIKE), ("number_like", NUMBER_LIKE), ("card_like", CARD_LIKE))
+#: A cue word right before a span, of at most CUE_CHARS characters with what may stand between.
+CUES = r"(?i)(?<![\p{L}\p{N}])(?:tel|telephone|phone|call|fax|mobile|card|account|iban|e-?mail|mail|contact|ssn|passport)[^\p{L}\p{N}\n]{0,4}(?:(?:no|nr|number|is|at|me|us|on|to)[^\p{L}\p{N}\n]{1,3}){0,2}$"
+CUE_CHARS = 40
 #: Calibrated chance from which a candidate is added; trees, their learning rate.
 THRESHOLD, TREES, RATE = 0.98, 24, 0.4
 #: Values of each feature, 0 up; their product bounds the table of counts.
-FEATURES = {"generator": 2, "digits": 6, "lead": 3, "marks": 4, "valid": 4, "cue": 2}
+FEATURES = {"generator": 3, "digits": 6, "lead": 3, "marks": 4, "valid": 4, "cue": 2}
 CELLS = int(np.prod(list(FEATURES.values())))
 SPAN = "array<struct<kind: string, start: long, end: long, found: string>>"
 
@@ -90,7 +96,9 @@ def candidates(text: Column) -> Column:
     none = F.expr(f"CAST(array() AS {SPAN})")
     mail = F.when(F.contains(text, F.lit("@")) | text.rlike(r"[\[(]at[\])]"), _matches(text, MAIL_LIKE, "mail_like")).otherwise(none)
     number = F.when(text.rlike(r"[0-9][0-9\x20().-]{6}"), F.filter(_matches(text, NUMBER_LIKE, "number_like"), lambda x: F.length(_digits(x["found"])) >= 7)).otherwise(none)
-    return F.concat(mail, number)
+    card = F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _matches(text, CARD_LIKE, "card_like")).otherwise(none)
+    sure = F.filter(card, lambda x: _luhn(_digits(x["found"])))
+    return F.concat(mail, F.filter(number, lambda x: ~_meets(x, sure)), card)
 
 
 def span_features(text: Column, x: Column) -> dict[str, Column]:
@@ -99,26 +107,38 @@ def span_features(text: Column, x: Column) -> dict[str, Column]:
     n = F.length(digits)
     mail = x["kind"] == "mail_like"
     band = F.when(mail, F.least(n, F.lit(5))).when(n < 9, 0).when(n < 10, 1).when(n < 14, 2).when(n <= 15, 3).when(n <= 19, 4).otherwise(5)
-    lead = F.when(found.startswith("+"), 1).when(found.startswith("("), 2).otherwise(0)
-    marks = F.when(found.rlike(r"^[0-9]+$"), 0).when(F.contains(found, F.lit("(")), 1).when(found.rlike(r"^[0-9]+(?:\.[0-9]+)+$"), 2).otherwise(3)
+    lead = F.when(found.startswith("+"), 1).when(found.rlike(r"^\([0-9]{2,5}\)[0-9\x20.-]+$"), 2).otherwise(0)
+    at = F.when(found.rlike(r"[\[(]at[\])]"), 1).when(found.rlike(r"\x20@|@\x20"), 2).otherwise(0)
+    marks = F.when(mail, at).when(found.rlike(r"^[0-9]+$"), 0).when(F.contains(found, F.lit("(")), 1).when(found.rlike(r"^[0-9]+(?:\.[0-9]+)+$"), 2).otherwise(3)
     domain = found.rlike(r"[A-Za-z0-9-]\.[A-Za-z]{2,}")
     plain = found.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]")
     valid = F.when(mail, domain.cast("int") + 2 * plain.cast("int")).otherwise(_luhn(digits).cast("int") + 2 * found.rlike(OCTETS).cast("int"))
-    before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)).cast("int"), F.least(x["start"], F.lit(24)).cast("int"))
-    out = {"generator": (~mail).cast("int"), "digits": band, "lead": lead, "marks": marks, "valid": valid, "cue": before.rlike(CUES).cast("int")}
+    before = F.substring(text, F.greatest(x["start"] - (CUE_CHARS - 1), F.lit(1)).cast("int"), F.least(x["start"], F.lit(CUE_CHARS)).cast("int"))
+    out = {"generator": F.when(mail, 0).when(x["kind"] == "number_like", 1).otherwise(2), "digits": band, "lead": lead, "marks": marks, "valid": valid, "cue": before.rlike(CUES).cast("int")}
     return {k: v.cast("int") for k, v in out.items()}
 
 
+def evident(x: Column, f: dict[str, Column]) -> Column:
+    """Whether form or context speak for personal data: a mail address with a domain, a card
+    number of right check digit, an address of four octets, a phone number with + or its area
+    code in brackets, or a cue word before. The base spans play no part."""
+    n, cue = F.length(_digits(x["found"])), f["cue"] == 1
+    mail = (f["valid"] % 2 == 1) & ((f["marks"] != 2) | cue)
+    number = (f["valid"] >= 2) | (n.between(10, 15) & (f["lead"] > 0)) | (n.between(7, 19) & cue)
+    return F.when(f["generator"] == 0, mail).when(f["generator"] == 1, number).otherwise((f["valid"] % 2 == 1) | cue)
+
+
 def _meets(x: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
 
 
 class Boosted:
-    """Boosted depth-two trees on rows (features..., count, positives), with calibration."""
+    """Boosted depth-two trees on rows (features..., count, positives), with calibration; rows
+    held out of the fit count for calibration and for each generator's own cut."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, rate: float = RATE):
-        names = list(FEATURES)
-        x, n, pos = rows[:, : len(names)].astype(int), rows[:, -2].astype(float), rows[:, -1].astype(float)
+    def __init__(self, rows: np.ndarray, trees: int = TREES, rate: float = RATE, held: np.ndarray | None = None):
+        columns = lambda r: (r[:, : len(FEATURES)].astype(int), r[:, -2].astype(float), r[:, -1].astype(float))
+        x, n, pos = columns(rows)
         self.trees: list[tuple] = []
         score = np.zeros(len(x))
         tests = [(f, v) for f, k in enumerate(FEATURES.values()) for v in range(k)]
@@ -138,7 +158,11 @@ class Boosted:
                     score[m] += v
                 leaves.append((sub, values))
             self.trees.append((best, leaves))
-        self.steps = self._calibrate(score, n, pos)
+        held = rows[:0] if held is None else held
+        hx, hn, hpos = columns(held)
+        hscore = np.array([self.value(v) for v in hx])
+        self.steps = self._calibrate(np.r_[score, hscore], np.r_[n, hn], np.r_[pos, hpos])
+        self.held = [(g, s, a, b) for g, s, a, b in zip(hx[:, 0], hscore, hn, hpos, strict=True)]
 
     @staticmethod
     def _split(x, grad, hess, tests, on):
@@ -157,12 +181,20 @@ class Boosted:
         blocks: list[list[float]] = []
         for s in sorted(set(np.round(score, 9))):
             m = np.isclose(score, s, atol=1e-9)
-            blocks.append([s, n[m].sum() + 1, pos[m].sum()])
+            blocks.append([s, n[m].sum(), pos[m].sum()])
             while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
                 _, a, b = blocks.pop()
                 blocks[-1][1] += a
                 blocks[-1][2] += b
-        return [(s, b / a) for s, a, b in blocks]
+        return [(s, b / (a + 1)) for s, a, b in blocks]
+
+    def value(self, values: Sequence[int]) -> float:
+        """The score of one feature combination."""
+        total = 0.0
+        for root, leaves in self.trees:
+            sub, v = leaves[0 if values[root[0]] == root[1] else 1]
+            total += v[0] if sub is None or values[sub[0]] == sub[1] else v[1]
+        return total
 
     def score(self, f: dict[str, Column]) -> Column:
         names, total = list(FEATURES), F.lit(0.0)
@@ -172,34 +204,37 @@ class Boosted:
             total = total + F.when(test(root), sides[0]).otherwise(sides[1])
         return total
 
-    def least_score(self, threshold: float) -> float | None:
-        """The score from which the calibrated chance reaches the threshold."""
-        return next((s for s, chance in self.steps if chance >= threshold), None)
+    def least_score(self, threshold: float, generator: int | None = None) -> float | None:
+        """The score from which the calibrated chance reaches the threshold; for a generator,
+        the least from there on at which its held-out candidates don't fall short of it."""
+        least = next((s for s, chance in self.steps if chance >= threshold), None)
+        if least is None or generator is None:
+            return least
+        mine = [(s, n, pos) for g, s, n, pos in self.held if g == generator and s >= least - 1e-9]
+        for cut in sorted({least, *(s for s, _, _ in mine)}):
+            over = [(n, pos) for s, n, pos in mine if s >= cut - 1e-9]
+            if sum(p for _, p in over) >= threshold * sum(n for n, _ in over):
+                return cut
+        return None
 
     def chosen(self, threshold: float) -> list[tuple[int, ...]]:
         """All feature combinations whose calibrated chance reaches the threshold."""
         least = self.least_score(threshold)
         if least is None:
             return []
-        out = []
-        for values in itertools.product(*(range(k) for k in FEATURES.values())):
-            total = 0.0
-            for root, leaves in self.trees:
-                sub, v = leaves[0 if values[root[0]] == root[1] else 1]
-                total += v[0] if sub is None or values[sub[0]] == sub[1] else v[1]
-            if total >= least - 1e-9:
-                out.append(values)
-        return out
+        return [v for v in itertools.product(*(range(k) for k in FEATURES.values())) if self.value(v) >= least - 1e-9]
 
 
 def fit_candidates(spanned: DataFrame) -> Boosted:
     """The model for a frame with text, base and candidates: counts over all documents."""
-    one = spanned.select("text", "base", F.explode("candidates").alias("x"))
+    one = spanned.select("text", F.explode("candidates").alias("x"))
     feats = span_features(F.col("text"), F.col("x"))
-    counts = one.select(*[c.alias(k) for k, c in feats.items()], _meets(F.col("x"), F.col("base")).cast("int").alias("hit"))
-    counts = counts.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("pos"))
-    rows = sorted(tuple(r) for r in counts.collect())  # at most CELLS rows
-    return Boosted(np.array(rows, dtype=float).reshape(-1, len(FEATURES) + 2))
+    one = one.select("x", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).alias("held"), *[c.alias(k) for k, c in feats.items()])
+    hit = evident(F.col("x"), {k: F.col(k) for k in FEATURES}).cast("int").alias("hit")
+    counts = one.select("held", *FEATURES, hit).groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("pos"))
+    rows = np.array(sorted(tuple(r) for r in counts.collect()), dtype=float).reshape(-1, len(FEATURES) + 3)  # at most 2 * CELLS rows
+    held = rows[:, 0] == 1
+    return Boosted(rows[~held, 1:], held=rows[held, 1:])
 
 
 def find_pii(documents: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
@@ -212,12 +247,13 @@ def find_pii(documents: DataFrame, text: str = "text", keep: Sequence[str] = ("d
     t = F.coalesce(F.col(text), F.lit(""))
     spanned = documents.select(*keep, t.alias("text")).withColumn("base", base_spans(F.col("text"))).withColumn("candidates", candidates(F.col("text")))
     model = fit_candidates(spanned)
-    least = model.least_score(threshold)
-    if least is None:
+    cuts = [model.least_score(threshold, g) for g in range(len(GENERATORS))]
+    if all(c is None for c in cuts):
         added = F.expr(f"CAST(array() AS {SPAN})")
     else:
         rest = F.filter(F.col("candidates"), lambda x: ~_meets(x, F.col("base")))
-        added = F.filter(rest, lambda x: model.score(span_features(F.col("text"), x)) >= F.lit(least - 1e-9))
+        cut = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(c - 1e-9)) for (k, _), c in zip(GENERATORS, cuts, strict=True) if c is not None])
+        added = F.filter(rest, lambda x: F.coalesce(model.score(span_features(F.col("text"), x)) >= cut(x), F.lit(False)))
     return spanned.withColumn("added", added).drop("candidates")
 
 

@@ -190,6 +190,20 @@ def test_pii(spark):
     assert pii.find_pii(frame(spark, ODD).limit(0)).collect() == []
 
 
+def test_pii_beyond_the_base_rules(spark):
+    card, other, group = "4465758382889437", "4845168114407329", "4111 1111 1111 1111"
+    cases = [f"a {card} {other} b", f"a {group} {group.replace(' ', '-')} b", "me (at) example.org", "you [at] mail.example.com", "tel 555 123 4567 or", "Phone: 020 7946 0018.", "(020) 7946-0018"]
+    wanted = [[card, other], [group, group.replace(" ", "-")], *[[c] for c in cases[2:4]], ["555 123 4567"], ["020 7946 0018"], ["(020) 7946-0018"]]
+    plain = ["hotel 555 123 4567", "4465758382889438 4465758382889439", "2019-2020 2021-2022", "look (at) this", "x @ y", "1 234 567 890 123"]
+    known = [f"a@b{i}.example.org, +1 (555) 000-{1000 + i}, 10.0.0.{i}" for i in range(40)]
+    texts = [f"n{i} {t}" for i in range(40) for t in cases + plain] + known
+    rows = pii.find_pii(frame(spark, texts)).select("doc_id", "text", "added").collect()
+    for r in rows:
+        body = r.text.split(" ", 1)[1]
+        want = wanted[cases.index(body)] if body in cases else []
+        assert [x.found for x in sorted(r.added, key=lambda x: x.start)] == want, r.text
+
+
 def test_boosting_learns_and_calibrates():
     rows = [(1, d, lead, 1, 1, c, 50, 50 * ((d == 3) and lead == 1)) for d in range(6) for lead in range(3) for c in range(2)]
     model = pii.Boosted(np.array(rows, float))
