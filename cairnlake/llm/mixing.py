@@ -2,7 +2,7 @@
 
 Targets come from the weights, capped at twice a source's words, the excess reshared by weight.
 The mix is N blocks of BLOCK words. Sainte-Laguë gives each source its blocks, and then each
-shard of a source (a hash bucket of its documents) its share of them: both times the N highest
+shard of a source (one or more hash buckets of its documents) its share of them: both times the N highest
 quotients votes / (2 k + 1) win. Each divisor is known to within half a block per party, so only
 a few quotients per party compete and nothing of N's size is listed. A shard's documents stand
 in a seeded order on a circle of words; it takes whole turns and then a seeded run of blocks.
@@ -22,6 +22,9 @@ WEIGHTS, SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2
 #: Words in a block; words in a shard, about, and the shards at which they grow instead; seed
 #: of the order and of the first block.
 BLOCK, SHARD_WORDS, MANY_SHARDS, SEED = 32, 100_000, 100_000, 20240607
+#: Blocks that a source's words make at least for each of its shards: what a shard can't take of
+#: its quota is lost, less than a block, so shards must be much larger than one.
+SHARD_BLOCKS = 100
 
 
 def capped_targets(sources: DataFrame, share: float = SHARE, times: float = MOST_TIMES) -> DataFrame:
@@ -82,9 +85,14 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     sized = sized.filter("size > 0").unionByName(sized.filter("size <= 0"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     shards = min(MANY_SHARDS, max(1, -(-total // shard_words)))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
-    cells = stored(sized.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")), "mix-cells")
-    sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
+    buckets = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
+    sources = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
+    # a source's buckets are put together to as many shards as its own words allow
+    own = F.greatest(F.lit(1), F.least(F.lit(shards), F.floor(F.col("source_size") / (block * SHARD_BLOCKS)))).cast("long")
+    owns = sources.select(F.col("source").alias("o"), own.alias("own"))
+    buckets = stored(buckets.join(owns, F.col("source").eqNullSafe(F.col("o"))).select(F.col("source").alias("bs"), F.col("bucket").alias("b"), "bucket_size", F.pmod("bucket", "own").alias("shard")), "mix-shards")
+    cells = buckets.groupBy(F.col("bs").alias("source"), "shard").agg(F.sum("bucket_size").alias("cell_size"))
     nth = F.row_number().over(Window.orderBy(F.encode("source", "UTF-8").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int"))
     sources = capped_targets(sources.withColumn("weight", weight), share, times)
@@ -101,7 +109,8 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         (F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.greatest(F.floor(F.col("cell_size") / block), F.lit(1))) * block).cast("long").alias("first"),
     )
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "mark", F.lit(seed + 1)), "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("end", F.sum("size").over(order)).withColumn("begin", F.col("end") - F.col("size"))
+    sharded = sized.join(buckets.drop("bucket_size"), F.col("source").eqNullSafe(F.col("bs")) & (F.col("bucket") == F.col("b")))
+    placed = sharded.withColumn("end", F.sum("size").over(order)).withColumn("begin", F.col("end") - F.col("size"))
     placed = placed.join(cells, F.col("source").eqNullSafe(F.col("cs")) & (F.col("shard") == F.col("ch")))
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(F.col("end"), b) - F.greatest(F.col("begin"), a))
     stop = F.col("first") + F.col("run")

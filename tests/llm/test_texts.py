@@ -142,6 +142,18 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_small_sources_meet_their_targets_in_many_shards(spark):
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(i, words(8), "a") for i in range(300)] + [(1000 + i, words(400), "b") for i in range(200)] + [(2000 + i, words(20), None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for shard_words in (100, 1_000_000):
+        got = mixing.mix(df, weights=(5, 2, 2), shard_words=shard_words).collect()
+        for s in ("a", "b", None):
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 32 + 0.005 * mine[0].target
+        assert all(0 <= r.taken <= 2 * r.size for r in got)
+
+
 def test_apportionment(spark):
     rnd = random.Random(9)
     rows, want = [], {}
