@@ -12,9 +12,12 @@ bytes and moves them to the same name, so executors may be lost at any time.
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
+import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from array import array
@@ -22,55 +25,124 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table
 
 END_ID = 2
-#: Ids in a frame, about; compression level; words whose ids a worker remembers.
-FRAME_IDS, LEVEL, MEMO = 1 << 17, 3, 800_000
+#: Ids in a frame, about; compression level; words whose ids a worker remembers; bytes of text
+#: and documents encoded at once (a longer text is encoded by itself).
+FRAME_IDS, LEVEL, MEMO, BATCH_BYTES, BATCH_DOCS = 1 << 17, 3, 1_200_000, 8 << 20, 4096
 SEEK_MAGIC, SEEK_FRAME, DIR_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
-#: Python's split() parts words at these too, the tokenizer doesn't.
-ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+#: Words that Unicode's normal form NFC leaves alone and that have one lower case everywhere.
+PLAIN = re.compile("[\x21-\u024f]+").fullmatch
+
+
+def _byte_chars() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: printable ones themselves,
+    the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _memory() -> dict:
+    """What this worker process remembers between tasks."""
+    return sys.modules.setdefault("_cairnlake_words", types.ModuleType("_cairnlake_words")).__dict__
 
 
 class WordEncoder:
-    """The tokenizer's ids for whole texts. It never joins characters across white space, so
-    each distinct word is encoded once and its ids' bytes remembered; texts with blanks that
-    split() sees differently are encoded whole. The memory is bounded and starts anew when
-    full; tasks that follow each other in a worker process share it."""
+    """A tokenizer's ids for whole texts. It never joins characters across ASCII white space, so
+    each distinct word is encoded once and its ids are remembered: word -> place in one run of
+    all ids. Texts are parted and their words told apart in Arrow, ids gathered in numpy.
 
-    def __init__(self, path: str):
+    Where the tokenizer lower-cases, parts words by a pattern and merges bytes, new words of
+    plain letters go to the merges directly; any other word through the whole tokenizer. The
+    memory starts anew when full; tasks that follow each other in a process share it.
+    """
+
+    def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        memo = tokenizers.__dict__.setdefault("_word_memo", {})
-        if path not in memo:
-            memo[path] = (tokenizers.Tokenizer.from_file(path), {})
-        self.tokenizer, self.known = memo[path]
+        memory, key = _memory(), hash(model)
+        if key not in memory:
+            memory[key] = (tokenizers.Tokenizer.from_str(model), *self._recipe(json.loads(model)), {}, array("I"), array("q"), array("I"))
+        self.tokenizer, self.pattern, self.special, self.known, self.flat, self.starts, self.sizes = memory[key]
+
+    @staticmethod
+    def _recipe(spec: dict) -> tuple[object | None, list[str]]:
+        """The pattern that parts lower-cased words, if the tokenizer works as described."""
+        import regex
+
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        first, last = steps[0], steps[-1]
+        known = (
+            [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and spec["normalizer"]["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+            and len(steps) == 2
+            and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+            and (last.get("type"), last.get("add_prefix_space"), last.get("use_regex")) == ("ByteLevel", False, False)
+            and spec["model"]["type"] == "BPE"
+            and not spec["model"].get("dropout")
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        )
+        pattern = first.get("pattern", {}).get("Regex") if known else None
+        return regex.compile(rf"{pattern}|\n") if pattern else None, [t["content"] for t in spec["added_tokens"]]
+
+    def _store(self, words: list[str], ids: bytes, sizes: np.ndarray) -> None:
+        at = len(self.flat)
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.flat.frombytes(ids)
+        self.starts.frombytes((at + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.uint32).tobytes())
 
     def _learn(self, words: list[str]) -> None:
+        if self.pattern is not None:
+            whole = "\n".join(words)
+            odd = [s for s in self.special if s in whole]
+            plain = [w for w in words if PLAIN(w) and not any(s in w for s in odd)]
+            words = list(set(words).difference(plain)) if len(plain) < len(words) else []
+            if plain:
+                found = self.pattern.findall("\n".join(plain).lower() + "\n")
+                tokenize, chars = self.tokenizer.model.tokenize, _byte_chars()
+                ids = {p: array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(chars))]).tobytes() for p in set(found)}
+                ids["\n"] = b""
+                runs = list(map(ids.__getitem__, found))
+                total = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs))) // 4
+                self._store(plain, b"".join(runs), np.diff(total[[p == "\n" for p in found]], prepend=0))
         for i in range(0, len(words), 20_000):
-            for w, e in zip(words[i : i + 20_000], self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        known, end = self.known, array("I", [END_ID]).tobytes()
-        parts = [None if t and any(c in t for c in ODD_BLANKS) else (t or "").split() for t in texts]
-        if len(known) > MEMO:
-            known.clear()
-        self._learn(list(set(itertools.chain.from_iterable(p for p in parts if p)).difference(known)))
-        out = []
-        for text, words in zip(texts, parts, strict=True):
-            if words is None:
-                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-            else:
-                ids = b"".join(map(known.__getitem__, words))
-            out.append(np.frombuffer(ids + end, np.uint32))
-        return out
+            part = words[i : i + 20_000]
+            rows = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._store(part, b"".join(rows), np.array([len(r) // 4 for r in rows], np.int64))
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (null as empty) and END_ID."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if len(self.known) > MEMO:
+            self.known.clear()
+            for x in (self.flat, self.starts, self.sizes):
+                del x[:]
+        if not self.known:
+            self._store(["", "\n"], array("I", [END_ID]).tobytes(), np.array([0, 1]))  # the second ends a text
+        found = list(map(self.known.get, distinct))
+        if new := [w for w, at in zip(distinct, found, strict=True) if at is None]:
+            self._learn(new)
+            found = [self.known[w] if at is None else at for w, at in zip(distinct, found, strict=True)]
+        place = np.array(found, np.int64)
+        counts = lists.value_lengths().to_numpy()
+        at = np.insert(place[words.indices.to_numpy()], np.cumsum(counts), 1)
+        flat, starts, sizes = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.uint32)
+        n = sizes[at].astype(np.int64)
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[at] - (ends - n), n)]
+        return np.split(ids, ends[np.cumsum(counts + 1) - 1][:-1])
 
 
 def _frame(ids: list[int | None], rows: list[np.ndarray]) -> bytes:
@@ -173,19 +245,31 @@ class FrameReader:
         return out
 
 
-def _writer(folder: str, tokenizer: str):
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of texts, bounded in bytes."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        before = ends[a - 1] if a else 0
+        b = int(np.searchsorted(ends, before + BATCH_BYTES, side="right"))
+        b = min(max(b, a + 1), a + BATCH_DOCS, len(texts))
+        yield a, b
+        a = b
+
+
+def _writer(folder: str, tokenizer: Broadcast):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name, temp = f"{root}/tokens-{part:06d}.zst", f"{root}/.{uuid.uuid4().hex}"
-        encode, out = WordEncoder(tokenizer), None
+        encode = WordEncoder(tokenizer.value)
         with fs.open_output_stream(temp, compression=None) as stream:
             out = FrameWriter(stream)
             for b in batches:
                 ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-                for i in range(0, b.num_rows, 256):
-                    for doc, row in zip(ids[i : i + 256], encode(texts[i : i + 256].to_pylist()), strict=True):
+                for i, j in _slices(texts):
+                    for doc, row in zip(ids[i:j], encode(texts[i:j]), strict=True):
                         out.add(doc, row)
             out.close()
         if out.docs:
@@ -201,7 +285,9 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str) -> list[dict
     """Writes the files; a manifest row per file (part, file, bytes, docs, ids, start), by
     doc_id. start: ids in all files before it."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    files = rows.mapInArrow(_writer(folder, tokenizer), "part long, file string, bytes long, docs long, ids long").collect()
+    with open(tokenizer, encoding="utf-8") as f:
+        shipped = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary's size
+    files = rows.mapInArrow(_writer(folder, shipped), "part long, file string, bytes long, docs long, ids long").collect()
     out, start = [], 0
     for f in sorted(files, key=lambda f: f["part"]):
         out.append(f.asDict() | {"start": start})
