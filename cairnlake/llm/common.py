@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import functools
 import shutil
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +29,12 @@ def _own_dir() -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir; a
-    folder of our own only where that is unset, as in local tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_dir()}").rstrip("/")
+    folder of our own only where that is unset and one machine does all, as in local tests."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{_own_dir()}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -41,6 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remembered(name: str, key: Any, make: Callable[[], Any]) -> Any:
+    """make(), once in this worker process for the name and key: tasks that follow each other
+    share it. Only the last key of a name stays."""
+    memory = sys.modules.setdefault("_cairnlake_memory", types.ModuleType("_cairnlake_memory")).__dict__
+    if name not in memory or memory[name][0] != key:
+        memory[name] = (key, make())
+    return memory[name][1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

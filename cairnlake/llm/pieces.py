@@ -13,29 +13,36 @@ the segment is still parted, and each step applies the edge of best rank, leftmo
 joins exactly two parts. This is the model's own rule, so the ids are the library's. Segments of more than MASK_CHARS characters, which fit no mask, go by the
 same rule with a heap.
 
-Segments meet their documents by chunk, a bounded run of documents of one task, whose texts
-travel as packed segment numbers.
+Segments meet their documents by chunk, a bounded run of documents of one task, which waits as
+segment numbers in a file of the shared folder; only segments and their ids are exchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import struct
+import sys
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_path, remembered, table
 from .shingles import mix
 
 SPACE = "▁"
-#: Bytes of text in a chunk; characters that the mask holds.
-CHUNK_BYTES, MASK_CHARS = 16 << 20, 62
+#: Bytes of text in a chunk, and of one that is cut or decoded at once (a longer text is by
+#: itself); characters that the mask holds; segments packed at once.
+CHUNK_BYTES, PART_BYTES, MASK_CHARS, PACKED_ROWS = 16 << 20, 1 << 20, 62, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -49,10 +56,10 @@ class Pieces:
     text: list[bytes]
 
     @staticmethod
-    def load(path: str) -> Pieces:
+    def load(model: bytes) -> Pieces:
         import sentencepiece
 
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = m.get_piece_size()
         own = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         ids = {m.id_to_piece(i): i for i in own}
@@ -103,21 +110,22 @@ class Pieces:
 
 
 class Segmenter:
-    """Cuts texts into segments, numbered within a chunk."""
+    """Cuts texts into segments."""
 
     def __init__(self, pieces: Pieces):
         chars = sorted({c for p in pieces.ids for c in p})
-        self.chars = np.array([ord(c) for c in chars], np.uint32)
-        at = {c: i + 1 for i, c in enumerate(chars)}
-        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        for p in pieces.ids:
-            for a, b in zip(p, p[1:], strict=False):
-                self.joins[at[a], at[b]] = True
+        self.kind = np.zeros(sys.maxunicode + 2, np.uint16 if len(chars) < 1 << 16 else np.uint32)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.kinds = len(chars) + 1
+        self.joins = np.zeros(self.kinds * self.kinds, bool)
+        pairs = np.array(sorted({(ord(a), ord(b)) for p in pieces.ids for a, b in zip(p, p[1:], strict=False)}), np.int64).reshape(-1, 2)
+        self.joins[self.kind[pairs[:, 0]] * np.int64(self.kinds) + self.kind[pairs[:, 1]]] = True
+        self.value = mix(np.arange(1, sys.maxunicode + 3, dtype=np.uint64))
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.power) <= n:
-            one, n = np.ones(1, np.uint64), max(n + 1, 1 << 21)
+            one, n = np.ones(1, np.uint64), max(n + 1, PART_BYTES + 4096)
             self.power = np.concatenate([one, np.cumprod(np.full(n, _BASE, np.uint64))])
             self.inverse = np.concatenate([one, np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))])
 
@@ -130,159 +138,137 @@ class Segmenter:
         if not len(code):
             zero = np.zeros(0, np.int64)
             return whole, zero, zero, np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-        kind = np.searchsorted(self.chars, code)
-        kind[kind == len(self.chars)] = 0
-        kind = np.where(self.chars[kind] == code, kind + 1, 0)
+        kind = self.kind[code].astype(np.int32 if self.kinds < 46_000 else np.int64)
         begin = np.ones(len(code), bool)
-        begin[1:] = ~self.joins[kind[:-1], kind[1:]]
-        lengths = np.array([len(r) for r in read], np.int64)
-        stops = np.cumsum(lengths)
-        inner = stops[stops < len(code)]
-        begin[inner] = True
+        np.logical_not(self.joins[kind[:-1] * kind.dtype.type(self.kinds) + kind[1:]], out=begin[1:])
+        stops = np.cumsum(np.array([len(r) for r in read], np.int64))
+        begin[stops[stops < len(code)]] = True
         first = np.flatnonzero(begin)
         last = np.concatenate([first[1:], [len(code)]])
         self._powers(len(code))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * self.power[: len(code)])])
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(self.value[code] * self.power[: len(code)], out=sums[1:])
         h = mix((sums[last] - sums[first]) * self.inverse[first] + (last - first).astype(np.uint64))
-        counts = np.diff(np.searchsorted(first, np.concatenate([[0], stops])))
-        return whole, first, last, h, counts
+        return whole, first, last, h, np.diff(np.searchsorted(first, np.concatenate([[0], stops])))
 
 
-DOCS = ["chunk", "doc_ids", "counts", "shas", "codes", "lengths", "segs"]
+def _chunk_path(root: str, chunk: int) -> str:
+    return f"{root}/{chunk & (1 << 64) - 1:016x}.chunk"
 
 
-def _chunks(path: str, want: str):
-    """Rows of a task's chunks: want="segments" gives (chunk, code, seg) of the segments that
-    need the lattice, "documents" one row a chunk with doc_ids, segment counts, SHA-256 of the
-    texts, the packed segment codes and the packed segments."""
+class ChunkFile:
+    """A chunk's documents: their ids, SHA-256 sums, numbers of segments and segment numbers, and
+    the segments that don't go through the lattice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self):
+        self.ids: list[int | None] = []
+        self.counts: list[int] = []
+        self.sums, self.codes, self.segs, self.held, self.name = [], [], [], 0, hashlib.blake2b(digest_size=8)
+
+    def add(self, doc: int | None, raw: bytes) -> None:
+        self.ids.append(doc)
+        self.sums.append(hashlib.sha256(raw).digest())
+        self.name.update(self.sums[-1] + repr(doc).encode())
+        self.held += len(raw)
+
+    def bytes(self) -> bytes:
         import zstandard
 
-        segmenter = Segmenter(Pieces.load(path))
-        known: dict[int, int] = {}
-        segs: list[str] = []
-        ids, counts, shas, codes = [], [], [], []
-        held = 0
-        name = hashlib.blake2b(digest_size=8)
+        flat = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint32)
+        plane = (flat & 0xFF).astype(np.uint8).tobytes() + (flat >> 8 & 0xFF).astype(np.uint8).tobytes() + (flat >> 16).astype("<u2").tobytes()
+        alone = {i: x for i, x in enumerate(self.segs) if not 1 < len(x) <= MASK_CHARS}
+        nulls = np.array([i is None for i in self.ids], np.uint8).tobytes()
+        heads = [np.array([i or 0 for i in self.ids], "<i8").tobytes(), nulls, np.array(self.counts, "<i8").tobytes(), b"".join(self.sums)]
+        heads += [np.array(list(alone), "<u4").tobytes(), np.array([len(x.encode()) for x in alone.values()], "<u4").tobytes(), "".join(alone.values()).encode()]
+        packed = [zstandard.ZstdCompressor(level=4).compress(x) for x in (b"".join(heads), plane)]
+        return struct.pack("<QQQQQ", len(self.ids), len(alone), len(self.segs), len(packed[0]), len(packed[1])) + b"".join(packed)
 
-        def done() -> Iterator[pa.RecordBatch]:
-            nonlocal held, name
-            if ids:
-                chunk = int.from_bytes(name.digest(), "little", signed=True)
-                if want == "segments":
-                    latticed = [i for i, x in enumerate(segs) if 1 < len(x) <= MASK_CHARS]
-                    for i in range(0, len(latticed), 50_000):
-                        part = latticed[i : i + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part, pa.int32()), pa.array([segs[j] for j in part])], ["chunk", "code", "seg"])
-                else:
-                    flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-                    plane = (flat & 0xFF).astype(np.uint8).tobytes() + (flat >> 8 & 0xFF).astype(np.uint8).tobytes() + (flat >> 16).astype("<u2").tobytes()
-                    pack = zstandard.ZstdCompressor(level=4).compress
-                    lengths = np.array([len(x) for x in segs], "<u4").tobytes()
-                    columns = [pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(shas)]), pa.array([pack(plane)]), pa.array([pack(lengths)]), pa.array([pack("".join(segs).encode())])]
-                    yield pa.RecordBatch.from_arrays(columns, DOCS)
+    @staticmethod
+    def read(data: bytes) -> dict:
+        import zstandard
+
+        docs, alone, segs, size, _ = struct.unpack_from("<QQQQQ", data)
+        unpack = zstandard.ZstdDecompressor().decompress
+        head, plane = unpack(data[40 : 40 + size]), unpack(data[40 + size :])
+        n = len(plane) // 4
+        codes = np.frombuffer(plane, np.uint8, n).astype(np.uint32) | np.frombuffer(plane, np.uint8, n, n).astype(np.uint32) << 8 | np.frombuffer(plane, "<u2", n, 2 * n).astype(np.uint32) << 16
+        at = 9 * docs
+        ids = [None if z else i for i, z in zip(np.frombuffer(head, "<i8", docs).tolist(), np.frombuffer(head, np.uint8, docs, 8 * docs), strict=True)]
+        counts, sums = np.frombuffer(head, "<i8", docs, at), head[at + 8 * docs : at + 40 * docs]
+        at += 40 * docs
+        places, ends = np.frombuffer(head, "<u4", alone, at).tolist(), np.cumsum(np.frombuffer(head, "<u4", alone, at + 4 * alone).astype(np.int64)).tolist()
+        text = head[at + 8 * alone :]
+        return {"ids": ids, "counts": counts, "sums": sums, "codes": codes, "segs": segs, "alone": [(p, text[a:b].decode()) for p, a, b in zip(places, [0, *ends], ends, strict=False)]}
+
+
+def _chunks(folder: str, model: Broadcast):
+    """Writes each chunk's file and gives (chunk, code, seg) of its distinct segments that need
+    the lattice; code -1 stands for the chunk itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = remembered("segmenter", model.value, lambda: Segmenter(Pieces.load(model.value)))
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        part, done, known, file = TaskContext.get().partitionId(), 0, {}, ChunkFile()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal done, file
+            if not file.ids:
+                return
+            file.name.update(struct.pack("<QQ", part, done))  # equal chunks, if rows repeat, stay apart
+            chunk, done = int.from_bytes(file.name.digest(), "little", signed=True), done + 1
+            temp = f"{root}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(temp, compression=None) as stream:
+                stream.write(file.bytes())
+            fs.move(temp, _chunk_path(root, chunk))
+            latticed = [-1, *(i for i, x in enumerate(file.segs) if 1 < len(x) <= MASK_CHARS)]
+            for i in range(0, len(latticed), 50_000):
+                mine = latticed[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), chunk)), pa.array(mine, pa.int32()), pa.array([file.segs[j] if j >= 0 else "" for j in mine], pa.string())], ["chunk", "code", "seg"])
             known.clear()
-            for x in (segs, ids, counts, shas, codes):
-                x.clear()
-            held, name = 0, hashlib.blake2b(digest_size=8)
+            file = ChunkFile()
 
         for b in batches:
             rows = list(zip(b.column("doc_id").to_pylist(), (t or "" for t in b.column("text").to_pylist()), strict=True))
             while rows:
                 take, size = 0, 0
-                while take < len(rows) and (not take or size + len(rows[take][1]) <= 1 << 20):
+                while take < len(rows) and (not take or size + len(rows[take][1]) <= PART_BYTES):
                     size += len(rows[take][1])
                     take += 1
-                part, rows = rows[:take], rows[take:]
-                whole, first, last, h, n = segmenter.cut([t for _, t in part])
+                here, rows = rows[:take], rows[take:]
+                whole, first, last, h, n = segmenter.cut([t for _, t in here])
                 if len(h):
-                    new, at, back = np.unique(h, return_index=True, return_inverse=True)
-                    local = np.empty(len(new), np.uint32)
-                    for i, (key, where) in enumerate(zip(new.tolist(), at.tolist(), strict=True)):
-                        if (code := known.get(key)) is None:
-                            code = known[key] = len(segs)
-                            segs.append(whole[first[where] : last[where]])
-                        local[i] = code
-                    codes.append(local[back])
-                for doc, t in part:
-                    raw = t.encode()
-                    sha = hashlib.sha256(raw).digest()
-                    name.update(sha)
-                    name.update(repr(doc).encode())
-                    ids.append(doc)
-                    shas.append(sha)
-                    held += len(raw)
-                counts.extend(n.tolist())
-                if held >= CHUNK_BYTES:
-                    yield from done()
-        yield from done()
+                    kinds = pa.array(h).dictionary_encode()
+                    back, names = kinds.indices.to_numpy(), kinds.dictionary.to_pylist()
+                    where = np.empty(len(names), np.int64)
+                    where[back[::-1]] = np.arange(len(h) - 1, -1, -1)  # the first place of each stays
+                    at = list(map(known.get, names))
+                    for k in [k for k, code in enumerate(at) if code is None]:
+                        at[k] = known[names[k]] = len(file.segs)
+                        file.segs.append(whole[first[where[k]] : last[where[k]]])
+                    file.codes.append(np.array(at, np.uint32)[back])
+                for doc, t in here:
+                    file.add(doc, t.encode())
+                file.counts.extend(n.tolist())
+                if file.held >= CHUNK_BYTES:
+                    yield from flush()
+        yield from flush()
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, code, picks) as a row a chunk, or a few: codes, numbers of picks and picks."""
-    import zstandard
-
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        if not held:
-            return
-        chunk, code, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-        picks = np.concatenate([h[3] for h in held])
-        at = np.cumsum(n) - n
-        order = np.lexsort((code, chunk))
-        names, first = np.unique(chunk[order], return_index=True)
-        for name, rows in zip(names.tolist(), np.split(order, first[1:]), strict=True):
-            mine = picks[_runs(at[rows], n[rows])]
-            parts = [np.diff(code[rows], prepend=0).astype("<i4"), n[rows].astype("u1"), (mine >> 20).astype("u1"), (mine & 0xFFFF).astype("<u2"), (mine >> 16 & 0xF).astype("u1")]
-            blob = pack(b"".join(x.tobytes() for x in parts))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)]), pa.array([len(mine)]), pa.array([blob])], ["chunk", "n", "m", "blob"])
-        held.clear()
-
-    size = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        lists = b.column("picks")
-        held.append((b.column("chunk").to_numpy(), b.column("code").to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
-        size += b.num_rows
-        if size >= 1 << 20:
-            yield from done()
-            size = 0
-    yield from done()
-
-
-def _unpack(n: int, m: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, numbers of picks, starts and ids."""
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    code = np.cumsum(np.frombuffer(raw, "<i4", n))
-    at = 5 * n
-    ids = np.frombuffer(raw, "<u2", m, at + m).astype(np.int64) | np.frombuffer(raw, "u1", m, at + 3 * m).astype(np.int64) << 16
-    return code, np.frombuffer(raw, "u1", n, 4 * n).astype(np.int64), np.frombuffer(raw, "u1", m, at).astype(np.int64), ids
-
+class Filler:
+    """All ids of segments from their pieces of two or more characters."""
 
-class Assembler:
-    def __init__(self, path: str):
-        self.pieces = p = Pieces.load(path)
-        self.chars = np.array([len(t.decode()) if t[:1] < b"\x80" or len(t) > 1 else 1 for t in p.text], np.int64)
-        self.length = np.array([len(t) for t in p.text], np.int64)
-        self.at = np.cumsum(self.length) - self.length
-        self.bytes = np.frombuffer(b"".join(p.text), np.uint8)
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.chars = np.array([len(t.decode()) if t[:1] < b"\x80" or len(t) > 1 else 1 for t in pieces.text], np.int64)
 
-    def lists(self, whole: str, lengths: np.ndarray, code: np.ndarray, n: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All segments' ids in a row, and how many each has."""
+    def __call__(self, whole: str, lengths: np.ndarray, n: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """whole: the segments, joined; n pieces of each, by start and id. All segments' ids in a
+        row, and how many each has: characters that no piece covers go by themselves."""
         begin = np.cumsum(lengths) - lengths
-        at = np.repeat(begin[code], n) + start
-        for i in np.flatnonzero(lengths > MASK_CHARS).tolist():
-            if found := self.pieces.merged(whole[begin[i] : begin[i] + lengths[i]]):
-                more = np.array(found, np.int64)
-                at, ids = np.concatenate([at, begin[i] + more[:, 0]]), np.concatenate([ids, more[:, 1]])
+        at = np.repeat(begin, n) + start
         kinds, back = np.unique(np.frombuffer(whole.encode("utf-32-le"), np.uint32), return_inverse=True)
         single = [self.pieces.single(chr(k)) for k in kinds.tolist()]
         sizes = np.array([len(x) for x in single], np.int64)[back] if len(kinds) else np.zeros(0, np.int64)
@@ -292,9 +278,9 @@ class Assembler:
         sizes[np.cumsum(covered)[:-1] > 0] = 0
         sizes[at] = 1
         ends = np.cumsum(sizes)
-        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
         first = ends - sizes
-        lead = np.array([x[0] for x in single], np.int32)[back] if len(kinds) else np.zeros(0, np.int32)
+        lead = np.array([x[0] for x in single], np.int64)[back] if len(kinds) else np.zeros(0, np.int64)
         flat[first[sizes > 0]] = lead[sizes > 0]
         for j in np.flatnonzero(sizes > 1).tolist():  # characters that go by their bytes
             flat[first[j] : ends[j]] = single[back[j]]
@@ -302,38 +288,118 @@ class Assembler:
         total = np.concatenate([[0], ends])
         return flat, total[begin + lengths] - total[begin]
 
-    def documents(self, d: dict, flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+
+def _pack(model: Broadcast):
+    """Rows (chunk, code, seg, picks) as a row a chunk, or a few: codes, numbers of ids and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        plane = zstandard.ZstdDecompressor().decompress(d["codes"])
-        n = len(plane) // 4
-        seq = np.frombuffer(plane, np.uint8, n).astype(np.int64) | np.frombuffer(plane, np.uint8, n, n).astype(np.int64) << 8 | np.frombuffer(plane, "<u2", n, 2 * n).astype(np.int64) << 16
-        starts, at = np.cumsum(sizes) - sizes, 0
-        for k, (doc, count) in enumerate(zip(d["doc_ids"], d["counts"], strict=True)):
-            mine = seq[at : at + count]
-            ids = flat[_runs(starts[mine], sizes[mine])]
-            at += count
-            text = self.bytes[_runs(self.at[ids], self.length[ids])].tobytes()[1:]  # without the space put before
+        fill = remembered("filler", model.value, lambda: Filler(Pieces.load(model.value)))
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            if not held:
+                return
+            chunk, code, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            ids = np.concatenate([h[3] for h in held])
+            held.clear()
+            at = np.cumsum(n) - n
+            order = np.lexsort((code, chunk))
+            names, first = np.unique(chunk[order], return_index=True)
+            for name, rows in zip(names.tolist(), np.split(order, first[1:]), strict=True):
+                mine = ids[_runs(at[rows], n[rows])]
+                parts = [np.diff(code[rows], prepend=0).astype("<i4"), n[rows].astype("u1"), (mine & 0xFFFF).astype("<u2"), (mine >> 16).astype("u1")]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)]), pa.array([len(mine)]), pa.array([pack(b"".join(x.tobytes() for x in parts))])], ["chunk", "n", "m", "blob"])
+
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists, segs = b.column("picks"), b.column("seg")
+            picks = lists.flatten().to_numpy()
+            flat, n = fill("".join(segs.to_pylist()), pc.utf8_length(segs).to_numpy().astype(np.int64), lists.value_lengths().fill_null(0).to_numpy(), picks >> 20, picks & 0xFFFFF)
+            held.append((b.column("chunk").to_numpy(), b.column("code").to_numpy(), n, flat.astype(np.int32)))
+            size += b.num_rows
+            if size >= PACKED_ROWS:
+                yield from done()
+                size = 0
+        yield from done()
+
+    return run
+
+
+def _unpack(n: int, m: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, numbers of ids, ids."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    ids = np.frombuffer(raw, "<u2", m, 5 * n).astype(np.int32) | np.frombuffer(raw, "u1", m, 5 * n + 2 * m).astype(np.int32) << 16
+    return np.cumsum(np.frombuffer(raw, "<i4", n)), np.frombuffer(raw, "u1", n, 4 * n).astype(np.int64), ids
+
+
+RESULT = "doc_id long, ids array<int>, ids_crc32 long, decoded binary, decoded_sha256 string, round_trip boolean"
+
+
+class Assembler:
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.fill = pieces, Filler(pieces)
+        self.length = np.array([len(t) for t in pieces.text], np.int64)
+        self.at = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(pieces.text), np.uint8)
+
+    def lists(self, file: dict, got: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By segment number: where its ids begin, how many, and all ids."""
+        found = [self.pieces.merged(x) for _, x in file["alone"]]
+        picks = [np.array([p[k] for ps in found for p in ps], np.int64) for k in (0, 1)]
+        sizes = lambda xs: np.array([len(x) for x in xs], np.int64)
+        flat, n = self.fill("".join(x for _, x in file["alone"]), sizes([x for _, x in file["alone"]]), sizes(found), *picks)
+        got = [*got, (np.array([c for c, _ in file["alone"]], np.int64), n, flat.astype(np.int32))]
+        code, n, ids = (np.concatenate([g[i] for g in got]) for i in range(3))
+        at, own = np.cumsum(n) - n, code >= 0
+        if not np.array_equal(np.sort(code[own]), np.arange(file["segs"])):
+            raise ValueError("a chunk's documents and segments went apart: the input must be read alike each time")
+        start, size = np.empty(file["segs"], np.int64), np.empty(file["segs"], np.int64)
+        start[code[own]], size[code[own]] = at[own], n[own]
+        return start, size, ids
+
+    def documents(self, file: dict, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for k, end in enumerate(np.cumsum(file["counts"]).tolist()):
+            mine = file["codes"][end - int(file["counts"][k]) : end]
+            own = ids[_runs(start[mine], size[mine])]
+            text = self.bytes[_runs(self.at[own], self.length[own])].tobytes()[1:]  # without the space put before
             sha = hashlib.sha256(text)
-            yield doc, ids, zlib.crc32(ids.astype("<u4").tobytes()), text, sha.hexdigest(), sha.digest() == d["shas"][32 * k : 32 * k + 32]
+            rows.append((file["ids"][k], own, zlib.crc32(own.astype("<u4").tobytes()), text, sha.hexdigest(), sha.digest() == file["sums"][32 * k : 32 * k + 32]))
+            held += len(text)
+            if held >= PART_BYTES or len(rows) >= 4096:
+                yield self.batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield self.batch(rows)
 
+    @staticmethod
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        sizes = np.cumsum([0, *(len(r[1]) for r in rows)])
+        lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([r[1] for r in rows]), pa.int32()))
+        kinds = [pa.int64(), None, pa.int64(), pa.binary(), pa.string(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([lists if t is None else pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "ids", "ids_crc32", "decoded", "decoded_sha256", "round_trip"])
 
-def _assemble(path: str):
-    def run(key, docs: pa.Table, packed: pa.Table) -> pa.Table:
-        import zstandard
 
-        make, unzip, rows = Assembler(path), zstandard.ZstdDecompressor().decompress, []
-        if not docs.num_rows:
-            raise ValueError("a chunk's documents and segments went apart")
-        got = [_unpack(r["n"], r["m"], r["blob"]) for r in packed.to_pylist()]
-        none = np.zeros(0, np.int64)
-        code, n, start, ids = (np.concatenate([g[i] for g in got]) if got else none for i in range(4))
-        for d in docs.slice(0, 1).to_pylist():
-            lists = make.lists(unzip(d["segs"]).decode(), np.frombuffer(unzip(d["lengths"]), "<u4").astype(np.int64), code, n, start, ids)
-        for d in docs.to_pylist():  # equal chunks, if the input repeats, share the lists
-            rows += make.documents(d, *lists)
-        kinds = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.string(), pa.bool_()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "ids", "ids_crc32", "decoded", "decoded_sha256", "round_trip"])
+def _assemble(folder: str, model: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = remembered("assembler", model.value, lambda: Assembler(Pieces.load(model.value)))
+        got, chunk = [], None
+        for b in batches:
+            for r in b.to_pylist():
+                chunk = r["chunk"]
+                got.append(_unpack(r["n"], r["m"], r["blob"]))
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        with fs.open_input_file(_chunk_path(root, chunk)) as stream:
+            file = ChunkFile.read(stream.read())
+        yield from make.documents(file, *make.lists(file, got))
 
     return run
 
@@ -380,11 +446,11 @@ def fold_merges(n: Column, edges: Column) -> Column:
     return F.transform(F.array(edges), fold)[0]
 
 
-def segment_pieces(segments: DataFrame, path: str) -> DataFrame:
+def segment_pieces(segments: DataFrame, pieces: Pieces) -> DataFrame:
     """(seg, picks) for distinct segments of up to MASK_CHARS characters: picks = start << 20 | id
     of each piece of two or more characters, in order; all other characters stand alone. Segments
     without any are left out."""
-    spark, pieces = segments.sparkSession, Pieces.load(path)
+    spark = segments.sparkSession
     rows = [(p, pieces.rank[p], i) for p, i in pieces.ids.items() if len(p) > 1]
     vocabulary = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, id int"))  # the model's size
     n = F.length("seg")
@@ -396,29 +462,32 @@ def segment_pieces(segments: DataFrame, path: str) -> DataFrame:
     return grouped.select("seg", fold_merges(F.col("n"), F.col("edges")).alias("picks"))
 
 
-def sentencepiece_documents(documents: DataFrame, path: str) -> DataFrame:
+def sentencepiece_documents(documents: DataFrame, path: str, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, ids, ids_crc32 (of the ids as little-endian 32-bit
     numbers), decoded (bytes), decoded_sha256, round_trip (whether they are the text's own).
 
     A null or empty text has no ids. Rows repeat as in the input; null doc_ids stay. Only
     doc_id and text are read, an empty table gives an empty result. A text that holds the
-    model's own space mark decodes with spaces in its place, and round_trip says so.
+    model's own space mark decodes with spaces in its place, and round_trip says so. Documents
+    wait in `folder`, in the shared folder by default. A lost task is run again and must find
+    the same rows in the same order, as a scan of files does; otherwise the query fails.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, folder = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), folder or fresh_path(documents.sparkSession, "pieces")
+    with open(path, "rb") as f:
+        model = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary's size
     # The one exchange by segment serves both the distinct segments and the join with them; the
     # minima are there so that both sides need the same columns of it.
-    named = docs.mapInArrow(_chunks(path, "segments"), "chunk long, code int, seg string").repartition("seg")
+    named = docs.mapInArrow(_chunks(folder, model), "chunk long, code int, seg string").repartition("seg")
     distinct = named.groupBy("seg").agg(F.min("chunk").alias("c"), F.min("code").alias("d")).filter("c IS NOT NULL AND d IS NOT NULL").select("seg")
-    packed = docs.mapInArrow(_chunks(path, "documents"), "chunk long, doc_ids array<long>, counts array<int>, shas binary, codes binary, lengths binary, segs binary")
-    picked = segment_pieces(distinct, path)
-    coded = named.join(picked, "seg").select("chunk", "code", "picks").mapInArrow(_pack, "chunk long, n long, m long, blob binary")
-    schema = "doc_id long, ids array<int>, ids_crc32 long, decoded binary, decoded_sha256 string, round_trip boolean"
-    return packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_assemble(path), schema)
+    picked = segment_pieces(distinct, Pieces.load(model.value))
+    coded = named.join(picked, "seg", "left").select("chunk", "code", "seg", "picks").mapInArrow(_pack(model), "chunk long, n long, m long, blob binary")
+    return coded.groupBy("chunk").applyInArrow(_assemble(folder, model), RESULT)
 
 
 def decode(ids: Column, path: str) -> Column:
     """Text of an array of ids, as a JVM expression: pieces joined, without the space before."""
-    pieces = Pieces.load(path)
+    with open(path, "rb") as f:
+        pieces = Pieces.load(f.read())
     table_ = F.array(*[F.lit(t.hex()) for t in pieces.text])
     hexed = F.array_join(F.transform(ids, lambda i: F.element_at(table_, i + 1)), "")
     return F.substring(F.decode(F.unhex(hexed), "UTF-8"), F.lit(2), F.length(hexed))

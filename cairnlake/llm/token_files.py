@@ -16,8 +16,6 @@ import json
 import os
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 from array import array
@@ -31,12 +29,12 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, remembered, table
 
 END_ID = 2
 #: Ids in a frame, about; compression level; words whose ids a worker remembers; bytes of text
 #: and documents encoded at once (a longer text is encoded by itself).
-FRAME_IDS, LEVEL, MEMO, BATCH_BYTES, BATCH_DOCS = 1 << 17, 3, 1_200_000, 8 << 20, 4096
+FRAME_IDS, LEVEL, MEMO, BATCH_BYTES, BATCH_DOCS = 1 << 17, 3, 600_000, 4 << 20, 4096
 SEEK_MAGIC, SEEK_FRAME, DIR_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 #: Words that Unicode's normal form NFC leaves alone and that have one lower case everywhere.
 PLAIN = re.compile("[\x21-\u024f]+").fullmatch
@@ -50,11 +48,6 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def _memory() -> dict:
-    """What this worker process remembers between tasks."""
-    return sys.modules.setdefault("_cairnlake_words", types.ModuleType("_cairnlake_words")).__dict__
-
-
 class WordEncoder:
     """A tokenizer's ids for whole texts. It never joins characters across ASCII white space, so
     each distinct word is encoded once and its ids are remembered: word -> place in one run of
@@ -69,10 +62,8 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        memory, key = _memory(), hash(model)
-        if key not in memory:
-            memory[key] = (tokenizers.Tokenizer.from_str(model), *self._recipe(json.loads(model)), {}, array("I"), array("q"), array("I"))
-        self.tokenizer, self.pattern, self.special, self.known, self.flat, self.starts, self.sizes = memory[key]
+        make = lambda: (tokenizers.Tokenizer.from_str(model), *self._recipe(json.loads(model)), {}, array("I"), array("q"), array("I"))
+        self.tokenizer, self.pattern, self.special, self.known, self.flat, self.starts, self.sizes = remembered("words", model, make)
 
     @staticmethod
     def _recipe(spec: dict) -> tuple[object | None, list[str]]:
