@@ -447,14 +447,13 @@ def fold_merges(n: Column, edges: Column) -> Column:
 
 
 def segment_pieces(segments: DataFrame, pieces: Pieces) -> DataFrame:
-    """(seg, picks) for distinct segments of up to MASK_CHARS characters: picks = start << 20 | id
+    """(seg, picks) for distinct (seg, n), segments of n characters, up to MASK_CHARS: picks = start << 20 | id
     of each piece of two or more characters, in order; all other characters stand alone. Segments
     without any are left out."""
     spark = segments.sparkSession
     rows = [(p, pieces.rank[p], i) for p, i in pieces.ids.items() if len(p) > 1]
     vocabulary = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, id int"))  # the model's size
-    n = F.length("seg")
-    short = segments.filter(n.between(2, MASK_CHARS)).withColumn("n", n)
+    short = segments.filter(F.col("n").between(2, MASK_CHARS))
     spans = short.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 2)))
     spans = spans.withColumn("j", F.explode(F.sequence(F.col("i") + 2, F.least(F.col("n"), F.col("i") + pieces.longest()))))
     edges = spans.join(vocabulary, F.substring("seg", F.col("i") + 1, F.col("j") - F.col("i")) == F.col("piece"))
@@ -475,10 +474,11 @@ def sentencepiece_documents(documents: DataFrame, path: str, folder: str | None
     docs, folder = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), folder or fresh_path(documents.sparkSession, "pieces")
     with open(path, "rb") as f:
         model = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary's size
-    # The one exchange by segment serves both the distinct segments and the join with them; the
-    # minima are there so that both sides need the same columns of it.
-    named = docs.mapInArrow(_chunks(folder, model), "chunk long, code int, seg string").repartition("seg")
-    distinct = named.groupBy("seg").agg(F.min("chunk").alias("c"), F.min("code").alias("d")).filter("c IS NOT NULL AND d IS NOT NULL").select("seg")
+    # The one exchange by segment serves both the distinct segments and the join with them: the
+    # minima and the filter are there so that both sides need the same columns and rows of it, and
+    # n is an aggregate so that a test of it stays behind the exchange.
+    named = docs.mapInArrow(_chunks(folder, model), "chunk long, code int, seg string").filter("seg IS NOT NULL").repartition("seg")
+    distinct = named.groupBy("seg").agg(F.min("chunk").alias("c"), F.min("code").alias("d"), F.max(F.length("seg")).alias("n")).filter("c IS NOT NULL AND d IS NOT NULL").select("seg", "n")
     picked = segment_pieces(distinct, Pieces.load(model.value))
     coded = named.join(picked, "seg", "left").select("chunk", "code", "seg", "picks").mapInArrow(_pack(model), "chunk long, n long, m long, blob binary")
     return coded.groupBy("chunk").applyInArrow(_assemble(folder, model), RESULT)
