@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .shingles import Shingler, mix, split_sets, texts
 
-#: Similarity in hundredths; signatures a reducing task holds, about.
-LEAST, TASK_SIGNATURES = 75, 1_500_000
+#: Similarity in hundredths; signatures a reducing task holds, about twice; signatures that a
+#: signing task holds before it sends them.
+LEAST, TASK_SIGNATURES, SENT_SIGNATURES = 75, 1_000_000, 200_000
 #: A shingle is frequent from so many sets on; a task reports those it saw in LOCAL sets; the
 #: most frequent MOST_FREQUENT of them are used (8 bytes each on every executor).
 FREQUENT, LOCAL, MOST_FREQUENT = 6, 2, 1_000_000
 #: Distinct shingles a task counts before it forgets those seen once; texts held by verification;
 #: pairs held to be told apart.
-COUNTED, HELD_TEXTS, HELD_PAIRS = 2_000_000, 64, 1_000_000
+COUNTED, HELD_TEXTS, HELD_PAIRS = 1_000_000, 64, 500_000
 RATIO = 2**0.5
 
 
@@ -214,7 +215,7 @@ def _sign(tasks: int, frequent):
                     sigs.append(s)
                     skips.append(skipped)
                     held += len(s)
-                if held > TASK_SIGNATURES:
+                if held > SENT_SIGNATURES:
                     yield from blocks()
                     docs, sigs, skips, held = [], [], [], 0
         yield from blocks()
