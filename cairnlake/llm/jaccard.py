@@ -1,7 +1,6 @@
 """N-gram Jaccard join by PartEnum signatures: exact components of similar shingle sets.
 
-Two sets link when 100 |A∩B| >= 75 |A∪B|. Then |AΔB| <= (|A| + |B|) / 7, at most a third of
-either size. Sizes fall into bands of ratio √2; a set signs in its own band and, where a larger
+Two sets link when 100 |A∩B| >= 75 |A∪B|. Then |AΔB| <= (|A| + |B|) / 7. Sizes fall into bands of ratio √2; a set signs in its own band and, where a larger
 partner may be in the next, in that one too. In a band the shingles are dealt over `parts`
 parts of three cells. If fewer than 2 * parts differences fall on the parts, some part has at
 most one of its three cells changed, so two cells agree: every pair of cells of each part is
@@ -35,13 +34,15 @@ from .shingles import Shingler, mix, split_sets, texts
 
 #: Similarity in hundredths; signatures a reducing task holds, about twice; signatures that a
 #: signing task holds before it sends them.
-LEAST, TASK_SIGNATURES, SENT_SIGNATURES = 75, 1_000_000, 200_000
+LEAST, TASK_SIGNATURES, SENT_SIGNATURES = 75, 1_500_000, 250_000
 #: A shingle is frequent from so many sets on; a task reports those it saw in LOCAL sets; the
 #: most frequent MOST_FREQUENT of them are used (8 bytes each on every executor).
 FREQUENT, LOCAL, MOST_FREQUENT = 6, 2, 1_000_000
 #: Distinct shingles a task counts before it forgets those seen once; texts held by verification;
 #: pairs held to be told apart.
 COUNTED, HELD_TEXTS, HELD_PAIRS = 1_000_000, 64, 500_000
+#: Ids of documents in pairs to verify that are broadcast, 8 bytes each; more are joined.
+BROADCAST_IDS = 1_000_000
 RATIO = 2**0.5
 
 
@@ -50,8 +51,14 @@ def band(size: int) -> int:
 
 
 def parts_of(level: int) -> int:
-    """Parts of a band: a fifth of its largest size."""
-    return max(1, int(np.ceil(0.2 * RATIO ** (level + 1))))
+    """Parts of a band: somewhat over the seventh of its largest size that the most differences
+    ask for, as some parts stay too empty."""
+    return max(1, int(np.ceil(0.17 * RATIO ** (level + 1))))
+
+
+def most_differences(size: int, level: int) -> int:
+    """|AΔB| <= (|A| + |B|) / 7 for a set and any it links with in the band."""
+    return (size + min(100 * size // LEAST, int(np.ceil(RATIO ** (level + 1))))) // 7
 
 
 def among(elements: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -84,7 +91,7 @@ def signatures(elements: np.ndarray, level: int, frequent: np.ndarray) -> tuple[
         on = filled[:, a] | filled[:, b]
         salt = mix(i[on] + np.uint64(pair) + np.uint64(level << 40))
         out.append(mix(salt ^ (sums[on, a] + mix(sums[on, b] + np.uint64(1)))))
-    sure = 2 * int((filled.sum(1) >= 2).sum()) > n // 3
+    sure = 2 * int((filled.sum(1) >= 2).sum()) > most_differences(n, level)
     return np.concatenate(out), sure
 
 
@@ -178,6 +185,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sign(tasks: int, frequent):
+    """A row per task p to come: signatures' low 40 bits (p follows from the top 16; a chance
+    meeting is only one more pair to verify), shares of rare shingles, sizes, prefix places, ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, hot = Shingler(), set(), frequent.value
         docs, sigs, skips, held = [], [], [], 0
@@ -195,7 +205,7 @@ def _sign(tasks: int, frequent):
             for p in np.flatnonzero(np.diff(bounds)):
                 on = order[bounds[p] : bounds[p + 1]]
                 s, d = sig[on], doc[on]
-                low, high = (s & np.uint64(0xFFFFFFFF)).astype("<u4"), (s >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2")
+                low, high = (s & np.uint64(0xFFFFFFFF)).astype("<u4"), (s >> np.uint64(32) & np.uint64(0xFF)).astype("u1")
                 rows.append((int(p), len(on), b"".join((low.tobytes(), high.tobytes(), rare[on].tobytes(), size[on].tobytes(), skip[on].astype("<u4").tobytes())), np.diff(d, prepend=0).astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["p", "n", "sig", "doc"])
 
@@ -231,7 +241,7 @@ def _buckets(batch: pa.Table) -> pa.Table:
     columns: list[tuple] = []
     for n, sig, doc in zip(batch.column("n").to_pylist(), batch.column("sig").to_pylist(), batch.column("doc").to_pylist(), strict=True):
         take = lambda t, at: np.frombuffer(sig, t, n, at * n)  # noqa: B023, E731
-        columns.append((take("<u4", 0).astype(np.uint64) | take("<u2", 4).astype(np.uint64) << np.uint64(32), np.cumsum(np.frombuffer(doc, "<i8", n)), take("u1", 6), take("<u4", 7), take("<u4", 11)))
+        columns.append((take("<u4", 0).astype(np.uint64) | take("u1", 4).astype(np.uint64) << np.uint64(32), np.cumsum(np.frombuffer(doc, "<i8", n)), take("u1", 5), take("<u4", 6), take("<u4", 10)))
     sig, doc, rare, size, skip = (np.concatenate(c) for c in zip(*columns, strict=True))
     del columns
     order = np.argsort(sig)
@@ -374,8 +384,11 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        few = wanted.count() <= BROADCAST_IDS  # then only these texts are exchanged
+        own = docs.join(F.broadcast(wanted), "doc_id", "left_semi") if few else docs.filter("doc_id IS NOT NULL")
         for side in ("a", "b"):
-            pairs = pairs.join(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
+            pairs = pairs.join(own.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
         return stored(pairs.mapInArrow(_verify, "a long, b long").distinct(), name)
 
     pairs = stored(found.filter("size(members) = 0").select("a", "b").distinct(), "jaccard-pairs")
