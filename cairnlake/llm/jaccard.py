@@ -34,7 +34,7 @@ from .shingles import Shingler, mix, split_sets, texts
 
 #: Similarity in hundredths; signatures a reducing task holds, about twice; signatures that a
 #: signing task holds before it sends them.
-LEAST, TASK_SIGNATURES, SENT_SIGNATURES = 75, 1_500_000, 250_000
+LEAST, TASK_SIGNATURES, SENT_SIGNATURES = 75, 1_000_000, 250_000
 #: A shingle is frequent from so many sets on; a task reports those it saw in LOCAL sets; the
 #: most frequent MOST_FREQUENT of them are used (8 bytes each on every executor).
 FREQUENT, LOCAL, MOST_FREQUENT = 6, 2, 1_000_000
@@ -186,7 +186,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sign(tasks: int, frequent):
     """A row per task p to come: signatures' low 40 bits (p follows from the top 16; a chance
-    meeting is only one more pair to verify), shares of rare shingles, sizes, prefix places, ids."""
+    meeting is only one more pair to verify), shares of rare shingles, sizes, prefix places, 48
+    bits of the set's hash, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, hot = Shingler(), set(), frequent.value
@@ -197,7 +198,7 @@ def _sign(tasks: int, frequent):
                 return
             each = [len(x) for x in sigs]
             spread = lambda i, t: np.repeat(np.array([d[i] for d in docs], t), each)
-            sig, skip, doc, size, rare = np.concatenate(sigs), np.concatenate(skips), spread(0, np.int64), spread(1, "<u4"), spread(2, np.uint8)
+            sig, skip, doc, size, rare, own = np.concatenate(sigs), np.concatenate(skips), spread(0, np.int64), spread(1, "<u4"), spread(2, np.uint8), spread(3, np.uint64)
             to = (sig >> np.uint64(48)).astype(np.int64) * tasks >> 16
             order = np.argsort(to, kind="stable")
             bounds = np.searchsorted(to[order], np.arange(tasks + 1))
@@ -206,7 +207,7 @@ def _sign(tasks: int, frequent):
                 on = order[bounds[p] : bounds[p + 1]]
                 s, d = sig[on], doc[on]
                 low, high = (s & np.uint64(0xFFFFFFFF)).astype("<u4"), (s >> np.uint64(32) & np.uint64(0xFF)).astype("u1")
-                rows.append((int(p), len(on), b"".join((low.tobytes(), high.tobytes(), rare[on].tobytes(), size[on].tobytes(), skip[on].astype("<u4").tobytes())), np.diff(d, prepend=0).astype("<i8").tobytes()))
+                rows.append((int(p), len(on), b"".join((low.tobytes(), high.tobytes(), rare[on].tobytes(), size[on].tobytes(), skip[on].astype("<u4").tobytes(), (own[on] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (own[on] >> np.uint64(32)).astype("<u2").tobytes())), np.diff(d, prepend=0).astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["p", "n", "sig", "doc"])
 
         for b in batches:
@@ -221,7 +222,7 @@ def _sign(tasks: int, frequent):
                     seen.add(key)
                     own = elements[bounds[k] : bounds[k + 1]]
                     s, skipped = all_signatures(own, hot)
-                    docs.append((ids[i + k], len(own), int(255 * (1 - among(own, hot).mean()))))
+                    docs.append((ids[i + k], len(own), int(255 * (1 - among(own, hot).mean())), int(h1[k]) & (1 << 48) - 1))
                     sigs.append(s)
                     skips.append(skipped)
                     held += len(s)
@@ -241,18 +242,29 @@ def _buckets(batch: pa.Table) -> pa.Table:
     columns: list[tuple] = []
     for n, sig, doc in zip(batch.column("n").to_pylist(), batch.column("sig").to_pylist(), batch.column("doc").to_pylist(), strict=True):
         take = lambda t, at: np.frombuffer(sig, t, n, at * n)  # noqa: B023, E731
-        columns.append((take("<u4", 0).astype(np.uint64) | take("u1", 4).astype(np.uint64) << np.uint64(32), np.cumsum(np.frombuffer(doc, "<i8", n)), take("u1", 5), take("<u4", 6), take("<u4", 10)))
-    sig, doc, rare, size, skip = (np.concatenate(c) for c in zip(*columns, strict=True))
+        columns.append((take("<u4", 0).astype(np.uint64) | take("u1", 4).astype(np.uint64) << np.uint64(32), np.cumsum(np.frombuffer(doc, "<i8", n)), take("u1", 5), take("<u4", 6), take("<u4", 10), take("<u4", 14).astype(np.uint64) | take("<u2", 18).astype(np.uint64) << np.uint64(32)))
+    sig, doc, rare, size, skip, own = (np.concatenate(c) for c in zip(*columns, strict=True))
     del columns
+
+    def shared(sig: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted signatures, those of buckets of two or more."""
+        if not len(sig):
+            return sig, order
+        start = np.concatenate([[True], sig[1:] != sig[:-1]])
+        many = ~start | np.concatenate([~start[1:], [False]])
+        return sig[many], order[many]
+
     order = np.argsort(sig)
-    sig = sig[order]
-    start = np.concatenate([[True], sig[1:] != sig[:-1]])
-    many = ~start | np.concatenate([~start[1:], [False]])  # of buckets of two or more
-    sig, order = sig[many], order[many]
+    sig, order = shared(sig[order], order)
+    by = np.lexsort((doc[order], own[order], size[order], sig))  # equal sets of several tasks: one stays
+    sig, order = sig[by], order[by]
+    first = np.ones(len(sig), bool)
+    first[1:] = (sig[1:] != sig[:-1]) | (size[order][1:] != size[order][:-1]) | (own[order][1:] != own[order][:-1])
+    sig, order = shared(sig[first], order[first])
     by = np.lexsort((doc[order], rare[order], sig))
     sig, order = sig[by], order[by]
     doc, size, skip = doc[order], size[order].astype(np.int64), skip[order].astype(np.int64)
-    del order, rare
+    del order, rare, own
 
     def bounds() -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
@@ -400,7 +412,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     ends = [placed.select(F.col("doc_id").alias(s), F.col("comp").alias(f"c{s}")) for s in ("a", "b")]
     centers = pairs.join(ends[0], "a").join(ends[1], "b").filter("ca <> cb").select("a").distinct()
     lists = found.filter("size(members) > 0").join(centers, "a", "left_semi")
-    lists = lists.select("a", F.xxhash64("a", "members").alias("bucket"), F.explode("members").alias("doc_id"))
+    lists = lists.groupBy("a", F.xxhash64("members").alias("bucket"), F.size("members").alias("k")).agg(F.first("members").alias("members"))  # buckets alike are one
+    lists = lists.select("a", "bucket", F.explode("members").alias("doc_id"))
     seen = lists.join(placed, "doc_id").groupBy("a", "bucket", "node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
     mixed = seen.groupBy("a", "bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.collect_list(F.struct("comp", "node", "n")).alias("m")).filter("x <> y")
     mixed = mixed.repartition("a")  # equal pairs of a center's buckets meet

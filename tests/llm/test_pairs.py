@@ -147,3 +147,11 @@ def test_nearest(spark):
     got = {tuple(r) for r in ann.nearest(df, df.filter(F.col("vec_id") % 100 == 0)).collect()}
     assert got == want
     assert ann.nearest(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_nothing_in_common(spark):
+    """No two sets share a signature, and a table of copies of one text only."""
+    far = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(30))) for i in range(20)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.jaccard_components(far).collect()} == set(range(20))
+    same = spark.createDataFrame([(i, "a b c d e f g") for i in range(40)], "doc_id long, text string").repartition(7)
+    assert {(r.n_shingles, r.component_id) for r in jaccard.jaccard_components(same).collect()} == {(3, 0)}
