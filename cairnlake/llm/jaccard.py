@@ -14,9 +14,11 @@ Shingles that many sets have (passages repeated all over) are left out of the pa
 last in the prefix. That loses nothing, as leaving shingles out only lowers differences while
 the bound stays, and any choice of shingles is valid; it keeps the buckets small.
 
-Equal sets are one node. In a bucket every node pairs with one center (a star). Pairs are
-verified on the whole texts. Where a bucket's nodes are then still in several components, all
-its pairs across components are verified too, so no link between components is missed.
+Equal sets are one node, and one of them signs. In a bucket every node pairs with one center (a
+star). Pairs are verified on the whole texts. Where a bucket's nodes are then still in several
+components, all its pairs across components are verified too, so no link between components is
+missed: block against block inside a task, so that such pairs never become rows. "Exact" means
+that shingles are told apart by 52 bits of their hash.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ LEAST, TASK_SIGNATURES, SENT_SIGNATURES = 75, 1_000_000, 250_000
 #: A shingle is frequent from so many sets on; a task reports those it saw in LOCAL sets; the
 #: most frequent MOST_FREQUENT of them are used (8 bytes each on every executor).
 FREQUENT, LOCAL, MOST_FREQUENT = 6, 2, 1_000_000
-#: Distinct shingles a task counts before it forgets those seen once; texts held by verification;
-#: pairs held to be told apart.
-COUNTED, HELD_TEXTS, HELD_PAIRS = 1_000_000, 64, 500_000
+#: Distinct shingles a task counts before it forgets those seen once; texts held by verification.
+COUNTED, HELD_TEXTS = 1_000_000, 64
 #: Ids of documents in pairs to verify that are broadcast, 8 bytes each; more are joined.
 BROADCAST_IDS = 1_000_000
-RATIO = 2**0.5
+#: Nodes and their shingles that one comparing task holds twice, about.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 200_000
+RATIO, STEP = 2**0.5, 1.05
 
 
 def band(size: int) -> int:
@@ -122,12 +125,27 @@ def all_signatures(elements: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarr
     return sig, skipped[at]
 
 
-def possible(size: np.ndarray, skipped: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def size_level(n: int) -> int:
+    """A set's size in one byte, by steps of STEP."""
+    return min(255, int(np.log(n) / np.log(STEP) + 1e-9))
+
+
+def size_bounds() -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest size that a level can stand for."""
+    low = np.floor(STEP ** np.arange(256) * (1 - 1e-9)).astype(np.int64)
+    high = np.ceil(STEP ** np.arange(1, 257) * (1 + 1e-9)).astype(np.int64)
+    high[255] = 1 << 40
+    return np.maximum(low, 1), high
+
+
+def possible(size: np.ndarray, skipped: np.ndarray, starts: np.ndarray, counts: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
     """Members of buckets that may have a partner there: two sets of a and b shingles that link
     have 3 (a + b) / 7 in common at least, all behind the shingles skipped; b is 3 a / 4 at least,
-    and no smaller than the bucket's smallest."""
-    smallest = np.repeat(np.minimum.reduceat(size, starts), counts)
-    other = np.maximum(-(-LEAST * size // 100), smallest)
+    and no smaller than the bucket's smallest. Where sizes are known within bounds, size is the
+    upper and low the lower one."""
+    low = size if low is None else low
+    smallest = np.repeat(np.minimum.reduceat(low, starts), counts)
+    other = np.maximum(-(-LEAST * low // 100), smallest)
     return (size - skipped) * (100 + LEAST) >= LEAST * (size + other)
 
 
@@ -184,10 +202,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(counts[on]), pa.array(known[on].view(np.int64)), pa.array(np.zeros(m, np.int64))], ["kind", "doc_id", "n_shingles", "h1", "h2"])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, all second bytes and so on: what compresses well stands together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T).view(kind).ravel()
+
+
 def _sign(tasks: int, frequent):
-    """A row per task p to come: signatures' low 40 bits (p follows from the top 16; a chance
-    meeting is only one more pair to verify), shares of rare shingles, sizes, prefix places, 48
-    bits of the set's hash, ids."""
+    """A row per task p to come: signatures' low 32 bits (p follows from the top 16; a chance
+    meeting is only one more pair to verify), shares of rare shingles, levels of size, prefix
+    places and differences of ids, byte plane by byte plane, as many bytes whatever p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, hot = Shingler(), set(), frequent.value
@@ -198,16 +226,15 @@ def _sign(tasks: int, frequent):
                 return
             each = [len(x) for x in sigs]
             spread = lambda i, t: np.repeat(np.array([d[i] for d in docs], t), each)
-            sig, skip, doc, size, rare, own = np.concatenate(sigs), np.concatenate(skips), spread(0, np.int64), spread(1, "<u4"), spread(2, np.uint8), spread(3, np.uint64)
+            sig, skip, doc, size, rare = np.concatenate(sigs), np.concatenate(skips).astype("<u4"), spread(0, np.int64), spread(1, np.uint8), spread(2, np.uint8)
             to = (sig >> np.uint64(48)).astype(np.int64) * tasks >> 16
             order = np.argsort(to, kind="stable")
             bounds = np.searchsorted(to[order], np.arange(tasks + 1))
             rows = []
             for p in np.flatnonzero(np.diff(bounds)):
                 on = order[bounds[p] : bounds[p + 1]]
-                s, d = sig[on], doc[on]
-                low, high = (s & np.uint64(0xFFFFFFFF)).astype("<u4"), (s >> np.uint64(32) & np.uint64(0xFF)).astype("u1")
-                rows.append((int(p), len(on), b"".join((low.tobytes(), high.tobytes(), rare[on].tobytes(), size[on].tobytes(), skip[on].astype("<u4").tobytes(), (own[on] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (own[on] >> np.uint64(32)).astype("<u2").tobytes())), np.diff(d, prepend=0).astype("<i8").tobytes()))
+                low = (sig[on] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                rows.append((int(p), len(on), b"".join((low.tobytes(), rare[on].tobytes(), size[on].tobytes(), planes(skip[on]))), planes(np.diff(doc[on], prepend=0).astype("<i8"))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["p", "n", "sig", "doc"])
 
         for b in batches:
@@ -222,7 +249,7 @@ def _sign(tasks: int, frequent):
                     seen.add(key)
                     own = elements[bounds[k] : bounds[k + 1]]
                     s, skipped = all_signatures(own, hot)
-                    docs.append((ids[i + k], len(own), int(255 * (1 - among(own, hot).mean())), int(h1[k]) & (1 << 48) - 1))
+                    docs.append((ids[i + k], size_level(len(own)), int(255 * (1 - among(own, hot).mean()))))
                     sigs.append(s)
                     skips.append(skipped)
                     held += len(s)
@@ -242,29 +269,19 @@ def _buckets(batch: pa.Table) -> pa.Table:
     columns: list[tuple] = []
     for n, sig, doc in zip(batch.column("n").to_pylist(), batch.column("sig").to_pylist(), batch.column("doc").to_pylist(), strict=True):
         take = lambda t, at: np.frombuffer(sig, t, n, at * n)  # noqa: B023, E731
-        columns.append((take("<u4", 0).astype(np.uint64) | take("u1", 4).astype(np.uint64) << np.uint64(32), np.cumsum(np.frombuffer(doc, "<i8", n)), take("u1", 5), take("<u4", 6), take("<u4", 10), take("<u4", 14).astype(np.uint64) | take("<u2", 18).astype(np.uint64) << np.uint64(32)))
-    sig, doc, rare, size, skip, own = (np.concatenate(c) for c in zip(*columns, strict=True))
+        columns.append((take("<u4", 0), np.cumsum(from_planes(doc, "<i8", n)), take("u1", 4), take("u1", 5), from_planes(sig, "<u4", n, 6 * n)))
+    sig, doc, rare, level, skip = (np.concatenate(c) for c in zip(*columns, strict=True))
     del columns
-
-    def shared(sig: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of sorted signatures, those of buckets of two or more."""
-        if not len(sig):
-            return sig, order
-        start = np.concatenate([[True], sig[1:] != sig[:-1]])
-        many = ~start | np.concatenate([~start[1:], [False]])
-        return sig[many], order[many]
-
     order = np.argsort(sig)
-    sig, order = shared(sig[order], order)
-    by = np.lexsort((doc[order], own[order], size[order], sig))  # equal sets of several tasks: one stays
-    sig, order = sig[by], order[by]
-    first = np.ones(len(sig), bool)
-    first[1:] = (sig[1:] != sig[:-1]) | (size[order][1:] != size[order][:-1]) | (own[order][1:] != own[order][:-1])
-    sig, order = shared(sig[first], order[first])
+    sig = sig[order]
+    start = np.concatenate([[True], sig[1:] != sig[:-1]])
+    many = ~start | np.concatenate([~start[1:], [False]])  # of buckets of two or more
+    sig, order = sig[many], order[many]
     by = np.lexsort((doc[order], rare[order], sig))
     sig, order = sig[by], order[by]
-    doc, size, skip = doc[order], size[order].astype(np.int64), skip[order].astype(np.int64)
-    del order, rare, own
+    least, greatest = size_bounds()
+    doc, low, size, skip = doc[order], least[level[order]], greatest[level[order]], skip[order].astype(np.int64)
+    del order, rare, level
 
     def bounds() -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
@@ -272,10 +289,10 @@ def _buckets(batch: pa.Table) -> pa.Table:
 
     for _ in range(2):  # who goes may take the smallest along
         starts, ends = bounds()
-        keep = possible(size, skip, starts, ends - starts) if len(sig) else np.zeros(0, bool)
+        keep = possible(size, skip, starts, ends - starts, low) if len(sig) else np.zeros(0, bool)
         if len(sig):
             keep[1:] &= (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-        sig, doc, size, skip = sig[keep], doc[keep], size[keep], skip[keep]
+        sig, doc, low, size, skip = sig[keep], doc[keep], low[keep], size[keep], skip[keep]
     starts, ends = bounds()
     center = np.repeat(doc[starts], ends - starts) if len(sig) else doc
     pair = center != doc
@@ -309,32 +326,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From buckets' members [(comp, node, size)]: pairs of different components whose sizes
-    allow a link, each once as far as HELD_PAIRS go."""
-    held: list[np.ndarray] = []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if held:
-            pairs = np.unique(np.concatenate(held), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            held.clear()
-
-    size = 0
-    for batch in batches:
-        for members in batch.column("m"):
-            m = sorted({(x["node"], x["comp"], x["n"]) for x in members.as_py()})
-            node, comp, n = (np.array(c, np.int64) for c in zip(*m, strict=True))
-            for i in range(len(m)):
-                on = (comp[i + 1 :] != comp[i]) & (100 * n[i + 1 :] >= LEAST * n[i]) & (LEAST * n[i + 1 :] <= 100 * n[i])
-                if on.any():
-                    other = node[i + 1 :][on]
-                    held.append(np.column_stack([np.full(len(other), node[i]), other]))
-                    size += len(other)
-                    if size >= HELD_PAIRS:
-                        yield from done()
-                        size = 0
-    yield from done()
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the nodes of one or two blocks (i, j, block, node, comp, text): the pairs of different
+    components that link, of one block among themselves, or of one with the other."""
+    shingler, rows, sets = Shingler(), [], []
+    for b in batches:
+        for i, j, data, offsets in texts(b.column("text")):
+            elements, bounds = split_sets(shingler.sets(data, offsets), j - i)
+            sets += [elements[bounds[k] : bounds[k + 1]] for k in range(j - i)]
+        rows += zip(*(b.column(c).to_pylist() for c in ("i", "j", "block", "node", "comp")), strict=True)
+    by = sorted(range(len(rows)), key=lambda k: (len(sets[k]), rows[k][3]))
+    node, comp, block = (np.array([rows[k][c] for k in by], np.int64) for c in (3, 4, 2))
+    size = np.array([len(sets[k]) for k in by], np.int64)
+    alone = not rows or rows[0][0] == rows[0][1]
+    every, at = np.unique(np.concatenate([sets[k] for k in by]), return_inverse=True) if rows else (np.zeros(0), np.zeros(0, int))
+    bounds, on, found = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(every), np.int32), []
+    for x in range(len(by)):
+        last = int(np.searchsorted(size, 100 * size[x] // LEAST, side="right"))  # larger ones can't link
+        if last <= x + 1 or not size[x]:
+            continue
+        mine = at[bounds[x] : bounds[x + 1]]
+        on[mine] = 1
+        both = np.add.reduceat(on.take(at[bounds[x + 1] : bounds[last]]), bounds[x + 1 : last] - bounds[x + 1]).astype(np.int64)
+        on[mine] = 0
+        good = (100 * both >= LEAST * (size[x] + size[x + 1 : last] - both)) & (comp[x + 1 : last] != comp[x])
+        if not alone:
+            good &= block[x + 1 : last] != block[x]
+        found += [(int(node[x]), int(y)) for y in node[x + 1 : last][good]]
+    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 # --- components ---
@@ -384,7 +403,14 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = int(min(1 << 16, max(1, -(-total * 14 // 10 // TASK_SIGNATURES) * 2)))
-    signed = docs.mapInArrow(_sign(tasks, frequent), "p int, n long, sig binary, doc binary")
+
+    def small(ids: DataFrame) -> DataFrame:
+        """ids, to be broadcast if they are few."""
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    own = nodes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce(F.col("rep") != F.col("doc_id"), F.lit(False))).alias("copy"))
+    copies = stored(own.filter("copy").select("doc_id"), "jaccard-copies")  # only one of equal sets signs
+    signed = docs.join(small(copies), "doc_id", "left_anti").mapInArrow(_sign(tasks, frequent), "p int, n long, sig binary, doc binary")
     found = stored(signed.groupBy("p").applyInArrow(_buckets, "a long, b long, members array<long>"), "jaccard-buckets")
 
     def as_reps(pairs: DataFrame) -> DataFrame:
@@ -396,9 +422,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        few = wanted.count() <= BROADCAST_IDS  # then only these texts are exchanged
-        own = docs.join(F.broadcast(wanted), "doc_id", "left_semi") if few else docs.filter("doc_id IS NOT NULL")
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        own = docs.join(small(wanted), "doc_id", "left_semi")  # only these texts are exchanged
         for side in ("a", "b"):
             pairs = pairs.join(own.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
         return stored(pairs.mapInArrow(_verify, "a long, b long").distinct(), name)
@@ -414,12 +439,19 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     lists = found.filter("size(members) > 0").join(centers, "a", "left_semi")
     lists = lists.groupBy("a", F.xxhash64("members").alias("bucket"), F.size("members").alias("k")).agg(F.first("members").alias("members"))  # buckets alike are one
     lists = lists.select("a", "bucket", F.explode("members").alias("doc_id"))
-    seen = lists.join(placed, "doc_id").groupBy("a", "bucket", "node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
-    mixed = seen.groupBy("a", "bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.collect_list(F.struct("comp", "node", "n")).alias("m")).filter("x <> y")
-    mixed = mixed.repartition("a")  # equal pairs of a center's buckets meet
-    rest = mixed.select("m").mapInArrow(_across, "a long, b long").distinct()
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(stored(rest, "jaccard-rest"), "jaccard-more")
+    seen = stored(lists.join(placed, "doc_id").select("a", "bucket", "node", "n", "comp"), "jaccard-open")
+    mixed = seen.groupBy("a", "bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("a", "bucket")
+    members = seen.join(mixed, ["a", "bucket"], "left_semi").groupBy("a", "node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"))
+    members = stored(members, "jaccard-members")
+    # a center's members are compared in blocks: pairs never are rows
+    sizes = members.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    own = docs.join(small(wanted), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    whole = own.groupBy("node").agg(F.min("text").alias("text"))  # a repeated doc_id is one node
+    more = dealt.join(whole, "node").groupBy("a", "i", "j").applyInArrow(_compare, "a long, b long")
+    more = stored(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-more")
     comp = components(links.union(more))
     out = nodes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
