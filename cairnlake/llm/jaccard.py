@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import remembered, stored, table
 from .shingles import Shingler, mix, split_sets, texts
 
 #: Similarity in hundredths; signatures a reducing task holds, about twice; signatures that a
@@ -327,32 +327,45 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the nodes of one or two blocks (i, j, block, node, comp, text): the pairs of different
-    components that link, of one block among themselves, or of one with the other."""
-    shingler, rows, sets = Shingler(), [], []
+    """From the nodes of one or two blocks (i, j, block, node, comp, buckets, text): the pairs of
+    different components that share a bucket and link, of one block among themselves, or of one
+    with the other."""
+    shingler, rows, sets, buckets = remembered("shingler", 0, Shingler), [], [], []
     for b in batches:
         for i, j, data, offsets in texts(b.column("text")):
             elements, bounds = split_sets(shingler.sets(data, offsets), j - i)
             sets += [elements[bounds[k] : bounds[k + 1]] for k in range(j - i)]
         rows += zip(*(b.column(c).to_pylist() for c in ("i", "j", "block", "node", "comp")), strict=True)
+        buckets += b.column("buckets").to_pylist()
     by = sorted(range(len(rows)), key=lambda k: (len(sets[k]), rows[k][3]))
     node, comp, block = (np.array([rows[k][c] for k in by], np.int64) for c in (3, 4, 2))
     size = np.array([len(sets[k]) for k in by], np.int64)
     alone = not rows or rows[0][0] == rows[0][1]
+    inside: dict[int, list[int]] = {}
+    for place, k in enumerate(by):
+        for x in buckets[k]:
+            inside.setdefault(x, []).append(place)
+    meet = np.zeros((len(by), len(by)), bool)
+    for m in {tuple(m) for m in inside.values()}:
+        meet[np.ix_(m, m)] = True
     every, at = np.unique(np.concatenate([sets[k] for k in by]), return_inverse=True) if rows else (np.zeros(0), np.zeros(0, int))
     bounds, on, found = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(every), np.int32), []
     for x in range(len(by)):
         last = int(np.searchsorted(size, 100 * size[x] // LEAST, side="right"))  # larger ones can't link
-        if last <= x + 1 or not size[x]:
+        open_ = meet[x, x + 1 : last] & (comp[x + 1 : last] != comp[x])
+        if not alone:
+            open_ &= block[x + 1 : last] != block[x]
+        other = np.flatnonzero(open_) + x + 1
+        if not len(other) or not size[x]:
             continue
-        mine = at[bounds[x] : bounds[x + 1]]
+        mine, n = at[bounds[x] : bounds[x + 1]], size[other]
         on[mine] = 1
-        both = np.add.reduceat(on.take(at[bounds[x + 1] : bounds[last]]), bounds[x + 1 : last] - bounds[x + 1]).astype(np.int64)
+        begin = np.cumsum(n) - n
+        places = at[np.arange(begin[-1] + n[-1]) + np.repeat(bounds[other] - begin, n)] if len(other) < last - x - 1 else at[bounds[x + 1] : bounds[last]]
+        both = np.add.reduceat(on.take(places), begin).astype(np.int64)
         on[mine] = 0
-        good = (100 * both >= LEAST * (size[x] + size[x + 1 : last] - both)) & (comp[x + 1 : last] != comp[x])
-        if not alone:
-            good &= block[x + 1 : last] != block[x]
-        found += [(int(node[x]), int(y)) for y in node[x + 1 : last][good]]
+        good = 100 * both >= LEAST * (size[x] + n - both)
+        found += [(int(node[x]), int(y)) for y in node[other[good]]]
     yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -441,12 +454,12 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     lists = lists.select("a", "bucket", F.explode("members").alias("doc_id"))
     seen = stored(lists.join(placed, "doc_id").select("a", "bucket", "node", "n", "comp"), "jaccard-open")
     mixed = seen.groupBy("a", "bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("a", "bucket")
-    members = seen.join(mixed, ["a", "bucket"], "left_semi").groupBy("a", "node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"))
+    members = seen.join(mixed, ["a", "bucket"], "left_semi").groupBy("a", "node").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.collect_set("bucket").alias("buckets"))
     members = stored(members, "jaccard-members")
     # a center's members are compared in blocks: pairs never are rows
     sizes = members.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "node", "comp", "buckets", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     own = docs.join(small(wanted), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
     whole = own.groupBy("node").agg(F.min("text").alias("text"))  # a repeated doc_id is one node
