@@ -37,14 +37,17 @@ MAIL_LIKE = r"[\p{L}\p{N}._%+-]{1,64}\x20?(?:@|[\[(]at[\])])\x20?[\p{L}\p{N}._-]
 NUMBER_LIKE = r"(?<![\p{L}\p{N}])[+(]?[0-9][0-9\x20().-]{6,28}[0-9](?![\p{L}\p{N}])"
 #: Card numbers standing alone, each for itself also where several follow one another.
 CARD_LIKE = r"(?<![\p{L}\p{N}])(?<![0-9]\.)(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2}[\x20-][0-9]{2,7}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5})(?![\p{L}\p{N}])(?!\.[0-9])"
-GENERATORS = (("mail_like", MAIL_LIKE), ("number_like", NUMBER_LIKE), ("card_like", CARD_LIKE))
+#: Keys, tokens and hashes: long runs of the characters that hexadecimal and base64 use.
+SECRET_LIKE = r"(?<![\p{L}\p{N}+/_=.-])[A-Za-z0-9+/_-]{20,512}+={0,2}(?![\p{L}\p{N}+/_=-])"
+GENERATORS = (("mail_like", MAIL_LIKE), ("number_like", NUMBER_LIKE), ("card_like", CARD_LIKE), ("secret_like", SECRET_LIKE))
 #: A cue word right before a span, of at most CUE_CHARS characters with what may stand between.
 CUES = r"(?i)(?<![\p{L}\p{N}])(?:tel|telephone|phone|call|fax|mobile|card|account|iban|e-?mail|mail|contact|ssn|passport)[^\p{L}\p{N}\n]{0,4}(?:(?:no|nr|number|is|at|me|us|on|to)[^\p{L}\p{N}\n]{1,3}){0,2}$"
+SECRET_CUES = r"(?i)(?<![\p{L}\p{N}])(?:[\p{L}\p{N}]{1,20}[_-])?(?:token|secret|key|apikey|password|passwd|pwd|auth|bearer|credentials?)[\"']?\x20{0,2}[:=]{0,2}\x20{0,2}[\"']?$"
 CUE_CHARS = 40
 #: Calibrated chance from which a candidate is added; trees, their learning rate.
 THRESHOLD, TREES, RATE = 0.98, 24, 0.4
 #: Values of each feature, 0 up; their product bounds the table of counts.
-FEATURES = {"generator": 3, "digits": 6, "lead": 3, "marks": 4, "valid": 4, "cue": 2}
+FEATURES = {"generator": 4, "digits": 6, "lead": 3, "marks": 4, "valid": 4, "cue": 2}
 CELLS = int(np.prod(list(FEATURES.values())))
 SPAN = "array<struct<kind: string, start: long, end: long, found: string>>"
 
@@ -98,23 +101,30 @@ def candidates(text: Column) -> Column:
     number = F.when(text.rlike(r"[0-9][0-9\x20().-]{6}"), F.filter(_matches(text, NUMBER_LIKE, "number_like"), lambda x: F.length(_digits(x["found"])) >= 7)).otherwise(none)
     card = F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _matches(text, CARD_LIKE, "card_like")).otherwise(none)
     sure = F.filter(card, lambda x: _luhn(_digits(x["found"])))
-    return F.concat(mail, F.filter(number, lambda x: ~_meets(x, sure)), card)
+    secret = F.when(text.rlike(r"[A-Za-z0-9+/_-]{20}"), F.filter(_matches(text, SECRET_LIKE, "secret_like"), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]"))).otherwise(none)
+    return F.concat(mail, F.filter(number, lambda x: ~_meets(x, sure)), card, secret)
 
 
 def span_features(text: Column, x: Column) -> dict[str, Column]:
     """Categorical format and context features of one candidate."""
     found, digits = x["found"], _digits(x["found"])
     n = F.length(digits)
-    mail = x["kind"] == "mail_like"
-    band = F.when(mail, F.least(n, F.lit(5))).when(n < 9, 0).when(n < 10, 1).when(n < 14, 2).when(n <= 15, 3).when(n <= 19, 4).otherwise(5)
-    lead = F.when(found.startswith("+"), 1).when(found.rlike(r"^\([0-9]{2,5}\)[0-9\x20.-]+$"), 2).otherwise(0)
+    mail, secret, long_ = x["kind"] == "mail_like", x["kind"] == "secret_like", F.length(found)
+    hexed = found.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    size = F.when(long_ == 32, 1).when(long_ == 40, 2).when(long_ == 64, 3).when(long_ > 64, 4).when(long_ > 32, 5).otherwise(0)
+    band = F.when(mail, F.least(n, F.lit(5))).when(secret, size).when(n < 9, 0).when(n < 10, 1).when(n < 14, 2).when(n <= 15, 3).when(n <= 19, 4).otherwise(5)
+    quoted = F.substring(text, x["start"].cast("int"), F.lit(1)).isin('"', "'") & (x["start"] > 0)
+    lead = F.when(secret, quoted.cast("int")).when(found.startswith("+"), 1).when(found.rlike(r"^\([0-9]{2,5}\)[0-9\x20.-]+$"), 2).otherwise(0)
     at = F.when(found.rlike(r"[\[(]at[\])]"), 1).when(found.rlike(r"\x20@|@\x20"), 2).otherwise(0)
-    marks = F.when(mail, at).when(found.rlike(r"^[0-9]+$"), 0).when(F.contains(found, F.lit("(")), 1).when(found.rlike(r"^[0-9]+(?:\.[0-9]+)+$"), 2).otherwise(3)
+    both = found.rlike("[a-z]") & found.rlike("[A-Z]")
+    marks = F.when(mail, at).when(secret, F.when(found.rlike("[/_-]"), 3).when(both, 2).when(hexed, 0).otherwise(1)).when(found.rlike(r"^[0-9]+$"), 0).when(F.contains(found, F.lit("(")), 1).when(found.rlike(r"^[0-9]+(?:\.[0-9]+)+$"), 2).otherwise(3)
     domain = found.rlike(r"[A-Za-z0-9-]\.[A-Za-z]{2,}")
     plain = found.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]")
-    valid = F.when(mail, domain.cast("int") + 2 * plain.cast("int")).otherwise(_luhn(digits).cast("int") + 2 * found.rlike(OCTETS).cast("int"))
+    share = F.floor(4 * n / F.length(found))  # of digits
+    valid = F.when(mail, domain.cast("int") + 2 * plain.cast("int")).when(secret, F.least(share, F.lit(3))).otherwise(_luhn(digits).cast("int") + 2 * found.rlike(OCTETS).cast("int"))
     before = F.substring(text, F.greatest(x["start"] - (CUE_CHARS - 1), F.lit(1)).cast("int"), F.least(x["start"], F.lit(CUE_CHARS)).cast("int"))
-    out = {"generator": F.when(mail, 0).when(x["kind"] == "number_like", 1).otherwise(2), "digits": band, "lead": lead, "marks": marks, "valid": valid, "cue": before.rlike(CUES).cast("int")}
+    cue = F.when(secret, before.rlike(SECRET_CUES)).otherwise(before.rlike(CUES))
+    out = {"generator": F.when(mail, 0).when(x["kind"] == "number_like", 1).when(secret, 3).otherwise(2), "digits": band, "lead": lead, "marks": marks, "valid": valid, "cue": cue.cast("int")}
     return {k: v.cast("int") for k, v in out.items()}
 
 
@@ -125,7 +135,8 @@ def evident(x: Column, f: dict[str, Column]) -> Column:
     n, cue = F.length(_digits(x["found"])), f["cue"] == 1
     mail = (f["valid"] % 2 == 1) & ((f["marks"] != 2) | cue)
     number = (f["valid"] >= 2) | (n.between(10, 15) & (f["lead"] > 0)) | (n.between(7, 19) & cue)
-    return F.when(f["generator"] == 0, mail).when(f["generator"] == 1, number).otherwise((f["valid"] % 2 == 1) | cue)
+    secret = cue | ((f["marks"] == 0) & f["digits"].between(1, 3) & (f["lead"] == 1))  # or a quoted hash of a usual length
+    return F.when(f["generator"] == 0, mail).when(f["generator"] == 1, number).when(f["generator"] == 3, secret).otherwise((f["valid"] % 2 == 1) | cue)
 
 
 def _meets(x: Column, spans: Column) -> Column:
@@ -239,11 +250,14 @@ def fit_candidates(spanned: DataFrame) -> Boosted:
 
 def find_pii(documents: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """The kept columns, text (null as empty), base and added: arrays of (kind, start, end,
-    found), places in characters, end exclusive. Added spans meet no base span.
+    found), places in characters, end exclusive. Added spans meet no base span. A kept column
+    named text, base, added or candidates is refused.
 
     Whole texts are searched. Empty texts and empty tables have no span; rows repeat as in the
     input; columns that aren't kept play no part.
     """
+    if clash := {"text", "base", "added", "candidates"} & set(keep):
+        raise ValueError(f"kept columns would be hidden: {sorted(clash)}; wrap them in a struct")
     t = F.coalesce(F.col(text), F.lit(""))
     spanned = documents.select(*keep, t.alias("text")).withColumn("base", base_spans(F.col("text"))).withColumn("candidates", candidates(F.col("text")))
     model = fit_candidates(spanned)
@@ -282,7 +296,8 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the base spans' counts and digest, all spans, and how many there are."""
     found = find_pii(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     n = [count(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

@@ -94,17 +94,26 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)([^?#]*)", 2)
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed_labels: Sequence[str] = LISTED_LABELS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def listed_hosts(pages: DataFrame, labels: Sequence[str] = LISTED_LABELS) -> DataFrame:
+    """(key): the hosts of pages that have one of the labels, as a blocklist would name them."""
+    hosts = pages.select(host_of(F.col("url")).alias("key")).distinct()
+    return hosts.filter(F.arrays_overlap(F.split("key", r"\."), F.array(*[F.lit(x) for x in labels])))
+
+
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, listed.
 
-    The longest rule (host and path together) that fits decides; else a listed host is
-    blocked and any other allowed. Null urls and urls without :// have empty host and path,
-    fit no rule and are allowed. Rows repeat as they do in the input; other columns of the
-    input are not read.
+    listed(key) are the blocked hosts; the cascade is built for all hosts of pages and then
+    tells exactly which are listed. The longest rule (host and path together) that fits decides,
+    of equally long ones the last given; else a listed host is blocked and any other allowed.
+    Null urls and urls without :// have empty host and path, fit no rule and are allowed unless
+    the empty host is listed. Null keys and keys that no page has play no part. Rows repeat as
+    they do in the input; an empty table gives an empty result; other columns aren't read.
     """
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    marks = F.arrays_overlap(F.split("key", r"\."), F.array(*[F.lit(x) for x in listed_labels])) if listed_labels else F.lit(False)
-    keys = stored(seen.select(F.col("host").alias("key")).distinct().select("key", marks.alias("listed")), "url-keys")
+    blocked = listed.filter("key IS NOT NULL").select("key", F.lit(True).alias("_on")).distinct()
+    keys = seen.select(F.col("host").alias("key")).distinct().join(blocked, "key", "left")
+    keys = stored(keys.select("key", F.coalesce("_on", F.lit(False)).alias("listed")), "url-keys")
     levels = build_cascade(keys, max_bytes)
     if levels is None:
         seen = seen.join(keys.withColumnRenamed("key", "host"), "host")
@@ -118,7 +127,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    """Per page its host, path, the rule that fits and the verdict."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, listed_hosts(pages))
 
 
 ORACLE = r"""

@@ -263,9 +263,13 @@ def test_urls(spark):
     }
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)], "page_id long, url string, host string")
     for cut in (url_filter.MAX_BYTES, 1):
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, max_bytes=cut).collect()}
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, url_filter.listed_hosts(df), max_bytes=cut).collect()}
         assert [got[i] for i in range(len(cases))] == list(cases.values())
-    assert url_filter.judge_urls(df.limit(0)).collect() == []
+    listed = spark.createDataFrame([("net",), ("net",), (None,), ("nowhere",), ("",)], "key string")
+    twice = url_filter.judge_urls(df.union(df), listed, rules=[("allow", "example.com", "/d"), ("block", "example.com", "/d")]).collect()
+    assert len(twice) == 2 * len(cases) and {(r.host, r.verdict) for r in twice if r.listed} == {("net", "block"), ("", "block")}
+    assert {(r.rule, r.verdict) for r in twice if r.rule} == {("example.com/d", "block")}
+    assert url_filter.judge_urls(df.limit(0), listed).collect() == [] and not any(r.listed for r in url_filter.judge_urls(df, listed.limit(0)).collect())
 
 
 # --- token files ---
