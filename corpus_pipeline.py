@@ -6,7 +6,7 @@ run() writes each stage's result to the shared folder and reads it again for the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnlake.llm.common import fresh_path, table
@@ -21,14 +21,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
     used = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
     whole = docs.select(*used, F.struct("*").alias("_row"))  # so that no name clashes
-    return score_quality(whole, table(spark, sf_dir, "labels")).filter("keep").select("_row.*")
+    return score_quality(whole, table(spark, sf_dir, "labels"), keep=("_row",)).filter("keep").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id, once. Documents
-    without words link with nothing and stay, as do those without a doc_id."""
+    """Of each group of near duplicates one document, that of the smallest doc_id; of rows that
+    repeat a doc_id and its text too, one. Documents without words link with nothing and stay,
+    as do those without a doc_id. Where rows of one doc_id have different texts, they are one
+    node, and stay or go together."""
     groups = jaccard_components(docs).select(F.col("doc_id").alias("_id"), "component_id").filter("_id IS NOT NULL AND _id <> component_id").distinct()
-    return docs.join(groups, docs.doc_id == F.col("_id"), "left_anti")
+    left = docs.select(F.col("doc_id").alias("_d"), F.struct("*").alias("_row")).join(groups, F.col("_d") == F.col("_id"), "left_anti")
+    again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    if not again.isEmpty():
+        same = Window.partitionBy("_d", F.sha2(F.coalesce("_row.text", F.lit("")), 256)).orderBy(F.xxhash64("_row"))
+        rest = left.join(again, F.col("_d") == F.col("_id"), "left_semi").withColumn("_k", F.row_number().over(same)).filter("_k = 1").drop("_k")
+        left = left.join(again, F.col("_d") == F.col("_id"), "left_anti").unionByName(rest)
+    return left.select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
