@@ -44,8 +44,9 @@ def squeeze(c: Column) -> Column:
 
 
 def _unicode(c: Column, form) -> Column:
-    """ASCII text is in every normal form already and stays in the JVM."""
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(form(c))
+    """ASCII text is in every normal form already; Python gets a null in its place."""
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, c).otherwise(form(F.when(~plain, c)))
 
 
 def text_v1(c: Column) -> Column:

@@ -37,11 +37,28 @@ def valid_at(start: Column, end: Column, now: Column) -> Column:
 
 def policy_filter(df: DataFrame, grants: DataFrame, capability: str, key: str = "object_id") -> DataFrame:
     """Rows that some grant(capability, canonical_type, label, effect) of the capability allows
-    and none denies; a null type or label of a grant stands for any."""
-    own = grants.filter(F.col("capability") == capability).select(F.col("canonical_type").alias("_t"), F.col("label").alias("_l"), "effect")
-    fits = (F.col("_t").isNull() | (F.col("_t") == F.col("canonical_type"))) & (F.col("_l").isNull() | (F.col("_l") == F.col("label")))
-    hits = lambda effect: own.filter(F.col("effect") == effect).drop("effect")
-    return df.join(hits("ALLOW"), fits, "left_semi").join(hits("DENY"), fits, "left_anti")
+    and none denies; a null type or label of a grant stands for any.
+
+    The four forms of a grant (type, label, both, neither) are joins of equal keys, with a
+    constant in place of what the grant leaves open.
+    """
+    own = grants.filter(F.col("capability") == capability).select(F.coalesce("canonical_type", F.lit("*")).alias("_t"), F.coalesce("label", F.lit("*")).alias("_l"), "effect")
+    forms = own.groupBy("_t", "_l").agg(F.max(F.col("effect") == "ALLOW").alias("_allow"), F.max(F.col("effect") == "DENY").alias("_deny"))
+    allow, deny, out = F.lit(False), F.lit(False), df
+    for i, (t, label) in enumerate((("canonical_type", "label"), ("canonical_type", None), (None, "label"), (None, None))):
+        names = [f"_t{i}", f"_l{i}", f"_a{i}", f"_d{i}"]
+        out = out.join(forms.toDF(*names), (F.col(names[0]) == (F.lit("*") if t is None else F.col(t))) & (F.col(names[1]) == (F.lit("*") if label is None else F.col(label))), "left")
+        allow, deny = allow | F.coalesce(names[2], F.lit(False)), deny | F.coalesce(names[3], F.lit(False))
+    return out.filter(allow & ~deny).select(*df.columns)
+
+
+def geometry_policy(objects: DataFrame, grants: DataFrame, capability: str) -> DataFrame:
+    """Objects whose geometry may be used: the object's own grants, those of urban.geometry.read
+    and those of the capability all allow it."""
+    out = objects
+    for needed in ("urban.object.read", "urban.geometry.read", capability):
+        out = policy_filter(out, grants, needed)
+    return out
 
 
 def edge_policy(edges: DataFrame, objects: DataFrame, labels: Sequence[str]) -> DataFrame:

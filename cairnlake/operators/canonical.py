@@ -173,3 +173,24 @@ def as_of(intervals: DataFrame, valid: Column, system: Column) -> DataFrame:
     known = (F.col("system_from") <= system) & (F.col("system_to").isNull() | (F.col("system_to") > system))
     held = (F.col("valid_from").isNull() | (F.col("valid_from") <= valid)) & (F.col("valid_to").isNull() | (F.col("valid_to") > valid))
     return intervals.filter(known & held)
+
+
+# --- previews ---
+
+
+def preview_linked(incoming: DataFrame, evidence: DataFrame, current: DataFrame, now: Column, **rule) -> DataFrame:
+    """What an observation would do to the linked properties of its target, without doing it:
+    (handoff_id, property, current_value, proposed_value, status, conflict, change).
+
+    incoming: handoff_id and the columns of evidence; current: object_id, property, value. The
+    rule is reconcile_linked()'s. change: ADDED, UNCHANGED, CHANGED, REMOVED, or null if the
+    status brings no value and there was none.
+    """
+    asked = incoming.select("handoff_id", "object_id", "property").distinct()
+    both = evidence.join(asked, ["object_id", "property"]).unionByName(incoming)
+    keyed = both.withColumn("object_id", F.col("handoff_id")).drop("handoff_id")
+    made = reconcile_linked(keyed, now, **rule).select(F.col("object_id").alias("handoff_id"), "property", "status", F.col("value").alias("proposed_value"))
+    rows = asked.join(made, ["handoff_id", "property"]).join(current.withColumnRenamed("value", "current_value"), ["object_id", "property"], "left")
+    kept = F.when(F.col("status") == "CONFLICT", F.col("current_value")).otherwise(F.col("proposed_value"))
+    change = F.when(kept.isNull() & F.col("current_value").isNull(), F.lit(None)).when(F.col("current_value").isNull(), "ADDED").when(kept.isNull(), "REMOVED").when(kept == F.col("current_value"), "UNCHANGED").otherwise("CHANGED")
+    return rows.select("handoff_id", "property", "current_value", kept.alias("proposed_value"), "status", (F.col("status") == "CONFLICT").alias("conflict"), change.alias("change"))

@@ -50,9 +50,12 @@ def resolve_exact(batch: DataFrame, objects: DataFrame, bindings: DataFrame) ->
 # --- weighted evidence ---
 
 
+SPATIAL = ("DISTANCE", "OVERLAP")
+
+
 @dataclass(frozen=True)
 class Signal:
-    """kind: EXACT, TEXT, NUMBER (with tolerance) or DISTANCE (with tolerance, on metres)."""
+    """kind: EXACT, TEXT, NUMBER (with tolerance), DISTANCE (with tolerance, on metres) or OVERLAP."""
 
     name: str
     kind: str
@@ -79,53 +82,72 @@ class WeightedPolicy:
             raise ValueError("review < high, and a margin above 0")
 
 
+def _evidence(s: Signal, c: Column) -> Column:
+    """A signal's value as it is compared, made once per row before any pairing."""
+    return text_v1(c) if s.kind in ("EXACT", "TEXT") else c.try_cast("double") if s.kind == "NUMBER" else c
+
+
 def signal_score(s: Signal, mine: Column, theirs: Column) -> Column:
-    """0 to 1; null where evidence is missing."""
+    """0 to 1 of values from _evidence; null where evidence is missing. DISTANCE and OVERLAP come
+    with the candidate: metres, and the share of the union that both areas cover."""
     if s.kind == "EXACT":
-        out = (text_v1(mine) == text_v1(theirs)).cast("double")
+        out = (mine == theirs).cast("double")
     elif s.kind == "TEXT":
-        a, b = text_v1(mine), text_v1(theirs)
-        out = F.when((F.length(a) > 512) | (F.length(b) > 512), F.raise_error(F.lit("a compared text has over 512 characters"))).otherwise(similarity(a, b))
+        out = F.when((F.length(mine) > 512) | (F.length(theirs) > 512), F.raise_error(F.lit("a compared text has over 512 characters"))).otherwise(similarity(mine, theirs))
     elif s.kind == "NUMBER":
-        a, b = mine.try_cast("double"), theirs.try_cast("double")
-        fine = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)  # greatest() would pass over a null
-        out = F.when(fine, F.greatest(F.lit(0.0), 1 - F.abs(a - b) / F.lit(s.tolerance)))
+        fine = mine.isNotNull() & theirs.isNotNull() & ~F.isnan(mine) & ~F.isnan(theirs)  # greatest() would pass over a null
+        out = F.when(fine, F.greatest(F.lit(0.0), 1 - F.abs(mine - theirs) / F.lit(s.tolerance)))
     elif s.kind == "DISTANCE":
         out = F.when(theirs.isNotNull(), F.greatest(F.lit(0.0), 1 - theirs / F.lit(s.tolerance)))
+    elif s.kind == "OVERLAP":
+        out = F.when(theirs.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), theirs)))
     else:
         raise ValueError(s.kind)
     return out
 
 
-def weighted_scores(incoming: DataFrame, candidates: DataFrame, policy: WeightedPolicy) -> DataFrame:
-    """(handoff_id, candidate_id, score, missing, other_evidence) for all pairs of a block.
+def _blocked(policy: WeightedPolicy) -> Column:
+    out = F.lit(True)
+    for b in policy.blocking:
+        out = out & F.coalesce(F.trim(F.col(b).cast("string")) != "", F.lit(False))
+    return out
 
-    Both sides have the blocking and signal columns. Missing evidence scores 0, and weights
-    aren't spread anew. An incoming row whose blocking value is null or blank meets nobody.
+
+def weighted_scores(incoming: DataFrame, candidates: DataFrame, policy: WeightedPolicy) -> DataFrame:
+    """(handoff_id, candidate_id, score, missing, other_evidence, candidates) for all pairs of a
+    block; candidates is the block's size. Blocks are counted first, and one of more than
+    policy.most candidates, which is never ranked, isn't paired: a row without candidate and
+    score stands for it.
+
+    Both sides have the blocking and signal columns; DISTANCE and OVERLAP are the candidates'
+    own. Missing evidence scores 0, and weights aren't spread anew. An incoming row whose
+    blocking value is null or blank meets nobody.
     """
-    mine = incoming
-    for b in policy.blocking:
-        mine = mine.filter(F.trim(F.col(b).cast("string")) != "")
-    theirs = candidates.select(F.col("object_id").alias("candidate_id"), *policy.blocking, *[F.col(s.name).alias(f"_c_{s.name}") for s in policy.signals if s.name not in policy.blocking])
-    pairs = mine.join(theirs, list(policy.blocking))
-    each = [signal_score(s, F.col(s.name), F.col(s.name if s.name in policy.blocking else f"_c_{s.name}")) for s in policy.signals]
-    total = sum((F.coalesce(v, F.lit(0.0)) * F.lit(s.weight) for s, v in zip(policy.signals, each, strict=True)), F.lit(0.0))
-    missing = F.filter(F.array(*[F.when(v.isNull(), f"{s.name}:{s.kind}") for s, v in zip(policy.signals, each, strict=True)]), lambda x: x.isNotNull())
-    other = sum((F.coalesce(v, F.lit(0.0)) * F.lit(s.weight) for s, v in zip(policy.signals, each, strict=True) if s.kind != "DISTANCE"), F.lit(0.0))
-    return pairs.select("handoff_id", "candidate_id", total.alias("score"), missing.alias("missing"), (other > 0).alias("other_evidence"))
+    keys = list(policy.blocking)
+    sizes = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"))
+    value = lambda side: [_evidence(s, F.col(s.name)).alias(f"{side}{i}") for i, s in enumerate(policy.signals)]
+    mine = incoming.filter(_blocked(policy)).select("handoff_id", *keys, *value("_a")).join(sizes, keys)
+    broad = F.col("candidates") > policy.most
+    theirs = candidates.select(F.col("object_id").alias("candidate_id"), *keys, *value("_b"))
+    pairs = mine.filter(~broad).join(theirs, keys)
+    each = [signal_score(s, F.col(f"_a{i}"), F.col(f"_b{i}")) for i, s in enumerate(policy.signals)]
+    weighed = [(s, v, F.coalesce(v, F.lit(0.0)) * F.lit(s.weight)) for s, v in zip(policy.signals, each, strict=True)]
+    total = sum((w for _, _, w in weighed), F.lit(0.0))
+    missing = F.filter(F.array(*[F.when(v.isNull(), f"{s.name}:{s.kind}") for s, v, _ in weighed]), lambda x: x.isNotNull())
+    other = sum((w for s, _, w in weighed if s.kind not in SPATIAL), F.lit(0.0))
+    scored = pairs.select("handoff_id", "candidate_id", total.alias("score"), missing.alias("missing"), (other > 0).alias("other_evidence"), "candidates")
+    rest = mine.filter(broad).select("handoff_id", "candidates")
+    return scored.unionByName(rest, allowMissingColumns=True)
 
 
 def weighted_decisions(incoming: DataFrame, scores: DataFrame, policy: WeightedPolicy) -> DataFrame:
-    """(handoff_id, outcome, reason, target, best, margin, candidates), a row per incoming row.
-
-    Too many candidates are never ranked. The best two come from one aggregate per incoming row.
+    """(handoff_id, outcome, reason, target, best, margin, candidates), a row per incoming row, from
+    weighted_scores(). Too many candidates are never ranked, so no more than policy.most scores
+    of a row come together.
     """
     order = F.struct((-F.col("score")).alias("s"), F.col("candidate_id").alias("id"), F.col("other_evidence").alias("o"))
-    agg = scores.groupBy("handoff_id").agg(F.count(F.lit(1)).alias("candidates"), F.min(order).alias("b"), F.max((F.size("missing") > 0).cast("int")).alias("gaps"), F.slice(F.sort_array(F.collect_list(-F.col("score"))), 1, 2).alias("two"))
-    blocked = F.lit(True)
-    for c in policy.blocking:
-        blocked = blocked & F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False))
-    rows = incoming.withColumn("_k", blocked).select("handoff_id", "_k").join(agg, "handoff_id", "left")
+    agg = scores.groupBy("handoff_id").agg(F.max("candidates").alias("candidates"), F.min(order).alias("b"), F.max((F.size("missing") > 0).cast("int")).alias("gaps"), F.slice(F.sort_array(F.collect_list(-F.col("score"))), 1, 2).alias("two"))
+    rows = incoming.select("handoff_id", _blocked(policy).alias("_k")).join(agg, "handoff_id", "left")
     n = F.coalesce("candidates", F.lit(0))
     top = -F.col("b.s")
     margin = F.when(n > 1, top + F.col("two")[1]).otherwise(1.0)
@@ -175,15 +197,36 @@ def shapes(token_rows: DataFrame, key: str) -> DataFrame:
     return out.withColumn("shape", F.sha2(F.array_join("fields", "\0"), 256))
 
 
+def _apart(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(shape, _s): the shapes of candidates whose fields are disjoint from a subject's shape."""
+    catalogue = theirs.select(F.col("shape").alias("_s"), F.col("fields").alias("_f")).distinct()  # at most 2 ** signals rows
+    return mine.select("shape", "fields").distinct().join(F.broadcast(catalogue), ~F.arrays_overlap("fields", "_f")).select("shape", "_s")
+
+
+def governed_broad(subjects: DataFrame, candidates: DataFrame, policy: GovernedPolicy) -> DataFrame:
+    """(handoff_id) of subjects that a single token, or the disjoint shapes, give more than
+    policy.most candidates: told from counts per token and shape, without pairing."""
+    mine, theirs = tokens(subjects, "handoff_id", policy), tokens(candidates, "object_id", policy)
+    keys = ["property", "comparator", "token"]
+    hot = theirs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > policy.most)
+    shape_of, held = shapes(mine, "handoff_id"), shapes(theirs, "object_id")
+    counts = held.groupBy(F.col("shape").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    wide = _apart(shape_of, held).join(counts, "_s").groupBy("shape").agg(F.sum("n").alias("n")).filter(F.col("n") > policy.most)
+    return mine.join(hot, keys, "left_semi").select("handoff_id").union(shape_of.join(wide, "shape", "left_semi").select("handoff_id")).distinct()
+
+
 def governed_assessments(subjects: DataFrame, candidates: DataFrame, policy: GovernedPolicy) -> DataFrame:
     """(handoff_id, object_id, exact, excluded) of the retrieved candidates: those sharing an
-    equal token, and those whose fields are disjoint from the subject's, found by shape."""
+    equal token, and those whose fields are disjoint from the subject's, found by shape.
+
+    Subjects of governed_broad() aren't paired: nothing of theirs is ranked. So no token or shape
+    brings a subject more than policy.most candidates.
+    """
+    subjects = subjects.join(governed_broad(subjects, candidates, policy), "handoff_id", "left_anti")
     mine, theirs = tokens(subjects, "handoff_id", policy), tokens(candidates, "object_id", policy)
     shape_of, shape_ids = shapes(mine, "handoff_id"), shapes(theirs, "object_id")
     equal = mine.join(theirs, ["property", "comparator", "token"]).select("handoff_id", "object_id")
-    catalogue = shape_ids.select(F.col("shape").alias("_s"), F.col("fields").alias("_f")).distinct()  # at most 2 ** signals rows
-    apart = shape_of.select("shape", "fields").distinct().join(F.broadcast(catalogue), ~F.arrays_overlap("fields", "_f")).select("shape", "_s")
-    disjoint = shape_of.join(apart, "shape").select("handoff_id", F.col("_s").alias("shape")).join(shape_ids.select("object_id", "shape"), "shape").select("handoff_id", "object_id")
+    disjoint = shape_of.join(_apart(shape_of, shape_ids), "shape").select("handoff_id", F.col("_s").alias("shape")).join(shape_ids.select("object_id", "shape"), "shape").select("handoff_id", "object_id")
     hits = equal.unionByName(disjoint).distinct()
     as_map = lambda t, k, name: t.groupBy(k).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("property", "token")))).alias(name))
     rows = hits.join(as_map(mine, "handoff_id", "a"), "handoff_id").join(as_map(theirs, "object_id", "b"), "object_id")
@@ -201,11 +244,13 @@ def governed_assessments(subjects: DataFrame, candidates: DataFrame, policy: Gov
 
 def governed_decisions(subjects: DataFrame, candidates: DataFrame, policy: GovernedPolicy, complete: bool = True) -> DataFrame:
     """(handoff_id, outcome, reason, target, candidates). `complete`: whether the index that the
-    candidates came from covers the current snapshot."""
+    candidates came from covers the current snapshot. Beyond policy.most candidates the count
+    is policy.most + 1, as retrieval ends there."""
     found = governed_assessments(subjects, candidates, policy).groupBy("handoff_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact").cast("int")).alias("ne"), F.sum(F.col("excluded").cast("int")).alias("nx"), F.min(F.when(F.col("exact"), F.col("object_id"))).alias("hit"))
     exposed = tokens(subjects, "handoff_id", policy).select("handoff_id").distinct().withColumn("_f", F.lit(True))
-    rows = subjects.select("handoff_id").join(exposed, "handoff_id", "left").join(found, "handoff_id", "left")
-    n, ne, nx = (F.coalesce(c, F.lit(0)) for c in ("n", "ne", "nx"))
+    broad = governed_broad(subjects, candidates, policy).withColumn("_b", F.lit(policy.most + 1))
+    rows = subjects.select("handoff_id").join(exposed, "handoff_id", "left").join(found, "handoff_id", "left").join(broad, "handoff_id", "left")
+    n, ne, nx = F.least(F.coalesce("_b", "n", F.lit(0)), F.lit(policy.most + 1)), F.coalesce("ne", F.lit(0)), F.coalesce("nx", F.lit(0))
     new = F.lit(policy.allow_new)
     cases = [
         (n > policy.most, "REVIEW_REQUIRED", "RESOLUTION_TOO_BROAD"),

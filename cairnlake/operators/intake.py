@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.functions.hashing import canonical_json, sha256_ref
+
 OPERATIONS = ("UPSERT", "DELETE", "TOMBSTONE")
 MODES = ("FULL_SNAPSHOT", "DELTA_PATCH", "PROPERTY_EVENTS")
 REQUIRED = ("handoff_id", "ingestion_run_id", "ingestion_id", "source_id", "type_code", "source_object_id", "lineage_id", "content_hash")
@@ -46,7 +48,8 @@ def classify(batch: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
 
     batch: handoff_id, content_hash, payload, arrival (total order). accepted: handoff_id,
     content_hash, payload of earlier batches, one row an id. The first arrival of an unknown id
-    is NEW; what equals the accepted row is a DUPLICATE, anything else a CONFLICT.
+    is NEW; what equals the accepted row is a DUPLICATE, anything else a CONFLICT. Payloads that
+    are JSON are equal whatever the order of their keys.
     """
     first = Window.partitionBy("handoff_id").orderBy("arrival")
     rows = batch.withColumn("_n", F.row_number().over(first))
@@ -57,7 +60,8 @@ def classify(batch: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
         rows = rows.join(old, "handoff_id", "left").withColumn("_h", F.when(F.col("_old"), F.col("_oh")).otherwise(F.col("_h"))).withColumn("_p", F.when(F.col("_old"), F.col("_op")).otherwise(F.col("_p")))
     else:
         rows = rows.withColumn("_old", F.lit(None).cast("boolean"))
-    decision = F.when(F.col("_old").isNull() & (F.col("_n") == 1), "NEW").when(same("content_hash", "_h") & same("payload", "_p"), "DUPLICATE").otherwise("CONFLICT")
+    alike = same("payload", "_p") | F.coalesce(canonical_json(F.col("payload")) == canonical_json(F.col("_p")), F.lit(False))
+    decision = F.when(F.col("_old").isNull() & (F.col("_n") == 1), "NEW").when(same("content_hash", "_h") & alike, "DUPLICATE").otherwise("CONFLICT")
     return rows.select(*batch.columns, decision.alias("decision"), F.concat(F.lit("udp://handoffs/"), F.col("handoff_id")).alias("receipt"))
 
 
@@ -68,3 +72,23 @@ def verify_raw_refs(batch: DataFrame, lake: DataFrame) -> DataFrame:
     scope = (F.col("tenant_id") == F.col("_t")) & (F.col("source_id") == F.col("_s")) & (F.col("type_code") == F.col("_c"))
     status = F.when(F.col("raw_ref").isNull(), "NONE").when(F.col("_tier").isNull(), "MISSING").when(~scope, "SCOPE").when((F.col("_tier") != "RAW") | (F.col("_st") != "VERIFIED"), "TIER").otherwise("OK")
     return rows.withColumn("raw_status", status).drop("_t", "_s", "_c", "_tier", "_st")
+
+
+def lookup(accepted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(handoff_id) with found and the accepted row's columns, null where there is none."""
+    rows = accepted.withColumn("found", F.lit(True))
+    return wanted.join(rows, "handoff_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def publication_problems(publications: DataFrame) -> DataFrame:
+    """publications(ref, body, checksum) with problem: NOT_JSON, CHECKSUM (the SHA-256 of the body
+    with sorted keys isn't the pinned one) or null."""
+    body = canonical_json(F.col("body"))
+    problem = F.when(body.isNull(), "NOT_JSON").when(~F.coalesce(sha256_ref(body) == F.col("checksum"), F.lit(False)), "CHECKSUM")
+    return publications.withColumn("problem", problem)
+
+
+def json_kind(c: Column) -> Column:
+    """string, number, boolean, map, list or null of a JSON text; null where it isn't JSON."""
+    kind = F.schema_of_variant(F.try_parse_json(c))
+    return F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").when(kind.startswith("OBJECT"), "map").when(kind.startswith("ARRAY"), "list").when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)"), "number")

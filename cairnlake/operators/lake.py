@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Allowed transitions of a catalogue entry.
+#: Allowed transitions of a catalogue entry (fixed values).
 TRANSITIONS = {
-    "STAGED": ("DURABLE", "QUARANTINED"),
+    "STAGED": ("DURABLE", "FAILED"),
     "DURABLE": ("VERIFIED", "QUARANTINED"),
     "VERIFIED": ("COMPACTED", "COLD", "DELETION_PENDING", "QUARANTINED"),
-    "COLD": ("VERIFIED", "DELETION_PENDING"),
-    "COMPACTED": ("COLD", "DELETION_PENDING"),
+    "COMPACTED": ("COLD", "DELETION_PENDING", "QUARANTINED"),
+    "COLD": ("VERIFIED", "DELETION_PENDING", "QUARANTINED"),
     "QUARANTINED": ("VERIFIED", "DELETION_PENDING"),
     "DELETION_PENDING": ("DELETED", "VERIFIED"),
 }
-IDENTITY = ("tenant_id", "source_id", "type_code", "tier", "content_hash", "size_bytes")
+IDENTITY = ("tenant_id", "source_id", "type_code", "tier", "content_hash", "media_type", "size_bytes", "retention_class", "label", "created_at")
+#: Entries of one boundary that a task packs, about.
+PACKED_ENTRIES = 50_000
 MOST_INPUTS, MOST_BYTES = 100, 64 << 20
 
 
@@ -43,7 +46,8 @@ def write_checks(writes: DataFrame, most_bytes: int = 50 * 1_000_000) -> DataFra
 
 
 def transition_problems(before: DataFrame, after: DataFrame, transitions: Mapping[str, Sequence[str]] = TRANSITIONS) -> DataFrame:
-    """(lake_id, problem) of changes the guard refuses: VANISHED, IDENTITY, VERSION, STATUS."""
+    """(lake_id, problem) of changes the guard refuses: VANISHED, IDENTITY, STATUS, VERSION. A row
+    of which nothing changed is no change."""
     a = before.select("lake_id", F.struct(*[c for c in before.columns if c != "lake_id"]).alias("a"))
     b = after.select("lake_id", F.struct(*[c for c in after.columns if c != "lake_id"]).alias("b"))
     rows = a.join(b, "lake_id", "left")
@@ -54,8 +58,10 @@ def transition_problems(before: DataFrame, after: DataFrame, transitions: Mappin
     allowed = F.lit(False)
     for x, ys in transitions.items():
         allowed = allowed | ((F.col("a.status") == x) & F.col("b.status").isin(*ys))
-    untouched = F.col("a.version") == F.col("b.version")
-    problem = F.when(F.col("b").isNull(), "VANISHED").when(~same, "IDENTITY").when(untouched & (F.col("a.status") == F.col("b.status")), F.lit(None)).when(F.col("b.version") != F.col("a.version") + 1, "VERSION").when((F.col("a.status") != F.col("b.status")) & ~allowed, "STATUS")
+    untouched = F.lit(True)
+    for c in set(before.columns) & set(after.columns) - {"lake_id"}:
+        untouched = untouched & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    problem = F.when(F.col("b").isNull(), "VANISHED").when(~same, "IDENTITY").when(untouched, F.lit(None)).when((F.col("a.status") != F.col("b.status")) & ~allowed, "STATUS").when(F.col("b.version") != F.col("a.version") + 1, "VERSION")
     return rows.select("lake_id", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
@@ -92,33 +98,52 @@ def reconcile(catalogue: DataFrame, inventory: DataFrame) -> DataFrame:
     return rows.select("lake_id", "locator", "finding", F.when(F.col("finding") == "ORPHAN_STORAGE", "HIGH").otherwise("CRITICAL").alias("severity"))
 
 
-def compaction_plan(catalogue: DataFrame, boundary: Sequence[str] = ("tenant_id", "tier", "retention_class", "label"), most_inputs: int = MOST_INPUTS, most_bytes: int = MOST_BYTES, buckets: int = 1) -> DataFrame:
-    """VERIFIED entries in bins of equal boundary values: bin_no, position, logical_offset.
+def compaction_plan(catalogue: DataFrame, boundary: Sequence[str] = ("tenant_id", "tier", "retention_class", "label"), most_inputs: int = MOST_INPUTS, most_bytes: int = MOST_BYTES, packed: int = PACKED_ENTRIES) -> DataFrame:
+    """VERIFIED entries with bin_id, position (from 1) and logical_offset in their bin, or with the
+    reason why they are in none: TOO_LARGE (over most_bytes alone) or SINGLE_INPUT.
 
-    In id order, a bin holds the entries that begin within one half of most_bytes, so it stays
-    under most_bytes if no entry is larger than a half, and most_inputs of them at most. With
-    buckets > 1 a boundary's entries are dealt by hash into so many parts first, so that no
-    boundary value, however common, lands in one task.
+    In id order an entry joins its boundary's open bin if that stays within most_bytes and
+    most_inputs, and else opens the next; a bin of one entry isn't packed. A boundary of over
+    `packed` entries is dealt by hash of the id into parts of about so many, so no boundary
+    value, however common, lands in one task.
     """
-    rows = catalogue.filter(F.col("status") == "VERIFIED").filter(F.col("size_bytes") <= most_bytes // 2)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("lake_id"), F.lit(buckets)).cast("int"))
-    keys = [*boundary, "bucket"]
-    w = Window.partitionBy(*keys).orderBy("lake_id")
-    # bins by bytes alone follow from the running sum; the number of inputs cuts them further
-    before = F.coalesce(F.sum("size_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_block", F.floor(before / F.lit(most_bytes // 2)))
-    inner = Window.partitionBy(*keys, "_block").orderBy("lake_id")
-    rows = rows.withColumn("_part", F.floor((F.row_number().over(inner) - 1) / most_inputs))
-    bin_ = Window.partitionBy(*keys, "_block", "_part").orderBy("lake_id")
-    rows = rows.withColumn("position", F.row_number().over(bin_).cast("long"))
-    rows = rows.withColumn("logical_offset", (F.sum("size_bytes").over(bin_.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size_bytes")).cast("long"))
-    return rows.withColumn("bin_id", F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col("_block").cast("string"), F.col("_part").cast("string")))).drop("_block", "_part", "bucket")
-
-
-def snapshot_digest(catalogue: DataFrame) -> DataFrame:
-    """Per tenant the SHA-256 of id:hash:size in id order, joined by |."""
+    own = list(boundary)
+    rows = catalogue.filter(F.col("status") == "VERIFIED").select("lake_id", *own, "size_bytes")
+    named = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in own])
+    parts = rows.groupBy(named.alias("_k")).agg(F.ceil(F.count(F.lit(1)) / packed).alias("_parts"))
+    rows = rows.withColumn("_k", named).join(parts, "_k").withColumn("_part", F.pmod(F.xxhash64("lake_id"), F.col("_parts")))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("lake_id", kind="stable")
+        bins, positions, offsets, held, n, no = [], [], [], 0, 0, 0
+        for size in part["size_bytes"]:
+            if size > most_bytes:
+                bins.append(-1), positions.append(0), offsets.append(0)
+                continue
+            if n and (held + size > most_bytes or n == most_inputs):
+                held, n, no = 0, 0, no + 1
+            bins.append(no), positions.append(n + 1), offsets.append(held)
+            held, n = held + size, n + 1
+        part = part[["lake_id", "_k", "_part"]].assign(bin_no=bins, position=positions, logical_offset=offsets)
+        part["inputs"] = part.groupby("bin_no")["lake_id"].transform("size")
+        return part
+
+    done = rows.groupBy("_k", "_part").applyInPandas(pack, "lake_id string, _k string, _part long, bin_no long, position long, logical_offset long, inputs long")
+    reason = F.when(F.col("bin_no") < 0, "TOO_LARGE").when(F.col("inputs") < 2, "SINGLE_INPUT")
+    in_bin = lambda c: F.when(reason.isNull(), c)
+    bin_id = F.md5(F.concat_ws("|", "_k", F.col("_part").cast("string"), F.col("bin_no").cast("string")))
+    return done.select("lake_id", in_bin(bin_id).alias("bin_id"), in_bin(F.col("position")).alias("position"), in_bin(F.col("logical_offset")).alias("logical_offset"), reason.alias("reason"))
+
+
+def snapshot_digest(catalogue: DataFrame, ranges: int = 256) -> DataFrame:
+    """Per tenant the SHA-256 of its ranges' digests, and n entries. A range holds the entries whose
+    SHA-256 of the id begins alike, its digest is that of their id:hash:size in id order, joined
+    by |; no array holds more than a range's entries or `ranges` digests of a tenant."""
     one = F.concat_ws(":", "lake_id", "content_hash", F.col("size_bytes").cast("string"))
-    return catalogue.groupBy("tenant_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(one)), "|"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    at = (F.conv(F.substring(F.sha2("lake_id", 256), 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
+    part = catalogue.groupBy("tenant_id", at.alias("_at")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(one)), "|"), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_d"))), lambda x: F.concat_ws(":", x["_at"].cast("string"), x["_d"]))
+    return part.groupBy("tenant_id").agg(F.sha2(F.array_join(lines, "|"), 256).alias("digest"), F.sum("_n").alias("n"))
 
 
 def shadow_status(plan: DataFrame, copied: DataFrame, current: DataFrame) -> DataFrame:
@@ -160,3 +185,22 @@ def replayed(handoffs: DataFrame, plan_id: str) -> DataFrame:
 def catalogue_duplicates(entries: DataFrame) -> DataFrame:
     """(kind, ref) that a contract catalogue holds more than once."""
     return entries.groupBy("kind", "ref").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+#: Failures after which a quarantined job may be tried again (fixed values).
+RECOVERABLE_STATES = ("VERIFIED", "COMPACTED", "COLD")
+
+
+def recovery_review(jobs: DataFrame, technical: Sequence[str]) -> DataFrame:
+    """jobs with eligible and check: NOT_ELIGIBLE, or READY, MISSING, CONTRACT_INVALID.
+
+    jobs: state, intake_state, failure_code, claimed_by, lease_until, effect_present,
+    decision_present, approved_new, lake_state, contract_valid, baseline_hash. A job may be
+    retried if it is quarantined for a technical code, unclaimed, without canonical effect, with
+    no decision but an approved new identity, and its raw object is there.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    ok = (F.col("state") == "QUARANTINED") & (F.col("intake_state") == "DURABLE") & F.col("failure_code").isin(*technical) & F.col("claimed_by").isNull() & F.col("lease_until").isNull()
+    ok = F.coalesce(ok & ~yes("effect_present") & (~yes("decision_present") | yes("approved_new")) & F.col("lake_state").isin(*RECOVERABLE_STATES), F.lit(False))
+    check = F.when(~ok, "NOT_ELIGIBLE").when(~yes("contract_valid"), "CONTRACT_INVALID").when(F.col("baseline_hash").isNull(), "MISSING").otherwise("READY")
+    return jobs.withColumn("eligible", ok).withColumn("check", check)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.hashing import match_key, uuid3
+from cairnlake.sources.scratch import stored
 
 from .access import label_rank
 
@@ -77,20 +78,15 @@ def split_edges(edges: DataFrame, splits: DataFrame) -> DataFrame:
     return ends.join(n, "object_id").groupBy("relationship_id", "relation").agg(F.max("successors").alias("successors")).withColumn("status", F.lit("REVIEW_REQUIRED"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once, its plan cut; in the shared folder where there is one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def resolve_redirects(merges: DataFrame) -> DataFrame:
     """(merged_id, final_id, hops): redirect chains of any length, followed by doubling until no
     final_id is itself merged; a cycle raises an error. A merge into null ends its chain."""
-    out = _kept(merges.select("merged_id", F.col("survivor_id").alias("final_id"), F.lit(1).cast("long").alias("hops")))
+    out = stored(merges.select("merged_id", F.col("survivor_id").alias("final_id"), F.lit(1).cast("long").alias("hops")), "redirects")
     most, reach = out.count(), 1  # a chain without a cycle has a hop per merge at most
     while True:
         nxt = out.filter("final_id IS NOT NULL").select(F.col("merged_id").alias("final_id"), F.col("final_id").alias("_f"), F.col("hops").alias("_h"))
         rows = out.join(nxt, "final_id", "left")
-        step = _kept(rows.select("merged_id", F.coalesce("_f", "final_id").alias("final_id"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_f").isNotNull().alias("_moved")))
+        step = stored(rows.select("merged_id", F.coalesce("_f", "final_id").alias("final_id"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_f").isNotNull().alias("_moved")), "redirects")
         out = step.drop("_moved")
         if step.filter("_moved").isEmpty():
             return out
@@ -104,3 +100,11 @@ def tenant_backfill(scopes: DataFrame) -> DataFrame:
     candidate that is unknown."""
     agg = scopes.groupBy("issue_id").agg(F.min("tenant_id").alias("tenant_id"), F.count_distinct("tenant_id").alias("t"), F.count("tenant_id").alias("known"), F.count(F.lit(1)).alias("n"))
     return agg.filter("t = 1 AND known = n").select("issue_id", "tenant_id", F.col("n").alias("candidates"))
+
+
+def retry_issues(issues: DataFrame, targets: DataFrame, most: int = 10) -> DataFrame:
+    """One tick: the `most` oldest OPEN issues(issue_id, state, opened_at and the columns of
+    resolve_references()) resolved again; RESOLVED where there is one target now."""
+    oldest = issues.filter("state = 'OPEN'").orderBy("opened_at", "issue_id").limit(most)
+    out = resolve_references(oldest, targets)
+    return out.select("issue_id", F.when(F.col("outcome") == "MATCHED", "RESOLVED").otherwise("OPEN").alias("state"), "outcome", "target_id")

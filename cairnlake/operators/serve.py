@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +48,17 @@ def coverage(tokens: DataFrame, key: str, fingerprint: str) -> DataFrame:
     and tokens, and a digest of all tokens in which order plays no part."""
     line = F.xxhash64(key, "property", "comparator", "token")
     return tokens.agg(F.lit(fingerprint).alias("policy"), F.count_distinct(key).alias("objects"), F.count(F.lit(1)).alias("tokens"), F.coalesce(F.bit_xor(line), F.lit(0)).alias("digest"))
+
+
+def percentiles(samples: DataFrame, by: str, value: str, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """Per group the number of samples, their greatest, and nearest-rank percentiles p50, p95 ..."""
+    ranks = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(100 * s)}") for s in shares]
+    return samples.groupBy(by).agg(F.count(value).alias("n"), *ranks, F.max(value).alias("most"))
+
+
+def parked(rows: DataFrame, now: Column, before: Column | None = None) -> DataFrame:
+    """rows with state: PARKED until valid_from, then DUE; with `before`, the last tick's time,
+    RELEASED are those that became due since."""
+    due = F.col("valid_from").isNull() | (F.col("valid_from") <= now)
+    fresh = F.lit(False) if before is None else F.coalesce(F.col("valid_from") > before, F.lit(False))
+    return rows.withColumn("state", F.when(~due, "PARKED").when(fresh, "RELEASED").otherwise("DUE"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, StructField, StructType
 
 from cairnlake.functions import geometry as G
 
@@ -168,15 +168,150 @@ def overlap_pairs(left: DataFrame, right: DataFrame, least: float, cell: float =
     return out.filter(F.col("share") >= least)
 
 
+def _pairwise(returns: DataType, kernel):
+    """A pandas UDF over two WKB columns; each distinct geometry of a batch is parsed once."""
+
+    @pandas_udf(returns)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[bytes, tuple[str, list]] = {}
+
+        def get(x):
+            x = bytes(x)
+            if x not in known:
+                known[x] = G.from_wkb(x)
+            return known[x]
+
+        return pd.Series([None if x is None or y is None else kernel(get(x), get(y)) for x, y in zip(a, b, strict=True)], dtype="float64" if returns == DoubleType() else "object")
+
+    return run
+
+
+distance_between = _pairwise(DoubleType(), G.distance_m)
+lies_within = _pairwise(BooleanType(), G.within)
+
+
+METRICS = StructType([StructField("topologically_equal", BooleanType()), *(StructField(c, DoubleType()) for c in ("minimum_distance_m", "current_area_m2", "candidate_area_m2"))])
+
+
+@pandas_udf(METRICS)
+def geometry_metrics(current: pd.Series, candidate: pd.Series) -> pd.DataFrame:
+    """What a reviewer of two geometries (WKB) sees; null where one is absent."""
+    rows = []
+    for x, y in zip(current, candidate, strict=True):
+        if x is None or y is None:
+            rows.append((None, None, None, None))
+            continue
+        a, b = G.from_wkb(bytes(x)), G.from_wkb(bytes(y))
+        rows.append((G.within(a, b) and G.within(b, a), G.distance_m(a, b), G.area_m2(a), G.area_m2(b)))
+    return pd.DataFrame(rows, columns=METRICS.names)
+
+
+PREDICATES = ("INTERSECTS", "WITHIN", "CONTAINS", "NEAREST", "OVERLAP_RATIO")
+
+
+def spatial_candidates(sources: DataFrame, targets: DataFrame, predicate: str, cell: float = 0.05, max_distance: float | None = None, min_overlap: float | None = None) -> DataFrame:
+    """(anchor_id, object_id, distance_m) of the pairs that a predicate holds for; both sides come
+    from with_bounds(). A source is its own candidate if it is among the targets."""
+    if predicate not in PREDICATES:
+        raise ValueError("SPATIAL_PREDICATE_UNSUPPORTED")
+    if predicate == "NEAREST":
+        if max_distance is None:
+            raise ValueError("SPATIAL_MAX_DISTANCE_REQUIRED")
+        up = F.lit(max_distance / 110_000)
+        side = up / F.greatest(F.cos(F.radians(F.greatest(F.abs("min_y"), F.abs("max_y")) + up)), F.lit(0.01))
+        sources = sources.withColumns({"min_x": F.col("min_x") - side, "max_x": F.col("max_x") + side, "min_y": F.col("min_y") - up, "max_y": F.col("max_y") + up})
+    if predicate == "OVERLAP_RATIO" and min_overlap is None:
+        raise ValueError("SPATIAL_MIN_OVERLAP_REQUIRED")
+    pairs = box_pairs(sources, targets, cell)
+    if predicate == "INTERSECTS":
+        pairs = pairs.filter(polygons_intersect("l_wkb", "r_wkb"))
+    elif predicate == "WITHIN":
+        pairs = pairs.filter((F.col("l_min_x") >= F.col("r_min_x")) & (F.col("l_max_x") <= F.col("r_max_x")) & (F.col("l_min_y") >= F.col("r_min_y")) & (F.col("l_max_y") <= F.col("r_max_y"))).filter(lies_within("l_wkb", "r_wkb"))
+    elif predicate == "CONTAINS":
+        pairs = pairs.filter((F.col("r_min_x") >= F.col("l_min_x")) & (F.col("r_max_x") <= F.col("l_max_x")) & (F.col("r_min_y") >= F.col("l_min_y")) & (F.col("r_max_y") <= F.col("l_max_y"))).filter(lies_within("r_wkb", "l_wkb"))
+    elif predicate == "OVERLAP_RATIO":
+        pairs = pairs.filter(overlap_share("l_wkb", "r_wkb") >= min_overlap)
+    out = pairs.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"), distance_between("l_wkb", "r_wkb").alias("distance_m"))
+    return out.filter(F.col("distance_m") <= max_distance) if predicate == "NEAREST" else out
+
+
+def spatial_relate(sources: DataFrame, targets: DataFrame, predicate: str, cell: float = 0.05, max_distance: float | None = None, min_overlap: float | None = None, margin: float | None = None, self_loops: bool = False) -> DataFrame:
+    """A row per source: anchor_id, outcome, object_id, candidates.
+
+    One candidate is MATCHED, none SPATIAL_NO_MATCH, several SPATIAL_MULTIPLE_MATCHES unless the
+    predicate is NEAREST and the second stays at least `margin` metres behind; a source that
+    would match itself is SELF_LOOP_NOT_ALLOWED.
+    """
+    pairs = spatial_candidates(sources, targets, predicate, cell, max_distance, min_overlap)
+    counts = pairs.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("candidates"))
+    best = choose_nearest(pairs, margin) if predicate == "NEAREST" and margin is not None else choose_nearest(pairs, float("inf"))
+    rows = sources.select(F.col("object_id").alias("anchor_id")).join(counts, "anchor_id", "left").join(best.drop("distance_m"), "anchor_id", "left")
+    loop = F.lit(not self_loops) & (F.col("object_id") == F.col("anchor_id"))
+    outcome = F.when(F.col("candidates").isNull(), "SPATIAL_NO_MATCH").when(F.col("outcome") != "MATCHED", F.col("outcome")).when(loop, "SELF_LOOP_NOT_ALLOWED").otherwise("MATCHED")
+    return rows.select("anchor_id", outcome.alias("outcome"), F.when(outcome == "MATCHED", F.col("object_id")).alias("object_id"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+
+
 def choose_nearest(pairs: DataFrame, margin: float, metric: str = "distance_m") -> DataFrame:
     """Per anchor (anchor_id, outcome, object_id, metric): the nearest, or MULTIPLE_MATCHES if
-    the second is within the margin."""
-    best = pairs.groupBy("anchor_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(metric, "object_id"))), 1, 2).alias("b"))
+    the second is within the margin. Only each anchor's best two are gathered."""
+    w = Window.partitionBy("anchor_id").orderBy(metric, "object_id")
+    two = pairs.withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
+    best = two.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct(metric, "object_id"))).alias("b"))
     gap = F.when(F.size("b") > 1, F.col("b")[1][metric] - F.col("b")[0][metric])
     sure = gap.isNull() | (gap >= margin)
     return best.select("anchor_id", F.when(sure, "MATCHED").otherwise("SPATIAL_MULTIPLE_MATCHES").alias("outcome"), F.when(sure, F.col("b")[0]["object_id"]).alias("object_id"), F.col("b")[0][metric].alias(metric))
 
 
+def store_geometries(incoming: DataFrame, kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new revisions, observations) for incoming(handoff_id, object_id, role, ewkb, source_crs,
+    transformation, normalisation): a geometry is known by object, hash and normalisation, so
+    equal ones are stored once, by the first handoff; every handoff observes its geometry."""
+    keys = ["object_id", "geometry_hash", "normalisation"]
+    line = F.concat_ws("|", F.lower("ewkb"), "source_crs", "transformation", "role")
+    seen = incoming.withColumn("geometry_hash", F.sha2(line, 256))
+    new = seen.groupBy(*keys).agg(F.min(F.struct("handoff_id", "role", "ewkb", "source_crs", "transformation")).alias("g")).select(*keys, "g.*")
+    return new if kept is None else new.join(kept.select(*keys), keys, "left_anti"), seen.select("handoff_id", *keys)
+
+
+def pair_distances(pairs: DataFrame, points: DataFrame, left: str, right: str, distance: str = "sphere") -> DataFrame:
+    """pairs with distance_m between the active points(object_id, lon, lat) of two objects; null
+    where one has none."""
+    out = pairs
+    for p, c in (("a", left), ("b", right)):
+        out = out.join(points.select(F.col("object_id").alias(c), F.col("lon").alias(f"_{p}x"), F.col("lat").alias(f"_{p}y")), c, "left")
+    here = [F.col(c) for c in ("_ax", "_ay", "_bx", "_by")]
+    metres = F.when(F.col("_ax").isNotNull() & F.col("_bx").isNotNull(), haversine(*here) if distance == "sphere" else spheroid(*here))
+    return out.select(*pairs.columns, metres.alias("distance_m"))
+
+
+def served_geometries(geometries: DataFrame, labels: Sequence[str], now: Column) -> DataFrame:
+    """(object_id, geometries, primary, hidden): the visible current geometries of an object by
+    role, of geometries(object_id, role, geojson, canonical, provenance, label, valid_from,
+    valid_to); the PRIMARY one again by itself, and the roles withheld, for the audit."""
+    from .access import valid_at
+
+    live = geometries.filter(valid_at(F.col("valid_from"), F.col("valid_to"), now))
+    seen = F.coalesce(F.col("label").isin(*labels) if labels else F.lit(False), F.lit(False))
+    item = F.struct("role", "geojson", "canonical", "provenance")
+    out = live.groupBy("object_id").agg(F.sort_array(F.collect_list(F.when(seen, item))).alias("geometries"), F.sort_array(F.collect_list(F.when(~seen, F.col("role")))).alias("hidden"))
+    return out.select("object_id", "geometries", F.get(F.filter("geometries", lambda g: g["role"] == "PRIMARY"), F.lit(0)).alias("primary"), "hidden")
+
+
+def decide_geometries(issues: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(issue_id, outcome, geometry) for decisions(issue_id, expected, chosen, actor, reason) on
+    issues(issue_id, state, previous, candidate, current, decided_geometry, decided_actor,
+    decided_reason): REASON_REQUIRED; CONFLICT where the choice isn't one of exactly this pair or
+    the current geometry has moved; REPLAYED for the same decision again; else DECIDED."""
+    rows = decisions.join(issues, "issue_id", "left")
+    blank = F.coalesce(F.trim("reason"), F.lit("")) == ""
+    pair = F.col("chosen").isin(F.col("previous"), F.col("candidate")) & (F.col("expected") == F.col("previous"))
+    again = F.col("chosen").eqNullSafe(F.col("decided_geometry")) & F.col("actor").eqNullSafe(F.col("decided_actor")) & F.col("reason").eqNullSafe(F.col("decided_reason"))
+    fresh = (F.col("state") == "OPEN") & (F.col("previous") == F.col("current"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    outcome = F.when(blank | (F.length("reason") > 2000), "REASON_REQUIRED").when(~yes(pair), "CONFLICT").when(F.col("decided_geometry").isNotNull(), F.when(again, "REPLAYED").otherwise("CONFLICT")).when(yes(fresh), "DECIDED").otherwise("CONFLICT")
+    return rows.select("issue_id", outcome.alias("outcome"), F.when(outcome.isin("DECIDED", "REPLAYED"), F.col("chosen")).alias("geometry"))
+
+
 def arbitrate(rows: DataFrame, order: Sequence[str], now: Column) -> DataFrame:
     """rows of an incoming geometry (source_id, observed_at, valid_from, valid_to, geometry_hash)
     beside the current one (cur_*), with action: FUTURE, HISTORICAL_ONLY, ADVANCE, RETAIN or

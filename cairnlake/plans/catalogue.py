@@ -184,7 +184,7 @@ WHERE (canonical_type = 'Part' OR label = 'OPEN') AND NOT (canonical_type = 'Ord
 def policy_filter(spark, sf):
     """Grants: parts and all that is open, but no orders and no restricted parts."""
     grants = spark.createDataFrame([("read", "Part", None, "ALLOW"), ("read", None, "OPEN", "ALLOW"), ("read", "Order", None, "DENY"), ("read", "Part", "RESTRICTED", "DENY"), ("write", None, None, "ALLOW")], "capability string, canonical_type string, label string, effect string")
-    return access.policy_filter(registry(spark, sf, "OBJECTS"), F.broadcast(grants), "read").select("object_id", "canonical_type", "label")
+    return access.policy_filter(registry(spark, sf, "OBJECTS"), grants, "read").select("object_id", "canonical_type", "label")
 
 
 _PROPS = f"""
@@ -322,16 +322,16 @@ def resolve_exact(spark, sf):
     return identity.resolve_exact(batch, objects, bindings).select("handoff_id", "outcome", "reason", "target")
 
 
-WEIGHTED = identity.WeightedPolicy((identity.Signal("p_name", "TEXT", 0.5), identity.Signal("p_size", "NUMBER", 0.3, 10.0), identity.Signal("p_type", "EXACT", 0.2)), ("p_brand",), 0.9, 0.5, 0.05, 60)
-_INCOMING = "SELECT concat('h', CAST(p_partkey AS STRING)) AS handoff_id, CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE p_brand END AS p_brand, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE concat(' ', upper(p_name)) END AS p_name, CAST(p_size + p_partkey % 4 AS STRING) AS p_size, p_type FROM {part} WHERE p_partkey % 10 = 0 OR p_partkey % 31 = 0 OR p_partkey % 10 = 3"
-_KNOWN = "SELECT concat('part:', lpad(CAST(p_partkey AS STRING), 9, '0')) AS object_id, p_brand, p_name, CAST(p_size AS STRING) AS p_size, p_type FROM {part} WHERE p_partkey % 10 <> 7"
-_SCORES = f"""i AS ({_INCOMING.replace('{part}', 'part')}), c AS ({_KNOWN.replace('{part}', 'part')}),
+WEIGHTED = identity.WeightedPolicy((identity.Signal("p_name", "TEXT", 0.5), identity.Signal("p_retailprice", "NUMBER", 0.3, 10.0), identity.Signal("p_type", "EXACT", 0.2)), ("p_brand", "p_size"), 0.9, 0.5, 0.05, 24)
+_INCOMING = "SELECT concat('h', CAST(p_partkey AS STRING)) AS handoff_id, CASE WHEN p_partkey % 31 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 29 = 0 THEN 99 ELSE p_size END AS p_size, CASE WHEN p_partkey % 5 <> 0 THEN concat(' ', upper(p_name)) END AS p_name, CAST(p_retailprice + p_partkey % 4 AS STRING) AS p_retailprice, p_type FROM {part}"
+_KNOWN = "SELECT concat('part:', lpad(CAST(p_partkey AS STRING), 9, '0')) AS object_id, p_brand, p_size, p_name, CAST(p_retailprice AS STRING) AS p_retailprice, p_type FROM {part}"
+_SCORES = f"""i AS ({_INCOMING.replace('{part}', 'part')}), c AS ({_KNOWN.replace('{part}', 'part')}), n AS (SELECT p_brand, p_size, count(*) AS total FROM c GROUP BY ALL),
 p AS (
   SELECT i.handoff_id, c.object_id AS candidate_id, i.p_name IS NULL AS gap,
     0.5 * coalesce(1 - levenshtein(lower(trim(i.p_name)), lower(trim(c.p_name))) / greatest(length(trim(i.p_name)), length(trim(c.p_name))), 0) AS a,
-    0.3 * greatest(0.0, 1 - abs(CAST(i.p_size AS DOUBLE) - CAST(c.p_size AS DOUBLE)) / 10) AS b,
+    0.3 * greatest(0.0, 1 - abs(CAST(i.p_retailprice AS DOUBLE) - CAST(c.p_retailprice AS DOUBLE)) / 10) AS b,
     0.2 * CASE WHEN lower(i.p_type) = lower(c.p_type) THEN 1.0 ELSE 0.0 END AS c
-  FROM i JOIN c ON i.p_brand = c.p_brand
+  FROM i JOIN c ON i.p_brand = c.p_brand AND i.p_size = c.p_size JOIN n ON n.p_brand = i.p_brand AND n.p_size = i.p_size WHERE n.total <= 24
 )"""
 
 
@@ -342,18 +342,18 @@ def _weighted(spark, sf):
 
 @query(f"WITH {_SCORES} SELECT handoff_id, candidate_id, round(a + b + c, 6) AS score, CASE WHEN gap THEN 'p_name:TEXT' ELSE '' END AS missing FROM p")
 def weighted_score(spark, sf):
-    out = identity.weighted_scores(*_weighted(spark, sf), WEIGHTED)
+    out = identity.weighted_scores(*_weighted(spark, sf), WEIGHTED).filter("candidate_id IS NOT NULL")
     return out.select("handoff_id", "candidate_id", F.round("score", 6).alias("score"), F.array_join("missing", ",").alias("missing"))
 
 
 @query(f"""
 WITH {_SCORES},
-r AS (SELECT *, round(a + b + c, 9) AS s, row_number() OVER (PARTITION BY handoff_id ORDER BY round(a + b + c, 9) DESC, candidate_id) AS n, lead(round(a + b + c, 9)) OVER (PARTITION BY handoff_id ORDER BY round(a + b + c, 9) DESC, candidate_id) AS second, count(*) OVER (PARTITION BY handoff_id) AS total, bool_or(gap) OVER (PARTITION BY handoff_id) AS gaps FROM p),
-d AS (SELECT i.handoff_id, i.p_brand, r.* EXCLUDE (handoff_id), coalesce(s - second, 1.0) AS margin FROM i LEFT JOIN r ON r.handoff_id = i.handoff_id AND r.n = 1),
-e AS (SELECT *, CASE WHEN p_brand IS NULL THEN 'BLOCKING_EVIDENCE_MISSING' WHEN total IS NULL THEN 'NO_CANDIDATES' WHEN total > 60 THEN 'RESOLUTION_TOO_BROAD' WHEN s < 0.5 AND gaps THEN 'IDENTITY_EVIDENCE_INCOMPLETE'
+r AS (SELECT *, round(a + b + c, 9) AS s, row_number() OVER (PARTITION BY handoff_id ORDER BY round(a + b + c, 9) DESC, candidate_id) AS k, lead(round(a + b + c, 9)) OVER (PARTITION BY handoff_id ORDER BY round(a + b + c, 9) DESC, candidate_id) AS second, bool_or(gap) OVER (PARTITION BY handoff_id) AS gaps FROM p),
+d AS (SELECT i.handoff_id, i.p_brand, n.total, r.* EXCLUDE (handoff_id), coalesce(s - second, 1.0) AS margin FROM i LEFT JOIN n ON n.p_brand = i.p_brand AND n.p_size = i.p_size LEFT JOIN r ON r.handoff_id = i.handoff_id AND r.k = 1),
+e AS (SELECT *, CASE WHEN p_brand IS NULL THEN 'BLOCKING_EVIDENCE_MISSING' WHEN total IS NULL THEN 'NO_CANDIDATES' WHEN total > 24 THEN 'RESOLUTION_TOO_BROAD' WHEN s < 0.5 AND gaps THEN 'IDENTITY_EVIDENCE_INCOMPLETE'
    WHEN s < 0.5 THEN 'BELOW_REVIEW_THRESHOLD' WHEN s >= 0.9 AND margin >= 0.05 THEN 'HIGH_CONFIDENCE' ELSE 'AMBIGUOUS_OR_POLICY_REVIEW' END AS reason FROM d)
 SELECT handoff_id, CASE reason WHEN 'NO_CANDIDATES' THEN 'NEW_OBJECT' WHEN 'BELOW_REVIEW_THRESHOLD' THEN 'NEW_OBJECT' WHEN 'HIGH_CONFIDENCE' THEN 'MATCH' ELSE 'REVIEW_REQUIRED' END AS outcome, reason,
-  CASE WHEN reason = 'HIGH_CONFIDENCE' THEN candidate_id END AS target, CASE WHEN total <= 60 THEN round(s, 6) END AS best, CASE WHEN total <= 60 THEN round(margin, 6) END AS margin, CAST(coalesce(total, 0) AS BIGINT) AS candidates
+  CASE WHEN reason = 'HIGH_CONFIDENCE' THEN candidate_id END AS target, CASE WHEN total <= 24 THEN round(s, 6) END AS best, CASE WHEN total <= 24 THEN round(margin, 6) END AS margin, CAST(coalesce(total, 0) AS BIGINT) AS candidates
 FROM e
 """)
 def weighted_decide(spark, sf):
@@ -363,8 +363,8 @@ def weighted_decide(spark, sf):
 
 
 GOVERNED = identity.GovernedPolicy((("p_name", "TEXT_V1"), ("p_brand", "CONCEPT"), ("p_size", "DECIMAL_V1")), (("p_name", "p_brand"),), (("p_name", "p_size"),), 12, True)
-_SUBJECTS = "SELECT concat('h', CAST(p_partkey AS STRING)) AS handoff_id, CASE WHEN p_partkey % 7 <> 0 THEN upper(p_name) END AS p_name, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 3 = 0 THEN concat(CAST(p_size AS STRING), '.0') END AS p_size FROM {part} WHERE p_partkey % 4 = 0"
-_MASTERS = "SELECT concat('part:', lpad(CAST(p_partkey AS STRING), 9, '0')) AS object_id, p_name, CASE WHEN p_partkey % 11 <> 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS STRING) END AS p_size FROM {part} WHERE p_partkey % 40 IN (0, 3, 8)"
+_SUBJECTS = "SELECT concat('h', CAST(p_partkey AS STRING)) AS handoff_id, CASE WHEN p_partkey % 7 <> 0 THEN upper(concat(p_name, ' ', CAST(p_partkey % 1000 AS STRING))) END AS p_name, CASE WHEN p_partkey % 5 <> 0 THEN concat(p_brand, '/', p_type, '/', CAST(p_partkey % 16 AS STRING)) END AS p_brand, CASE WHEN p_partkey % 3 = 0 THEN concat(CAST(p_size AS STRING), '.0') END AS p_size FROM {part}"
+_MASTERS = "SELECT concat('part:', lpad(CAST(p_partkey AS STRING), 9, '0')) AS object_id, concat(p_name, ' ', CAST(p_partkey % 1000 AS STRING)) AS p_name, CASE WHEN p_partkey % 11 <> 0 THEN concat(p_brand, '/', p_type, '/', CAST(p_partkey % 16 AS STRING)) END AS p_brand, CASE WHEN p_partkey % 17 = 0 THEN CAST(p_size AS STRING) END AS p_size FROM {part}"
 
 
 def _governed(spark, sf):
@@ -410,7 +410,7 @@ pairs AS (
 ), d AS (
   SELECT handoff_id, count(*) AS c, sum(coalesce(exact, FALSE)::INT) AS e, sum((out AND NOT coalesce(exact, FALSE))::INT) AS x, min(CASE WHEN exact THEN object_id END) AS hit FROM marked GROUP BY handoff_id
 ), r AS (
-  SELECT s.handoff_id, coalesce(c, 0) AS c, hit, CASE WHEN c > 12 THEN 'RESOLUTION_TOO_BROAD' WHEN s.p_name IS NULL AND s.p_brand IS NULL AND s.p_size IS NULL THEN 'NO_EXPOSED_CANONICAL_FIELDS' WHEN c IS NULL THEN 'NO_CANDIDATES'
+  SELECT s.handoff_id, least(coalesce(c, 0), 13) AS c, hit, CASE WHEN c > 12 THEN 'RESOLUTION_TOO_BROAD' WHEN s.p_name IS NULL AND s.p_brand IS NULL AND s.p_size IS NULL THEN 'NO_EXPOSED_CANONICAL_FIELDS' WHEN c IS NULL THEN 'NO_CANDIDATES'
     WHEN e = 1 AND x = c - 1 THEN 'COMPLETE_CANONICAL_EQUALITY' WHEN e = 0 AND x = c THEN 'ALL_CANDIDATES_DISTINCT' ELSE 'UNRESOLVED_IDENTITY' END AS reason
   FROM s LEFT JOIN d USING (handoff_id)
 )
@@ -470,7 +470,7 @@ def property_decide(spark, sf):
 
 _LINKED = f"""SELECT object_id, property, source_id, CAST(user_id % 3 AS STRING) AS record_id, contribution_id % 50 AS revision, {_RANK} AS authority_rank, concat(' v', CAST(value AS STRING), ' ') AS value,
   CASE WHEN contribution_id % 9 = 0 THEN TIMESTAMP '2030-01-01 00:00:00' END AS valid_from, CASE WHEN contribution_id % 7 = 0 THEN TIMESTAMP '2000-01-01 00:00:00' END AS valid_to,
-  contribution_id % 41 = 0 AS deleted FROM {{obs}} WHERE contribution_id % 20 < 11"""
+  contribution_id % 41 = 0 AS deleted FROM {{obs}}"""
 _ELIGIBLE = f"""l AS ({_LINKED.replace('{obs}', 'R(OBSERVATIONS)')}), f AS (SELECT * FROM l WHERE valid_from IS NULL OR valid_from <= {NOW}),
 m AS (SELECT *, max(revision) OVER (PARTITION BY object_id, property, source_id, record_id) AS newest FROM f), e AS (SELECT * FROM m WHERE revision = newest AND (valid_to IS NULL OR valid_to > {NOW}))"""
 
@@ -640,20 +640,21 @@ def split_issues(spark, sf):
 
 
 @query("""
-WITH r AS (SELECT c_custkey AS merged_id, c_custkey - 1 AS survivor_id FROM customer WHERE c_custkey % 10 <> 0), w AS (SELECT merged_id, survivor_id AS final_id, 1 AS hops FROM r UNION ALL SELECT w.merged_id, r.survivor_id, w.hops + 1 FROM w JOIN r ON r.merged_id = w.final_id)
+WITH r AS (SELECT c_custkey AS merged_id, CASE WHEN c_custkey > 0 THEN c_custkey // 2 END AS survivor_id FROM customer), w AS (SELECT merged_id, survivor_id AS final_id, 1 AS hops FROM r UNION ALL SELECT w.merged_id, r.survivor_id, w.hops + 1 FROM w JOIN r ON r.merged_id = w.final_id AND r.survivor_id IS NOT NULL)
 SELECT merged_id, max_by(final_id, hops) AS final_id, CAST(max(hops) AS BIGINT) AS hops FROM w GROUP BY merged_id
 """, recursive=True)
 def resolve_redirect(spark, sf):
-    return relate.resolve_redirects(base(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("merged_id"), (F.col("c_custkey") - 1).alias("survivor_id")))
+    """Every customer was merged into the one of half its number; the first is nobody's."""
+    return relate.resolve_redirects(base(spark, sf, "customer").select(F.col("c_custkey").alias("merged_id"), F.expr("CASE WHEN c_custkey > 0 THEN c_custkey DIV 2 END").alias("survivor_id")))
 
 
 @query("""
-WITH s AS (SELECT o_custkey AS issue_id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CONCAT('t', CAST(o_orderkey % 2 AS STRING)) END AS tenant_id FROM orders WHERE o_orderkey % 5 < 2)
+WITH s AS (SELECT o_custkey AS issue_id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CONCAT('t', CAST(CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 2 ELSE o_custkey % 2 END AS STRING)) END AS tenant_id FROM orders)
 SELECT issue_id, min(tenant_id) AS tenant_id, CAST(count(*) AS BIGINT) AS candidates FROM s GROUP BY issue_id HAVING count(DISTINCT tenant_id) = 1 AND count(tenant_id) = count(*)
 """)
 def tenant_backfill(spark, sf):
-    o = base(spark, sf, "orders").filter("o_orderkey % 5 < 2")
-    return relate.tenant_backfill(o.select(F.col("o_custkey").alias("issue_id"), F.when(F.col("o_orderkey") % 50 != 0, F.concat(F.lit("t"), (F.col("o_orderkey") % 2).cast("string"))).alias("tenant_id")))
+    o, tenant = base(spark, sf, "orders"), F.expr("CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 2 ELSE o_custkey % 2 END")
+    return relate.tenant_backfill(o.select(F.col("o_custkey").alias("issue_id"), F.when(F.col("o_orderkey") % 50 != 0, F.concat(F.lit("t"), tenant.cast("string"))).alias("tenant_id")))
 
 
 # --- requests ---
@@ -827,15 +828,26 @@ def lake_reconcile(spark, sf):
 
 
 @query("""
-WITH v AS (SELECT *, coalesce(sum(size_bytes) OVER (PARTITION BY tenant_id, tier, retention_class, label ORDER BY lake_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM R(LAKE) WHERE status = 'VERIFIED' AND size_bytes <= 50000),
-b AS (SELECT *, CAST(floor(before / 50000) AS BIGINT) AS blk FROM v), p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY tenant_id, tier, retention_class, label, blk ORDER BY lake_id) - 1) / 20) AS BIGINT) AS part FROM b)
-SELECT lake_id, CAST(row_number() OVER w AS BIGINT) AS position, CAST(sum(size_bytes) OVER w - size_bytes AS BIGINT) AS logical_offset, md5(concat_ws('|', tenant_id, tier, retention_class, label, '0', CAST(blk AS STRING), CAST(part AS STRING))) AS bin_id FROM p WINDOW w AS (PARTITION BY tenant_id, tier, retention_class, label, blk, part ORDER BY lake_id ROWS UNBOUNDED PRECEDING)
-""")
+WITH v AS (SELECT lake_id, size_bytes AS z, concat_ws('|', coalesce(tenant_id, ''), coalesce(tier, ''), coalesce(retention_class, ''), coalesce(label, '')) AS k, row_number() OVER (PARTITION BY tenant_id, tier, retention_class, label ORDER BY lake_id) AS i FROM R(LAKE) WHERE status = 'VERIFIED'),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lake_id) AS j FROM v WHERE z <= 20000),
+w AS (
+  SELECT lake_id, k, j, z, 0 AS no, 1 AS position, 0::BIGINT AS offs FROM f WHERE j = 1
+  UNION ALL
+  SELECT f.lake_id, f.k, f.j, f.z, w.no + (w.offs + w.z + f.z > 20000 OR w.position = 20)::INT, CASE WHEN w.offs + w.z + f.z > 20000 OR w.position = 20 THEN 1 ELSE w.position + 1 END, CASE WHEN w.offs + w.z + f.z > 20000 OR w.position = 20 THEN 0 ELSE w.offs + w.z END
+  FROM w JOIN f ON f.k = w.k AND f.j = w.j + 1
+), c AS (SELECT *, count(*) OVER (PARTITION BY k, no) AS inputs FROM w)
+SELECT v.lake_id, CASE WHEN inputs > 1 THEN md5(concat_ws('|', v.k, '0', CAST(no AS VARCHAR))) END AS bin_id, CASE WHEN inputs > 1 THEN CAST(position AS BIGINT) END AS position, CASE WHEN inputs > 1 THEN CAST(offs AS BIGINT) END AS logical_offset,
+  CASE WHEN v.z > 20000 THEN 'TOO_LARGE' WHEN inputs < 2 THEN 'SINGLE_INPUT' END AS reason FROM v LEFT JOIN c ON c.lake_id = v.lake_id
+""", recursive=True)
 def lake_compact(spark, sf):
-    return lake.compaction_plan(registry(spark, sf, "LAKE"), most_inputs=20, most_bytes=100_000).select("lake_id", "position", "logical_offset", "bin_id")
+    return lake.compaction_plan(registry(spark, sf, "LAKE"), most_inputs=20, most_bytes=20_000)
 
 
-@query("SELECT tenant_id, sha256(string_agg(lake_id || ':' || content_hash || ':' || CAST(size_bytes AS STRING), '|' ORDER BY lake_id)) AS digest, CAST(count(*) AS BIGINT) AS n FROM R(LAKE) GROUP BY tenant_id")
+@query("""
+WITH e AS (SELECT tenant_id, lake_id || ':' || content_hash || ':' || CAST(size_bytes AS STRING) AS one, CAST(floor(CAST('0x' || substr(sha256(lake_id), 1, 8) AS BIGINT) * 256 / 4294967296) AS INT) AS slot FROM R(LAKE)),
+p AS (SELECT tenant_id, slot, sha256(string_agg(one, '|' ORDER BY one)) AS d, count(*) AS n FROM e GROUP BY ALL)
+SELECT tenant_id, sha256(string_agg(CAST(slot AS STRING) || ':' || d, '|' ORDER BY slot)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY tenant_id
+""")
 def lake_digest(spark, sf):
     return lake.snapshot_digest(registry(spark, sf, "LAKE"))
 
@@ -849,16 +861,23 @@ def deletion_guard(spark, sf):
     return rows.select("lake_id", F.array_join(lake.deletion_blocks(F.expr(NOW)), ",").alias("blocks"))
 
 
-@query("""
-SELECT lake_id, CASE WHEN doc_id % 20 = 5 THEN 'VANISHED' WHEN doc_id % 20 = 6 THEN 'IDENTITY' WHEN doc_id % 20 = 7 THEN 'VERSION' WHEN status IN ('DELETION_PENDING', 'STAGED', 'COMPACTED') THEN 'STATUS' END AS problem FROM R(LAKE)
-WHERE doc_id % 20 IN (5, 6, 7) OR (doc_id % 20 <> 8 AND status IN ('DELETION_PENDING', 'STAGED', 'COMPACTED'))
+_AFTER = "CASE (doc_id // 20) % 9 WHEN 0 THEN 'STAGED' WHEN 1 THEN 'DURABLE' WHEN 2 THEN 'VERIFIED' WHEN 3 THEN 'COMPACTED' WHEN 4 THEN 'COLD' WHEN 5 THEN 'QUARANTINED' WHEN 6 THEN 'DELETION_PENDING' WHEN 7 THEN 'DELETED' ELSE 'FAILED' END"
+
+
+@query(f"""
+WITH b AS (SELECT lake_id, doc_id, doc_id % 20 AS d, status AS old, {_AFTER} AS new FROM R(LAKE)),
+ok(old, new) AS (VALUES ('STAGED', 'DURABLE'), ('STAGED', 'FAILED'), ('DURABLE', 'VERIFIED'), ('DURABLE', 'QUARANTINED'), ('VERIFIED', 'COMPACTED'), ('VERIFIED', 'COLD'), ('VERIFIED', 'DELETION_PENDING'), ('VERIFIED', 'QUARANTINED'), ('COMPACTED', 'COLD'), ('COMPACTED', 'DELETION_PENDING'), ('COMPACTED', 'QUARANTINED'), ('COLD', 'VERIFIED'), ('COLD', 'DELETION_PENDING'), ('COLD', 'QUARANTINED'), ('QUARANTINED', 'VERIFIED'), ('QUARANTINED', 'DELETION_PENDING'), ('DELETION_PENDING', 'DELETED'), ('DELETION_PENDING', 'VERIFIED')),
+p AS (SELECT lake_id, CASE WHEN d = 5 THEN 'VANISHED' WHEN d IN (6, 9) THEN 'IDENTITY' WHEN d = 8 THEN NULL WHEN old <> new AND (old, new) NOT IN (SELECT (old, new) FROM ok) THEN 'STATUS' WHEN d IN (7, 10) THEN 'VERSION' END AS problem FROM b)
+SELECT * FROM p WHERE problem IS NOT NULL
 """)
 def lifecycle_guard(spark, sf):
-    """After: verified entries went cold; some vanished, changed identity, skipped a version or stayed."""
+    """After: any status; some vanished, changed hash or label, skipped or kept a version, or stayed."""
     rows, d = registry(spark, sf, "LAKE"), F.col("doc_id") % 20
-    kept = ["lake_id", "tenant_id", "content_hash", "status"]
-    before = rows.select(*kept, F.lit(1).alias("version"))
-    after = rows.filter(d != 5).select("lake_id", "tenant_id", F.when(d == 6, "x").otherwise(F.col("content_hash")).alias("content_hash"), F.when(d == 8, F.col("status")).otherwise(F.when(F.col("status") == "VERIFIED", "COLD").otherwise("DURABLE2")).alias("status"), F.when(d == 8, 1).when(d == 7, 3).otherwise(2).alias("version"))
+    kept = ["lake_id", "tenant_id", "content_hash", "retention_class", "label"]
+    before = rows.select(*kept, "status", F.lit(1).alias("version"), F.lit("a").alias("note"))
+    new = {"content_hash": F.when(d == 6, "x").otherwise(F.col("content_hash")), "label": F.when(d == 9, "x").otherwise(F.col("label"))}
+    status = F.when(d == 8, F.col("status")).otherwise(F.expr(_AFTER.replace("//", "DIV")))
+    after = rows.filter(d != 5).select(*[new.get(c, F.col(c)).alias(c) for c in kept], status.alias("status"), F.when(d.isin(8, 10), 1).when(d == 7, 3).otherwise(2).alias("version"), F.when(d == 8, "a").otherwise("b").alias("note"))
     return lake.transition_problems(before, after)
 
 
@@ -997,12 +1016,198 @@ def catalogue_duplicates(spark, sf):
     return lake.catalogue_duplicates(spark.sql(_PLANS, orders=base(spark, sf, "orders")))
 
 
-@query("SELECT 'replay-p1-' || CAST(handoff_id AS VARCHAR) AS handoff_id, source_id, 'p1' AS replay_of FROM R(OBSERVATIONS) WHERE source_id = 'purchase'")
+@query("SELECT 'replay-p1-' || CAST(handoff_id AS VARCHAR) AS handoff_id, source_id, 'p1' AS replay_of FROM R(OBSERVATIONS)")
 def historical_replay(spark, sf):
-    rows = registry(spark, sf, "OBSERVATIONS").filter("source_id = 'purchase'").select(F.col("handoff_id").cast("string").alias("handoff_id"), "source_id")
+    rows = registry(spark, sf, "OBSERVATIONS").select(F.col("handoff_id").cast("string").alias("handoff_id"), "source_id")
     return lake.replayed(rows, "p1")
 
 
 @query("SELECT user_id, event_id, CAST(least(3600, 60 * pow(2, least(event_id % 9, 30))) AS BIGINT) AS wait_s FROM events")
 def maintenance_backoff(spark, sf):
     return base(spark, sf, "events").select("user_id", "event_id", lake.backoff_seconds(F.col("event_id") % 9).alias("wait_s"))
+
+
+# --- governed geometry ---
+
+
+@query("SELECT object_id, canonical_type, label FROM R(OBJECTS) WHERE label <> 'SENSITIVE' AND (canonical_type IN ('Part', 'Supplier') OR label = 'OPEN') AND NOT (canonical_type = 'Part' AND label = 'RESTRICTED') AND canonical_type <> 'Order'")
+def geometry_policy(spark, sf):
+    """Objects that may be read, whose geometry may be read, and that may be searched by place."""
+    rows = [("urban.object.read", None, None, "ALLOW"), ("urban.object.read", None, "SENSITIVE", "DENY"), ("urban.geometry.read", "Part", None, "ALLOW"), ("urban.geometry.read", "Supplier", None, "ALLOW"), ("urban.geometry.read", None, "OPEN", "ALLOW"), ("urban.geometry.read", "Part", "RESTRICTED", "DENY"), ("nearby", None, None, "ALLOW"), ("nearby", "Order", None, "DENY")]
+    grants = spark.createDataFrame(rows, "capability string, canonical_type string, label string, effect string")
+    return access.geometry_policy(registry(spark, sf, "OBJECTS"), grants, "nearby").select("object_id", "canonical_type", "label")
+
+
+@query("""
+WITH p AS (SELECT object_id, canonical_type, CAST(lon AS DOUBLE) AS x, CAST(lat AS DOUBLE) AS y FROM R(POINTS)),
+q AS (SELECT object_id, canonical_type, round(x, 6) AS x0, round(y, 6) AS y0, round(x + CASE WHEN canonical_type = 'Supplier' THEN 0.0015 ELSE 0.0025 END, 6) AS x1, round(y + CASE WHEN canonical_type = 'Supplier' THEN 0.0015 ELSE 0.0025 END, 6) AS y1 FROM p),
+s AS (SELECT * FROM q WHERE canonical_type = 'Supplier'), c AS (SELECT * FROM q WHERE canonical_type = 'Customer'),
+m AS (
+  SELECT s.object_id AS anchor_id, c.object_id, 'INTERSECTS' AS predicate FROM s JOIN c ON s.x0 <= c.x1 AND c.x0 <= s.x1 AND s.y0 <= c.y1 AND c.y0 <= s.y1
+  UNION ALL SELECT s.object_id, c.object_id, 'WITHIN' FROM s JOIN c ON s.x0 >= c.x0 AND s.x1 <= c.x1 AND s.y0 >= c.y0 AND s.y1 <= c.y1
+  UNION ALL SELECT c.object_id, s.object_id, 'CONTAINS' FROM s JOIN c ON s.x0 >= c.x0 AND s.x1 <= c.x1 AND s.y0 >= c.y0 AND s.y1 <= c.y1
+  UNION ALL SELECT s.object_id, c.object_id, 'OVERLAP_RATIO' FROM s JOIN c ON s.x0 < c.x1 AND c.x0 < s.x1 AND s.y0 < c.y1 AND c.y0 < s.y1 AND (least(s.x1, c.x1) - greatest(s.x0, c.x0)) * (least(s.y1, c.y1) - greatest(s.y0, c.y0)) / 2.25e-6 >= 0.6
+  UNION ALL SELECT s.object_id, s.object_id, 'SELF' FROM s
+), n AS (SELECT anchor_id, predicate, count(*) AS k, min(object_id) AS one FROM m GROUP BY ALL),
+a AS (SELECT object_id AS anchor_id, unnest(['INTERSECTS', 'WITHIN', 'OVERLAP_RATIO', 'SELF']) AS predicate FROM s UNION ALL SELECT object_id, 'CONTAINS' FROM c)
+SELECT predicate, anchor_id, CASE WHEN k IS NULL THEN 'SPATIAL_NO_MATCH' WHEN k > 1 THEN 'SPATIAL_MULTIPLE_MATCHES' WHEN predicate = 'SELF' THEN 'SELF_LOOP_NOT_ALLOWED' ELSE 'MATCHED' END AS outcome, CASE WHEN k = 1 AND predicate <> 'SELF' THEN one END AS object_id, CAST(coalesce(k, 0) AS BIGINT) AS candidates FROM a LEFT JOIN n USING (anchor_id, predicate)
+""")
+def spatial_relate(spark, sf):
+    """Suppliers' squares and customers' larger ones by every predicate of areas."""
+    s, c = _squares(spark, sf, 0.0015, "Supplier"), _squares(spark, sf, 0.0025, "Customer")
+    parts = [("INTERSECTS", s, c, {}), ("WITHIN", s, c, {}), ("CONTAINS", c, s, {}), ("OVERLAP_RATIO", s, c, {"min_overlap": 0.6})]
+    out = [spatial.spatial_relate(a, b, p, 0.01, **more).withColumn("predicate", F.lit(p)) for p, a, b, more in parts]
+    own = spatial.spatial_relate(s, s, "WITHIN", 0.01)
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(own.withColumn("predicate", F.lit("SELF")))
+
+
+_METRES = "radians(1) * 6371008.8"
+
+
+@query(f"""
+WITH p AS (SELECT object_id, canonical_type, k, CAST(lon AS DOUBLE) AS x, CAST(lat AS DOUBLE) AS y FROM R(POINTS)),
+j AS (SELECT a.object_id, a.y AS lat, b.y AS lat2, greatest(0, greatest(b.x - a.x - 0.0015, a.x - b.x - 0.0025)) * {_METRES} * cos(radians(a.y)) AS dx, greatest(0, greatest(b.y - a.y - 0.0015, a.y - b.y - 0.0025)) * {_METRES} AS dy
+  FROM p a JOIN p b ON a.canonical_type = 'Supplier' AND b.canonical_type = 'Customer' AND b.k = a.k + 304)
+SELECT object_id, FALSE AS topologically_equal, round(sqrt(dx * dx + dy * dy), 2) AS minimum_distance_m, round(2.25e-6 * pow({_METRES}, 2) * cos(radians(lat)), 1) AS current_area_m2, round(6.25e-6 * pow({_METRES}, 2) * cos(radians(lat2)), 1) AS candidate_area_m2 FROM j
+""")
+def geometry_metrics(spark, sf):
+    """A supplier's square beside that of a customer some places on."""
+    own = lambda kind, by, size: _squares(spark, sf, size, kind).select(F.col("object_id").alias(f"{kind}_id"), F.col("wkb").alias(kind), (F.split("object_id", ":")[1].cast("long") - by).alias("k"))
+    pairs = own("Supplier", 0, 0.0015).join(own("Customer", 304, 0.0025), "k")
+    out = pairs.select(F.col("Supplier_id").alias("object_id"), spatial.geometry_metrics("Supplier", "Customer").alias("m")).select("object_id", "m.*")
+    return out.withColumns({"minimum_distance_m": F.round("minimum_distance_m", 2), "current_area_m2": F.round("current_area_m2", 1), "candidate_area_m2": F.round("candidate_area_m2", 1)})
+
+
+_EWKB = "SELECT concat('h', lpad(CAST(event_id AS STRING), 9, '0')) AS handoff_id, concat('o', CAST(user_id % 40 AS STRING)) AS object_id, CASE WHEN event_id % 4 = 0 THEN 'ENTRANCE' ELSE 'PRIMARY' END AS role, concat('0101', CASE WHEN event_id % 2 = 0 THEN 'AB' ELSE 'ab' END, CAST(user_id % 3 AS STRING)) AS ewkb, 'EPSG:4326' AS source_crs, 'identity' AS transformation, concat('v', CAST(event_id % 2 AS STRING)) AS normalisation FROM {events}"
+
+
+@query(f"""
+WITH i AS (SELECT *, sha256(concat_ws('|', lower(ewkb), source_crs, transformation, role)) AS geometry_hash FROM ({_EWKB.replace('{events}', 'events')}) e)
+SELECT object_id, geometry_hash, normalisation, min(handoff_id) AS handoff_id, min(role) AS role, CAST(count(*) AS BIGINT) AS observations FROM i WHERE NOT (object_id = 'o7' AND normalisation = 'v1') GROUP BY ALL
+""")
+def geometry_store(spark, sf):
+    """Object o7's geometries of version v1 are kept already."""
+    rows = spark.sql(_EWKB, events=base(spark, sf, "events"))
+    known, _ = spatial.store_geometries(rows.filter("object_id = 'o7' AND normalisation = 'v1'"))
+    new, seen = spatial.store_geometries(rows, known)
+    counts = seen.groupBy("object_id", "geometry_hash", "normalisation").agg(F.count(F.lit(1)).alias("observations"))
+    return new.join(counts, ["object_id", "geometry_hash", "normalisation"]).select("object_id", "geometry_hash", "normalisation", "handoff_id", "role", "observations")
+
+
+@query(f"""
+WITH m AS ({_MERGES.replace('{supplier}', 'supplier')}), p AS (SELECT object_id, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM R(POINTS))
+SELECT m.merged_id, m.survivor_id, CASE WHEN a.lon IS NOT NULL AND t.lon IS NOT NULL THEN round({_HAVERSINE}, 3) END AS distance_m FROM m LEFT JOIN p a ON a.object_id = m.merged_id LEFT JOIN p t ON t.object_id = m.survivor_id
+""")
+def merge_distance(spark, sf):
+    points = registry(spark, sf, "POINTS").select("object_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    return spatial.pair_distances(spark.sql(_MERGES, supplier=base(spark, sf, "supplier")), points, "merged_id", "survivor_id").withColumn("distance_m", F.round("distance_m", 3))
+
+
+_ROLES = f"""SELECT object_id, r.role, concat(r.role, '@', CAST(k AS STRING)) AS geojson, 'EPSG:32633' AS canonical, concat('rev', CAST(k % 7 AS STRING)) AS provenance, CASE (k + r.i) % 3 WHEN 0 THEN 'RESTRICTED' ELSE 'OPEN' END AS label,
+  CASE WHEN (k + r.i) % 5 = 0 THEN TIMESTAMP '2030-01-01 00:00:00' END AS valid_from, CASE WHEN (k + r.i) % 7 = 0 THEN {NOW} END AS valid_to
+FROM {{points}} p CROSS JOIN (SELECT 'PRIMARY' AS role, 1 AS i UNION ALL SELECT 'ENTRANCE', 2 UNION ALL SELECT 'FOOTPRINT', 3) r"""
+
+
+@query(f"""
+WITH g AS ({_ROLES.replace('{points}', 'R(POINTS)')}), l AS (SELECT * FROM g WHERE (valid_from IS NULL OR valid_from <= {NOW}) AND (valid_to IS NULL OR valid_to > {NOW}))
+SELECT object_id, coalesce(string_agg(role || '=' || geojson, ',' ORDER BY role) FILTER (WHERE label = 'OPEN'), '') AS geometries, max(geojson) FILTER (WHERE label = 'OPEN' AND role = 'PRIMARY') AS primary_geojson, coalesce(string_agg(role, ',' ORDER BY role) FILTER (WHERE label <> 'OPEN'), '') AS hidden FROM l GROUP BY object_id
+""")
+def geometry_serving(spark, sf):
+    rows = spark.sql(_ROLES, points=registry(spark, sf, "POINTS"))
+    out = spatial.served_geometries(rows, ("OPEN",), F.expr(NOW))
+    return out.select("object_id", F.array_join(F.transform("geometries", lambda g: F.concat_ws("=", g["role"], g["geojson"])), ",").alias("geometries"), F.col("primary.geojson").alias("primary_geojson"), F.array_join("hidden", ",").alias("hidden"))
+
+
+_GEO_ISSUES = "SELECT event_id AS issue_id, CASE WHEN event_id % 9 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS state, 'g1' AS previous, 'g2' AS candidate, CASE WHEN event_id % 11 = 0 THEN 'g3' ELSE 'g1' END AS current, CASE WHEN event_id % 9 = 0 THEN 'g2' END AS decided_geometry, CASE WHEN event_id % 9 = 0 THEN 'ann' END AS decided_actor, CASE WHEN event_id % 9 = 0 THEN 'newer' END AS decided_reason FROM {events}"
+_GEO_DECISIONS = "SELECT event_id AS issue_id, CASE WHEN event_id % 13 = 0 THEN 'g2' ELSE 'g1' END AS expected, CASE event_id % 5 WHEN 0 THEN 'g1' WHEN 1 THEN 'g9' ELSE 'g2' END AS chosen, CASE WHEN event_id % 2 = 0 THEN 'ann' ELSE 'bob' END AS actor, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE 'newer' END AS reason FROM {events}"
+
+
+@query("""
+SELECT issue_id, outcome, CASE WHEN outcome IN ('DECIDED', 'REPLAYED') THEN CASE issue_id % 5 WHEN 0 THEN 'g1' ELSE 'g2' END END AS geometry FROM (
+  SELECT event_id AS issue_id, CASE WHEN event_id % 17 = 0 THEN 'REASON_REQUIRED' WHEN event_id % 5 = 1 OR event_id % 13 = 0 THEN 'CONFLICT' WHEN event_id % 9 = 0 THEN CASE WHEN event_id % 5 <> 0 AND event_id % 2 = 0 THEN 'REPLAYED' ELSE 'CONFLICT' END WHEN event_id % 11 = 0 THEN 'CONFLICT' ELSE 'DECIDED' END AS outcome FROM events) x
+""")
+def geometry_decide(spark, sf):
+    events = base(spark, sf, "events")
+    return spatial.decide_geometries(spark.sql(_GEO_ISSUES, events=events), spark.sql(_GEO_DECISIONS, events=events))
+
+
+# --- intake and operations ---
+
+
+@query()
+def preview_property(spark, sf):
+    """What the newest observation of every object and property would do to the linked state."""
+    rows = spark.sql(_LINKED, obs=registry(spark, sf, "OBSERVATIONS"))
+    current = canonical.reconcile_linked(rows, F.expr(NOW), normaliser="NFC_TRIM").filter("status = 'RECONCILED'").select("object_id", "property", "value")
+    incoming = rows.groupBy("object_id", "property").agg(F.max(F.struct("revision", *[c for c in rows.columns if c not in ("object_id", "property", "revision")])).alias("x")).select(F.concat_ws("/", "object_id", "property").alias("handoff_id"), "object_id", "property", "x.*")
+    incoming = incoming.withColumn("value", F.concat("value", F.lit("!"))).select("handoff_id", *rows.columns)
+    return canonical.preview_linked(incoming, rows, current, F.expr(NOW), normaliser="NFC_TRIM")
+
+
+@query("SELECT o.o_orderkey AS handoff_id, e.event_type, e.event_id IS NOT NULL AS found FROM orders o LEFT JOIN events e ON e.event_id = o.o_orderkey")
+def handoff_lookup(spark, sf):
+    accepted = base(spark, sf, "events").select(F.col("event_id").alias("handoff_id"), "event_type")
+    return intake.lookup(accepted, base(spark, sf, "orders").select(F.col("o_orderkey").alias("handoff_id")))
+
+
+@query("""
+SELECT event_id AS ref, CASE event_id % 4 WHEN 0 THEN 'NOT_JSON' WHEN 1 THEN 'CHECKSUM' END AS problem FROM events
+""")
+def publication_check(spark, sf):
+    """Bodies whose keys stand in either order, some broken, some of another checksum."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    sorted_, other = F.format_string('{"a":%d,"b":"%s"}', k, kind), F.format_string('{"b":"%s", "a":%d}', kind, k)
+    body = F.when(k % 4 == 0, F.concat(F.lit("{"), kind)).when(k % 4 == 3, other).otherwise(sorted_)
+    rows = base(spark, sf, "events").select(k.alias("ref"), body.alias("body"), F.when(k % 4 == 1, "sha256:0").otherwise(sha256_ref(sorted_)).alias("checksum"))
+    return intake.publication_problems(rows).select("ref", "problem")
+
+
+@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'number' WHEN 3 THEN 'boolean' WHEN 4 THEN 'map' WHEN 5 THEN 'list' WHEN 6 THEN 'null' END AS kind FROM events")
+def json_kinds(spark, sf):
+    texts = ['"x"', "12", "1.5e3", "true", '{"k":[1]}', "[]", "null", "{x"]
+    pick = F.array(*[F.lit(t) for t in texts])
+    return base(spark, sf, "events").select("event_id", intake.json_kind(F.get(pick, (F.col("event_id") % 8).cast("int"))).alias("kind"))
+
+
+_JOBS = """SELECT event_id AS job_id, CASE WHEN event_id % 3 = 0 THEN 'READY' ELSE 'QUARANTINED' END AS state, CASE WHEN event_id % 19 = 0 THEN 'PENDING' ELSE 'DURABLE' END AS intake_state, CASE event_id % 4 WHEN 0 THEN 'CATALOG_MISSING' WHEN 1 THEN 'STORE_DOWN' WHEN 2 THEN NULL ELSE 'IDENTITY' END AS failure_code,
+  CASE WHEN event_id % 23 = 0 THEN 'w1' END AS claimed_by, CAST(NULL AS TIMESTAMP) AS lease_until, event_id % 29 = 0 AS effect_present, event_id % 5 = 0 AS decision_present, event_id % 10 = 0 AS approved_new, CASE WHEN event_id % 31 = 0 THEN 'DELETED' ELSE 'COLD' END AS lake_state, event_id % 7 <> 0 AS contract_valid, CASE WHEN event_id % 11 <> 0 THEN 'b' END AS baseline_hash FROM {events}"""
+
+
+@query(f"""
+WITH j AS ({_JOBS.replace('{events}', 'events')}), e AS (SELECT *, state = 'QUARANTINED' AND intake_state = 'DURABLE' AND coalesce(failure_code IN ('CATALOG_MISSING', 'STORE_DOWN'), FALSE) AND claimed_by IS NULL AND NOT effect_present AND (NOT decision_present OR approved_new) AND lake_state = 'COLD' AS eligible FROM j)
+SELECT job_id, eligible, CASE WHEN NOT eligible THEN 'NOT_ELIGIBLE' WHEN NOT contract_valid THEN 'CONTRACT_INVALID' WHEN baseline_hash IS NULL THEN 'MISSING' ELSE 'READY' END AS check FROM e
+""")
+def recovery_review(spark, sf):
+    return lake.recovery_review(spark.sql(_JOBS, events=base(spark, sf, "events")), ("CATALOG_MISSING", "STORE_DOWN")).select("job_id", "eligible", "check")
+
+
+@query("SELECT event_type, CAST(count(value) AS BIGINT) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf):
+    return serve.percentiles(base(spark, sf, "events"), "event_type", "value")
+
+
+_PARKED = "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS valid_from FROM {events}"
+
+
+@query(f"SELECT event_id, CASE WHEN valid_from > TIMESTAMP '2024-01-20 00:00:00' THEN 'PARKED' WHEN valid_from > TIMESTAMP '2024-01-10 00:00:00' THEN 'RELEASED' ELSE 'DUE' END AS state FROM ({_PARKED.replace('{events}', 'events')}) p")
+def parked_observations(spark, sf):
+    rows = spark.sql(_PARKED, events=base(spark, sf, "events"))
+    return serve.parked(rows, F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'")).select("event_id", "state")
+
+
+@query(f"""
+WITH r AS ({_REFS.replace('{orders}', 'orders').replace('{nation}', 'nation')}), p AS ({_PLACES.replace('{nation}', 'nation')}), k AS (SELECT match_key, count(*) AS n, min(object_id) AS one FROM p WHERE status = 'ACTIVE' GROUP BY 1),
+o AS (SELECT * FROM r ORDER BY source_id LIMIT 10)
+SELECT source_id AS issue_id, CASE WHEN n = 1 THEN 'RESOLVED' ELSE 'OPEN' END AS state, CASE WHEN trim(needle) = '' THEN 'SKIPPED' WHEN n IS NULL THEN 'NO_MATCH' WHEN n > 1 THEN 'MULTIPLE_MATCHES' ELSE 'MATCHED' END AS outcome, CASE WHEN n = 1 THEN one END AS target_id FROM o LEFT JOIN k ON k.match_key = lower(trim(needle))
+""")
+def relationship_retry(spark, sf):
+    """One tick over the ten oldest issues."""
+    refs = spark.sql(_REFS, orders=base(spark, sf, "orders"), nation=base(spark, sf, "nation")).withColumns({"issue_id": F.col("source_id"), "state": F.lit("OPEN"), "opened_at": F.lit(0)})
+    return relate.retry_issues(refs, spark.sql(_PLACES, nation=base(spark, sf, "nation")))
+
+
+@query(_budget_sql("1.0::DOUBLE AS mismatch_calls", {"mismatch_calls": 20}, 900), recursive=True)
+def mismatch_counter(spark, sf):
+    """Refused calls, at most 20 an entry, counted apart from the queries' own budget."""
+    log = base(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("request_id"), F.lit(1.0).alias("mismatch_calls"))
+    return admission.admit(log, {"mismatch_calls": "mismatch_calls"}, {"mismatch_calls": 20}, 900)

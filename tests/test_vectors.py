@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import geometry as G
 from cairnlake.functions.hashing import canonical_json, decode_cursor, encode_cursor, match_key, uuid3
 from cairnlake.functions.text import decimal_text, nfc_trim, similarity, text_v1
-from cairnlake.operators import access, admission, canonical, identity, intake, relate, spatial
+from cairnlake.operators import access, admission, canonical, identity, intake, lake, relate, spatial
 from cairnlake.sources.lake_scan import load_catalogue, scan_objects
 from cairnlake.sources.state import Versions
 from cairnlake.streaming.intake import ENVELOPE, intake_stream, take_batch
@@ -235,3 +235,67 @@ def test_redirects_of_any_length(spark):
     for loop in ([(1, 2), (2, 1)], [(7, 7)], [(1, 2), (2, 3), (3, 4), (4, 2), (9, 8)]):
         with pytest.raises(ValueError, match="cycle"):
             relate.resolve_redirects(merges(loop))
+
+
+def test_weighted_overlap_and_sizes(spark):
+    policy = identity.WeightedPolicy((identity.Signal("name", "TEXT", 0.6), identity.Signal("share", "OVERLAP", 0.4)), ("district",), 0.9, 0.5, 0.1, 3)
+    i = spark.createDataFrame([("h", "d", "Old Mill", None), ("w", "wide", "x", None), ("n", "none", "x", None), ("b", " ", "x", None)], "handoff_id string, district string, name string, share double")
+    c = spark.createDataFrame([("a", "d", "old  mill", 1.0), ("b", "d", "old mill", 0.2)] + [(f"o{k}", "wide", "x", 1.0) for k in range(4)], "object_id string, district string, name string, share double")
+    scores = identity.weighted_scores(i, c, policy)
+    assert sorted((r.handoff_id, r.candidate_id or "", r.candidates) for r in scores.collect()) == [("h", "a", 2), ("h", "b", 2), ("w", "", 4)]
+    got = {r.handoff_id: (r.reason, r.target, r.candidates) for r in identity.weighted_decisions(i, scores, policy).collect()}
+    assert got == {"h": ("HIGH_CONFIDENCE", "a", 2), "w": ("RESOLUTION_TOO_BROAD", None, 4), "n": ("NO_CANDIDATES", None, 0), "b": ("BLOCKING_EVIDENCE_MISSING", None, 0)}
+
+
+def test_compaction(spark):
+    mib = 1 << 20
+    sizes = [40, 10, 30, 70, 20, 64, 5]
+    rows = [(f"l{k}", "t", "RAW", "STANDARD", "OPEN", "VERIFIED", s * mib) for k, s in enumerate(sizes)] + [("x", "t", "RAW", "STANDARD", "OPEN", "COLD", 1)]
+    df = spark.createDataFrame(rows, "lake_id string, tenant_id string, tier string, retention_class string, label string, status string, size_bytes long")
+    got = {r.lake_id: r for r in lake.compaction_plan(df).collect()}
+    assert {k: r.reason for k, r in got.items() if r.reason} == {"l3": "TOO_LARGE", "l5": "SINGLE_INPUT", "l6": "SINGLE_INPUT"}
+    assert got["l0"].bin_id == got["l1"].bin_id != got["l2"].bin_id == got["l4"].bin_id and got["l1"].logical_offset == 40 * mib
+    assert lake.compaction_plan(df.limit(0)).collect() == []
+    many = lake.compaction_plan(df, packed=2).collect()
+    assert len(many) == len(sizes)
+
+
+def test_lifecycle(spark):
+    schema = "lake_id string, status string, content_hash string, version int, note string"
+    before = [("a", "STAGED", "h", 1, ""), ("b", "COLD", "h", 1, ""), ("c", "STAGED", "h", 1, ""), ("d", "VERIFIED", "h", 1, ""), ("e", "VERIFIED", "h", 1, ""), ("f", "VERIFIED", "h", 1, "")]
+    after = [("a", "FAILED", "h", 2, ""), ("b", "QUARANTINED", "h", 2, ""), ("c", "QUARANTINED", "h", 2, ""), ("d", "VERIFIED", "h", 1, ""), ("e", "VERIFIED", "h", 1, "changed"), ("f", "VERIFIED", "x", 2, "")]
+    got = {(r.lake_id, r.problem) for r in lake.transition_problems(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)).collect()}
+    assert got == {("c", "STATUS"), ("e", "VERSION"), ("f", "IDENTITY")}
+
+
+def test_preview(spark):
+    schema = "object_id string, property string, source_id string, record_id string, revision int, authority_rank int, value string, valid_from timestamp, valid_to timestamp, deleted boolean"
+    kept = spark.createDataFrame([("o", "name", "s", "1", 1, 0, "old", None, None, False), ("p", "name", "s", "1", 1, 0, "same", None, None, False), ("q", "name", "s", "1", 1, 0, "one", None, None, False)], schema)
+    asked = [("h1", "o", "name", "s", "1", 2, 0, "new", None, None, False), ("h2", "p", "name", "t", "1", 1, 0, " same ", None, None, False), ("h3", "q", "name", "t", "1", 1, 0, "two", None, None, False), ("h4", "r", "name", "s", "1", 1, 0, "first", None, None, False), ("h5", "o", "name", "s", "1", 3, 0, None, None, None, True)]
+    incoming = spark.createDataFrame(asked, "handoff_id string, " + schema)
+    current = spark.createDataFrame([("o", "name", "old"), ("p", "name", "same"), ("q", "name", "one")], "object_id string, property string, value string")
+    rows = canonical.preview_linked(incoming, kept, current, F.expr("TIMESTAMP '2024-01-01 00:00:00'"), normaliser="NFC_TRIM").collect()
+    assert {(r.handoff_id, r.proposed_value, r.status, r.change) for r in rows} == {("h1", "new", "RECONCILED", "CHANGED"), ("h2", "same", "RECONCILED", "UNCHANGED"), ("h3", "one", "CONFLICT", "UNCHANGED"), ("h4", "first", "RECONCILED", "ADDED"), ("h5", None, "DELETED", "REMOVED")}
+
+
+def test_geometry_kernels():
+    square = lambda x, y, s: ("Polygon", [[[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]])
+    a, b = square(13.0, 45.0, 0.01), square(13.002, 45.002, 0.004)
+    assert G.within(b, a) and not G.within(a, b) and G.within(a, a)
+    assert G.within(("Point", [13.005, 45.005]), a) and not G.within(("Point", [13.0, 45.0]), a)
+    assert G.distance_m(a, b) == 0 and G.distance_m(("Point", [13.001, 45.001]), a) == 0
+    far = G.distance_m(a, square(13.02, 45.0, 0.01))
+    assert abs(far - G.geodesic(13.01, 45.0, 13.02, 45.0)) < 0.01 * far
+    assert abs(G.distance_m(("Point", [13.02, 45.005]), a) - far) < 0.01 * far
+    assert abs(G.area_m2(a) / 16 * 2.56 - G.area_m2(b)) < 0.01 * G.area_m2(a)
+    with pytest.raises(ValueError, match="MAX_DISTANCE"):
+        spatial.spatial_candidates(None, None, "NEAREST")
+
+
+def test_nearest_and_distances(spark):
+    point = lambda i, x, y: (i, '{"type":"Point","coordinates":[%s,%s]}' % (x, y))  # noqa: E731, UP031
+    frame = lambda rows: spatial.with_bounds(spark.createDataFrame(rows, "object_id string, geojson string"))
+    s, t = frame([point("a", 13.0, 45.0), point("b", 14.0, 45.0)]), frame([point("x", 13.001, 45.0), point("y", 13.003, 45.0), point("a", 13.0, 45.0)])
+    got = lambda **more: {r.anchor_id: (r.outcome, r.object_id, r.candidates) for r in spatial.spatial_relate(s, t, "NEAREST", max_distance=500.0, **more).collect()}
+    assert got(margin=50.0) == {"a": ("SELF_LOOP_NOT_ALLOWED", None, 3), "b": ("SPATIAL_NO_MATCH", None, 0)}
+    assert got(margin=50.0, self_loops=True)["a"] == ("MATCHED", "a", 3) and got(margin=100.0)["a"][0] == "SPATIAL_MULTIPLE_MATCHES" and got()["a"][0] == "SPATIAL_MULTIPLE_MATCHES"
