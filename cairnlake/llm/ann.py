@@ -132,6 +132,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth, by exact distance."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(e, e.filter(F.col("vec_id") % EVERY == 0))
 

@@ -471,6 +471,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the size of its set and its component."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

@@ -31,12 +31,25 @@ SENTENCES = {
     "mit-asis": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "gpl3-name": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-see": "See the GNU General Public License for more details.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-asis": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "isc-asis": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "epl2-available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0.",
     "cc-by-4": "Licensed under CC BY 4.0.",
@@ -56,9 +69,23 @@ RULES = (
     ("GPL-3.0-or-later", "notice", ("gpl-free", "gpl-hope", "gpl-see")),
     ("GPL-3.0-or-later", "notice", ("gpl-free",)),
     ("GPL-3.0-only", "reference", ("gpl3-name",)),
+    ("GPL-2.0-or-later", "notice", ("gpl2-free", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-or-later", "notice", ("gpl2-free",)),
+    ("GPL-2.0-only", "notice", ("gpl2-only", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-only", "notice", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", "notice", ("lgpl21-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-2.1-or-later", "notice", ("lgpl21-free",)),
+    ("AGPL-3.0-or-later", "notice", ("agpl3-free", "gpl-hope", "agpl-see")),
+    ("AGPL-3.0-or-later", "notice", ("agpl3-free",)),
     ("BSD-3-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-3-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis")),
+    ("BSD-2-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis")),
     ("BSD-2-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("ISC", "text", ("isc-grant", "isc-asis")),
     ("ISC", "text", ("isc-grant",)),
+    ("Zlib", "text", ("zlib-asis", "zlib-grant")),
+    ("EPL-2.0", "notice", ("epl2-available",)),
+    ("CC0-1.0", "notice", ("cc0-dedicated",)),
     ("CC-BY-NC-4.0", "reference", ("cc-by-nc-4",)),
     ("CC-BY-4.0", "reference", ("cc-by-4",)),
     ("CC-BY-4.0", "reference", ("cc-by-4-long",)),
@@ -85,10 +112,12 @@ class Scanner:
         self.ids, self.most_between = {}, most_between
         self.pieces: dict[str, tuple[str, ...]] = {}
         for name, text in (SENTENCES if sentences is None else sentences).items():
-            parts = [normalised(text[a:b]) for a, b in cuts(text)]
-            names = [name if len(parts) == 1 else f"{name}/{i}" for i in range(len(parts))]
-            self.pieces[name] = tuple(names)
-            self.ids |= dict(zip(parts, names, strict=True))
+            parts = [words for a, b in cuts(text) if (words := normalised(text[a:b]))]
+            if not parts:
+                raise ValueError(f"sentence {name!r} has no word")
+            for i, words in enumerate(parts):  # a piece that several sentences have is one identifier
+                self.ids.setdefault(words, name if len(parts) == 1 else f"{name}/{i}")
+            self.pieces[name] = tuple(self.ids[words] for words in parts)
         self.rules: dict[str, list] = {}
         for licence, how, seq in rules:
             flat = tuple(p for s in seq for p in self.pieces[s])
@@ -165,13 +194,16 @@ def scan_licenses(documents: DataFrame, sentences: dict[str, str] | None = None,
     """One row per document: doc_id, found (license, how, start, end in characters), licenses
     (distinct, sorted, comma-joined; empty if none), n_found.
 
-    Whole texts are scanned. Null or empty texts have no finding. Rows repeat as in the input;
-    only doc_id and text are read.
+    Whole texts are scanned. Null or empty texts have no finding. Of rules that begin at one
+    sentence the longest wins, of equally long ones the first given. Rows repeat as in the input,
+    null doc_ids stay, an empty table gives an empty result; only doc_id and text are read.
+    Sentences are known word for word: names or years in them aren't variable.
     """
     out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(sentences, rules, most_between), "doc_id long, found array<struct<license: string, how: string, start: long, end: long>>")
     return out.select("doc_id", "found", F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"), F.size("found").cast("long").alias("n_found"))
 
 
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its licences, their number, and each finding's place."""
     spans = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["license"], f["how"], f["start"].cast("string"), f["end"].cast("string"))), ",")
     return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "licenses", "n_found", spans.alias("spans"))

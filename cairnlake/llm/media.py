@@ -101,30 +101,93 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
 
 def _counted(data: bytes, at: int, unit: str, per: int = 1, skip: int = 4) -> list[tuple]:
     n = struct.unpack_from(">I", data, at + skip)[0]
-    width = struct.calcsize(f">{unit}") * per
     flat = struct.unpack_from(f">{n * per}{unit}", data, at + skip + 4)
-    assert len(flat) * width == n * per * width
     return [flat[i : i + per] for i in range(0, n * per, per)]
 
 
+def _small_sizes(data: bytes, at: int) -> list[int]:
+    """stz2: sizes of 4, 8 or 16 bits."""
+    bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    if bits not in (4, 8, 16):
+        raise ValueError("stz2 has fields of 4, 8 or 16 bits")
+    raw = data[at + 12 : at + 12 + -(-n * bits // 8)]
+    if bits == 4:
+        return [x for b in raw for x in (b >> 4, b & 15)][:n]
+    return list(raw) if bits == 8 else list(struct.unpack(f">{n}H", raw))
+
+
+def _optional(data: bytes, at: int, flags: int, fields: tuple[tuple[int, str], ...]) -> tuple[list[int | None], int]:
+    """Fields that are there if their flag is, and the place behind them."""
+    out: list[int | None] = []
+    for flag, unit in fields:
+        out.append(struct.unpack_from(f">{unit}", data, at)[0] if flags & flag else None)
+        at += struct.calcsize(f">{unit}") if flags & flag else 0
+    return out, at
+
+
+#: Fields of tfhd behind the track, and of each sample of trun, by flag; a sample that isn't a key.
+TFHD, TRUN, NO_KEY = ((0x1, "Q"), (0x2, "I"), (0x8, "I"), (0x10, "I"), (0x20, "I")), ((0x100, "I"), (0x200, "I"), (0x400, "I"), (0x800, "I")), 0x10000
+
+
+class _Fragments:
+    """Samples of movie fragments (moof), added to their tracks."""
+
+    def __init__(self, data: bytes):
+        self.data, self.defaults = data, {}
+
+    def see(self, kind: bytes, at: int, tracks: dict[int, dict]) -> None:
+        data, flags = self.data, struct.unpack_from(">I", self.data, at)[0] & 0xFFFFFF if kind != b"moof" else 0
+        if kind == b"moof":
+            self.start = at - (16 if data[at - 12 : at - 8] == b"moof" else 8)
+            self.end = None
+        elif kind == b"trex":
+            track, _, *rest = struct.unpack_from(">5I", data, at + 4)
+            self.defaults[track] = rest  # duration, size, flags
+        elif kind == b"tfhd":
+            track = struct.unpack_from(">I", data, at + 4)[0]
+            (base, _, *own), _ = _optional(data, at + 8, flags, TFHD)
+            known = self.defaults.get(track, [0, 0, 0])
+            self.now = [k if o is None else o for o, k in zip(own, known, strict=True)]
+            self.base = base if base is not None else self.start
+            self.track = tracks.get(track)
+            self.end = self.base if base is not None or flags & 0x20000 or self.end is None else self.end
+        elif kind == b"trun" and self.track is not None:
+            n = struct.unpack_from(">I", data, at + 4)[0]
+            (offset, first), at = _optional(data, at + 8, flags, ((0x1, "i"), (0x4, "I")))
+            place, t = self.base + offset if offset is not None else self.end, self.track
+            for i in range(n):
+                (duration, size, mark, _), at = _optional(data, at, flags, TRUN)
+                size, mark = self.now[1] if size is None else size, (first if i == 0 and first is not None else self.now[2]) if mark is None else mark
+                t.setdefault("late", []).append((place, size, not mark & NO_KEY))
+                t["late_duration"] = t.get("late_duration", 0) + (self.now[0] if duration is None else duration)
+                place += size
+            self.end = place
+
+
 def index(data: bytes) -> list[dict]:
-    """Per track: handler, codec, timescale, duration, samples [(offset, size)], keys [sample
-    number from 0], key_ranges [(first byte, end)] of the runs from each key to the next."""
+    """Per track: handler, codec, timescale, duration, edits [(duration, media time)], samples
+    [(offset, size)], keys [sample number from 0], key_ranges [(first byte, end)] of the runs from
+    each key to the next. Samples of movie fragments follow those of the tables; handler and codec
+    are empty, timescale and duration 0 where their boxes are absent."""
     tracks: list[dict] = []
+    fragments, by_id = _Fragments(data), {}
     for path, at, _end in walk(data):
         kind = path[-1]
         if kind == b"trak":
-            tracks.append({"keys": None})
+            tracks.append({"keys": None, "handler": "", "codec": "", "timescale": 0, "duration": 0, "edits": []})
         t = tracks[-1] if tracks else {}
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            by_id[struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]] = t
+        elif kind == b"mdhd":
             wide = data[at] == 1
             t["timescale"], t["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
         elif kind == b"hdlr":
             t["handler"] = data[at + 8 : at + 12].decode("latin-1")
         elif kind == b"stsd":
             t["codec"] = data[at + 12 : at + 16].decode("latin-1")
-        elif kind == b"stts":
-            t["stts"] = _counted(data, at, "I", 2)
+        elif kind == b"elst":
+            form = ">Qqi" if data[at] == 1 else ">Iii"
+            t["edits"] = [struct.unpack_from(form, data, at + 8 + i * struct.calcsize(form))[:2] for i in range(struct.unpack_from(">I", data, at + 4)[0])]
         elif kind == b"stss":
             t["keys"] = [x[0] - 1 for x in _counted(data, at, "I")]
         elif kind == b"stsc":
@@ -132,12 +195,16 @@ def index(data: bytes) -> list[dict]:
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, at + 4)
             t["sizes"] = [same] * n if same else list(struct.unpack_from(f">{n}I", data, at + 12))
+        elif kind == b"stz2":
+            t["sizes"] = _small_sizes(data, at)
         elif kind in (b"stco", b"co64"):
             t["chunks"] = [x[0] for x in _counted(data, at, "I" if kind == b"stco" else "Q")]
+        elif kind in (b"moof", b"trex", b"tfhd", b"trun"):
+            fragments.see(kind, at, by_id)
     for t in tracks:
         sizes, samples, k = t.get("sizes", []), [], 0
         runs = t.get("stsc", [])
-        for (first, per, _), until in zip(runs, [*(r[0] for r in runs[1:]), len(t.get("chunks", [])) + 1], strict=True):
+        for (first, per, _), until in zip(runs, [*(r[0] for r in runs[1:]), len(t.get("chunks", [])) + 1][: len(runs)], strict=True):
             for chunk in range(first - 1, until - 1):
                 at = t["chunks"][chunk]
                 for size in sizes[k : k + per]:
@@ -146,9 +213,16 @@ def index(data: bytes) -> list[dict]:
                     k += 1
         if len(samples) != len(sizes):
             raise ValueError("sample tables disagree")
-        t["samples"] = samples
-        t["keys"] = list(range(len(samples))) if t["keys"] is None else t["keys"]
-        t["key_ranges"] = [(samples[a][0], samples[b - 1][0] + samples[b - 1][1]) for a, b in zip(t["keys"], [*t["keys"][1:], len(samples)], strict=True)]
+        keys = list(range(len(samples))) if t["keys"] is None else t["keys"]
+        for place, size, key in t.pop("late", []):
+            if key:
+                keys = [*keys, len(samples)] if not keys or keys[-1] != len(samples) else keys
+            samples.append((place, size))
+        if any(a < 0 or n < 0 or a + n > len(data) for a, n in samples):
+            raise ValueError("a sample lies outside the file")
+        t["duration"] = t["duration"] or t.pop("late_duration", 0)
+        t["samples"], t["keys"] = samples, keys
+        t["key_ranges"] = [(samples[a][0], samples[b - 1][0] + samples[b - 1][1]) for a, b in zip(keys, [*keys[1:], len(samples)][: len(keys)], strict=True)]
     return tracks
 
 
@@ -162,6 +236,20 @@ def feature(track: dict) -> str:
     return f"{track['codec']}/{track['handler']} timescale={track['timescale']} duration={track['duration']} samples={len(track['samples'])} keys={len(track['keys'])} ranges={zlib.crc32(spans.encode()):08x} first={spans.split(',')[0]}"
 
 
+def described(data: bytes | None) -> tuple:
+    """What media_columns() says of one file, from payload_bytes on."""
+    if not data:
+        return (None,) * 9
+    found = index(data)
+    if not found:
+        raise ValueError("no track")
+    track = found[0]
+    read = payload(data, track)
+    keys = [{"first": a, "end": e} for a, e in track["key_ranges"]]
+    length = track["duration"] / track["timescale"] if track["timescale"] else None
+    return len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), track["codec"], length, keys
+
+
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 INDEX_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<first: long, end: long>>"
 
@@ -180,11 +268,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for doc, n, data in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media"), strict=True):
-            data = data.as_py()
-            track = index(data)[0]
-            read = payload(data, track)
-            keys = [{"first": a, "end": e} for a, e in track["key_ranges"]]
-            rows.append((doc, n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), track["codec"], track["duration"] / track["timescale"], keys))
+            rows.append((doc, n, *described(data.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
 
@@ -199,10 +283,13 @@ def to_media(documents: DataFrame) -> DataFrame:
 
 def media_columns(media: DataFrame) -> DataFrame:
     """Per file: sizes, digests, codec, duration and key-frame byte ranges, read from the
-    stored bytes. The payload is only hashed, never decoded."""
+    stored bytes. The payload is only hashed, never decoded. A null or empty file has nulls; one
+    that is cut off, has no track or samples outside itself raises an error. Rows repeat as in the
+    input; an empty table gives an empty result."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_index, INDEX_SCHEMA)
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its text stored as a media file, and what is read back of it."""
     out = media_columns(to_media(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -143,4 +143,5 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its words, its source's target, and the words that the mix takes of it."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -10,8 +10,9 @@ The fold follows the model's kind. For unigram models it would be Viterbi's best
 model at hand is byte-pair encoding, whose pieces carry merge ranks, not log chances, and the
 best sum of ranks is not its encoding: here the fold's state is a bit mask of the places where
 the segment is still parted, and each step applies the edge of best rank, leftmost first, that
-joins exactly two parts. This is the model's own rule, so the ids are the library's. Segments of more than MASK_CHARS characters, which fit no mask, go by the
-same rule with a heap.
+joins exactly two parts. This is the model's own rule, so the ids are the library's. Segments of
+more than MASK_CHARS characters, which fit no mask, go by the same rule with a heap.
+segment_unigrams() has Viterbi's fold for vocabularies whose scores do add up.
 
 Segments meet their documents by chunk, a bounded run of documents of one task, which waits as
 segment numbers in a file of the shared folder; only segments and their ids are exchanged.
@@ -461,6 +462,46 @@ def segment_pieces(segments: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("seg", fold_merges(F.col("n"), F.col("edges")).alias("picks"))
 
 
+def fold_viterbi(n: Column, edges: Column) -> Column:
+    """The picks of the best path through the lattice of a segment of n characters: for unigram
+    vocabularies, whose scores are log chances and add up. edges: (i, j, score, pick), among
+    them one for every single character. Equal sums go to the greater pick of the last edge."""
+
+    def forward(edges: Column) -> Column:
+        start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("pick"), F.lit(0).alias("i")))
+
+        def step(best: Column, j: Column) -> Column:
+            ways = F.transform(F.filter(edges, lambda e: e["j"] == j), lambda e: F.struct((F.get(best, e["i"])["score"] + e["score"]).alias("score"), e["pick"].alias("pick"), e["i"].alias("i")))
+            return F.concat(best, F.array(F.array_max(ways)))
+
+        return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+    def back(best: Column) -> Column:
+        start = F.struct(n.alias("at"), F.array().cast("array<long>").alias("picks"))
+
+        def step(s: Column, _: Column) -> Column:
+            e, more = F.get(best, s["at"]), s["at"] > 0
+            return F.struct(F.when(more, e["i"]).otherwise(F.lit(0)).alias("at"), F.when(more, F.concat(F.array(e["pick"]), s["picks"])).otherwise(s["picks"]).alias("picks"))
+
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["picks"])
+
+    return F.transform(F.transform(F.array(edges), forward), back)[0]
+
+
+def segment_unigrams(segments: DataFrame, vocabulary: DataFrame, longest: int, unknown: tuple[float, int]) -> DataFrame:
+    """(seg, picks) for distinct, not empty segments: start << 20 | id of each piece of the best
+    sum of scores. vocabulary: piece, score, id, of a model's size; a character that is no piece
+    goes by `unknown`, its score and id."""
+    spans = segments.withColumn("n", F.length("seg")).filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    spans = spans.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("n"), F.col("i") + longest))))
+    named = spans.withColumn("piece", F.substring("seg", F.col("i") + 1, F.col("j") - F.col("i"))).join(F.broadcast(vocabulary), "piece", "left")
+    edges = named.filter("id IS NOT NULL OR j = i + 1")
+    score, number = F.coalesce("score", F.lit(float(unknown[0]))), F.coalesce("id", F.lit(unknown[1]))
+    pick = F.call_function("shiftleft", F.col("i").cast("long"), F.lit(20)).bitwiseOR(number.cast("long"))
+    grouped = edges.groupBy("seg").agg(F.max("n").alias("n"), F.collect_list(F.struct("i", "j", score.alias("score"), pick.alias("pick"))).alias("edges"))
+    return grouped.select("seg", fold_viterbi(F.col("n"), F.col("edges")).alias("picks"))
+
+
 def sentencepiece_documents(documents: DataFrame, path: str, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, ids, ids_crc32 (of the ids as little-endian 32-bit
     numbers), decoded (bytes), decoded_sha256, round_trip (whether they are the text's own).
@@ -494,6 +535,7 @@ def decode(ids: Column, path: str) -> Column:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the number and checksum of its ids, and what they decode to."""
     import public_tokenizers
 
     out = sentencepiece_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -320,6 +320,7 @@ def token_files(documents: DataFrame, tokenizer: str, folder: str | None = None)
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document where its ids stand in the files, their number and checksum."""
     import public_tokenizers
 
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

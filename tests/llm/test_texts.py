@@ -311,3 +311,143 @@ def test_token_files(spark, tmp_path):
     with pytest.raises(Exception):
         token_files.FrameReader(io.BytesIO(bytes(spoilt)), len(data)).frame(0)
     assert token_files.token_files(df.limit(0), path).collect() == []
+
+
+# --- cases of their own ---
+
+
+def test_fragmented_media_and_odd_files(spark):
+    one = bytes(range(200))
+    sizes, flags = [50, 100, 50], [0, media.NO_KEY, 0]
+    trex = media.full(b"trex", struct.pack(">5I", 1, 1, 10, 0, 0))
+    tkhd = media.full(b"tkhd", struct.pack(">5I", 0, 0, 1, 0, 0), bytes(60))
+    mdhd = media.full(b"mdhd", struct.pack(">4I", 0, 0, 1000, 0), bytes(4))
+    elst = media.box(b"edts", media.full(b"elst", struct.pack(">IIii", 1, 30, 5, 0x10000)))
+    stsz = media.box(b"minf", media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(b"raw ", bytes(8)))))
+    moov = media.box(b"moov", media.box(b"trak", tkhd, elst, media.box(b"mdia", mdhd, stsz)), media.box(b"mvex", trex))
+    run = lambda at: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 1), flags=0x20000), media.full(b"trun", struct.pack(">Ii", 3, at), *(struct.pack(">II", n, f) for n, f in zip(sizes, flags, strict=True)), flags=0x601)))
+    data = moov + run(len(run(0)) + 8) + media.box(b"mdat", one)
+    track = media.index(data)[0]
+    assert media.payload(data, track) == one and track["keys"] == [0, 2] and track["duration"] == 30 and track["edits"] == [(30, 5)] and track["codec"] == "raw "
+    assert [data[a:b] for a, b in track["key_ranges"]] == [one[:150], one[150:]]
+    assert media._small_sizes(media.full(b"stz2", bytes(3), bytes([4]), struct.pack(">I", 3), bytes([0x12, 0x30]))[8:], 0) == [1, 2, 3]
+    with pytest.raises(ValueError, match="outside"):
+        media.index(data[: -len(one) - 8] + media.box(b"mdat", one[:9]))
+    bare = media.box(b"moov", media.box(b"trak"))
+    rows = [(1, 3, None), (2, 0, b""), (3, 5, bare), (3, 5, bare)]
+    got = media.media_columns(spark.createDataFrame(rows, media.MEDIA_SCHEMA)).collect()
+    assert [(r.doc_id, r.payload_bytes, r.codec, r.duration_s) for r in got] == [(1, None, None, None), (2, None, None, None), (3, 0, "", None), (3, 0, "", None)]
+
+
+def test_licenses_by_brute_force(spark):
+    s, rnd, names = license_scan.SENTENCES, random.Random(5), sorted(license_scan.SENTENCES)
+    parts = {x: [license_scan.normalised(p) for p in re.split(r"(?<=[.:;!?])(?=\s)|(?<=[.:;!?]\")(?=\s)", s[x])] for x in names}
+    rules = [(licence, how, [p for x in seq for p in parts[x]]) for licence, how, seq in license_scan.RULES]
+    texts, want = [], []
+    for _ in range(160):
+        seq = rnd.choice(license_scan.RULES)[2] if rnd.random() < 0.6 else ()
+        used = [*rnd.choices(names, k=rnd.randrange(3)), *seq, *rnd.choices(names, k=rnd.randrange(8)), *(seq[:2] if rnd.random() < 0.3 else ())]
+        texts.append("Here. " + " ".join(f"Filler {i} goes here. {s[x]}" + ("" if s[x][-1] in ".:;" else ".") for i, x in enumerate(used)) + " The end.")
+        seen, out, i = [p for x in used for p in parts[x]], [], 0
+        while i < len(seen):
+            best = None
+            for licence, how, rule in rules:
+                at = i if rule[0] == seen[i] else None
+                for x in rule[1:]:
+                    near = [j for j in range(at + 1, min(len(seen), at + 2 + license_scan.MOST_BETWEEN)) if seen[j] == x] if at is not None else []
+                    at = near[0] if near else None
+                if at is not None and (best is None or len(rule) > best[0]):
+                    best = (len(rule), licence, how, at)
+            if best:
+                out.append(best[1:3])
+                i = best[3]
+            i += 1
+        want.append(out)
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2 + [(None, "x", "y")], "doc_id long, text string, found string")
+    got = license_scan.scan_licenses(rows).collect()
+    assert len(got) == 2 * len(texts) + 1
+    for r in got:
+        if r.doc_id is not None:
+            assert [(f.license, f.how) for f in r.found] == want[r.doc_id], texts[r.doc_id]
+    assert license_scan.scan_licenses(rows.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="no word"):
+        license_scan.Scanner({"x": "..."}, ())
+
+
+def test_secrets(spark):
+    rnd = random.Random(11)
+    key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    held = [key(40) for _ in range(60)]
+    texts = [f'word token = "{k}" more' for k in held] + ["a" * 60, "internationalisation-of-everything", "see " + "x1" * 8, "call a@b.example.org"] * 10
+    rows = pii.find_pii(frame(spark, texts + texts[:3])).collect()
+    assert [[x.found for x in r.added] for r in rows if r.doc_id < 60] == [[k] for k in held]
+    assert not any(r.added for r in rows if 60 <= r.doc_id < len(texts)) and len(rows) == len(texts) + 3
+    with pytest.raises(ValueError, match="hidden"):
+        pii.find_pii(frame(spark, ["x"]).withColumn("base", F.lit(1)), keep=["base"])
+
+
+def brute_features(t):
+    import unicodedata
+
+    blank = "".join(map(chr, (32, *range(9, 14))))
+    parts = t.translate(str.maketrans(dict.fromkeys(blank, " "))).split(" ")
+    spaced = re.split(r"[\x20\x09-\x0D]+", t)
+    words, n = sum(1 for w in parts if w), len(t)
+    kinds = [unicodedata.category(c) for c in t]
+    letters, share = sum(k[0] == "L" for k in kinds), lambda a, b: a / (b + 8)
+    count = lambda chars: sum(c in chars for c in t)
+    return [share(sum(k == "Lu" for k in kinds), letters), share(letters, n), share(count("0123456789"), n), share(count("!?"), words), share(count("#$%&*+=@\\^_`~<>{}[]"), words), share(count("|"), words), share(count(".,;:"), words), min(share(n, words), 30) / 10, share(sum(a == b for a, b in zip(spaced, spaced[1:], strict=False)), words)]
+
+
+def test_quality_by_brute_force(spark):
+    """Features from Python, the whole co-training over plain lists, scores by the formula."""
+    rnd = random.Random(21)
+    text = lambda ok: " ".join(rnd.choice(["alpha", "Beta", "of", "the"]) + ("" if ok else rnd.choice(["!!", "|", "$", ""])) for _ in range(rnd.randrange(4, 60))) + "."
+    truth = [i % 3 > 0 for i in range(260)]
+    texts = [text(ok) for ok in truth] + [None, " "]
+    docs = frame(spark, texts).withColumn("_f", F.lit(1)).withColumn("_y", F.lit(1)).withColumn("id", F.lit(1)).withColumn("row", F.lit(1))
+    labelled = {i: int(ok) for i, ok in enumerate(truth) if i % 2 == 0}
+    labels = spark.createDataFrame([(i, y, 0) for i, y in labelled.items()] * 2 + [(1, 0, 0), (1, 1, 0), (None, 1, 0), (3, 7, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    page = docs.select("doc_id", *[c.cast("double").alias(f"p{i}") for i, c in enumerate(quality.page_features(set(docs.columns)).values())]).collect()
+    pages = {r[0]: list(r)[1:] for r in page}
+    own = {i: brute_features(t or "") for i, t in enumerate(texts)}
+    free = [i for i in range(len(truth)) if i not in labelled]
+    for r in docs.select("doc_id", F.array(*[c.cast("double") for c in quality.text_features(F.col("text")).values()]).alias("f")).collect():
+        assert np.allclose(r.f, own[r.doc_id])
+
+    def surest(view, model, most):
+        z = sorted((float(model.raw(np.array([own[i] if view == 0 else pages[i]]))[0]), i) for i in free)
+        pick = lambda rows: [(a, i, own[i] + pages[i]) for a, i in rows][:most]
+        return pick([x for x in z if x[0] < -quality.SURE_FROM]), pick(sorted((x for x in z if x[0] > quality.SURE_FROM), key=lambda x: (-x[0], x[1])))
+
+    ids = sorted(labelled)
+    models, prior = quality.co_train([np.array([own[i] for i in ids]), np.array([pages[i] for i in ids])], np.array([labelled[i] for i in ids]), surest)
+    for i, t in enumerate(texts):
+        odds = models[0].odds(np.array([own[i]]))[0] + models[1].odds(np.array([pages[i]]))[0] - prior if (t or "").strip() else prior
+        assert abs(got[i].score - 1 / (1 + np.exp(-odds))) < 1e-6
+    twice = quality.score_quality(docs.union(docs), labels).collect()
+    assert len(twice) == 2 * len(texts) and {(r.doc_id, round(r.score, 6)) for r in twice} == {(i, round(r.score, 6)) for i, r in got.items()}
+
+
+def test_viterbi_by_brute_force(spark):
+    rnd = random.Random(17)
+    pieces_ = {c: (-3.0 - k / 8, k + 1) for k, c in enumerate("abcd")} | {w: (-float(rnd.randrange(2, 40)) / 4 - k / 64, 10 + k) for k, w in enumerate(["ab", "abc", "bc", "cd", "bcd", "aa", "dab", "cdab"])}
+    unknown = (-20.0, 0)
+    segs = sorted({"".join(rnd.choice("abcdx") for _ in range(rnd.randrange(1, 12))) for _ in range(150)})
+
+    def paths(s, at=0):
+        if at == len(s):
+            yield 0.0, []
+        for end in range(at + 1, min(len(s), at + 4) + 1):
+            found = pieces_.get(s[at:end]) or (unknown if end == at + 1 else None)
+            if found:
+                for total, rest in paths(s, end):
+                    yield total + found[0], [at << 20 | found[1], *rest]
+
+    vocabulary = spark.createDataFrame([(p, x, i) for p, (x, i) in pieces_.items()], "piece string, score double, id int")
+    got = {r.seg: r.picks for r in pieces.segment_unigrams(spark.createDataFrame([(x,) for x in [*segs, ""]], "seg string"), vocabulary, 4, unknown).collect()}
+    assert set(got) == set(segs)
+    for x in segs:
+        best = max(total for total, _ in paths(x))
+        assert got[x] in [p for total, p in paths(x) if abs(total - best) < 1e-9]
