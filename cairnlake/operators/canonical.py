@@ -116,7 +116,7 @@ def running_winners(contributions: DataFrame, order: Sequence[str]) -> DataFrame
     """
     key = Window.partitionBy("object_id", "property").orderBy("seq")
     run = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows, best = contributions, F.lit(None).cast("int")
+    rows = contributions
     states = []
     for i, s in enumerate(order):
         mine = F.when(F.col("source_id") == s, F.struct(F.struct("observed_at", "seq").alias("at"), F.col("value")))
@@ -124,9 +124,8 @@ def running_winners(contributions: DataFrame, order: Sequence[str]) -> DataFrame
         states.append(F.col(f"_s{i}"))
     named = F.array(*[F.lit(s) for s in order]) if order else F.array().cast("array<string>")
     rows = rows.withColumn("_other", F.when(~F.array_contains(named, F.col("source_id")), F.col("value")))
-    others = F.collect_set("_other").over(run)
-    best = F.coalesce(*states, F.when(F.size("_o") == 1, F.col("_o")[0])) if states else F.when(F.size("_o") == 1, F.col("_o")[0])
-    rows = rows.withColumn("_o", others).withColumn("_w", best)
+    rows = rows.withColumn("_least", F.min("_other").over(run)).withColumn("_most", F.max("_other").over(run))
+    rows = rows.withColumn("_w", F.coalesce(*states, F.when(F.col("_least") == F.col("_most"), F.col("_least"))))
     rows = rows.withColumn("winner", F.last("_w", ignorenulls=True).over(run))
     rows = rows.withColumn("_p", F.lag("winner").over(key))
     return rows.select("object_id", "property", "seq", "observed_at", F.col("winner").alias("value"), (~F.col("winner").eqNullSafe(F.col("_p"))).alias("changed"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairnlake.operators.intake import classify, contract_violations
+from cairnlake.operators.serve import parked
 from cairnlake.sources.state import Versions
 
 ENVELOPE = "handoff_id string, ingestion_run_id string, ingestion_id string, source_id string, type_code string, source_object_id string, lineage_id string, content_hash string, operation string, mode string, acquired_at string, canonical_payload string, base_revision_ref string, base_content_hash string, event_sequence string"
@@ -14,8 +20,8 @@ ENVELOPE = "handoff_id string, ingestion_run_id string, ingestion_id string, sou
 
 def take_batch(state: Versions, batch: DataFrame, version: int) -> None:
     """Accepts a batch of envelopes: violations and decisions are written under the batch's
-    version, and new handoffs join the accepted ones. A batch that is retried writes the same
-    version again."""
+    version, and new handoffs join the accepted ones as that version's increment. A batch that is
+    retried writes the same version again."""
     checked = batch.withColumn("violations", contract_violations(batch.columns))
     good = checked.filter(F.size("violations") == 0).withColumn("payload", F.col("canonical_payload")).withColumn("arrival", F.struct("acquired_at", "content_hash", "payload"))
     before = state.current("accepted")
@@ -25,7 +31,7 @@ def take_batch(state: Versions, batch: DataFrame, version: int) -> None:
     state.write("receipts", decided, version)
     state.write("rejected", checked.filter(F.size("violations") > 0), version)
     fresh = state.read("receipts", version).filter("decision = 'NEW'").select("handoff_id", "content_hash", "payload")
-    state.write("accepted", fresh if accepted is None else accepted.unionByName(fresh), version)
+    state.write("accepted", fresh, version, increment=True)
 
 
 def intake_stream(spark: SparkSession, incoming: str, state_root: str, checkpoint: str) -> StreamingQuery:
@@ -41,3 +47,42 @@ def tumbling_activity(events: DataFrame, width: str = "1 hour", lateness: str |
         events = events.withWatermark("ts", lateness)
     out = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n_events", F.round(F.col("total").cast("double"), 3).alias("total"))
+
+
+GUARD_STATE, GUARD_OUT = "last long, attempt long, session long", "key string, at timestamp, request_id long, session long, attempt long, state string"
+
+
+def guard_stream(log: DataFrame, threshold: int = 3, seconds: int = 900, lateness: str = "1 minute") -> DataFrame:
+    """admission.retry_guard() for a stream log(key, at, request_id): each key's attempts are
+    state that goes after `seconds` without one. Rows that come later than the watermark allows
+    are counted when they come."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, attempt, session = state.get if state.exists else (None, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["at", "request_id"], kind="stable")
+        out = []
+        for at, request in zip(rows["at"], rows["request_id"], strict=True):
+            now = at.value // 1000
+            if last is None or now - last >= seconds * 1_000_000:
+                attempt, session = 0, session + 1
+            last, attempt = now, min(attempt + 1, threshold)
+            out.append((key[0], at, request, session, attempt, "STALLED" if attempt >= threshold else "OPEN"))
+        state.update((last, attempt, session))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "at", "request_id", "session", "attempt", "state"])
+
+    return log.withWatermark("at", lateness).groupBy("key").applyInPandasWithState(step, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def release_parked(state: Versions, batch: DataFrame, now: datetime, version: int) -> None:
+    """Observations whose validity begins later wait; each tick writes what became due, the
+    batch's own and the waiting ones', and keeps the rest for the next."""
+    before = state.current("parked")
+    before = before - 1 if before >= version else before  # a retry
+    rows = batch if not before else batch.unionByName(state.read("parked", before))
+    marked = parked(rows, F.lit(now))
+    state.write("released", marked.filter("state <> 'PARKED'").drop("state"), version)
+    state.write("parked", marked.filter("state = 'PARKED'").drop("state"), version)

@@ -14,7 +14,7 @@ from cairnlake.functions.text import decimal_text, nfc_trim, similarity, text_v1
 from cairnlake.operators import access, admission, canonical, identity, intake, lake, relate, spatial
 from cairnlake.sources.lake_scan import load_catalogue, scan_objects
 from cairnlake.sources.state import Versions
-from cairnlake.streaming.intake import ENVELOPE, intake_stream, take_batch
+from cairnlake.streaming.intake import ENVELOPE, guard_stream, intake_stream, release_parked, take_batch
 
 
 def one(spark, c):
@@ -299,3 +299,27 @@ def test_nearest_and_distances(spark):
     got = lambda **more: {r.anchor_id: (r.outcome, r.object_id, r.candidates) for r in spatial.spatial_relate(s, t, "NEAREST", max_distance=500.0, **more).collect()}
     assert got(margin=50.0) == {"a": ("SELF_LOOP_NOT_ALLOWED", None, 3), "b": ("SPATIAL_NO_MATCH", None, 0)}
     assert got(margin=50.0, self_loops=True)["a"] == ("MATCHED", "a", 3) and got(margin=100.0)["a"][0] == "SPATIAL_MULTIPLE_MATCHES" and got()["a"][0] == "SPATIAL_MULTIPLE_MATCHES"
+
+
+def test_guard_stream(spark, tmp_path):
+    """The stream, in two runs of one file each, gives what the batch gives for all rows."""
+    rows = [("k", "2024-01-01 00:00:00", 1), ("k", "2024-01-01 00:05:00", 2), ("l", "2024-01-01 00:06:00", 3), ("k", "2024-01-01 00:10:00", 4), ("k", "2024-01-01 00:11:00", 5), ("k", "2024-01-01 02:00:00", 6), ("l", "2024-01-01 02:01:00", 7), ("l", "2024-01-01 02:02:00", 8)]
+    whole = spark.createDataFrame(rows, "key string, t string, request_id long").select("key", F.to_timestamp("t").alias("at"), "request_id")
+    want = {tuple(r) for r in admission.retry_guard(whole, 3, 900).select("key", "request_id", "session", "attempt", "state").collect()}
+    for i, part in enumerate((whole.filter("request_id <= 3"), whole.filter("request_id > 3"))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = guard_stream(spark.readStream.schema(whole.schema).parquet(f"{tmp_path}/in"))
+        assert stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+        assert i or spark.read.parquet(f"{tmp_path}/out").count() == 3
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("key", "request_id", "session", "attempt", "state").collect()}
+    assert got == want
+
+
+def test_parked(spark, tmp_path):
+    state, at = Versions(spark, f"file://{tmp_path}/s"), lambda d: datetime(2024, 1, d)
+    batch = lambda rows: spark.createDataFrame(rows, "handoff_id string, valid_from timestamp")
+    release_parked(state, batch([("a", None), ("b", at(5)), ("c", at(9))]), at(1), 1)
+    assert {r.handoff_id for r in state.read("released").collect()} == {"a"}
+    for _ in range(2):  # the second is a retry
+        release_parked(state, batch([("d", at(20))]), at(6), 2)
+        assert {r.handoff_id for r in state.read("released").collect()} == {"b"} and {r.handoff_id for r in state.read("parked").collect()} == {"c", "d"}
