@@ -82,7 +82,6 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("mark")),
         "mix-sizes",
     )
-    sized = sized.filter("size > 0").unionByName(sized.filter("size <= 0"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     shards = min(MANY_SHARDS, max(1, -(-total // shard_words)))
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))

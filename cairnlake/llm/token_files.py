@@ -275,7 +275,8 @@ def _writer(folder: str, tokenizer: Broadcast):
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str) -> list[dict]:
     """Writes the files; a manifest row per file (part, file, bytes, docs, ids, start), by
     doc_id. start: ids in all files before it."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    rows = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")  # equal doc_ids may part
     with open(tokenizer, encoding="utf-8") as f:
         shipped = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary's size
     files = rows.mapInArrow(_writer(folder, shipped), "part long, file string, bytes long, docs long, ids long").collect()

@@ -155,3 +155,28 @@ def test_nothing_in_common(spark):
     assert {r.component_id for r in jaccard.jaccard_components(far).collect()} == set(range(20))
     same = spark.createDataFrame([(i, "a b c d e f g") for i in range(40)], "doc_id long, text string").repartition(7)
     assert {(r.n_shingles, r.component_id) for r in jaccard.jaccard_components(same).collect()} == {(3, 0)}
+
+
+def test_repeated_rows(spark):
+    """Rows that repeat a doc_id and its text are one node, and every row has its component."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text, 1), (5, text, 2), (3, text + " end", 1), (9, "other words that stand alone here", 1), (None, text, 1), (4, None, 1), (4, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, comp int")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str)
+    want = sorted([(False, 5, 26, 3), (False, 5, 26, 3), (False, 3, 27, 3), (False, 9, 2, 9), (True, 0, 26, None), (False, 4, 0, 4), (False, 4, 0, 4)], key=str)
+    assert got == want
+
+
+def test_blocks_of_near_copies(spark, monkeypatch):
+    """A blurred group, compared in many small blocks, against brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 7)
+    rnd = random.Random(31)
+    base = [f"b{i}" for i in range(40)]
+    texts = []
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rnd.randrange(0, 4)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(12)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.jaccard_components(df).collect()} == brute_components(list(range(len(texts))), texts)

@@ -68,3 +68,27 @@ def test_run(spark, corpus):
     sf, _ = corpus
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "ids", "n_ids", "ids_crc32", "round_trip"] and out.count() > 200
+
+
+def test_repeated_rows_long_texts_and_empty_table(spark, corpus, tmp_path):
+    """A row that repeats goes once, a very long text passes all stages whole, no rows give none."""
+    sf, rows = corpus
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    near = dict(STAGES)["near_duplicates"]
+    twice = docs.filter("doc_id IN (2, 1000)")
+    out = near(spark, docs.union(twice).union(twice), sf).filter("doc_id IN (2, 1000)").collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.doc_id)] == [2, 1000]
+    rnd = random.Random(3)
+    long = " ".join(f"word{rnd.randrange(5000)}" for _ in range(60_000)) + "."
+    own = spark.createDataFrame([(2000, long, "en", "src0", len(long), "own", None, 3)], docs.schema)
+    one = docs.filter("doc_id < 30").union(own)
+    for name, stage in STAGES[1:]:
+        one = spark.createDataFrame(stage(spark, one, sf).collect(), stage(spark, one, sf).schema)
+        kept = one.filter("doc_id = 2000").collect()
+        assert kept, name
+        if name in ("near_duplicates", "personal_data"):
+            assert kept[0].text == long
+    assert all(r.round_trip for r in kept)
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
