@@ -467,7 +467,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     more = stored(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-more")
     comp = components(links.union(more))
     out = nodes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
