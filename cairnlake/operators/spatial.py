@@ -88,9 +88,9 @@ def envelope_points(points: DataFrame, min_lon: float, min_lat: float, max_lon:
 
 
 def with_bounds(df: DataFrame, geojson: str = "geojson") -> DataFrame:
-    """df with wkb, bounds and geometry_status (OK, or what is wrong, then wkb is null)."""
+    """df with wkb, bounds, is_box and geometry_status (OK, or what is wrong, then wkb is null)."""
 
-    @pandas_udf("wkb binary, min_x double, min_y double, max_x double, max_y double, geometry_status string")
+    @pandas_udf("wkb binary, min_x double, min_y double, max_x double, max_y double, is_box boolean, geometry_status string")
     def parse(s: pd.Series) -> pd.DataFrame:
         rows = []
         for text in s:
@@ -98,10 +98,10 @@ def with_bounds(df: DataFrame, geojson: str = "geojson") -> DataFrame:
                 kind, c = G.from_geojson(text)
                 flat = [c] if kind == "Point" else [p for r in ([c] if kind == "LineString" else c if kind == "Polygon" else [r for p in c for r in p]) for p in r]
                 xs, ys = zip(*flat, strict=True)
-                rows.append((G.to_wkb(kind, c), min(xs), min(ys), max(xs), max(ys), "OK"))
+                rows.append((G.to_wkb(kind, c), min(xs), min(ys), max(xs), max(ys), G.is_box(kind, c), "OK"))
             except ValueError as e:
-                rows.append((None, None, None, None, None, str(e)))
-        return pd.DataFrame(rows, columns=["wkb", "min_x", "min_y", "max_x", "max_y", "geometry_status"])
+                rows.append((None, None, None, None, None, None, str(e)))
+        return pd.DataFrame(rows, columns=["wkb", "min_x", "min_y", "max_x", "max_y", "is_box", "geometry_status"])
 
     return df.withColumn("_g", parse(F.col(geojson))).select(*df.columns, "_g.*")
 
@@ -156,15 +156,25 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return pairs.drop("cx", "cy")
 
 
+def _split(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of axis-parallel boxes, which need no Python, and the others."""
+    boxes = F.coalesce(F.col("l_is_box") & F.col("r_is_box"), F.lit(False))
+    return pairs.filter(boxes), pairs.filter(~boxes)
+
+
 def intersection_pairs(left: DataFrame, right: DataFrame, cell: float = 0.05) -> DataFrame:
-    pairs = box_pairs(left, right, cell).filter("l_object_id <> r_object_id")
-    return pairs.filter(polygons_intersect("l_wkb", "r_wkb")).select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"))
+    boxes, rest = _split(box_pairs(left, right, cell).filter("l_object_id <> r_object_id"))
+    out = boxes.unionByName(rest.filter(polygons_intersect("l_wkb", "r_wkb")))
+    return out.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float, cell: float = 0.05) -> DataFrame:
     """(anchor_id, object_id, share) with share of the anchor's area >= least."""
-    pairs = box_pairs(left, right, cell).filter("l_object_id <> r_object_id")
-    out = pairs.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"), overlap_share("l_wkb", "r_wkb").alias("share"))
+    boxes, rest = _split(box_pairs(left, right, cell).filter("l_object_id <> r_object_id"))
+    both = lambda axis: F.least(f"l_max_{axis}", f"r_max_{axis}") - F.greatest(f"l_min_{axis}", f"r_min_{axis}")
+    whole = (F.col("l_max_x") - F.col("l_min_x")) * (F.col("l_max_y") - F.col("l_min_y"))
+    named = lambda df, share: df.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"), share.alias("share"))
+    out = named(boxes, both("x") * both("y") / whole).unionByName(named(rest, overlap_share("l_wkb", "r_wkb")))
     return out.filter(F.col("share") >= least)
 
 
