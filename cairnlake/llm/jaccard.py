@@ -36,7 +36,7 @@ from .shingles import Shingler, mix, split_sets, texts
 
 #: Similarity in hundredths; signatures a reducing task holds, about twice; signatures that a
 #: signing task holds before it sends them.
-LEAST, TASK_SIGNATURES, SENT_SIGNATURES = 75, 1_000_000, 250_000
+LEAST, TASK_SIGNATURES, SENT_SIGNATURES = 75, 250_000, 600_000
 #: A shingle is frequent from so many sets on; a task reports those it saw in LOCAL sets; the
 #: most frequent MOST_FREQUENT of them are used (8 bytes each on every executor).
 FREQUENT, LOCAL, MOST_FREQUENT = 6, 2, 1_000_000
