@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import fresh_path, table
-from cairnlake.llm.jaccard import jaccard_components
+from cairnlake.llm.common import fresh_path, stored, table
+from cairnlake.llm.jaccard import BROADCAST_IDS, jaccard_components
 from cairnlake.llm.mixing import mixed_documents
 from cairnlake.llm.pieces import sentencepiece_documents
 from cairnlake.llm.pii import find_pii, redacted
@@ -30,7 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     as do those without a doc_id. Where rows of one doc_id have different texts, they are one
     node, and stay or go together."""
     groups = jaccard_components(docs).select(F.col("doc_id").alias("_id"), "component_id").filter("_id IS NOT NULL AND _id <> component_id").distinct()
-    left = docs.select(F.col("doc_id").alias("_d"), F.struct("*").alias("_row")).join(groups, F.col("_d") == F.col("_id"), "left_anti")
+    groups = stored(groups.select("_id"), "pipeline-copies")
+    few = groups.count() <= BROADCAST_IDS  # then no text is exchanged
+    left = docs.select(F.col("doc_id").alias("_d"), F.struct("*").alias("_row")).join(F.broadcast(groups) if few else groups, F.col("_d") == F.col("_id"), "left_anti")
     again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
     if not again.isEmpty():
         same = Window.partitionBy("_d", F.sha2(F.coalesce("_row.text", F.lit("")), 256)).orderBy(F.xxhash64("_row"))
