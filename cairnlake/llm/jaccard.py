@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remembered, stored, table
+from .common import release, remembered, stored, table
 from .shingles import Shingler, mix, split_sets, texts
 
 #: Similarity in hundredths; signatures a reducing task holds, about twice; signatures that a
@@ -200,6 +200,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     on = counts >= LOCAL
     m = int(on.sum())
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(counts[on]), pa.array(known[on].view(np.int64)), pa.array(np.zeros(m, np.int64))], ["kind", "doc_id", "n_shingles", "h1", "h2"])
+    release()
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -257,6 +258,7 @@ def _sign(tasks: int, frequent):
                     yield from blocks()
                     docs, sigs, skips, held = [], [], [], 0
         yield from blocks()
+        release()
 
     return run
 
@@ -324,6 +326,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if both and 100 * both >= LEAST * (len(x) + len(y) - both):
                 rows.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+    release()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

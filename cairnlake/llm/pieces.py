@@ -37,13 +37,13 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, remembered, table
+from .common import fresh_path, release, remembered, table
 from .shingles import mix
 
 SPACE = "▁"
 #: Bytes of text in a chunk, and of one that is cut or decoded at once (a longer text is by
 #: itself); characters that the mask holds; segments packed at once.
-CHUNK_BYTES, PART_BYTES, MASK_CHARS, PACKED_ROWS = 16 << 20, 1 << 20, 62, 1 << 18
+CHUNK_BYTES, PART_BYTES, MASK_CHARS, PACKED_ROWS = 12 << 20, 1 << 20, 62, 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -254,6 +254,7 @@ def _chunks(folder: str, model: Broadcast):
                 if file.held >= CHUNK_BYTES:
                     yield from flush()
         yield from flush()
+        release()
 
     return run
 
@@ -327,6 +328,7 @@ def _pack(model: Broadcast):
                 yield from done()
                 size = 0
         yield from done()
+        release()
 
     return run
 
@@ -401,6 +403,7 @@ def _assemble(folder: str, model: Broadcast):
         with fs.open_input_file(_chunk_path(root, chunk)) as stream:
             file = ChunkFile.read(stream.read())
         yield from make.documents(file, *make.lists(file, got))
+        release()
 
     return run
 

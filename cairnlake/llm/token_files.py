@@ -29,7 +29,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, remembered, table
+from .common import fresh_path, release, remembered, table
 
 END_ID = 2
 #: Ids in a frame, about; compression level; words whose ids a worker remembers; bytes of text
@@ -263,6 +263,7 @@ def _writer(folder: str, tokenizer: Broadcast):
                     for doc, row in zip(ids[i:j], encode(texts[i:j]), strict=True):
                         out.add(doc, row)
             out.close()
+        release()
         if out.docs:
             fs.move(temp, name)
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name.rpartition("/")[2]], "bytes": [fs.get_file_info(name).size], "docs": [out.docs], "ids": [out.total]})
