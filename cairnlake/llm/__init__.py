@@ -23,6 +23,9 @@ MODULES = {
     "op8_quality": "quality",
     "op9_url_filter": "url_filter",
     "op10_tokens": "token_files",
+    "op11_clusters": "clusters",
+    "op12_resampling": "resampling",
+    "op13_near_vectors": "near_vectors",
 }
 
 
