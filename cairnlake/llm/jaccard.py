@@ -214,8 +214,9 @@ def from_planes(data: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
 
 
 def _sign(tasks: int, frequent):
-    """A row per task p to come: signatures' low 32 bits (p follows from the top 16; a chance
-    meeting is only one more pair to verify), shares of rare shingles, levels of size, prefix
+    """A row per task p to come: signatures' low 32 bits (p follows from the other 32, so that two
+    signatures meet by chance as rarely in each of many tasks as in few; that is only one more
+    pair to verify), shares of rare shingles, levels of size, prefix
     places and differences of ids, byte plane by byte plane, as many bytes whatever p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +229,11 @@ def _sign(tasks: int, frequent):
             each = [len(x) for x in sigs]
             spread = lambda i, t: np.repeat(np.array([d[i] for d in docs], t), each)
             sig, skip, doc, size, rare = np.concatenate(sigs), np.concatenate(skips).astype("<u4"), spread(0, np.int64), spread(1, np.uint8), spread(2, np.uint8)
-            to = (sig >> np.uint64(48)).astype(np.int64) * tasks >> 16
+            to = ((sig >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            bounds = np.searchsorted(to[order], np.arange(tasks + 1))
+            there, first = np.unique(to[order], return_index=True)
             rows = []
-            for p in np.flatnonzero(np.diff(bounds)):
-                on = order[bounds[p] : bounds[p + 1]]
+            for p, on in zip(there, np.split(order, first[1:]), strict=True):
                 low = (sig[on] & np.uint64(0xFFFFFFFF)).astype("<u4")
                 rows.append((int(p), len(on), b"".join((low.tobytes(), rare[on].tobytes(), size[on].tobytes(), planes(skip[on]))), planes(np.diff(doc[on], prepend=0).astype("<i8"))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["p", "n", "sig", "doc"])
@@ -416,7 +416,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     rep = nodes.filter("rep IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n"))
 
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    tasks = int(min(1 << 16, max(1, -(-total * 14 // 10 // TASK_SIGNATURES) * 2)))
+    tasks = max(1, -(-int(total) * 14 // 10 // TASK_SIGNATURES) * 2)
 
     def small(ids: DataFrame) -> DataFrame:
         """ids, to be broadcast if they are few."""

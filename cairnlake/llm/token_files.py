@@ -36,8 +36,9 @@ END_ID = 2
 #: and documents encoded at once (a longer text is encoded by itself).
 FRAME_IDS, LEVEL, MEMO, BATCH_BYTES, BATCH_DOCS = 1 << 17, 3, 600_000, 4 << 20, 4096
 SEEK_MAGIC, SEEK_FRAME, DIR_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
-#: Words that Unicode's normal form NFC leaves alone and that have one lower case everywhere.
-PLAIN = re.compile("[\x21-\u024f]+").fullmatch
+#: Words that Unicode's normal form NFC leaves alone, that have one lower case everywhere and no
+#: white space; U+007F isn't among the ASCII characters that stand for themselves.
+PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
 
 
 def _byte_chars() -> dict[int, str]:
@@ -49,13 +50,13 @@ def _byte_chars() -> dict[int, str]:
 
 
 class WordEncoder:
-    """A tokenizer's ids for whole texts. It never joins characters across ASCII white space, so
-    each distinct word is encoded once and its ids are remembered: word -> place in one run of
-    all ids. Texts are parted and their words told apart in Arrow, ids gathered in numpy.
-
-    Where the tokenizer lower-cases, parts words by a pattern and merges bytes, new words of
-    plain letters go to the merges directly; any other word through the whole tokenizer. The
-    memory starts anew when full; tasks that follow each other in a process share it.
+    """A tokenizer's ids for whole texts. Where the tokenizer lower-cases, parts words by a
+    pattern and merges bytes, it never joins characters across ASCII white space, so each distinct
+    word is encoded once and its ids are remembered: word -> place in one run of all ids. Texts
+    are parted and their words told apart in Arrow, ids gathered in numpy. New words of plain
+    letters go to the merges directly; any other word through the whole tokenizer. The memory
+    starts anew when full; tasks that follow each other in a process share it. Any other
+    tokenizer gets whole texts.
     """
 
     def __init__(self, model: str):
@@ -93,19 +94,18 @@ class WordEncoder:
         self.sizes.frombytes(sizes.astype(np.uint32).tobytes())
 
     def _learn(self, words: list[str]) -> None:
-        if self.pattern is not None:
-            whole = "\n".join(words)
-            odd = [s for s in self.special if s in whole]
-            plain = [w for w in words if PLAIN(w) and not any(s in w for s in odd)]
-            words = list(set(words).difference(plain)) if len(plain) < len(words) else []
-            if plain:
-                found = self.pattern.findall("\n".join(plain).lower() + "\n")
-                tokenize, chars = self.tokenizer.model.tokenize, _byte_chars()
-                ids = {p: array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(chars))]).tobytes() for p in set(found)}
-                ids["\n"] = b""
-                runs = list(map(ids.__getitem__, found))
-                total = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs))) // 4
-                self._store(plain, b"".join(runs), np.diff(total[[p == "\n" for p in found]], prepend=0))
+        whole = "\n".join(words)
+        odd = [s for s in self.special if s in whole]
+        plain = [w for w in words if PLAIN(w) and not any(s in w for s in odd)]
+        words = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        if plain:
+            found = self.pattern.findall("\n".join(plain).lower() + "\n")
+            tokenize, chars = self.tokenizer.model.tokenize, _byte_chars()
+            ids = {p: array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(chars))]).tobytes() for p in set(found)}
+            ids["\n"] = b""
+            runs = list(map(ids.__getitem__, found))
+            total = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs))) // 4
+            self._store(plain, b"".join(runs), np.diff(total[[p == "\n" for p in found]], prepend=0))
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             rows = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
@@ -113,6 +113,8 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null as empty) and END_ID."""
+        if self.pattern is None:
+            return [np.array([*e.ids, END_ID], np.uint32) for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()

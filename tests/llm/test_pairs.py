@@ -77,6 +77,15 @@ def test_components_with_frequent_shingles(spark, monkeypatch):
     assert {tuple(r) for r in jaccard.jaccard_components(df).collect()} == brute_components(list(range(len(texts))), texts)
 
 
+def test_components_of_large_ids(spark, monkeypatch):
+    """Ids near the ends of 64 bits, and more tasks than 16 bits could tell apart."""
+    monkeypatch.setattr(jaccard, "TASK_SIGNATURES", 1)
+    texts = corpus(5, 40)
+    ids = [(1 << 62) + 977 * i if i % 2 else 977 * i - (1 << 63) for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.jaccard_components(df).collect()} == brute_components(ids, texts)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(df).collect() == []

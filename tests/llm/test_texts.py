@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +314,24 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_files(df.limit(0), path).collect() == []
 
 
+def test_words_of_every_character():
+    """Each code point up to U+024F, alone and between letters, as the library encodes it; and a
+    tokenizer of another kind, which gets whole texts."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    texts = [t for c in range(0x250) for t in (chr(c), f"a{chr(c)}b", f"Ab{chr(c)}{chr(c)} 1{chr(c)}")]
+    other = json.loads(spec)
+    other["pre_tokenizer"]["pretokenizers"] = other["pre_tokenizer"]["pretokenizers"][-1:]
+    for model in (spec, json.dumps(other)):
+        library = Tokenizer.from_str(model)
+        got = token_files.WordEncoder(model)(pa.array([*texts, None]))
+        assert [g.tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in [*texts, ""]]
+
+
 # --- cases of their own ---
 
 
