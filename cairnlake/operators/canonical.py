@@ -16,6 +16,8 @@ from cairnlake.functions.text import decimal_text, nfc_trim
 
 #: Rank of sources that the authority order doesn't name.
 UNRANKED = 10_000
+#: Registered source systems that a running winner can tell apart.
+MOST_SOURCES = 256
 
 
 def latest_per_source(contributions: DataFrame) -> DataFrame:
@@ -111,21 +113,24 @@ def reconcile_linked(rows: DataFrame, now: Column, datatype: str = "string", mul
 def running_winners(contributions: DataFrame, order: Sequence[str]) -> DataFrame:
     """The property winner as of each contribution: (object_id, property, seq, value, changed).
 
-    contributions also have seq, a total order of arrival per object. As long as sources
-    conflict the previous winner stays. One running window per source, one per property.
+    contributions also have seq, a total order of arrival per object. The best source of the order
+    that has said anything decides by its latest value; without one, the latest values of all other
+    sources must agree. As long as they don't, the previous winner stays. Sources are registered
+    systems, so they are few: one running window serves them all, a column each.
     """
+    found = {r.source_id for r in contributions.select("source_id").distinct().limit(MOST_SOURCES + 1).collect()}
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    others = sorted(s for s in found if s is not None and s not in order)
     key = Window.partitionBy("object_id", "property").orderBy("seq")
     run = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = contributions
-    states = []
-    for i, s in enumerate(order):
+    for i, s in enumerate((*order, *others)):
         mine = F.when(F.col("source_id") == s, F.struct(F.struct("observed_at", "seq").alias("at"), F.col("value")))
         rows = rows.withColumn(f"_s{i}", F.max(mine).over(run)["value"])
-        states.append(F.col(f"_s{i}"))
-    named = F.array(*[F.lit(s) for s in order]) if order else F.array().cast("array<string>")
-    rows = rows.withColumn("_other", F.when(~F.array_contains(named, F.col("source_id")), F.col("value")))
-    rows = rows.withColumn("_least", F.min("_other").over(run)).withColumn("_most", F.max("_other").over(run))
-    rows = rows.withColumn("_w", F.coalesce(*states, F.when(F.col("_least") == F.col("_most"), F.col("_least"))))
+    ranked = [F.col(f"_s{i}") for i in range(len(order))]
+    rest = F.array_distinct(F.array_compact(F.array(*[F.col(f"_s{i}") for i in range(len(order), len(order) + len(others))]))) if others else None
+    rows = rows.withColumn("_w", F.coalesce(*ranked, *([F.when(F.size(rest) == 1, rest[0])] if others else []), F.lit(None)))
     rows = rows.withColumn("winner", F.last("_w", ignorenulls=True).over(run))
     rows = rows.withColumn("_p", F.lag("winner").over(key))
     return rows.select("object_id", "property", "seq", "observed_at", F.col("winner").alias("value"), (~F.col("winner").eqNullSafe(F.col("_p"))).alias("changed"))

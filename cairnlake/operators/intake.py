@@ -43,8 +43,8 @@ def unknown_keys(json: Column, known: Sequence[str]) -> Column:
     return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in known])))
 
 
-def classify(batch: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
-    """The batch with `decision`: NEW, DUPLICATE or CONFLICT.
+def classify(batch: DataFrame, accepted: DataFrame | None = None, scheme: str = "registry") -> DataFrame:
+    """The batch with `decision`: NEW, DUPLICATE or CONFLICT, and a `receipt` of the given scheme.
 
     batch: handoff_id, content_hash, payload, arrival (total order). accepted: handoff_id,
     content_hash, payload of earlier batches, one row an id. The first arrival of an unknown id
@@ -62,7 +62,7 @@ def classify(batch: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumn("_old", F.lit(None).cast("boolean"))
     alike = same("payload", "_p") | F.coalesce(canonical_json(F.col("payload")) == canonical_json(F.col("_p")), F.lit(False))
     decision = F.when(F.col("_old").isNull() & (F.col("_n") == 1), "NEW").when(same("content_hash", "_h") & alike, "DUPLICATE").otherwise("CONFLICT")
-    return rows.select(*batch.columns, decision.alias("decision"), F.concat(F.lit("udp://handoffs/"), F.col("handoff_id")).alias("receipt"))
+    return rows.select(*batch.columns, decision.alias("decision"), F.concat(F.lit(f"{scheme}://handoffs/"), F.col("handoff_id")).alias("receipt"))
 
 
 def verify_raw_refs(batch: DataFrame, lake: DataFrame) -> DataFrame:

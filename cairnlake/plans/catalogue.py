@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions.hashing import sha256_ref
-from cairnlake.operators import access, admission, canonical, graph, identity, intake, lake, paging, relate, serve, spatial
+from cairnlake.operators import access, admission, canonical, graph, identity, intake, lake, paging, relate, revisions, serve, spatial
 from cairnlake.sources.registry import registry, registry_sql
 from cairnlake.streaming.intake import tumbling_activity
 
@@ -245,7 +245,7 @@ _BATCH = "SELECT concat('h', CAST(user_id % 400 AS STRING)) AS handoff_id, event
 @query(f"""
 WITH b AS ({_BATCH.replace('{events}', 'events')}),
 f AS (SELECT *, first_value(content_hash) OVER w AS h, first_value(payload) OVER w AS p, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY handoff_id ORDER BY arrival))
-SELECT handoff_id, arrival, CASE WHEN n = 1 THEN 'NEW' WHEN h = content_hash AND p = payload THEN 'DUPLICATE' ELSE 'CONFLICT' END AS decision, 'udp://handoffs/' || handoff_id AS receipt FROM f
+SELECT handoff_id, arrival, CASE WHEN n = 1 THEN 'NEW' WHEN h = content_hash AND p = payload THEN 'DUPLICATE' ELSE 'CONFLICT' END AS decision, 'registry://handoffs/' || handoff_id AS receipt FROM f
 """)
 def intake_classify(spark, sf):
     return intake.classify(spark.sql(_BATCH, events=base(spark, sf, "events"))).select("handoff_id", "arrival", "decision", "receipt")
@@ -506,17 +506,19 @@ def linked_supersede(spark, sf):
 
 # the winner as of each arrival: the best source's latest value so far, by (observed_at, seq)
 _RUNNING = """
-a AS (SELECT object_id, property, seq, observed_at, source_id, value FROM R(OBSERVATIONS) WHERE source_id IN ('purchase', 'signup')),
-s AS (SELECT *, max(CASE WHEN source_id = 'purchase' THEN row(observed_at, seq, value) END) OVER w AS p, max(CASE WHEN source_id = 'signup' THEN row(observed_at, seq, value) END) OVER w AS g FROM a WINDOW w AS (PARTITION BY object_id, property ORDER BY seq ROWS UNBOUNDED PRECEDING)),
-v AS (SELECT object_id, property, seq, observed_at, coalesce(p[3], g[3]) AS value FROM s),
+a AS (SELECT object_id, property, seq, observed_at, source_id, value FROM R(OBSERVATIONS)),
+s AS (SELECT *, max(CASE WHEN source_id = 'purchase' THEN row(observed_at, seq, value) END) OVER w AS p, max(CASE WHEN source_id = 'signup' THEN row(observed_at, seq, value) END) OVER w AS g,
+  max(CASE WHEN source_id = 'view' THEN row(observed_at, seq, value) END) OVER w AS x, max(CASE WHEN source_id = 'click' THEN row(observed_at, seq, value) END) OVER w AS y, max(CASE WHEN source_id = 'error' THEN row(observed_at, seq, value) END) OVER w AS z
+  FROM a WINDOW w AS (PARTITION BY object_id, property ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, coalesce(p[3], g[3], CASE WHEN greatest(x[3], y[3], z[3]) = least(x[3], y[3], z[3]) THEN least(x[3], y[3], z[3]) END) AS w FROM s),
+v AS (SELECT object_id, property, seq, observed_at, last_value(w IGNORE NULLS) OVER (PARTITION BY object_id, property ORDER BY seq ROWS UNBOUNDED PRECEDING) AS value FROM c),
 ch AS (SELECT *, value IS DISTINCT FROM lag(value) OVER (PARTITION BY object_id, property ORDER BY seq) AS changed FROM v),
 rv AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY seq) AS no FROM ch WHERE changed)
 """
 
 
 def _changes(spark, sf):
-    rows = registry(spark, sf, "OBSERVATIONS").filter(F.col("source_id").isin(*ORDER))
-    return canonical.running_winners(rows, ORDER).filter("changed")
+    return canonical.running_winners(registry(spark, sf, "OBSERVATIONS"), ORDER).filter("changed")
 
 
 @query(f"WITH {_RUNNING} SELECT object_id, seq, 'value=' || CAST(value AS STRING) AS delta, CAST(no AS BIGINT) AS revision_no, (no - 1) % 4 = 0 AS is_checkpoint FROM rv")
@@ -1211,3 +1213,125 @@ def mismatch_counter(spark, sf):
     """Refused calls, at most 20 an entry, counted apart from the queries' own budget."""
     log = base(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("request_id"), F.lit(1.0).alias("mismatch_calls"))
     return admission.admit(log, {"mismatch_calls": "mismatch_calls"}, {"mismatch_calls": 20}, 900)
+
+
+# --- materialised revisions ---
+
+
+#: Each event is a handoff with two properties: value, always but for every sixth, and band. Deltas
+#: name a revision, a content (often their own) or nothing; some carry a fingerprint.
+_HANDOFFS = """
+SELECT CAST(event_id AS STRING) AS handoff_id, concat('user:', lpad(CAST(user_id AS STRING), 9, '0')) AS object_id, CAST(event_id AS BIGINT) AS seq, event_type AS source_id, ts AS observed_at,
+  CASE WHEN event_id % 4 = 1 THEN CASE WHEN event_id % 8 = 1 THEN 'DELTA_PATCH' ELSE 'PROPERTY_EVENTS' END ELSE 'FULL_SNAPSHOT' END AS mode,
+  CASE WHEN event_id % 8 = 1 THEN CAST(event_id % 5 + 1 AS BIGINT) END AS base_revision,
+  CASE WHEN event_id % 16 = 5 THEN concat('sha256:', SHA2HEX(concat(chr(123), '"labels":', chr(123), '"band":"PERSONAL","value":"OPEN"', chr(125), ',"values":', chr(123), '"band":"b', CAST(CAST(floor(value / 250) AS BIGINT) AS STRING), '","value":', CAST(CAST(floor(value / 200) AS BIGINT) AS STRING), chr(125), chr(125)) BITS)) END AS base_content,
+  CASE WHEN event_id % 3 = 1 THEN concat('f', CAST(CAST(floor(value / 50) AS BIGINT) AS STRING)) END AS fingerprint,
+  CASE WHEN event_id % 6 <> 5 THEN CAST(CAST(floor(value / 200) AS BIGINT) AS STRING) END AS v_value,
+  CASE WHEN event_id % 7 = 0 THEN 'null' WHEN event_id % 3 <> 0 THEN concat('"b', CAST(CAST(floor(value / 250) AS BIGINT) AS STRING), '"') END AS v_band,
+  event_id % 5 = 2 AS del_band
+FROM {events}
+"""
+PROFILE = revisions.Profile((revisions.Rule("value", ("purchase", "signup")), revisions.Rule("band", ("signup", "click"), "PERSONAL", ("signup", "view"))), 4)
+
+
+def _handoffs(spark, sf):
+    rows = spark.sql(_HANDOFFS.replace("SHA2HEX(", "sha2(").replace(" BITS)", ", 256)"), events=base(spark, sf, "events"))
+    entry = lambda p: F.when(F.col(f"v_{p}").isNotNull(), F.struct(F.lit(p).alias("k"), F.col(f"v_{p}").alias("v")))
+    payload = F.map_from_entries(F.array_compact(F.array(entry("value"), entry("band"))))
+    return rows.withColumns({"payload": payload, "deletes": F.when(F.col("del_band"), F.array(F.lit("band")))})
+
+
+_ORDERS = {"value": ("purchase", "signup"), "band": ("signup", "click")}
+
+
+def _materialized_sql() -> str:
+    """The fold as a recursion over each object's observations, one a step."""
+    rank = lambda p: f"CASE source_id WHEN '{_ORDERS[p][0]}' THEN 0 WHEN '{_ORDERS[p][1]}' THEN 1 ELSE 10000 END"
+    news = lambda p, v: f"struct_pack(p := '{p}', s := source_id, r := {rank(p)}, at := observed_at, q := seq, v := {v})"
+    top = lambda p: f"list_filter(late, lambda x: x.p = '{p}' AND x.r = list_min(list_transform(list_filter(late, lambda y: y.p = '{p}'), lambda y: y.r)))"
+    said = lambda p: f"list_distinct(list_transform(t_{p}, lambda x: x.v))"
+    chosen = lambda p, new, old: f"CASE WHEN len(t_{p}) = 0 OR len({said(p)}) > 1 THEN {old} WHEN t_{p}[1].v = '-' THEN NULL ELSE {new} END"
+    who = lambda p: f"""'"{p}":{{"rank":' || t_{p}[1].r || ',"source":"' || list_min(list_transform(t_{p}, lambda x: x.s)) || '","value":' || t_{p}[1].v || '}}'"""
+    value_part = """concat_ws(',', '"band":' || w_band, '"value":' || w_value)"""
+    label_part = """concat_ws(',', CASE WHEN w_band IS NOT NULL THEN '"band":"PERSONAL"' END, CASE WHEN w_value IS NOT NULL THEN '"value":"OPEN"' END)"""
+    return f"""
+WITH RECURSIVE h AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY seq) AS k,
+    list_filter([{news('value', 'v_value')}, CASE WHEN del_band AND source_id IN ('signup', 'view') THEN {news('band', "'-'")} ELSE {news('band', 'v_band')} END], lambda x: x.v IS NOT NULL) AS c
+  FROM ({_HANDOFFS.replace('{events}', 'events').replace('SHA2HEX(', 'sha256(').replace(' BITS)', ')')}) e
+), f AS (
+  SELECT DISTINCT object_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, CAST('' AS VARCHAR) AS handoff_id, CAST('' AS VARCHAR) AS outcome, CAST(0 AS BIGINT) AS no, CAST('' AS VARCHAR) AS content, CAST('' AS VARCHAR) AS auth, CAST(NULL AS VARCHAR) AS fp,
+    list_filter(c, lambda x: false) AS late, CAST(NULL AS VARCHAR) AS w_value, CAST(NULL AS VARCHAR) AS w_band, CAST(NULL AS VARCHAR) AS u_value, CAST(NULL AS VARCHAR) AS u_band, CAST(NULL AS VARCHAR) AS conflicts FROM h WHERE h.k = 1
+  UNION ALL
+  SELECT object_id, k, seq, handoff_id,
+    CASE WHEN same THEN 'UNCHANGED' WHEN refused IS NOT NULL THEN refused WHEN content2 = content AND auth2 = auth THEN 'UNCHANGED' ELSE 'REVISION' END,
+    no + CASE WHEN NOT same AND refused IS NULL AND (content2 <> content OR auth2 <> auth) THEN 1 ELSE 0 END, content2, auth2,
+    CASE WHEN NOT same AND refused IS NULL AND (content2 <> content OR auth2 <> auth) THEN fingerprint ELSE fp END, late, w_value, w_band, u_value, u_band, conflicts
+  FROM (
+    SELECT *, CASE WHEN same OR refused IS NOT NULL THEN content ELSE 'sha256:' || sha256('{{"labels":{{' || {label_part} || '}},"values":{{' || {value_part} || '}}}}') END AS content2,
+      CASE WHEN same OR refused IS NOT NULL THEN auth ELSE 'sha256:' || sha256('{{' || concat_ws(',', u_band, u_value) || '}}') END AS auth2
+    FROM (
+      SELECT * EXCLUDE (w_value, w_band, u_value, u_band, conflicts),
+        CASE WHEN same OR refused IS NOT NULL THEN w_value ELSE {chosen('value', 't_value[1].v', 'w_value')} END AS w_value, CASE WHEN same OR refused IS NOT NULL THEN w_band ELSE {chosen('band', 't_band[1].v', 'w_band')} END AS w_band,
+        CASE WHEN same OR refused IS NOT NULL THEN u_value ELSE {chosen('value', who('value'), 'u_value')} END AS u_value, CASE WHEN same OR refused IS NOT NULL THEN u_band ELSE {chosen('band', who('band'), 'u_band')} END AS u_band,
+        CASE WHEN NOT same AND refused IS NULL THEN nullif(concat_ws('|', CASE WHEN len({said('value')}) > 1 THEN 'value' END, CASE WHEN len({said('band')}) > 1 THEN 'band' END), '') END AS conflicts
+      FROM (
+        SELECT *, {top('value')} AS t_value, {top('band')} AS t_band
+        FROM (
+          SELECT * EXCLUDE (late), CASE WHEN same OR refused IS NOT NULL THEN late ELSE list_concat(
+            list_filter(late, lambda x: len(list_filter(c, lambda y: y.p = x.p AND y.s = x.s AND (y.at > x.at OR y.at = x.at AND y.q > x.q))) = 0),
+            list_filter(c, lambda y: len(list_filter(late, lambda x: y.p = x.p AND y.s = x.s AND (x.at > y.at OR x.at = y.at AND x.q > y.q))) = 0)) END AS late
+          FROM (
+            SELECT f.object_id, h.k, h.seq, h.handoff_id, f.no, f.content, f.auth, f.fp, f.late, f.w_value, f.w_band, f.u_value, f.u_band, f.conflicts, h.c, h.fingerprint,
+              coalesce(h.fingerprint = f.fp AND f.no > 0, false) AS same,
+              CASE WHEN h.mode = 'FULL_SNAPSHOT' THEN NULL WHEN f.no = 0 THEN 'DELTA_BASE_REQUIRED' WHEN h.base_revision <> f.no OR h.base_content <> f.content THEN 'DELTA_BASE_MISMATCH' END AS refused
+            FROM f JOIN h ON h.object_id = f.object_id AND h.k = f.k + 1
+          ) a
+        ) b
+      ) d
+    ) g
+  ) i
+), m AS (
+  SELECT *, outcome LIKE 'DELTA%' AS bad, outcome = 'REVISION' AS new, lag(w_value) OVER o AS p_value, lag(w_band) OVER o AS p_band FROM f WINDOW o AS (PARTITION BY object_id ORDER BY k)
+), v AS (
+  SELECT object_id, seq, handoff_id, outcome, CASE WHEN NOT bad THEN no END AS revision_no, CASE WHEN new THEN CASE WHEN (no - 1) % 4 = 0 THEN 'FULL_CHECKPOINT' ELSE 'DELTA_PATCH' END END AS representation,
+    CASE WHEN NOT bad THEN content END AS canonical_hash, CASE WHEN NOT bad THEN auth END AS authority_hash, conflicts,
+    CASE WHEN new AND (no - 1) % 4 = 0 THEN {value_part} END AS values_text,
+    CASE WHEN new AND (no - 1) % 4 <> 0 THEN concat_ws(',', CASE WHEN w_band IS DISTINCT FROM p_band THEN '"band":' || w_band END, CASE WHEN w_value IS DISTINCT FROM p_value THEN '"value":' || w_value END) END AS set_text,
+    CASE WHEN new AND (no - 1) % 4 <> 0 THEN concat_ws(',', CASE WHEN w_band IS NULL AND p_band IS NOT NULL THEN 'band' END, CASE WHEN w_value IS NULL AND p_value IS NOT NULL THEN 'value' END) END AS remove_text,
+    w_value, w_band
+  FROM m WHERE k > 0
+)"""
+
+
+_MATERIALIZED = _materialized_sql()
+
+
+def _pairs(c: str):
+    return F.when(F.col(c).isNotNull(), F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","))
+
+
+@query(f"{_MATERIALIZED} SELECT * EXCLUDE (w_value, w_band) FROM v")
+def materialize_revisions(spark, sf):
+    """All handoffs of all five sources, two properties, three modes."""
+    results, _ = revisions.materialize(_handoffs(spark, sf), PROFILE)
+    return results.select("object_id", "seq", "handoff_id", "outcome", "revision_no", "representation", "canonical_hash", "authority_hash", F.array_join("conflicts", "|").alias("conflicts"), _pairs("values").alias("values_text"), _pairs("set").alias("set_text"), F.array_join("remove", ",").alias("remove_text"))
+
+
+#: A revision in ten objects is lost, another is spoilt, and numbers beyond the last are asked for.
+_LOST, _SPOILT = "object_id LIKE '%3' AND revision_no = 6", "object_id LIKE '%7' AND revision_no = 3"
+
+
+@query(f"""{_MATERIALIZED}, r AS (SELECT object_id, revision_no, canonical_hash, {"concat_ws(',', " + "'\"band\":' || w_band, '\"value\":' || w_value)"} AS t FROM v WHERE outcome = 'REVISION'),
+a AS (SELECT object_id, revision_no FROM r UNION SELECT object_id, max(revision_no) + 1 FROM r GROUP BY 1),
+s AS (SELECT a.object_id, a.revision_no, r.t, r.canonical_hash, r.revision_no IS NULL OR (a.object_id LIKE '%3' AND a.revision_no = 6) AS absent, a.object_id LIKE '%3' AND a.revision_no IN (7, 8) AS broken, a.object_id LIKE '%7' AND a.revision_no = 3 AS spoilt FROM a LEFT JOIN r USING (object_id, revision_no))
+SELECT object_id, revision_no, CASE WHEN absent THEN 'REVISION_NOT_FOUND' WHEN broken THEN 'CHAIN_INVALID' WHEN spoilt THEN 'HASH_MISMATCH' ELSE 'OK' END AS status,
+  CASE WHEN NOT absent AND NOT broken AND NOT spoilt THEN t END AS values_text, CASE WHEN NOT absent AND NOT broken AND NOT spoilt THEN canonical_hash END AS canonical_hash FROM s""")
+def reconstruct_revisions(spark, sf):
+    """Every revision from its checkpoint on, some chains being damaged."""
+    results, _ = revisions.materialize(_handoffs(spark, sf), PROFILE)
+    made = revisions.revisions_of(results)
+    wanted = made.select("object_id", "revision_no").unionByName(made.groupBy("object_id").agg((F.max("revision_no") + 1).alias("revision_no")))
+    left = made.filter(f"NOT ({_LOST})").withColumn("canonical_hash", F.expr(f"CASE WHEN {_SPOILT} THEN concat(canonical_hash, '0') ELSE canonical_hash END"))
+    out = revisions.reconstruct(left, wanted)
+    return out.select("object_id", "revision_no", "status", _pairs("values").alias("values_text"), "canonical_hash")
