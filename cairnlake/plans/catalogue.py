@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions.hashing import sha256_ref
-from cairnlake.operators import access, admission, canonical, graph, identity, intake, lake, paging, relate, revisions, serve, spatial
+from cairnlake.operators import access, admission, canonical, graph, identity, intake, lake, paging, reconcile, relate, revisions, serve, spatial
 from cairnlake.sources.registry import registry, registry_sql
 from cairnlake.streaming.intake import tumbling_activity
 
@@ -1335,3 +1335,73 @@ def reconstruct_revisions(spark, sf):
     left = made.filter(f"NOT ({_LOST})").withColumn("canonical_hash", F.expr(f"CASE WHEN {_SPOILT} THEN concat(canonical_hash, '0') ELSE canonical_hash END"))
     out = revisions.reconstruct(left, wanted)
     return out.select("object_id", "revision_no", "status", _pairs("values").alias("values_text"), "canonical_hash")
+
+
+# --- relationships by their supports ---
+
+
+#: Each event refers to a nation by name (some are shared or unknown) and, if even, to a region.
+_SEEN = """
+SELECT event_id AS handoff_id, concat(event_type, ':', CAST(user_id AS STRING)) AS binding, concat('user:', lpad(CAST(user_id AS STRING), 9, '0')) AS source_id, 'default' AS tenant_id,
+  ts AS observed_at, ts AS received_at,
+  event_id * 7 % 29 AS nation, CASE WHEN event_id % 2 = 0 THEN event_id % 5 END AS region, CASE event_type WHEN 'purchase' THEN 'RESTRICTED' WHEN 'signup' THEN 'SENSITIVE' WHEN 'view' THEN 'PERSONAL' ELSE 'OPEN' END AS label
+FROM {events}
+"""
+#: Nations 7 and 8 share a name at first; then 8 gets its own, 4 is merged away, and 26 appears.
+_TARGETS = """
+SELECT concat('nation:', CAST(n_nationkey AS STRING)) AS object_id, 'default' AS tenant_id, 'Nation' AS canonical_type, CASE WHEN n_nationkey = 4 AND {later} THEN 'MERGED' ELSE 'ACTIVE' END AS status, CASE WHEN n_nationkey = 7 OR n_nationkey = 8 AND NOT {later} THEN 'n7' ELSE concat('n', CAST(n_nationkey AS STRING)) END AS match_key FROM {nation}
+UNION ALL SELECT concat('region:', CAST(r_regionkey AS STRING)), 'default', 'Region', 'ACTIVE', concat('r', CAST(r_regionkey AS STRING)) FROM {region}
+UNION ALL SELECT 'nation:26', 'default', 'Nation', CASE WHEN {later} THEN 'ACTIVE' ELSE 'STAGED' END, 'n26' FROM {region} WHERE r_regionkey = 0
+"""
+
+
+def _reconciled(spark, sf):
+    """Three batches by time of arrival; the targets change before the last."""
+    rows = spark.sql(_SEEN, events=base(spark, sf, "events"))
+    ref = lambda rel, kind, needle: F.struct(F.lit(rel).alias("relation"), F.lit(kind).alias("target_type"), needle.alias("needle"), F.col("label"))
+    refs = F.array_compact(F.array(ref("visits", "Nation", F.concat(F.lit(" N"), F.col("nation").cast("string"))), F.when(F.col("region").isNotNull(), ref("within", "Region", F.concat(F.lit("r"), F.col("region").cast("string"))))))
+    rows = rows.select("handoff_id", "binding", "source_id", "tenant_id", "observed_at", "received_at", refs.alias("references"))
+    early, late = (spark.sql(_TARGETS.replace("{later}", x), nation=base(spark, sf, "nation"), region=base(spark, sf, "region")) for x in ("false", "true"))
+    n = F.pmod(F.col("handoff_id"), F.lit(3))
+    tables, outcomes = reconcile.Tables.empty(spark), []
+    for k in range(3):
+        targets = late if k == 2 else early
+        tables, seen = reconcile.step(tables, rows.filter(n == k), targets, reconcile.changed_keys(early, late) if k == 2 else None)
+        outcomes.append(seen)
+    return tables, outcomes
+
+
+_RECONCILED_SQL = f"""
+WITH s AS ({_SEEN.replace('{events}', 'events')}), o AS MATERIALIZED (SELECT *, handoff_id % 3 AS batch, row(observed_at, received_at, handoff_id) AS ord FROM s),
+-- a binding's observations arrive batch by batch, and in a batch by time
+p AS (SELECT *, max(ord) OVER (PARTITION BY binding ORDER BY batch, received_at, handoff_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
+a AS MATERIALIZED (SELECT *, ord = max(ord) OVER (PARTITION BY binding) AS is_head, ord = max(ord) OVER (PARTITION BY binding, batch) AS batch_head FROM p WHERE before IS NULL OR ord > before),
+r AS MATERIALIZED (
+  SELECT handoff_id, binding, source_id, batch, is_head, label, 'visits' AS relation, 'Nation' AS kind, 'n' || nation AS key FROM a
+  UNION ALL SELECT handoff_id, binding, source_id, batch, is_head, label, 'within', 'Region', 'r' || region FROM a WHERE region IS NOT NULL),
+t AS MATERIALIZED (SELECT false AS later, * FROM ({_TARGETS.replace('{later}', 'false').replace('{nation}', 'nation').replace('{region}', 'region')}) x UNION ALL SELECT true, * FROM ({_TARGETS.replace('{later}', 'true').replace('{nation}', 'nation').replace('{region}', 'region')}) y),
+k AS MATERIALIZED (SELECT later, canonical_type AS kind, match_key AS key, count(*) AS n, min(object_id) AS one FROM t WHERE status = 'ACTIVE' GROUP BY ALL),
+f AS MATERIALIZED (SELECT r.*, b.n AS n0, b.one AS one0, l.n AS n1, l.one AS one1 FROM r LEFT JOIN k b ON b.kind = r.kind AND b.key = r.key AND NOT b.later LEFT JOIN k l ON l.kind = r.kind AND l.key = r.key AND l.later),
+-- what each reference resolved to on arrival, and what a head resolves to in the end (an open choice between several stays)
+g AS MATERIALIZED (SELECT *, CASE WHEN batch = 2 THEN n1 ELSE n0 END AS n_then, CASE WHEN batch = 2 THEN one1 ELSE one0 END AS one_then, CASE WHEN batch < 2 AND n0 > 1 THEN n0 ELSE n1 END AS n_now, CASE WHEN batch < 2 AND n0 > 1 THEN one0 ELSE one1 END AS one_now FROM f),
+z AS MATERIALIZED (SELECT source_id, relation, one_now AS target_id, label FROM g WHERE is_head AND n_now = 1),
+e AS (SELECT source_id, relation, one_then AS target_id FROM g WHERE n_then = 1 UNION SELECT source_id, relation, target_id FROM z)
+"""
+
+
+@query(f"""{_RECONCILED_SQL} SELECT e.source_id, e.relation, e.target_id, CASE WHEN count(z.label) > 0 THEN 'ACTIVE' ELSE 'SUPERSEDED' END AS status, CASE max(CASE z.label WHEN 'RESTRICTED' THEN 5 WHEN 'SENSITIVE' THEN 4 WHEN 'PERSONAL' THEN 3 WHEN 'OPEN' THEN 1 END) WHEN 5 THEN 'RESTRICTED' WHEN 4 THEN 'SENSITIVE' WHEN 3 THEN 'PERSONAL' WHEN 1 THEN 'OPEN' END AS label
+FROM e LEFT JOIN z ON z.source_id = e.source_id AND z.relation = e.relation AND z.target_id = e.target_id GROUP BY ALL""")
+def relationship_reconcile(spark, sf):
+    """Every edge that ever had a support, after three batches."""
+    edges = _reconciled(spark, sf)[0].edges
+    return edges.select("source_id", "relation", "target_id", "status", F.when(F.col("status") == "ACTIVE", F.col("label")).alias("label"))
+
+
+@query(f"""{_RECONCILED_SQL}, h AS (SELECT binding, max(batch) AS last_batch FROM a GROUP BY 1)
+SELECT g.binding, relation, key AS needle, CASE WHEN n_last IS NULL THEN 'NO_MATCH' ELSE 'MULTIPLE_MATCHES' END AS reason,
+  CASE WHEN is_head AND n_now IS NULL OR is_head AND n_now > 1 THEN 'OPEN' WHEN is_head THEN 'RESOLVED' ELSE 'SUPERSEDED' END AS state, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT *, CASE WHEN is_head AND (n_now IS NULL OR n_now > 1) THEN n_now ELSE n_then END AS n_last FROM g) g WHERE n_then IS NULL OR n_then > 1 OR is_head AND (n_now IS NULL OR n_now > 1) GROUP BY ALL""")
+def relationship_reconcile_issues(spark, sf):
+    """Every issue and what became of it."""
+    issues = _reconciled(spark, sf)[0].issues
+    return issues.groupBy("binding", "relation", F.lower(F.trim("needle")).alias("needle"), "reason", "state").agg(F.count(F.lit(1)).alias("n"))
