@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlake.functions.hashing import match_key
+from cairnlake.functions.hashing import canonical_json, match_key
 from cairnlake.functions.text import decimal_text, similarity, text_v1
+from cairnlake.sources.scratch import stored
 
 
 def resolve_exact(batch: DataFrame, objects: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -163,7 +164,9 @@ def weighted_decisions(incoming: DataFrame, scores: DataFrame, policy: WeightedP
 # --- governed rules ---
 
 
-COMPARATORS = {"CONCEPT": lambda c: c, "TEXT_V1": text_v1, "DECIMAL_V1": decimal_text}
+COMPARATORS = {"CONCEPT": lambda c: c, "TEXT_V1": text_v1, "DECIMAL_V1": decimal_text, "JSON_V1": canonical_json}
+#: Field sets are bit masks, and disjoint ones are enumerated.
+MOST_SIGNALS = 16
 
 
 @dataclass(frozen=True)
@@ -181,6 +184,8 @@ class GovernedPolicy:
         names = {n for n, _ in self.signals}
         if not names or any(not r or not set(r) <= names for r in (*self.sufficient, *self.distinct)):
             raise ValueError("rules name signals, and there is a signal")
+        if len(names) > MOST_SIGNALS or len(names) < len(self.signals):
+            raise ValueError(f"signals are distinct, and {MOST_SIGNALS} at most")
 
 
 def tokens(rows: DataFrame, key: str, policy: GovernedPolicy) -> DataFrame:
@@ -197,36 +202,40 @@ def shapes(token_rows: DataFrame, key: str) -> DataFrame:
     return out.withColumn("shape", F.sha2(F.array_join("fields", "\0"), 256))
 
 
-def _apart(mine: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(shape, _s): the shapes of candidates whose fields are disjoint from a subject's shape."""
-    catalogue = theirs.select(F.col("shape").alias("_s"), F.col("fields").alias("_f")).distinct()  # at most 2 ** signals rows
-    return mine.select("shape", "fields").distinct().join(F.broadcast(catalogue), ~F.arrays_overlap("fields", "_f")).select("shape", "_s")
+def _masked(token_rows: DataFrame, key: str, policy: GovernedPolicy) -> DataFrame:
+    """(key, mask): the properties a key has tokens of, a bit each in the order of the signals."""
+    bit = F.lit(0)
+    for i, (p, _) in enumerate(policy.signals):
+        bit = F.when(F.col("property") == p, 1 << i).otherwise(bit)
+    return token_rows.groupBy(key).agg(F.bit_or(bit).alias("mask"))
 
 
-def governed_broad(subjects: DataFrame, candidates: DataFrame, policy: GovernedPolicy) -> DataFrame:
-    """(handoff_id) of subjects that a single token, or the disjoint shapes, give more than
-    policy.most candidates: told from counts per token and shape, without pairing."""
-    mine, theirs = tokens(subjects, "handoff_id", policy), tokens(candidates, "object_id", policy)
+def _apart(masks: DataFrame, policy: GovernedPolicy) -> DataFrame:
+    """(mask, other): every non-empty set of properties that is disjoint from each of the masks."""
+    every = F.sequence(F.lit(1), F.lit((1 << len(policy.signals)) - 1))
+    return masks.select("mask").distinct().select("mask", F.explode(F.filter(every, lambda o: o.bitwiseAND(F.col("mask")) == 0)).alias("other"))
+
+
+def _broad(mine: DataFrame, theirs: DataFrame, masks: DataFrame, held: DataFrame, policy: GovernedPolicy) -> DataFrame:
+    """(handoff_id) of subjects that a single token, or the disjoint field sets, give more than
+    policy.most candidates: told from counts per token and field set, without pairing."""
     keys = ["property", "comparator", "token"]
     hot = theirs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > policy.most)
-    shape_of, held = shapes(mine, "handoff_id"), shapes(theirs, "object_id")
-    counts = held.groupBy(F.col("shape").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
-    wide = _apart(shape_of, held).join(counts, "_s").groupBy("shape").agg(F.sum("n").alias("n")).filter(F.col("n") > policy.most)
-    return mine.join(hot, keys, "left_semi").select("handoff_id").union(shape_of.join(wide, "shape", "left_semi").select("handoff_id")).distinct()
+    counts = held.groupBy(F.col("mask").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    wide = _apart(masks, policy).join(counts, "other").groupBy("mask").agg(F.sum("n").alias("n")).filter(F.col("n") > policy.most)
+    return mine.join(hot, keys, "left_semi").select("handoff_id").union(masks.join(wide, "mask", "left_semi").select("handoff_id")).distinct()
 
 
-def governed_assessments(subjects: DataFrame, candidates: DataFrame, policy: GovernedPolicy) -> DataFrame:
-    """(handoff_id, object_id, exact, excluded) of the retrieved candidates: those sharing an
-    equal token, and those whose fields are disjoint from the subject's, found by shape.
+def _assessed(mine: DataFrame, theirs: DataFrame, masks: DataFrame, held: DataFrame, broad: DataFrame, policy: GovernedPolicy) -> DataFrame:
+    """(handoff_id, object_id, exact, excluded) of the retrieved candidates: those sharing an equal
+    token, and those whose fields are disjoint from the subject's.
 
-    Subjects of governed_broad() aren't paired: nothing of theirs is ranked. So no token or shape
-    brings a subject more than policy.most candidates.
+    Broad subjects aren't paired: nothing of theirs is ranked. So no token or field set brings a
+    subject more than policy.most candidates.
     """
-    subjects = subjects.join(governed_broad(subjects, candidates, policy), "handoff_id", "left_anti")
-    mine, theirs = tokens(subjects, "handoff_id", policy), tokens(candidates, "object_id", policy)
-    shape_of, shape_ids = shapes(mine, "handoff_id"), shapes(theirs, "object_id")
+    mine, masks = (df.join(broad, "handoff_id", "left_anti") for df in (mine, masks))
     equal = mine.join(theirs, ["property", "comparator", "token"]).select("handoff_id", "object_id")
-    disjoint = shape_of.join(_apart(shape_of, shape_ids), "shape").select("handoff_id", F.col("_s").alias("shape")).join(shape_ids.select("object_id", "shape"), "shape").select("handoff_id", "object_id")
+    disjoint = masks.join(_apart(masks, policy), "mask").select("handoff_id", "other").join(held.withColumnRenamed("mask", "other"), "other").select("handoff_id", "object_id")
     hits = equal.unionByName(disjoint).distinct()
     as_map = lambda t, k, name: t.groupBy(k).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("property", "token")))).alias(name))
     rows = hits.join(as_map(mine, "handoff_id", "a"), "handoff_id").join(as_map(theirs, "object_id", "b"), "object_id")
@@ -246,9 +255,17 @@ def governed_decisions(subjects: DataFrame, candidates: DataFrame, policy: Gover
     """(handoff_id, outcome, reason, target, candidates). `complete`: whether the index that the
     candidates came from covers the current snapshot. Beyond policy.most candidates the count
     is policy.most + 1, as retrieval ends there."""
-    found = governed_assessments(subjects, candidates, policy).groupBy("handoff_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact").cast("int")).alias("ne"), F.sum(F.col("excluded").cast("int")).alias("nx"), F.min(F.when(F.col("exact"), F.col("object_id"))).alias("hit"))
-    exposed = tokens(subjects, "handoff_id", policy).select("handoff_id").distinct().withColumn("_f", F.lit(True))
-    broad = governed_broad(subjects, candidates, policy).withColumn("_b", F.lit(policy.most + 1))
+    return decide_by_tokens(subjects, stored(tokens(candidates, "object_id", policy), "candidate-tokens"), policy, complete)
+
+
+def decide_by_tokens(subjects: DataFrame, theirs: DataFrame, policy: GovernedPolicy, complete: bool = True) -> DataFrame:
+    """governed_decisions() against tokens(object_id, property, comparator, token) that are stored."""
+    mine = stored(tokens(subjects, "handoff_id", policy), "subject-tokens")
+    masks, held = _masked(mine, "handoff_id", policy), _masked(theirs, "object_id", policy)
+    wide = stored(_broad(mine, theirs, masks, held, policy), "subjects-broad")
+    found = _assessed(mine, theirs, masks, held, wide, policy).groupBy("handoff_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact").cast("int")).alias("ne"), F.sum(F.col("excluded").cast("int")).alias("nx"), F.min(F.when(F.col("exact"), F.col("object_id"))).alias("hit"))
+    exposed = masks.select("handoff_id", F.lit(True).alias("_f"))
+    broad = wide.withColumn("_b", F.lit(policy.most + 1))
     rows = subjects.select("handoff_id").join(exposed, "handoff_id", "left").join(found, "handoff_id", "left").join(broad, "handoff_id", "left")
     n, ne, nx = F.least(F.coalesce("_b", "n", F.lit(0)), F.lit(policy.most + 1)), F.coalesce("ne", F.lit(0)), F.coalesce("nx", F.lit(0))
     new = F.lit(policy.allow_new)

@@ -6,14 +6,16 @@ how the operator works. R(...) puts a derived table's definition in.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions.hashing import sha256_ref
-from cairnlake.operators import access, admission, canonical, graph, identity, intake, lake, paging, reconcile, relate, revisions, serve, spatial
+from cairnlake.operators import access, admission, canonical, graph, identity, identity_index, intake, lake, paging, reconcile, relate, revisions, serve, spatial
 from cairnlake.sources.registry import registry, registry_sql
+from cairnlake.sources.scratch import shared_dir
 from cairnlake.streaming.intake import tumbling_activity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1405,3 +1407,78 @@ def relationship_reconcile_issues(spark, sf):
     """Every issue and what became of it."""
     issues = _reconciled(spark, sf)[0].issues
     return issues.groupBy("binding", "relation", F.lower(F.trim("needle")).alias("needle"), "reason", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- the stored identity index ---
+
+
+#: What the masters become: some get another name, some leave, some change outside the properties.
+_MASTERS_LATER = f"SELECT object_id, CASE WHEN k % 5 = 0 THEN concat(p_name, ' II') ELSE p_name END AS p_name, p_brand, CASE WHEN k % 10 = 3 THEN '7' ELSE p_size END AS p_size, CASE WHEN k % 13 = 0 THEN 'MERGED' ELSE 'ACTIVE' END AS status, k FROM (SELECT *, CAST(substr(object_id, 6) AS INT) AS k FROM ({_MASTERS}) a) b"
+_CHANGED = "k % 5 = 0 OR k % 10 = 3 OR k % 13 = 0 OR k % 9 = 1"
+
+
+def _index(spark, sf):
+    """The index of the masters, refreshed by what changed; and the masters before and after."""
+    part = base(spark, sf, "part")
+    first = spark.sql(f"SELECT *, 'ACTIVE' AS status, 1 AS version FROM ({_MASTERS}) m", part=part)
+    later = spark.sql(f"SELECT *, CASE WHEN {_CHANGED} THEN 2 ELSE 1 END AS version FROM ({_MASTERS_LATER}) m", part=part)
+    index = identity_index.IdentityIndex(spark, f"{shared_dir(spark)}/identity-{uuid.uuid4().hex}", GOVERNED, 16)
+    index.build(first)
+    return index, first, later
+
+
+@query(f"""WITH later AS ({_MASTERS_LATER.replace('{part}', 'part')}), m AS (SELECT * FROM later WHERE status = 'ACTIVE'), t AS ({_TOKENS.format(k='object_id', t='m')})
+SELECT k AS object_id, p AS property, comparator, token FROM t""")
+def identity_index_refresh(spark, sf):
+    """The postings after a refresh by the changed objects alone: those of an index built anew."""
+    index, _, later = _index(spark, sf)
+    index.refresh(later.filter(_CHANGED))
+    return index.postings().select("object_id", "property", "comparator", "token")
+
+
+@query(f"""WITH b AS ({_MASTERS.replace('{{part}}', 'part').replace('{part}', 'part')}), later AS ({_MASTERS_LATER.replace('{part}', 'part')}), l AS (SELECT * FROM later WHERE status = 'ACTIVE'),
+t0 AS ({_TOKENS.format(k='object_id', t='b')}), t1 AS ({_TOKENS.format(k='object_id', t='l')}),
+n AS (SELECT (SELECT count(*) FROM b) AS o0, (SELECT count(*) FROM t0) AS k0, (SELECT count(*) FROM l) AS o1, (SELECT count(*) FROM t1) AS k1)
+SELECT 'built' AS stage, true AS complete, CAST(o0 AS BIGINT) AS objects, CAST(k0 AS BIGINT) AS tokens FROM n UNION ALL SELECT 'changed', false, o0, k0 FROM n UNION ALL SELECT 'half refreshed', false, NULL, NULL FROM n UNION ALL SELECT 'refreshed', true, o1, k1 FROM n""")
+def identity_index_coverage(spark, sf):
+    """Coverage as objects change, when half of the changes are refreshed, and when all are."""
+    index, first, later = _index(spark, sf)
+    rows = []
+
+    def note(stage, current, counts=True):
+        c = index.coverage()
+        rows.append((stage, index.complete(current), *((c["objects"], c["tokens"]) if counts else (None, None))))
+
+    note("built", first)
+    note("changed", later)
+    index.refresh(later.filter(f"({_CHANGED}) AND k % 2 = 0"))
+    note("half refreshed", later, False)
+    index.refresh(later.filter(f"({_CHANGED}) AND k % 2 = 1"))
+    note("refreshed", later)
+    return spark.createDataFrame(rows, "stage string, complete boolean, objects long, tokens long")
+
+
+_BOUND = "SELECT concat('b', CAST(p_partkey AS STRING)) AS binding, concat('part:', lpad(CAST(p_partkey AS STRING), 9, '0')) AS bound_id, p_partkey % 8 <> 5 AS healthy FROM {part} WHERE p_partkey % 4 = 1"
+_PRIOR = """SELECT concat('h', CAST(p_partkey AS STRING)) AS handoff_id, CASE WHEN p_partkey % 30 = 0 THEN 'other' ELSE 'policy' END AS prior_policy, CASE WHEN p_partkey % 9 < 6 THEN 'REVIEW_REQUIRED' ELSE 'MATCH' END AS prior_outcome,
+  CASE WHEN p_partkey % 15 = 0 THEN 'OPEN' ELSE 'RESOLVED' END AS issue_state, CASE WHEN p_partkey % 9 < 3 THEN 'CREATE_NEW' ELSE 'SELECT' END AS human_action, CASE WHEN p_partkey % 6 = 0 THEN 'now' ELSE 'before' END AS reviewed, p_partkey % 7 < 4 AS materialized FROM {part} WHERE p_partkey % 3 = 0"""
+
+
+@query(f"""WITH d AS ({ORACLES['governed_decide']}), s AS (SELECT concat('h', CAST(p_partkey AS STRING)) AS handoff_id, concat('b', CAST(p_partkey AS STRING)) AS binding FROM part),
+b AS ({_BOUND.replace('{part}', 'part')}), p AS ({_PRIOR.replace('{part}', 'part')}),
+j AS (SELECT s.handoff_id, bound_id, bound_id IS NOT NULL AS bound, coalesce(healthy, false) AS ok, p.handoff_id IS NOT NULL AS old, prior_policy = 'policy' AS mine, prior_outcome = 'REVIEW_REQUIRED' AS rev, issue_state, human_action = 'CREATE_NEW' AS human, reviewed = 'now' AS same, materialized, d.outcome AS o, d.reason AS r, d.target AS t
+  FROM s LEFT JOIN b USING (binding) LEFT JOIN p ON p.handoff_id = s.handoff_id LEFT JOIN d ON d.handoff_id = s.handoff_id),
+w AS (SELECT *, CASE WHEN NOT old THEN CASE WHEN ok THEN 'ACTIVE_SOURCE_BINDING' WHEN bound THEN 'SOURCE_BINDING_CONFLICT' ELSE r END WHEN NOT mine THEN 'IDENTITY_DECISION_CONFLICT'
+  WHEN NOT rev THEN CASE WHEN ok THEN 'REPLAYED' ELSE 'IDENTITY_BINDING_MISSING' END WHEN issue_state = 'OPEN' THEN 'REVIEW_OPEN'
+  WHEN ok THEN CASE WHEN human AND NOT materialized THEN 'NEW_IDENTITY_BINDING_CONFLICT' ELSE 'REVIEWED_BINDING' END
+  WHEN NOT human THEN 'BINDING_NOT_HEALTHY' WHEN bound THEN 'IDENTITY_BINDING_CONFLICT' WHEN same THEN 'HUMAN_CREATE_NEW' ELSE 'NEW_IDENTITY_EVIDENCE_STALE' END AS reason FROM j)
+SELECT handoff_id, CASE WHEN reason IN ('ACTIVE_SOURCE_BINDING', 'REPLAYED', 'REVIEWED_BINDING') THEN 'MATCH' WHEN reason IN ('IDENTITY_DECISION_CONFLICT', 'IDENTITY_BINDING_MISSING', 'NEW_IDENTITY_BINDING_CONFLICT', 'IDENTITY_BINDING_CONFLICT') THEN 'CONFLICT' WHEN reason = 'HUMAN_CREATE_NEW' THEN 'NEW_OBJECT' WHEN reason IN ('SOURCE_BINDING_CONFLICT', 'REVIEW_OPEN', 'BINDING_NOT_HEALTHY', 'NEW_IDENTITY_EVIDENCE_STALE') THEN 'REVIEW_REQUIRED' ELSE o END AS outcome, reason,
+  CASE WHEN reason IN ('ACTIVE_SOURCE_BINDING', 'REPLAYED', 'REVIEWED_BINDING') THEN bound_id WHEN NOT old AND NOT bound THEN t END AS target, reason IN ('REVIEW_OPEN', 'BINDING_NOT_HEALTHY', 'REPLAYED') OR reason = 'REVIEWED_BINDING' AND materialized AS replayed FROM w""")
+def governed_resolve(spark, sf):
+    """All subjects against the stored index, bindings and earlier decisions."""
+    index, first, _ = _index(spark, sf)
+    part = base(spark, sf, "part")
+    subjects = spark.sql(_SUBJECTS, part=part)
+    ref = index.ref()
+    prior = spark.sql(_PRIOR, part=part).withColumn("reviewed_ref", F.when(F.col("reviewed") == "now", ref).otherwise("coverage://before")).drop("reviewed")
+    named = subjects.select("handoff_id", F.concat(F.lit("b"), F.substring("handoff_id", 2, 20)).alias("binding"))
+    return identity_index.governed_resolve(named, index.decide(subjects, first), spark.sql(_BOUND, part=part), prior, "policy", ref, index.complete(first))

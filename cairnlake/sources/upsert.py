@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 
 class Upserts:
-    def __init__(self, spark: SparkSession, root: str, key: Sequence[str], buckets: int = 64):
-        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), list(key), buckets
+    def __init__(self, spark: SparkSession, root: str, key: Sequence[str], buckets: int = 64, deal: Sequence[str] | None = None):
+        """deal: the columns of the key that rows are dealt to buckets by; all of them, if not given."""
+        self.spark, self.root, self.key, self.buckets, self.deal = spark, root.rstrip("/"), list(key), buckets, list(deal or key)
 
-    def _manifest(self) -> int:
+    def version(self) -> int:
         """The number of the newest whole manifest, 0 if there is none."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifest")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -27,12 +28,12 @@ class Upserts:
 
     def _versions(self) -> dict[int, int]:
         """bucket -> version by that manifest; at most as many rows as buckets."""
-        n = self._manifest()
+        n = self.version()
         rows = self.spark.read.schema("bucket int, version int").json(f"{self.root}/_manifest/{n}").collect() if n else []
         return {r.bucket: r.version for r in rows}
 
     def _bucket(self):
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.deal), F.lit(self.buckets)).cast("int")
 
     def read(self, schema: str) -> DataFrame:
         """All current rows; an unwritten table is empty."""
@@ -58,7 +59,7 @@ class Upserts:
         newer = last.select(*self.key, F.col(order).alias("_at"), F.lit(True).alias("_new")).alias("n")
         stay = old.alias("o").join(newer, same, "left").filter(F.col("_new").isNull() | (F.col(f"o.{order}") > F.col("_at"))).select("o.*").withColumn("_b", self._bucket())
         fresh = last.join(old.select(*self.key, F.col(order).alias("_was")), self.key, "left").filter(F.col("_was").isNull() | (F.col(order) >= F.col("_was"))).filter(f"NOT coalesce({deleted}, false)").select(*kept, "_b")
-        version = self._manifest() + 1
+        version = self.version() + 1
         stay.unionByName(fresh).repartition("_b").withColumn("b", F.col("_b")).drop("_b").write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/v{version}")
         written = {r.b for r in self.spark.read.parquet(f"{self.root}/v{version}").select("b").distinct().collect()} if self._any(version) else set()
         now = {b: v for b, v in versions.items() if b not in touched} | {b: version for b in touched if b in written}
