@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlake.functions import schema
 from cairnlake.functions.hashing import sha256_ref
 from cairnlake.operators import access, admission, canonical, graph, identity, identity_index, intake, lake, paging, reconcile, relate, revisions, serve, spatial
+from cairnlake.plans import envelopes
 from cairnlake.sources.registry import registry, registry_sql
 from cairnlake.sources.scratch import shared_dir
 from cairnlake.streaming.intake import tumbling_activity
@@ -1482,3 +1484,33 @@ def governed_resolve(spark, sf):
     prior = spark.sql(_PRIOR, part=part).withColumn("reviewed_ref", F.when(F.col("reviewed") == "now", ref).otherwise("coverage://before")).drop("reviewed")
     named = subjects.select("handoff_id", F.concat(F.lit("b"), F.substring("handoff_id", 2, 20)).alias("binding"))
     return identity_index.governed_resolve(named, index.decide(subjects, first), spark.sql(_BOUND, part=part), prior, "policy", ref, index.complete(first))
+
+
+# --- envelopes against their schema ---
+
+
+#: An envelope of each event, in which one part or another is wrong; chr(123) and chr(125) are braces.
+_ENVELOPES = """
+SELECT event_id AS handoff_id, CASE WHEN event_id % 97 = 0 THEN 'no json' ELSE concat(chr(123),
+  CASE WHEN event_id % 23 = 1 THEN '' ELSE concat('"handoffId":', CASE WHEN event_id % 23 = 2 THEN '""' WHEN event_id % 23 = 3 THEN '7' ELSE '"h"' END, ',') END,
+  '"sourceIdentity":', CASE WHEN event_id % 19 = 1 THEN '[]' ELSE concat(chr(123), '"sourceId":"', event_type, '","typeCode":"t"', CASE WHEN event_id % 19 = 2 THEN '' ELSE ',"sourceObjectId":"o"' END, CASE WHEN event_id % 19 = 3 THEN ',"colour":1,"observedAt":"2024-02-30T00:00:00Z"' WHEN event_id % 19 = 4 THEN ',"observedAt":null' ELSE ',"observedAt":"2024-02-29T10:00Z"' END, chr(125)) END,
+  ',"operation":', CASE event_id % 17 WHEN 1 THEN '"MERGE"' WHEN 2 THEN '"DELETE"' ELSE '"UPSERT"' END, CASE WHEN event_id % 17 IN (2, 3) THEN '' WHEN event_id % 17 = 4 THEN ',"canonicalPayload":"text"' ELSE concat(',"canonicalPayload":', props) END,
+  ',"acquiredAt":', CASE event_id % 13 WHEN 1 THEN '"yesterday"' WHEN 2 THEN 'null' ELSE '"2024-01-01T00:00:00.5+02:00"' END,
+  CASE event_id % 11 WHEN 1 THEN concat(',"dataAccessLabels":[', chr(123), '"labelId":"a","version":null', chr(125), ',', chr(123), '"version":null,"labelId":"a"', chr(125), ']') WHEN 2 THEN concat(',"dataAccessLabels":[', chr(123), '"labelId":"a"', chr(125), ',', chr(123), '"labelId":"","x":1', chr(125), ',3]') WHEN 3 THEN ',"dataAccessLabels":[]' ELSE '' END,
+  ',"changeRepresentation":', chr(123), '"mode":', CASE event_id % 7 WHEN 0 THEN '"FULL_SNAPSHOT"' WHEN 1 THEN '"DELTA_PATCH"' WHEN 2 THEN '"DELTA_PATCH","baseRevisionRef":"r"' WHEN 3 THEN '"DELTA_PATCH","baseRevisionRef":null,"baseContentHash":""' WHEN 4 THEN '"PROPERTY_EVENTS","eventSequence":-1' WHEN 5 THEN '"PROPERTY_EVENTS","eventSequence":12' ELSE '"WHOLE"' END, chr(125), chr(125)) END AS body
+FROM {events}
+"""
+
+
+@query(f"""WITH e AS ({_ENVELOPES.replace('{events}', 'events')}), bad AS (
+  SELECT handoff_id, unnest(CASE WHEN handoff_id % 97 = 0 THEN ['$'] ELSE list_filter([
+    CASE WHEN handoff_id % 23 IN (1, 2, 3) THEN '$.handoffId' END, CASE WHEN handoff_id % 19 = 1 THEN '$.sourceIdentity' END, CASE WHEN handoff_id % 19 = 2 THEN '$.sourceIdentity.sourceObjectId' END,
+    CASE WHEN handoff_id % 19 = 3 THEN '$.sourceIdentity.colour' END, CASE WHEN handoff_id % 19 = 3 THEN '$.sourceIdentity.observedAt' END, CASE WHEN handoff_id % 17 = 1 THEN '$.operation' END,
+    CASE WHEN handoff_id % 17 IN (3, 4) THEN '$.canonicalPayload' END, CASE WHEN handoff_id % 13 IN (1, 2) THEN '$.acquiredAt' END,
+    CASE WHEN handoff_id % 11 = 1 THEN '$.dataAccessLabels' END, CASE WHEN handoff_id % 11 = 2 THEN '$.dataAccessLabels[1].labelId' END, CASE WHEN handoff_id % 11 = 2 THEN '$.dataAccessLabels[1].x' END, CASE WHEN handoff_id % 11 = 2 THEN '$.dataAccessLabels[2]' END,
+    CASE WHEN handoff_id % 7 IN (1, 3) THEN '$.changeRepresentation' END, CASE WHEN handoff_id % 7 = 4 THEN '$.changeRepresentation.eventSequence' END, CASE WHEN handoff_id % 7 = 6 THEN '$.changeRepresentation.mode' END], lambda x: x IS NOT NULL) END) AS path FROM e)
+SELECT e.handoff_id, coalesce((SELECT string_agg(path, '|' ORDER BY path) FROM bad WHERE bad.handoff_id = e.handoff_id), '') AS paths FROM e""")
+def envelope_validate(spark, sf):
+    """Every envelope's violating paths, by the compiled schema."""
+    rows = spark.sql(_ENVELOPES, events=base(spark, sf, "events"))
+    return rows.select("handoff_id", F.array_join(schema.violations(F.col("body"), envelopes.ENVELOPE, envelopes.FILES), "|").alias("paths"))
