@@ -8,6 +8,8 @@ and scanning goes on behind it. Sentences between two identifiers of a rule must
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -93,7 +95,7 @@ RULES = (
     ("MPL-2.0", "notice", ("mpl2-subject",)),
     ("Unlicense", "notice", ("unlicense",)),
 )
-#: Sentences that may stand between two identifiers of a rule.
+#: Sentences, known or not, that may stand between two identifiers of a rule.
 MOST_BETWEEN = 6
 
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -126,15 +128,17 @@ class Scanner:
             found.sort(key=lambda r: -len(r[0]))
 
     def sentences(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(ordinal, start, end, identifier) of the known sentences. A line by itself may be a
-        sentence, and so may one that runs over several lines."""
-        found = {}
-        for spans in (cuts(text), cuts(text, lines=True)):
-            for a, b in spans:
+        """(ordinal, start, end, identifier) of the known sentences: the ordinal counts all
+        sentences of the text. A line by itself may be a sentence, and so may one that runs over
+        several lines; a line's ordinal is that of the sentence it ends in."""
+        found, ends = {}, []
+        for lines in (False, True):
+            for a, b in cuts(text, lines):
+                if not lines:
+                    ends.append(b)
                 if name := self.ids.get(normalised(BULLET.sub("", text[a:b].strip()))):
                     found.setdefault((b, name), a)
-        ends = sorted(found)
-        return [(text.count("\n", 0, b), found[b, name], b, name) for b, name in ends]
+        return [(bisect.bisect_left(ends, b), found[b, name], b, name) for b, name in sorted(found)]
 
     def matches(self, text: str) -> list[tuple[str, str, int, int]]:
         """(licence, how, start, end), in text order, not overlapping."""
@@ -143,7 +147,9 @@ class Scanner:
             for seq, licence, how in self.rules.get(seen[i][3], ()):
                 at, ok = i, True
                 for want in seq[1:]:
-                    nxt = next((j for j in range(at + 1, min(at + 2 + self.most_between, len(seen))) if seen[j][3] == want), None)
+                    most = seen[at][0] + 1 + self.most_between
+                    near = itertools.takewhile(lambda j: seen[j][0] <= most, range(at + 1, len(seen)))  # noqa: B023
+                    nxt = next((j for j in near if seen[j][3] == want), None)
                     if nxt is None:
                         ok = False
                         break

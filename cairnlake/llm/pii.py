@@ -50,21 +50,57 @@ THRESHOLD, TREES, RATE = 0.98, 24, 0.4
 FEATURES = {"generator": 4, "digits": 6, "lead": 3, "marks": 4, "valid": 4, "cue": 2}
 CELLS = int(np.prod(list(FEATURES.values())))
 SPAN = "array<struct<kind: string, start: long, end: long, found: string>>"
+#: A candidate has what stands before it, too: cutting that out of the text would cost its whole length.
+CANDIDATE = SPAN.replace("found: string", "found: string, before: string")
 
 
-def _matches(text: Column, pattern: str, kind: str) -> Column:
-    """All matches of a pattern with their places in characters, left to right."""
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def _matches(text: Column, pattern: str, kind: str, before: bool = False) -> Column:
+    """All matches of a pattern with their places in characters, left to right; with `before`, the
+    CUE_CHARS characters that stand before each, too.
+
+    Appending copies an array, so places are summed in blocks of about the square root of the
+    number of matches: first the blocks' beginnings, then the places in each block by itself.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("out"))
+    none = F.expr(f"CAST(array() AS {CANDIDATE if before else SPAN})")
+    tail = lambda *parts: F.right(F.concat(*parts), F.lit(CUE_CHARS))
 
-    def step(s: Column, x: Column) -> Column:
-        a = s["at"] + F.length(x["gap"])
-        b = a + F.length(x["found"])
-        one = F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("start"), b.cast("long").alias("end"), x["found"].alias("found"))
-        return F.struct(b.cast("long").alias("at"), F.array_append(s["out"], one).alias("out"))
+    def placed(pairs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(pairs).cast("double"))).cast("int"), F.lit(16))
+        count = F.ceil(F.size(pairs) / size).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(pairs, b * size + 1, size))
+        return _let(cut, in_blocks)
+
+    def in_blocks(blocks: Column) -> Column:
+        long = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + F.length(x["gap"]) + F.length(x["found"]))
+        first = F.array(F.lit(0).cast("long"))
+        begins = F.aggregate(blocks, first, lambda s, block: F.array_append(s, F.element_at(s, -1) + long(block)))
+        return _let(begins, lambda at: F.flatten(F.transform(blocks, lambda block, i: in_block(block, F.get(at, i), F.when(i > 0, last(F.get(blocks, i - 1))).otherwise(""))))) if before else _let(begins, lambda at: F.flatten(F.transform(blocks, lambda block, i: in_block(block, F.get(at, i), F.lit("")))))
+
+    def last(block: Column) -> Column:
+        """What a block ends with: 16 matches and more, so it has that many characters."""
+        return tail(F.array_join(F.transform(block, lambda x: F.concat(x["gap"], x["found"])), ""))
+
+    def in_block(block: Column, begin: Column, context: Column) -> Column:
+        start = F.struct(begin.alias("at"), context.alias("tail"), none.alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            a = s["at"] + F.length(x["gap"])
+            b = a + F.length(x["found"])
+            fields = [F.lit(kind).alias("kind"), a.cast("long").alias("start"), b.cast("long").alias("end"), x["found"].alias("found")]
+            if not before:
+                return F.struct(b.cast("long").alias("at"), s["tail"].alias("tail"), F.array_append(s["out"], F.struct(*fields)).alias("out"))
+            one = F.struct(*fields, tail(s["tail"], x["gap"]).alias("before"))
+            return F.struct(b.cast("long").alias("at"), tail(s["tail"], x["gap"], x["found"]).alias("tail"), F.array_append(s["out"], one).alias("out"))
+
+        return F.aggregate(block, start, step)["out"]
 
-    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("found")), F.lit(1), F.size(found))
-    return F.aggregate(pairs, start, step)["out"]
+    return _let(F.struct(found.alias("f"), gaps.alias("g")), lambda m: F.when(F.size(m["f"]) > 0, _let(F.slice(F.arrays_zip(m["g"].alias("gap"), m["f"].alias("found")), F.lit(1), F.size(m["f"])), placed)).otherwise(none))
 
 
 def _digits(c: Column) -> Column:
@@ -96,16 +132,17 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Spans of the generators, overlapping as they come."""
-    none = F.expr(f"CAST(array() AS {SPAN})")
-    mail = F.when(F.contains(text, F.lit("@")) | text.rlike(r"[\[(]at[\])]"), _matches(text, MAIL_LIKE, "mail_like")).otherwise(none)
-    number = F.when(text.rlike(r"[0-9][0-9\x20().-]{6}"), F.filter(_matches(text, NUMBER_LIKE, "number_like"), lambda x: F.length(_digits(x["found"])) >= 7)).otherwise(none)
-    card = F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _matches(text, CARD_LIKE, "card_like")).otherwise(none)
+    none = F.expr(f"CAST(array() AS {CANDIDATE})")
+    mail = F.when(F.contains(text, F.lit("@")) | text.rlike(r"[\[(]at[\])]"), _matches(text, MAIL_LIKE, "mail_like", True)).otherwise(none)
+    number = F.when(text.rlike(r"[0-9][0-9\x20().-]{6}"), F.filter(_matches(text, NUMBER_LIKE, "number_like", True), lambda x: F.length(_digits(x["found"])) >= 7)).otherwise(none)
+    card = F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _matches(text, CARD_LIKE, "card_like", True)).otherwise(none)
     sure = F.filter(card, lambda x: _luhn(_digits(x["found"])))
-    secret = F.when(text.rlike(r"[A-Za-z0-9+/_-]{20}"), F.filter(_matches(text, SECRET_LIKE, "secret_like"), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]"))).otherwise(none)
-    return F.concat(mail, F.filter(number, lambda x: ~_meets(x, sure)), card, secret)
+    secret = F.when(text.rlike(r"[A-Za-z0-9+/_-]{20}"), F.filter(_matches(text, SECRET_LIKE, "secret_like", True), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]"))).otherwise(none)
+    apart = _let(sure, lambda known: F.filter(number, lambda x: ~_meets(x, known)))
+    return F.concat(mail, apart, card, secret)
 
 
-def span_features(text: Column, x: Column) -> dict[str, Column]:
+def span_features(x: Column) -> dict[str, Column]:
     """Categorical format and context features of one candidate."""
     found, digits = x["found"], _digits(x["found"])
     n = F.length(digits)
@@ -113,7 +150,7 @@ def span_features(text: Column, x: Column) -> dict[str, Column]:
     hexed = found.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     size = F.when(long_ == 32, 1).when(long_ == 40, 2).when(long_ == 64, 3).when(long_ > 64, 4).when(long_ > 32, 5).otherwise(0)
     band = F.when(mail, F.least(n, F.lit(5))).when(secret, size).when(n < 9, 0).when(n < 10, 1).when(n < 14, 2).when(n <= 15, 3).when(n <= 19, 4).otherwise(5)
-    quoted = F.substring(text, x["start"].cast("int"), F.lit(1)).isin('"', "'") & (x["start"] > 0)
+    quoted = F.right(x["before"], F.lit(1)).isin('"', "'")
     lead = F.when(secret, quoted.cast("int")).when(found.startswith("+"), 1).when(found.rlike(r"^\([0-9]{2,5}\)[0-9\x20.-]+$"), 2).otherwise(0)
     at = F.when(found.rlike(r"[\[(]at[\])]"), 1).when(found.rlike(r"\x20@|@\x20"), 2).otherwise(0)
     both = found.rlike("[a-z]") & found.rlike("[A-Z]")
@@ -122,7 +159,7 @@ def span_features(text: Column, x: Column) -> dict[str, Column]:
     plain = found.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]")
     share = F.floor(4 * n / F.length(found))  # of digits
     valid = F.when(mail, domain.cast("int") + 2 * plain.cast("int")).when(secret, F.least(share, F.lit(3))).otherwise(_luhn(digits).cast("int") + 2 * found.rlike(OCTETS).cast("int"))
-    before = F.substring(text, F.greatest(x["start"] - (CUE_CHARS - 1), F.lit(1)).cast("int"), F.least(x["start"], F.lit(CUE_CHARS)).cast("int"))
+    before = x["before"]
     cue = F.when(secret, before.rlike(SECRET_CUES)).otherwise(before.rlike(CUES))
     out = {"generator": F.when(mail, 0).when(x["kind"] == "number_like", 1).when(secret, 3).otherwise(2), "digits": band, "lead": lead, "marks": marks, "valid": valid, "cue": cue.cast("int")}
     return {k: v.cast("int") for k, v in out.items()}
@@ -140,7 +177,35 @@ def evident(x: Column, f: dict[str, Column]) -> Column:
 
 
 def _meets(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    """Whether x meets any of the spans, which are in order and don't overlap: of those that begin
+    before x ends the last one, found by halving, ends last."""
+    n = F.size(spans)
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1.0))).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        before = F.coalesce(F.try_element_at(spans, F.greatest(mid, F.lit(1)))["start"] < x["end"], F.lit(False))
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(~done & before, mid).otherwise(s["lo"]).alias("lo"), F.when(done | before, s["hi"]).otherwise(mid - 1).alias("hi"))
+
+    last = F.aggregate(halvings, start, halve)["lo"]
+    return F.coalesce((last > 0) & (F.try_element_at(spans, F.greatest(last, F.lit(1)))["end"] > x["start"]), F.lit(False))
+
+
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda x: x["kind"] == kind)
+
+
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that meet no base span, of whatever kind."""
+    kinds = F.struct(*[_of_kind(base, k).alias(k) for k in KINDS])
+
+    def apart(by: Column) -> Column:
+        free = lambda x: ~(_meets(x, by[KINDS[0]]) | _meets(x, by[KINDS[1]]) | _meets(x, by[KINDS[2]]) | _meets(x, by[KINDS[3]]))
+        return F.filter(spans, free)
+
+    return _let(kinds, apart)
 
 
 class Boosted:
@@ -238,9 +303,12 @@ class Boosted:
 
 def fit_candidates(spanned: DataFrame) -> Boosted:
     """The model for a frame with text, base and candidates: counts over all documents."""
-    one = spanned.select("text", F.explode("candidates").alias("x"))
-    feats = span_features(F.col("text"), F.col("x"))
-    one = one.select("x", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).alias("held"), *[c.alias(k) for k, c in feats.items()])
+    def told(x: Column) -> Column:
+        return F.struct(*[c.alias(k) for k, c in span_features(x).items()], x["found"].alias("found"))
+
+    # features go out, not texts: exploded rows would carry a copy of the text each
+    one = spanned.select((F.pmod(F.xxhash64("text"), F.lit(4)) == 3).alias("held"), F.explode(F.transform("candidates", told)).alias("x"))
+    one = one.select("held", *[F.col("x")[k].alias(k) for k in FEATURES], "x")
     hit = evident(F.col("x"), {k: F.col(k) for k in FEATURES}).cast("int").alias("hit")
     counts = one.select("held", *FEATURES, hit).groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("pos"))
     rows = np.array(sorted(tuple(r) for r in counts.collect()), dtype=float).reshape(-1, len(FEATURES) + 3)  # at most 2 * CELLS rows
@@ -265,9 +333,10 @@ def find_pii(documents: DataFrame, text: str = "text", keep: Sequence[str] = ("d
     if all(c is None for c in cuts):
         added = F.expr(f"CAST(array() AS {SPAN})")
     else:
-        rest = F.filter(F.col("candidates"), lambda x: ~_meets(x, F.col("base")))
+        rest = _outside(F.col("candidates"), F.col("base"))
         cut = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(c - 1e-9)) for (k, _), c in zip(GENERATORS, cuts, strict=True) if c is not None])
-        added = F.filter(rest, lambda x: F.coalesce(model.score(span_features(F.col("text"), x)) >= cut(x), F.lit(False)))
+        added = F.filter(rest, lambda x: F.coalesce(model.score(span_features(x)) >= cut(x), F.lit(False)))
+        added = F.transform(added, lambda x: F.struct(*[x[n].alias(n) for n in ("kind", "start", "end", "found")]))
     return spanned.withColumn("added", added).drop("candidates")
 
 

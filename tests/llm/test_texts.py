@@ -358,6 +358,14 @@ def test_fragmented_media_and_odd_files(spark):
     assert [(r.doc_id, r.payload_bytes, r.codec, r.duration_s) for r in got] == [(1, None, None, None), (2, None, None, None), (3, 0, "", None), (3, 0, "", None)]
 
 
+def test_sentences_between(spark):
+    """Unknown sentences count: a licence's sentences that stand far apart are no licence."""
+    s = license_scan.SENTENCES
+    mit = [s[x] if s[x][-1] in ".:;" else s[x] + "." for x in ("mit-grant", "mit-notice", "mit-asis")]
+    texts = [f" {' '.join(f'Filler {i} goes here.' for i in range(n))} ".join(mit) for n in (0, 1, license_scan.MOST_BETWEEN, license_scan.MOST_BETWEEN + 1, 5000)]
+    assert [[(f.license, f.how) for f in r.found] for r in license_scan.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()] == [[("MIT", "text")]] * 3 + [[]] * 2
+
+
 def test_licenses_by_brute_force(spark):
     s, rnd, names = license_scan.SENTENCES, random.Random(5), sorted(license_scan.SENTENCES)
     parts = {x: [license_scan.normalised(p) for p in re.split(r"(?<=[.:;!?])(?=\s)|(?<=[.:;!?]\")(?=\s)", s[x])] for x in names}
@@ -367,7 +375,7 @@ def test_licenses_by_brute_force(spark):
         seq = rnd.choice(license_scan.RULES)[2] if rnd.random() < 0.6 else ()
         used = [*rnd.choices(names, k=rnd.randrange(3)), *seq, *rnd.choices(names, k=rnd.randrange(8)), *(seq[:2] if rnd.random() < 0.3 else ())]
         texts.append("Here. " + " ".join(f"Filler {i} goes here. {s[x]}" + ("" if s[x][-1] in ".:;" else ".") for i, x in enumerate(used)) + " The end.")
-        seen, out, i = [p for x in used for p in parts[x]], [], 0
+        seen, out, i = [p for x in used for p in (None, *parts[x])], [], 0  # each comes after a filler
         while i < len(seen):
             best = None
             for licence, how, rule in rules:
@@ -393,6 +401,17 @@ def test_licenses_by_brute_force(spark):
         license_scan.Scanner({"x": "..."}, ())
 
 
+def test_many_matches(spark):
+    """Texts of many spans, near each other and apart; places as a plain scan finds them."""
+    texts = ["".join(f"u{i}@mail{i % 7}.example.org{sep}" for i in range(n)) for n, sep in ((20_000, " "), (257, ","), (16, " é\n"))] + [f"{'x ' * 900}call +39 040 {i:07d} or 10.0.{i % 256}.7; " * 40 for i in range(3)]
+    got = {r.doc_id: r.base for r in pii.find_pii(frame(spark, texts)).collect()}
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    for i, t in enumerate(texts):
+        for kind, pattern in plain.items():
+            want = [(m.start(), m.end()) for m in re.finditer(pattern, t) if kind != "phone" or 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+            assert [(x["start"], x["end"]) for x in got[i] if x["kind"] == kind] == want
+
+
 def test_secrets(spark):
     rnd = random.Random(11)
     key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
