@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DataType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, StructField, StructType
 
 from cairnlake.functions import geometry as G
+from cairnlake.sources.scratch import stored
 
 MOST_RADIUS, MOST_KM2, MOST_HITS = 50_000.0, 2500.0, 200
 #: Metres a degree of latitude has at least.
@@ -106,98 +107,201 @@ def with_bounds(df: DataFrame, geojson: str = "geojson") -> DataFrame:
     return df.withColumn("_g", parse(F.col(geojson))).select(*df.columns, "_g.*")
 
 
-def _polys(wkb: bytes):
-    return G.rings(*G.from_wkb(bytes(wkb)))
+def _pairwise(returns: DataType, kernel):
+    """A pandas UDF over two WKB columns, null where one is; each distinct geometry of a batch is
+    parsed once."""
 
+    @pandas_udf(returns)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[bytes, tuple[str, list]] = {}
 
-@pandas_udf(DoubleType())
-def overlap_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Area of the intersection by that of the first; both around one latitude."""
+        def get(x):
+            x = bytes(x)
+            if x not in known:
+                known[x] = G.from_wkb(x)
+            return known[x]
+
+        return pd.Series([None if x is None or y is None else kernel(get(x), get(y)) for x, y in zip(a, b, strict=True)], dtype="float64" if returns == DoubleType() else "object")
+
+    return run
+
+
+def _meets(a: tuple[str, list], b: tuple[str, list]) -> bool:
+    (k, c), (m, d) = a, b
+    if k == "Point" and m == "Point":
+        return c == d
+    if k == "Point":
+        return any(G.locate(tuple(c), p) >= 0 for p in G.rings(m, d))
+    if m == "Point":
+        return any(G.locate(tuple(d), p) >= 0 for p in G.rings(k, c))
+    return G.intersects(G.rings(k, c), G.rings(m, d))
+
+
+def _share(a: tuple[str, list], b: tuple[str, list]) -> float:
+    p, q = G.rings(*a), G.rings(*b)
+    if not p or not q:
+        return 0.0
+    lat = p[0][0][0][1]
+    p, q = G.local_metres(p, lat), G.local_metres(q, lat)
+    whole = G.area(p)
+    return G.overlap(p, q) / whole if whole else 0.0
+
+
+polygons_intersect = _pairwise(BooleanType(), _meets)
+#: Area of the intersection by that of the first; both around one latitude.
+overlap_share = _pairwise(DoubleType(), _share)
+distance_between = _pairwise(DoubleType(), G.distance_m)
+lies_within = _pairwise(BooleanType(), G.within)
+
+
+# --- pairs of shapes by cells of many sizes ---
+
+#: The smallest cells have sides of 2^LEAST_LEVEL degrees, a decimetre.
+LEAST_LEVEL = -20
+#: Rows of one side in one cell beyond which the cell is split.
+MOST_IN_CELL = 20_000
+#: A shape at least 2^CLEAR_FROM times as wide as the other side's smallest is told apart by clear cells.
+CLEAR_FROM = 3
+
+
+def _level(df: DataFrame) -> Column:
+    """The power of two that a shape's wider side stays within: it touches four cells of that side
+    at most (nine, if its bounds are at a power of two and the logarithm is rounded)."""
+    wide = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    return F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(wide))).cast("int")
+
+
+COVER = ArrayType(StructType([*(StructField(c, DoubleType()) for c in ("x0", "y0", "x1", "y1")), StructField("inside", BooleanType())]))
+
+
+@pandas_udf(COVER)
+def clear_cells(wkb: pd.Series) -> pd.Series:
+    """Cells of a shape's bounds that its border doesn't touch; null for points."""
     out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = _polys(x), _polys(y)
-        lat = p[0][0][0][1]
-        p, q = G.local_metres(p, lat), G.local_metres(q, lat)
-        whole = G.area(p)
-        out.append(G.overlap(p, q) / whole if whole else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
-@pandas_udf(BooleanType())
-def polygons_intersect(a: pd.Series, b: pd.Series) -> pd.Series:
-    def meets(x: bytes, y: bytes) -> bool:
-        (k, c), (m, d) = G.from_wkb(bytes(x)), G.from_wkb(bytes(y))
-        if k == "Point" and m == "Point":
-            return c == d
-        if k == "Point":
-            return any(G.locate(tuple(c), p) >= 0 for p in G.rings(m, d))
-        if m == "Point":
-            return any(G.locate(tuple(d), p) >= 0 for p in G.rings(k, c))
-        return G.intersects(G.rings(k, c), G.rings(m, d))
-
-    return pd.Series([meets(*p) for p in zip(a, b, strict=True)], dtype="bool")
-
-
-def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs (left columns as l_*, right as r_*) whose bounds meet: both sides dealt into grid
-    cells, and a pair kept only in the cell of its common lower corner, so it comes once."""
-
-    def dealt(df: DataFrame, p: str) -> DataFrame:
-        out = df.filter("wkb IS NOT NULL").select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    for x in wkb:
+        polys = [] if x is None else G.rings(*G.from_wkb(bytes(x)))
+        out.append(G.clear_cells(polys) if polys else None)
+    return pd.Series(out, dtype="object")
+
+
+def _split_cells(cells: DataFrame, other: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column _part: a cell with over `most` rows of one side is dealt into parts
+    by hash, and the rows of the other side go to each of them."""
+    key = ["_lv", "_cx", "_cy"]
+    n = lambda df, c: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).alias(c)).filter(F.col(c) > 1)
+    parts = stored(n(cells, "_p").join(n(other, "_q"), key, "full_outer").na.fill(1, ["_p", "_q"]), "cells")
+
+    def deal(df: DataFrame, mine: str, theirs: str, ids: Sequence[str]) -> DataFrame:
+        rows = df.join(parts, key, "left").na.fill(1, ["_p", "_q"])
+        own = F.pmod(F.xxhash64(*ids), F.col(mine))
+        all_ = F.transform(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1), lambda i: F.struct(own.alias("a"), i.alias("b")))
+        rows = rows.withColumn("_x", F.explode(all_))
+        return rows.withColumn("_part", F.concat_ws("/", *(F.col(f"_x.{c}").cast("string") for c in ("ab" if mine == "_p" else "ba")))).drop("_p", "_q", "_x")
+
+    return deal(cells, "_p", "_q", ["l_object_id", "l_min_x", "l_min_y"]), deal(other, "_q", "_p", ["r_object_id", "r_min_x", "r_min_y"])
+
+
+def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> DataFrame:
+    """Pairs (left columns as l_*, right as r_*) whose bounds meet, each once.
+
+    A shape has a level by its size and lies in four cells of it or so; two shapes meet in cells of
+    the larger one's level. So a row is dealt into a few cells of each larger level that occurs on
+    the other side (some 30 at most), however large the largest is. A pair is kept in the cell of
+    its common lower corner only. Cells with over `most` rows of a side are split, both ways. Both
+    sides are read several times: store what is costly to make. l_cover and r_cover hold the clear
+    cells of shapes much larger than the other side's smallest.
+    """
+
+    def named(df: DataFrame, p: str) -> DataFrame:
+        own = df.filter("wkb IS NOT NULL").withColumn("level", _level(df))
+        return own.select(*[F.col(c).alias(f"{p}_{c}") for c in own.columns])
+
+    sides, sizes = {"l": named(left, "l"), "r": named(right, "r")}, {}
+    for p, df in sides.items():
+        sizes[p] = {row[0]: row[1] for row in df.groupBy(f"{p}_level").count().collect()}  # a row a level
+    for p, q in (("l", "r"), ("r", "l")):
+        least, shape = min(sizes[q], default=0), F.col(f"{p}_level")
+        large = F.when((shape >= least + CLEAR_FROM) & ~F.coalesce(F.col(f"{p}_is_box"), F.lit(False)), F.col(f"{p}_wkb"))
+        none = F.lit(None).cast(COVER)
+        sides[p] = sides[p].withColumn(f"{p}_cover", clear_cells(large) if max(sizes[p], default=0) >= least + CLEAR_FROM else none)
+
+    def dealt(p: str, levels: Column) -> DataFrame:
+        out = sides[p].withColumn("_lv", F.explode(levels))
         for axis in ("x", "y"):
-            span = F.sequence(F.floor(F.col(f"{p}_min_{axis}") / cell), F.floor(F.col(f"{p}_max_{axis}") / cell))
-            out = out.withColumn(f"c{axis}", F.explode(span))
+            span = F.sequence(*(F.floor(F.col(f"{p}_{end}_{axis}") / F.pow(F.lit(2.0), F.col("_lv"))) for end in ("min", "max")))
+            out = out.withColumn(f"_c{axis}", F.explode(span))
         return out
 
-    pairs = dealt(left, "l").join(dealt(right, "r"), ["cx", "cy"])
-    for axis in ("x", "y"):
-        pairs = pairs.filter((F.col(f"l_min_{axis}") <= F.col(f"r_max_{axis}")) & (F.col(f"r_min_{axis}") <= F.col(f"l_max_{axis}")))
-        pairs = pairs.filter(F.col(f"c{axis}") == F.floor(F.greatest(f"l_min_{axis}", f"r_min_{axis}") / cell))
-    return pairs.drop("cx", "cy")
+    def joined(large: str, small: str, strictly: bool) -> DataFrame | None:
+        levels = [v for v in sorted(sizes[large]) if v >= min(sizes[small], default=0) + strictly]
+        if not levels or not sizes[small]:
+            return None
+        over = F.filter(F.array(*map(F.lit, levels)), lambda v: v > F.col(f"{small}_level") if strictly else v >= F.col(f"{small}_level"))
+        both = {large: dealt(large, F.array(f"{large}_level")), small: dealt(small, over)}
+        l, r, key = both["l"], both["r"], ["_lv", "_cx", "_cy"]
+        if max(sum(sizes["l"].values()), sum(sizes["r"].values())) > most:
+            (l, r), key = _split_cells(l, r, most), [*key, "_part"]
+        pairs = l.join(r, key)
+        for axis in ("x", "y"):
+            pairs = pairs.filter((F.col(f"l_min_{axis}") <= F.col(f"r_max_{axis}")) & (F.col(f"r_min_{axis}") <= F.col(f"l_max_{axis}")))
+            pairs = pairs.filter(F.col(f"_c{axis}") == F.floor(F.greatest(f"l_min_{axis}", f"r_min_{axis}") / F.pow(F.lit(2.0), F.col("_lv"))))
+        return pairs.select(*sides["l"].columns, *sides["r"].columns)
 
+    found = [p for p in (joined("l", "r", False), joined("r", "l", True)) if p is not None]
+    if not found:
+        return sides["l"].crossJoin(sides["r"]).limit(0)  # one side is empty
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
-def _split(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of axis-parallel boxes, which need no Python, and the others."""
-    boxes = F.coalesce(F.col("l_is_box") & F.col("r_is_box"), F.lit(False))
-    return pairs.filter(boxes), pairs.filter(~boxes)
 
+def _lies_in(q: str, p: str) -> Column:
+    """Whether q's bounds lie in p's."""
+    return (F.col(f"{q}_min_x") >= F.col(f"{p}_min_x")) & (F.col(f"{q}_max_x") <= F.col(f"{p}_max_x")) & (F.col(f"{q}_min_y") >= F.col(f"{p}_min_y")) & (F.col(f"{q}_max_y") <= F.col(f"{p}_max_y"))
 
-def intersection_pairs(left: DataFrame, right: DataFrame, cell: float = 0.05) -> DataFrame:
-    boxes, rest = _split(box_pairs(left, right, cell).filter("l_object_id <> r_object_id"))
-    out = boxes.unionByName(rest.filter(polygons_intersect("l_wkb", "r_wkb")))
-    return out.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"))
 
+def _in_clear_cell(q: str, p: str) -> Column:
+    """True if q lies inside p for sure, false if it lies outside, null if only a kernel can tell:
+    by the clear cell of p that q's bounds lie in."""
+    holds = F.filter(f"{p}_cover", lambda c: (c["x0"] <= F.col(f"{q}_min_x")) & (c["x1"] >= F.col(f"{q}_max_x")) & (c["y0"] <= F.col(f"{q}_min_y")) & (c["y1"] >= F.col(f"{q}_max_y")))
+    return F.get(holds, F.lit(0))["inside"]
 
-def overlap_pairs(left: DataFrame, right: DataFrame, least: float, cell: float = 0.05) -> DataFrame:
-    """(anchor_id, object_id, share) with share of the anchor's area >= least."""
-    boxes, rest = _split(box_pairs(left, right, cell).filter("l_object_id <> r_object_id"))
-    both = lambda axis: F.least(f"l_max_{axis}", f"r_max_{axis}") - F.greatest(f"l_min_{axis}", f"r_min_{axis}")
-    whole = (F.col("l_max_x") - F.col("l_min_x")) * (F.col("l_max_y") - F.col("l_min_y"))
-    named = lambda df, share: df.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"), share.alias("share"))
-    out = named(boxes, both("x") * both("y") / whole).unionByName(named(rest, overlap_share("l_wkb", "r_wkb")))
-    return out.filter(F.col("share") >= least)
 
+def _open(known: Column, kernel, a: str, b: str) -> Column:
+    """known, or where it is null what the kernel says; it isn't given the other rows' shapes."""
+    return F.coalesce(known, kernel(F.when(known.isNull(), F.col(a)), F.when(known.isNull(), F.col(b))))
 
-def _pairwise(returns: DataType, kernel):
-    """A pandas UDF over two WKB columns; each distinct geometry of a batch is parsed once."""
 
-    @pandas_udf(returns)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[bytes, tuple[str, list]] = {}
+def _both_boxes() -> Column:
+    return F.coalesce(F.col("l_is_box") & F.col("r_is_box"), F.lit(False))
 
-        def get(x):
-            x = bytes(x)
-            if x not in known:
-                known[x] = G.from_wkb(x)
-            return known[x]
 
-        return pd.Series([None if x is None or y is None else kernel(get(x), get(y)) for x, y in zip(a, b, strict=True)], dtype="float64" if returns == DoubleType() else "object")
+def _intersects() -> Column:
+    return _open(F.when(_both_boxes(), F.lit(True)).otherwise(F.coalesce(_in_clear_cell("r", "l"), _in_clear_cell("l", "r"))), polygons_intersect, "l_wkb", "r_wkb")
 
-    return run
 
+def _overlaps() -> Column:
+    """Share of the left shape's area."""
+    both = lambda axis: F.least(f"l_max_{axis}", f"r_max_{axis}") - F.greatest(f"l_min_{axis}", f"r_min_{axis}")
+    whole = (F.col("l_max_x") - F.col("l_min_x")) * (F.col("l_max_y") - F.col("l_min_y"))
+    no_area = F.substring("l_wkb", 2, 1).isin(F.unhex(F.lit("01")), F.unhex(F.lit("02")))
+    clear = F.when(no_area, 0.0).when(_in_clear_cell("l", "r"), 1.0).when(~_in_clear_cell("l", "r") | ~_in_clear_cell("r", "l"), 0.0)
+    return _open(F.when(_both_boxes(), both("x") * both("y") / whole).otherwise(clear), overlap_share, "l_wkb", "r_wkb")
 
-distance_between = _pairwise(DoubleType(), G.distance_m)
-lies_within = _pairwise(BooleanType(), G.within)
+
+def _within(q: str, p: str) -> Column:
+    """Whether q lies in p; rows whose bounds don't are to be filtered first."""
+    return _open(F.when(_both_boxes(), F.lit(True)).otherwise(_in_clear_cell(q, p)), lies_within, f"{q}_wkb", f"{p}_wkb")
+
+
+def intersection_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(anchor_id, object_id) of the shapes that share a point, none with itself."""
+    out = box_pairs(left, right).filter("l_object_id <> r_object_id").filter(_intersects())
+    return out.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"))
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(anchor_id, object_id, share) with share of the anchor's area >= least."""
+    pairs = box_pairs(left, right).filter("l_object_id <> r_object_id")
+    return pairs.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"), _overlaps().alias("share")).filter(F.col("share") >= least)
 
 
 METRICS = StructType([StructField("topologically_equal", BooleanType()), *(StructField(c, DoubleType()) for c in ("minimum_distance_m", "current_area_m2", "candidate_area_m2"))])
@@ -219,9 +323,10 @@ def geometry_metrics(current: pd.Series, candidate: pd.Series) -> pd.DataFrame:
 PREDICATES = ("INTERSECTS", "WITHIN", "CONTAINS", "NEAREST", "OVERLAP_RATIO")
 
 
-def spatial_candidates(sources: DataFrame, targets: DataFrame, predicate: str, cell: float = 0.05, max_distance: float | None = None, min_overlap: float | None = None) -> DataFrame:
+def spatial_candidates(sources: DataFrame, targets: DataFrame, predicate: str, max_distance: float | None = None, min_overlap: float | None = None) -> DataFrame:
     """(anchor_id, object_id, distance_m) of the pairs that a predicate holds for; both sides come
-    from with_bounds(). A source is its own candidate if it is among the targets."""
+    from with_bounds(). Only NEAREST has distances. A source is its own candidate if it is among
+    the targets."""
     if predicate not in PREDICATES:
         raise ValueError("SPATIAL_PREDICATE_UNSUPPORTED")
     if predicate == "NEAREST":
@@ -232,32 +337,41 @@ def spatial_candidates(sources: DataFrame, targets: DataFrame, predicate: str, c
         sources = sources.withColumns({"min_x": F.col("min_x") - side, "max_x": F.col("max_x") + side, "min_y": F.col("min_y") - up, "max_y": F.col("max_y") + up})
     if predicate == "OVERLAP_RATIO" and min_overlap is None:
         raise ValueError("SPATIAL_MIN_OVERLAP_REQUIRED")
-    pairs = box_pairs(sources, targets, cell)
+    pairs, distance = box_pairs(sources, targets), F.lit(None).cast("double")
     if predicate == "INTERSECTS":
-        pairs = pairs.filter(polygons_intersect("l_wkb", "r_wkb"))
+        pairs = pairs.filter(_intersects())
     elif predicate == "WITHIN":
-        pairs = pairs.filter((F.col("l_min_x") >= F.col("r_min_x")) & (F.col("l_max_x") <= F.col("r_max_x")) & (F.col("l_min_y") >= F.col("r_min_y")) & (F.col("l_max_y") <= F.col("r_max_y"))).filter(lies_within("l_wkb", "r_wkb"))
+        pairs = pairs.filter(_lies_in("l", "r")).filter(_within("l", "r"))
     elif predicate == "CONTAINS":
-        pairs = pairs.filter((F.col("r_min_x") >= F.col("l_min_x")) & (F.col("r_max_x") <= F.col("l_max_x")) & (F.col("r_min_y") >= F.col("l_min_y")) & (F.col("r_max_y") <= F.col("l_max_y"))).filter(lies_within("r_wkb", "l_wkb"))
+        pairs = pairs.filter(_lies_in("r", "l")).filter(_within("r", "l"))
     elif predicate == "OVERLAP_RATIO":
-        pairs = pairs.filter(overlap_share("l_wkb", "r_wkb") >= min_overlap)
-    out = pairs.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"), distance_between("l_wkb", "r_wkb").alias("distance_m"))
+        pairs = pairs.filter(_overlaps() >= min_overlap)
+    else:
+        distance = distance_between("l_wkb", "r_wkb")
+    out = pairs.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"), distance.alias("distance_m"))
     return out.filter(F.col("distance_m") <= max_distance) if predicate == "NEAREST" else out
 
 
-def spatial_relate(sources: DataFrame, targets: DataFrame, predicate: str, cell: float = 0.05, max_distance: float | None = None, min_overlap: float | None = None, margin: float | None = None, self_loops: bool = False) -> DataFrame:
+def spatial_relate(sources: DataFrame, targets: DataFrame, predicate: str, max_distance: float | None = None, min_overlap: float | None = None, margin: float | None = None, self_loops: bool = False) -> DataFrame:
     """A row per source: anchor_id, outcome, object_id, candidates.
 
     One candidate is MATCHED, none SPATIAL_NO_MATCH, several SPATIAL_MULTIPLE_MATCHES unless the
     predicate is NEAREST and the second stays at least `margin` metres behind; a source that
-    would match itself is SELF_LOOP_NOT_ALLOWED.
+    would match itself is SELF_LOOP_NOT_ALLOWED. Pairs are made once; candidates are counted and
+    the least kept before the exchange, but for NEAREST with a margin, which sorts them by anchor.
     """
-    pairs = spatial_candidates(sources, targets, predicate, cell, max_distance, min_overlap)
-    counts = pairs.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("candidates"))
-    best = choose_nearest(pairs, margin) if predicate == "NEAREST" and margin is not None else choose_nearest(pairs, float("inf"))
-    rows = sources.select(F.col("object_id").alias("anchor_id")).join(counts, "anchor_id", "left").join(best.drop("distance_m"), "anchor_id", "left")
+    pairs = spatial_candidates(sources, targets, predicate, max_distance, min_overlap)
+    if predicate == "NEAREST" and margin is not None:
+        nth = F.row_number().over(Window.partitionBy("anchor_id").orderBy("distance_m", "object_id"))
+        own = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
+        best = pairs.withColumn("_n", nth).groupBy("anchor_id").agg(F.count(F.lit(1)).alias("candidates"), own(1, "object_id").alias("object_id"), (own(2, "distance_m") - own(1, "distance_m")).alias("_gap"))
+        sure = F.col("_gap").isNull() | (F.col("_gap") >= margin)
+    else:
+        best = pairs.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("object_id").alias("object_id"))
+        sure = F.col("candidates") == 1
+    rows = sources.select(F.col("object_id").alias("anchor_id")).join(best, "anchor_id", "left")
     loop = F.lit(not self_loops) & (F.col("object_id") == F.col("anchor_id"))
-    outcome = F.when(F.col("candidates").isNull(), "SPATIAL_NO_MATCH").when(F.col("outcome") != "MATCHED", F.col("outcome")).when(loop, "SELF_LOOP_NOT_ALLOWED").otherwise("MATCHED")
+    outcome = F.when(F.col("candidates").isNull(), "SPATIAL_NO_MATCH").when(~sure, "SPATIAL_MULTIPLE_MATCHES").when(loop, "SELF_LOOP_NOT_ALLOWED").otherwise("MATCHED")
     return rows.select("anchor_id", outcome.alias("outcome"), F.when(outcome == "MATCHED", F.col("object_id")).alias("object_id"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 

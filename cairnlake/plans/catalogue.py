@@ -17,7 +17,7 @@ from cairnlake.functions.hashing import sha256_ref
 from cairnlake.operators import access, admission, canonical, graph, identity, identity_index, intake, lake, paging, reconcile, relate, revisions, serve, spatial
 from cairnlake.plans import envelopes
 from cairnlake.sources.registry import registry, registry_sql
-from cairnlake.sources.scratch import shared_dir
+from cairnlake.sources.scratch import shared_dir, stored
 from cairnlake.streaming.intake import tumbling_activity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -770,7 +770,7 @@ def nearest_margin(spark, sf):
 def _squares(spark, sf, size: float, kind: str):
     p = registry(spark, sf, "POINTS").filter(F.col("canonical_type") == kind).select("object_id", F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y"))
     text = F.format_string('{"type":"Polygon","coordinates":[[[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f]]]}', "x", "y", F.col("x") + size, "y", F.col("x") + size, F.col("y") + size, "x", F.col("y") + size, "x", "y")
-    return spatial.with_bounds(p.select("object_id", text.alias("geojson")))
+    return stored(spatial.with_bounds(p.select("object_id", text.alias("geojson"))), "squares")
 
 
 @query("""
@@ -780,7 +780,7 @@ SELECT a.object_id AS anchor_id, b.object_id FROM p a JOIN p b ON a.canonical_ty
 """)
 def polygon_intersection(spark, sf):
     """Squares of suppliers that meet squares of customers."""
-    return spatial.intersection_pairs(_squares(spark, sf, 0.0015, "Supplier"), _squares(spark, sf, 0.0025, "Customer"), 0.01)
+    return spatial.intersection_pairs(_squares(spark, sf, 0.0015, "Supplier"), _squares(spark, sf, 0.0025, "Customer"))
 
 
 @query("""
@@ -789,7 +789,7 @@ o AS (SELECT a.object_id AS anchor_id, b.object_id, greatest(0, least(a.x + 0.00
 SELECT anchor_id, object_id, round(share, 4) AS share FROM o WHERE share >= 0.3
 """)
 def overlap_ratio(spark, sf):
-    return spatial.overlap_pairs(_squares(spark, sf, 0.0015, "Supplier"), _squares(spark, sf, 0.0025, "Customer"), 0.3, 0.01).withColumn("share", F.round("share", 4))
+    return spatial.overlap_pairs(_squares(spark, sf, 0.0015, "Supplier"), _squares(spark, sf, 0.0025, "Customer"), 0.3).withColumn("share", F.round("share", 4))
 
 
 @query()
@@ -1062,8 +1062,8 @@ def spatial_relate(spark, sf):
     """Suppliers' squares and customers' larger ones by every predicate of areas."""
     s, c = _squares(spark, sf, 0.0015, "Supplier"), _squares(spark, sf, 0.0025, "Customer")
     parts = [("INTERSECTS", s, c, {}), ("WITHIN", s, c, {}), ("CONTAINS", c, s, {}), ("OVERLAP_RATIO", s, c, {"min_overlap": 0.6})]
-    out = [spatial.spatial_relate(a, b, p, 0.01, **more).withColumn("predicate", F.lit(p)) for p, a, b, more in parts]
-    own = spatial.spatial_relate(s, s, "WITHIN", 0.01)
+    out = [spatial.spatial_relate(a, b, p, **more).withColumn("predicate", F.lit(p)) for p, a, b, more in parts]
+    own = spatial.spatial_relate(s, s, "WITHIN")
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(own.withColumn("predicate", F.lit("SELF")))
 
 
