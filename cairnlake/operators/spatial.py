@@ -216,9 +216,11 @@ def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> Da
         own = df.filter("wkb IS NOT NULL").withColumn("level", _level(df))
         return own.select(*[F.col(c).alias(f"{p}_{c}") for c in own.columns])
 
-    sides, sizes = {"l": named(left, "l"), "r": named(right, "r")}, {}
-    for p, df in sides.items():
-        sizes[p] = {row[0]: row[1] for row in df.groupBy(f"{p}_level").count().collect()}  # a row a level
+    sides = {"l": named(left, "l"), "r": named(right, "r")}
+    levels = [df.select(F.lit(p).alias("p"), F.col(f"{p}_level").alias("level"), F.coalesce(F.col(f"{p}_is_box"), F.lit(False)).alias("box")) for p, df in sides.items()]
+    found = levels[0].unionAll(levels[1]).groupBy("p", "level").agg(F.count(F.lit(1)).alias("n"), F.min("box").alias("box")).collect()  # a row a level
+    sizes = {p: {r.level: r.n for r in found if r.p == p} for p in sides}
+    boxes = {f"{p}_is_box": all(r.box for r in found if r.p == p) for p in sides}
     for p, q in (("l", "r"), ("r", "l")):
         least, shape = min(sizes[q], default=0), F.col(f"{p}_level")
         large = F.when((shape >= least + CLEAR_FROM) & ~F.coalesce(F.col(f"{p}_is_box"), F.lit(False)), F.col(f"{p}_wkb"))
@@ -245,7 +247,8 @@ def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> Da
         for axis in ("x", "y"):
             pairs = pairs.filter((F.col(f"l_min_{axis}") <= F.col(f"r_max_{axis}")) & (F.col(f"r_min_{axis}") <= F.col(f"l_max_{axis}")))
             pairs = pairs.filter(F.col(f"_c{axis}") == F.floor(F.greatest(f"l_min_{axis}", f"r_min_{axis}") / F.pow(F.lit(2.0), F.col("_lv"))))
-        return pairs.select(*sides["l"].columns, *sides["r"].columns)
+        # where all are boxes, the plan says so and has no kernels
+        return pairs.select(*[F.lit(True).alias(c) if boxes.get(c) else c for p in "lr" for c in sides[p].columns])
 
     found = [p for p in (joined("l", "r", False), joined("r", "l", True)) if p is not None]
     if not found:
@@ -267,7 +270,8 @@ def _in_clear_cell(q: str, p: str) -> Column:
 
 def _open(known: Column, kernel, a: str, b: str) -> Column:
     """known, or where it is null what the kernel says; it isn't given the other rows' shapes."""
-    return F.coalesce(known, kernel(F.when(known.isNull(), F.col(a)), F.when(known.isNull(), F.col(b))))
+    told = F.coalesce(known, kernel(F.when(known.isNull(), F.col(a)), F.when(known.isNull(), F.col(b))))
+    return F.when(_both_boxes(), known).otherwise(told)
 
 
 def _both_boxes() -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import schema
 from cairnlake.functions.hashing import sha256_ref
-from cairnlake.operators import access, admission, canonical, graph, identity, identity_index, intake, lake, paging, reconcile, relate, revisions, serve, spatial
+from cairnlake.operators import access, admission, canonical, governance, graph, identity, identity_index, intake, lake, paging, reconcile, relate, revisions, serve, spatial
 from cairnlake.plans import envelopes
 from cairnlake.sources.registry import registry, registry_sql
 from cairnlake.sources.scratch import shared_dir, stored
@@ -1514,3 +1514,100 @@ def envelope_validate(spark, sf):
     """Every envelope's violating paths, by the compiled schema."""
     rows = spark.sql(_ENVELOPES, events=base(spark, sf, "events"))
     return rows.select("handoff_id", F.array_join(schema.violations(F.col("body"), envelopes.ENVELOPE, envelopes.FILES), "|").alias("paths"))
+
+
+# --- identity plans and review packages ---
+
+_CUSTOMER, _SUPPLIER = "concat('customer:', lpad(CAST({} AS STRING), 9, '0'))", "concat('supplier:', lpad(CAST({} AS STRING), 9, '0'))"
+#: Merges of even customers into smaller ones and splits of even suppliers; some versions have moved on.
+_PLANS = """
+SELECT concat('m', CAST(c_custkey AS STRING)) AS plan_id, 'MERGE' AS kind, CASE WHEN c_custkey % 13 = 0 THEN 'EXECUTED' ELSE 'PLANNED' END AS state, 1 AS version, CASE WHEN c_custkey % 11 = 0 THEN 2 ELSE 1 END AS expected_version, 'same' AS reason, CAST(c_custkey AS BIGINT) AS k FROM {customer} WHERE c_custkey % 2 = 0 AND c_custkey >= 10
+UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'SPLIT', 'PLANNED', 1, 1, 'two', CAST(s_suppkey AS BIGINT) FROM {supplier} WHERE s_suppkey % 2 = 0 AND s_suppkey >= 10
+"""
+_SURVIVOR = "k - CASE WHEN k % 14 = 0 THEN 1 WHEN k % 46 = 0 THEN 0 ELSE 2 + 2 * (k % 3) END"
+_MEMBERS = f"""
+SELECT plan_id, 'MERGED' AS role, {_CUSTOMER.format('k')} AS object_id, CASE WHEN k % 17 = 0 THEN 9 ELSE k % 3 END AS planned_revision FROM {{plans}} WHERE kind = 'MERGE'
+UNION ALL SELECT plan_id, 'SURVIVOR', {_CUSTOMER.format(_SURVIVOR)}, ({_SURVIVOR}) % 3 FROM {{plans}} WHERE kind = 'MERGE'
+UNION ALL SELECT plan_id, 'ORIGINAL', {_SUPPLIER.format('k')}, k % 3 FROM {{plans}} WHERE kind = 'SPLIT'
+UNION ALL SELECT plan_id, 'SUCCESSOR', {_SUPPLIER.format('k - 1')}, (k - 1) % 3 FROM {{plans}} WHERE kind = 'SPLIT'
+UNION ALL SELECT plan_id, 'SUCCESSOR', {_SUPPLIER.format('k - 2 - k % 3')}, (k - 2 - k % 3) % 3 FROM {{plans}} WHERE kind = 'SPLIT'
+"""
+
+
+@query(f"""
+WITH pl AS ({_PLANS.replace('{customer}', 'customer').replace('{supplier}', 'supplier')}), mb AS ({_MEMBERS.replace('{plans}', 'pl')}),
+ck AS (SELECT plan_id, kind, k, CASE WHEN state <> 'PLANNED' OR version <> expected_version THEN 'VERSION_CONFLICT' WHEN kind = 'MERGE' AND k % 46 = 0 AND k % 14 > 0 THEN 'MERGE_SAME_OBJECT'
+  WHEN kind = 'MERGE' AND k % 14 = 0 THEN 'IDENTITY_INCOMPATIBLE' WHEN kind = 'MERGE' AND k % 17 = 0 THEN 'STALE'
+  WHEN kind = 'SPLIT' AND k % 10 = 0 THEN 'BINDING_ALLOCATION_INCOMPLETE' WHEN kind = 'SPLIT' AND k % 12 = 0 THEN 'ALLOCATION_TARGET_INVALID' ELSE 'READY' END AS outcome FROM pl),
+op AS (SELECT DISTINCT plan_id, sha256(plan_id) AS h, object_id FROM mb JOIN ck USING (plan_id) WHERE outcome = 'READY'),
+r AS (
+  SELECT plan_id, h, object_id, CAST(NULL AS BOOLEAN) AS chosen FROM op
+  UNION ALL
+  SELECT plan_id, h, object_id, CASE WHEN best THEN TRUE WHEN bool_or(hit) OVER (PARTITION BY plan_id) THEN FALSE END FROM (
+    SELECT *, bool_or(best) OVER (PARTITION BY object_id) AS hit FROM (
+      SELECT *, bool_and(h = least_h) OVER (PARTITION BY plan_id) AS best FROM (SELECT *, min(h) OVER (PARTITION BY object_id) AS least_h FROM r WHERE chosen IS NULL) a) b) c
+), ch AS (SELECT plan_id, bool_or(chosen) AS chosen FROM r WHERE chosen IS NOT NULL GROUP BY plan_id),
+ou AS (SELECT ck.plan_id, kind, k, CASE WHEN chosen THEN 'EXECUTED' WHEN NOT chosen THEN 'CONFLICT' ELSE outcome END AS outcome FROM ck LEFT JOIN ch ON ch.plan_id = ck.plan_id),
+ed AS (SELECT plan_id, count(DISTINCT relationship_id) AS n FROM ou JOIN R(EDGES) e ON {_SUPPLIER.format('k')} IN (source_id, target_id) WHERE outcome = 'EXECUTED' AND kind = 'SPLIT' AND status = 'ACTIVE' GROUP BY plan_id)
+SELECT ou.plan_id, outcome, CAST(CASE WHEN outcome = 'EXECUTED' THEN CASE WHEN kind = 'MERGE' THEN 1 ELSE 2 END ELSE 0 END AS BIGINT) AS bindings, CAST(CASE WHEN outcome = 'EXECUTED' AND kind = 'SPLIT' THEN 1 + coalesce(n, 0) ELSE 0 END AS BIGINT) AS issues FROM ou LEFT JOIN ed ON ed.plan_id = ou.plan_id
+""", recursive=True)
+def plans_executed(spark, sf):
+    """A batch of merges and splits: what becomes of each plan, the bindings it moves and the issues it opens."""
+    plans = spark.sql(_PLANS, customer=base(spark, sf, "customer"), supplier=base(spark, sf, "supplier"))
+    members = spark.sql(_MEMBERS, plans=plans)
+    objects = registry(spark, sf, "OBJECTS").filter("canonical_type IN ('Customer', 'Supplier')").withColumn("revision", F.col("k") % 3)
+    sources = F.when(F.col("canonical_type") == "Customer", F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    bindings = objects.withColumn("source", F.explode(sources)).select(F.concat_ws("|", "source", "canonical_type", F.col("k").cast("string")).alias("binding"), "object_id", F.lit("ACTIVE").alias("state"))
+    split = plans.filter("kind = 'SPLIT'").select("plan_id", "k")
+    key = lambda s: F.concat(F.lit(f"{s}|Supplier|"), F.col("k").cast("string")).alias("binding")
+    heir = F.expr(f"CASE WHEN k % 12 = 0 THEN 'supplier:none' ELSE {_SUPPLIER.format('k - 1')} END").alias("choice")
+    choices = split.select("plan_id", key("a"), heir).unionByName(split.filter("k % 10 > 0").select("plan_id", key("b"), F.lit("UNRESOLVED").alias("choice")))
+    out = governance.execute_plans(plans, members, objects, bindings, registry(spark, sf, "EDGES"), choices)
+    n = lambda df, c: df.groupBy("plan_id").agg(F.count(F.lit(1)).alias(c))
+    rows = out["plans"].join(n(out["bindings"], "bindings"), "plan_id", "left").join(n(out["issues"], "issues"), "plan_id", "left")
+    return rows.select("plan_id", "outcome", F.coalesce("bindings", F.lit(0)).alias("bindings"), F.coalesce("issues", F.lit(0)).alias("issues"))
+
+
+_ISSUES = """
+SELECT event_id AS issue_id, concat('u', CAST(user_id AS STRING)) AS tenant_id, CAST(event_id % 4 AS BIGINT) AS version, CASE WHEN event_type = 'view' THEN 'DISMISSED' ELSE 'OPEN' END AS state, event_type, CAST(event_id % 5 AS STRING) AS kept, user_id
+FROM {events}
+"""
+#: What reviewers of some tenants confirm: stale versions, choices left out, wrong targets, two at once.
+_CHOSEN = """
+SELECT concat(p, CAST(user_id AS STRING)) AS package_id, issue_id, CASE WHEN user_id % 5 = 1 AND issue_id % 7 = 0 THEN version + 1 ELSE version END AS expected_version, CASE WHEN issue_id % 3 = 0 THEN 'DISMISS' ELSE 'APPROVE' END AS action,
+  CASE WHEN user_id % 7 = 2 AND issue_id % 11 = 0 THEN 'none' ELSE kept END AS target, p
+FROM {issues} CROSS JOIN (SELECT 'p' AS p UNION ALL SELECT 'q') x
+WHERE state = 'OPEN' AND user_id % 6 < 4 AND (p = 'p' OR (user_id % 3 = 0 AND issue_id % 2 = 0)) AND NOT (p = 'p' AND user_id % 4 = 3 AND issue_id % 13 = 0)
+"""
+_HASH = "'sha256:' || sha256(concat_ws(chr(10), '=' || event_type, '=' || kept))"
+
+
+@query(f"""
+WITH i AS (SELECT *, {_HASH} AS review_hash FROM ({_ISSUES.replace('{events}', 'events')}) e), c AS ({_CHOSEN.replace('{issues}', 'i')}),
+j AS (SELECT c.*, i.version, i.kept, i.user_id FROM c JOIN i USING (issue_id)),
+t AS (SELECT user_id, count(*) AS n FROM i WHERE state = 'OPEN' GROUP BY user_id),
+p AS (SELECT package_id, p, user_id, CASE WHEN max(CAST(version <> expected_version AS INT)) = 1 OR (p = 'p' AND count(*) < max(n)) THEN 'STALE' WHEN max(CAST(action = 'APPROVE' AND target <> kept AS INT)) = 1 THEN 'TARGET_NOT_A_CANDIDATE' ELSE 'CONFIRMED' END AS outcome FROM j JOIN t USING (user_id) GROUP BY package_id, p, user_id)
+SELECT package_id, CASE WHEN outcome = 'CONFIRMED' AND EXISTS (SELECT 1 FROM p o WHERE o.user_id = p.user_id AND o.p <> p.p AND o.outcome = 'CONFIRMED' AND sha256(o.package_id) < sha256(p.package_id)) THEN 'CONFLICT' ELSE outcome END AS outcome FROM p
+""")
+def review_confirm(spark, sf):
+    """Packages p of all open issues of a tenant by its digest, q of some of them by their hashes."""
+    issues = spark.sql(_ISSUES, events=base(spark, sf, "events")).withColumn("review_hash", governance.review_hash("event_type", "kept")).withColumn("candidates", F.array("kept", F.lit("other")))
+    chosen = spark.sql(_CHOSEN, issues=issues).join(issues.select("issue_id", "review_hash"), "issue_id")
+    choices = chosen.select("package_id", "issue_id", "expected_version", F.when(F.col("p") == "q", F.col("review_hash")).alias("expected_review_hash"), "action", "target", F.lit("seen").alias("reason"))
+    tenant = F.concat(F.lit("u"), F.substring("package_id", 2, 20)).alias("tenant_id")
+    packages = choices.select("package_id").distinct().select("package_id", tenant)
+    packages = packages.join(governance.review_packages(issues), "tenant_id", "left").select("package_id", "tenant_id", F.col("digest").alias("expected_digest"))
+    return governance.confirm_packages(packages, choices, issues)[0].select("package_id", "outcome")
+
+
+@query(f"""
+WITH i AS (SELECT *, {_HASH} AS review_hash, sha256(CAST(issue_id AS STRING)) AS h FROM ({_ISSUES.replace('{events}', 'events')}) e WHERE event_type <> 'view'),
+a AS (SELECT tenant_id, h[1:6] AS g, sha256(string_agg(l, '|' ORDER BY l)) AS d, count(*) AS n FROM (SELECT *, concat_ws('|', CAST(issue_id AS STRING), CAST(version AS STRING), review_hash) AS l FROM i) x GROUP BY ALL),
+b AS (SELECT tenant_id, g[1:4] AS g4, sha256(string_agg(g || ':' || d, '|' ORDER BY g)) AS d, sum(n) AS n FROM a GROUP BY ALL),
+c AS (SELECT tenant_id, g4[1:2] AS g2, sha256(string_agg(g4 || ':' || d, '|' ORDER BY g4)) AS d, sum(n) AS n FROM b GROUP BY ALL)
+SELECT tenant_id, 'sha256:' || sha256(string_agg(g2 || ':' || d, '|' ORDER BY g2)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY tenant_id
+""")
+def review_digest(spark, sf):
+    """The digest of each tenant's open issues, by a tree."""
+    issues = spark.sql(_ISSUES, events=base(spark, sf, "events")).withColumn("review_hash", governance.review_hash("event_type", "kept"))
+    return governance.review_packages(issues)
