@@ -16,6 +16,7 @@ from cairnlake.functions import schema
 from cairnlake.functions.hashing import sha256_ref
 from cairnlake.operators import access, admission, canonical, governance, graph, identity, identity_index, intake, lake, paging, reconcile, relate, revisions, serve, spatial
 from cairnlake.plans import envelopes
+from cairnlake.sources import packs
 from cairnlake.sources.registry import registry, registry_sql
 from cairnlake.sources.scratch import shared_dir, stored
 from cairnlake.streaming.intake import tumbling_activity
@@ -1611,3 +1612,19 @@ def review_digest(spark, sf):
     """The digest of each tenant's open issues, by a tree."""
     issues = spark.sql(_ISSUES, events=base(spark, sf, "events")).withColumn("review_hash", governance.review_hash("event_type", "kept"))
     return governance.review_packages(issues)
+
+
+@query("""
+WITH v AS (SELECT lake_id, d.text, tenant_id, tier, retention_class, label, row_number() OVER (PARTITION BY tenant_id, tier, retention_class, label ORDER BY lake_id) AS j FROM R(LAKE) l JOIN documents d ON d.doc_id = l.doc_id WHERE status = 'VERIFIED'),
+c AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, tier, retention_class, label) AS n FROM v)
+SELECT lake_id, sha256(text) AS content_hash, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM c WHERE n > 1 AND NOT (n % 50 = 1 AND j = n)
+""")
+def lake_packs(spark, sf):
+    """Every verified entry's text, packed fifty by fifty at most and read back from the packs by its range."""
+    texts = base(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    entries = stored(registry(spark, sf, "LAKE").drop("size_bytes").join(texts, "doc_id").withColumn("size_bytes", F.octet_length("content").cast("long")), "entries")
+    plan = stored(lake.compaction_plan(entries, most_inputs=50, most_bytes=1 << 30), "plan")
+    folder = f"{shared_dir(spark)}/packs-{uuid.uuid4().hex}"
+    done = stored(packs.compact(entries, plan, entries, folder).filter("outcome = 'COMPACTED'"), "compacted")
+    back = packs.read_packed(done, folder)
+    return back.select("lake_id", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("long").alias("n_bytes"))
