@@ -36,13 +36,15 @@ def spheroid(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series)
     return pd.Series([G.geodesic(*p) for p in zip(lon1, lat1, lon2, lat2, strict=True)], dtype="float64")
 
 
-def nearby_pairs(anchors: DataFrame, targets: DataFrame, radius: float, distance: str = "sphere") -> DataFrame:
+def nearby_pairs(anchors: DataFrame, targets: DataFrame, radius: float, distance: str = "sphere", most: int | None = None) -> DataFrame:
     """(anchor_id, object_id, distance_m) within the radius, an object not with itself.
 
     Anchors are dealt into the cells around them, of three rows with each row's own columns, and
-    across the date line. Beyond 85 degrees of latitude a row is one cell. distance: sphere (JVM only)
+    across the date line. Beyond 85 degrees of latitude a row is one cell. A cell with over `most`
+    (MOST_IN_CELL, if not given) anchors or targets is split, both ways. distance: sphere (JVM only)
     or spheroid.
     """
+    most = most or MOST_IN_CELL
     if not 0 < radius <= MOST_RADIUS:
         raise ValueError(f"a radius is above 0 and up to {MOST_RADIUS:g} m")
     step = radius / DEGREE * 1.02
@@ -58,7 +60,11 @@ def nearby_pairs(anchors: DataFrame, targets: DataFrame, radius: float, distance
     spans = F.transform(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda s: F.sequence(F.floor((F.col("alon") + 180 - F.col("reach") + s) / F.col("w")), F.floor((F.col("alon") + 180 + F.col("reach") + s) / F.col("w"))))
     cells = F.array_distinct(F.filter(F.flatten(spans), lambda c: c.between(0, F.floor(360 / F.col("w")))))
     a = a.withColumn("cell", F.explode(cells)).drop("w", "reach")
-    pairs = a.join(t, ["row", "cell"]).filter("anchor_id <> object_id")
+    key = ["row", "cell"]
+    # a side of so few rows has no dense cell, so nothing is counted by cell
+    if not anchors.select("object_id").limit(most + 1).count() <= most >= targets.select("object_id").limit(most + 1).count():
+        (a, t), key = _split_cells(a, t, most, key, ["anchor_id"], ["object_id"]), [*key, "_part"]
+    pairs = a.join(t, key).filter("anchor_id <> object_id")
     kind = haversine if distance == "sphere" else spheroid
     out = pairs.select("anchor_id", "object_id", kind(F.col("alon"), F.col("alat"), F.col("tlon"), F.col("tlat")).alias("distance_m"))
     return out.filter(F.col("distance_m") <= radius)
@@ -184,10 +190,9 @@ def clear_cells(wkb: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="object")
 
 
-def _split_cells(cells: DataFrame, other: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def _split_cells(cells: DataFrame, other: DataFrame, most: int, key: Sequence[str], ids: Sequence[str], other_ids: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides with a column _part: a cell with over `most` rows of one side is dealt into parts
     by hash, and the rows of the other side go to each of them."""
-    key = ["_lv", "_cx", "_cy"]
     n = lambda df, c: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).alias(c)).filter(F.col(c) > 1)
     parts = stored(n(cells, "_p").join(n(other, "_q"), key, "full_outer").na.fill(1, ["_p", "_q"]), "cells")
 
@@ -198,7 +203,7 @@ def _split_cells(cells: DataFrame, other: DataFrame, most: int) -> tuple[DataFra
         rows = rows.withColumn("_x", F.explode(all_))
         return rows.withColumn("_part", F.concat_ws("/", *(F.col(f"_x.{c}").cast("string") for c in ("ab" if mine == "_p" else "ba")))).drop("_p", "_q", "_x")
 
-    return deal(cells, "_p", "_q", ["l_object_id", "l_min_x", "l_min_y"]), deal(other, "_q", "_p", ["r_object_id", "r_min_x", "r_min_y"])
+    return deal(cells, "_p", "_q", ids), deal(other, "_q", "_p", other_ids)
 
 
 def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> DataFrame:
@@ -242,7 +247,7 @@ def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> Da
         both = {large: dealt(large, F.array(f"{large}_level")), small: dealt(small, over)}
         l, r, key = both["l"], both["r"], ["_lv", "_cx", "_cy"]
         if max(sum(sizes["l"].values()), sum(sizes["r"].values())) > most:
-            (l, r), key = _split_cells(l, r, most), [*key, "_part"]
+            (l, r), key = _split_cells(l, r, most, key, ["l_object_id", "l_min_x", "l_min_y"], ["r_object_id", "r_min_x", "r_min_y"]), [*key, "_part"]
         pairs = l.join(r, key)
         for axis in ("x", "y"):
             pairs = pairs.filter((F.col(f"l_min_{axis}") <= F.col(f"r_max_{axis}")) & (F.col(f"r_min_{axis}") <= F.col(f"l_max_{axis}")))

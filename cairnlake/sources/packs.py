@@ -1,6 +1,6 @@
 """Packs of lake objects: written by a compaction's plan, read by ranges; shadow copies put in place.
 
-folder/pack-<bin_id>.bin holds a bin's contents one after the other; folder/_manifest lists the packs
+folder/pack-<bin_id>.bin holds a bin's contents one after the other; folder/manifest lists the packs
 and is written last. A task that runs again writes the same bytes under the same name, by a name of its
 own first, so a lost executor leaves no half pack that a reader could take for a whole one.
 """
@@ -56,8 +56,8 @@ def write_packs(plan: DataFrame, contents: DataFrame, folder: str) -> DataFrame:
             yield close()
 
     spark = plan.sparkSession
-    rows.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
+    rows.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read_packed(entries: DataFrame, folder: str, most_open: int = 16 << 20) -> DataFrame:

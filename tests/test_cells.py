@@ -97,3 +97,13 @@ def test_clear_cells():
         for x0, y0, x1, y1, inside in cells:
             spots = [(rng.uniform(x0, x1), rng.uniform(y0, y1)) for _ in range(5)] + [(x0, y0), (x1, y1)]
             assert {G.locate(p, polys[0]) for p in spots} == {1 if inside else -1}
+
+
+def test_dense_place(spark):
+    """A fifth of all points in one spot: the same pairs, however the cell is split."""
+    rng = random.Random(8)
+    rows = [(f"p{i}", 13.6 + rng.uniform(0, 0.0005), 45.6 + rng.uniform(0, 0.0005)) if i % 5 == 0 else (f"p{i}", 13.6 + rng.uniform(-0.05, 0.05), 45.6 + rng.uniform(-0.05, 0.05)) for i in range(400)]
+    df = spark.createDataFrame([*rows, ("none", None, 1.0)], "object_id string, lon double, lat double")
+    whole = sorted(map(tuple, spatial.nearby_pairs(df, df, 300.0).collect()))
+    parts = sorted(map(tuple, spatial.nearby_pairs(df.filter("object_id > 'p3'"), df, 300.0, most=15).collect()))
+    assert parts == [r for r in whole if r[0] > "p3"] and len(whole) > 80 * 79

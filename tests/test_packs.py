@@ -29,7 +29,7 @@ def test_packs(spark, made, tmp_path):
     assert {r.lake_id for r in out} == set(data) - {"huge", "alone"} and {r.outcome for r in out} == {"COMPACTED"}
     for r in out:
         assert (tmp_path / "a" / r.pack).read_bytes()[r.logical_offset : r.logical_offset + r.size_bytes] == data[r.lake_id]
-    manifest = spark.read.parquet(f"{tmp_path}/a/_manifest").collect()
+    manifest = spark.read.parquet(f"{tmp_path}/a/manifest").collect()
     assert all(sha((tmp_path / "a" / m.pack).read_bytes()) == m.pack_hash and m.bytes <= 5000 and m.entries <= 20 for m in manifest)
     again = packs.write_packs(plan, contents(spark, data), f"file://{tmp_path}/b").collect()
     assert sorted(again) == sorted(manifest)
