@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.sources.scratch import stored
+
 from .access import checked_iris, label_filter
 
 MOST_HITS, MOST_TYPES, MOST_RELATIONS, MOST_DEPTH = 200, 10, 20, 4
@@ -65,18 +67,21 @@ def traverse(objects: DataFrame, edges: DataFrame, starts: DataFrame, relations:
     """Simple outward paths of 1 to depth edges from each start: (start_id, depth, relationship_id,
     source_id, relation, target_id, path). An edge appears once for each path that ends with it.
 
-    Unrolled into one equi-join a level; the path array, at most depth + 1 long, stops cycles.
+    One equi-join a level, each on the stored level before, so none is walked twice; the path
+    array, at most depth + 1 long, stops cycles.
     """
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth is 1 to {MOST_DEPTH}")
     seen = label_filter(edges.filter(F.col("relation").isin(checked_iris(relations, MOST_RELATIONS)) & (F.col("status") == "ACTIVE")), scope.labels)
     own = objects.filter(F.col("tenant_id") == scope.tenant).select(F.col("object_id").alias("target_id"))
     seen = seen.join(own, "target_id", "left_semi").select("relationship_id", "source_id", "relation", "target_id")
+    seen = stored(seen, "edges") if depth > 1 else seen
     ends = starts.select(F.col("object_id").alias("start_id"), F.col("object_id").alias("source_id"), F.array("object_id").alias("path"))
     levels = []
     for d in range(1, depth + 1):
         step = ends.join(seen, "source_id").filter(~F.array_contains("path", F.col("target_id")))
         step = step.select("start_id", F.lit(d).alias("depth"), "relationship_id", "source_id", "relation", "target_id", F.array_append("path", F.col("target_id")).alias("path"))
+        step = stored(step, "paths") if d < depth else step
         levels.append(step)
         ends = step.select("start_id", F.col("target_id").alias("source_id"), "path")
     out = levels[0]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.sources.scratch import stored
+
 MOST_LINEAGE = 200
 
 
@@ -51,9 +53,26 @@ def coverage(tokens: DataFrame, key: str, fingerprint: str) -> DataFrame:
 
 
 def percentiles(samples: DataFrame, by: str, value: str, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
-    """Per group the number of samples, their greatest, and nearest-rank percentiles p50, p95 ..."""
-    ranks = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(100 * s)}") for s in shares]
-    return samples.groupBy(by).agg(F.count(value).alias("n"), *ranks, F.max(value).alias("most"))
+    """Per group the number of samples, their greatest, and nearest-rank percentiles p50, p95 ...
+
+    Distinct values are counted, ordered over all tasks, and ranked by what lies in the tasks before,
+    so a group of any size is spread over them. Null samples don't count; a null group is a group."""
+    counted = samples.groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(F.count(value).alias("_n"))
+    placed = stored(counted.repartitionByRange("_g", "_v").withColumn("_part", F.spark_partition_id()), "percentiles")
+    sums = placed.groupBy("_g", "_part").agg(F.sum("_n").alias("_m"), F.max("_v").alias("_top"))  # a row for each group of a task
+    group = Window.partitionBy("_g")
+    sums = sums.select("*", F.sum("_m").over(group).alias("n"), F.max("_top").over(group).alias("most"), (F.sum("_m").over(group.orderBy("_part")) - F.col("_m")).alias("_before"))
+    sums = sums.select(F.col("_g").alias("_group"), F.col("_part").alias("_at"), "_m", "_before", "n", "most")
+    ranks = {f"p{round(100 * s)}": F.greatest(F.lit(1), F.ceil(F.lit(s) * F.col("n"))) for s in shares}
+    holds = F.lit(False)
+    for r in ranks.values():
+        holds = holds | (r > F.col("_before")) & (r <= F.col("_before") + F.col("_m"))
+    # only where a rank lies are values looked at
+    near = placed.join(sums.filter(holds), F.col("_g").eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")))
+    near = near.withColumn("_end", F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_part").orderBy("_v")))
+    found = near.groupBy("_g").agg(*[F.max(F.when((r <= F.col("_end")) & (r > F.col("_end") - F.col("_n")), F.col("_v"))).alias(p) for p, r in ranks.items()])
+    totals = sums.groupBy("_group").agg(F.max("n").alias("n"), F.max("most").alias("most"))
+    return totals.join(found, F.col("_group").eqNullSafe(F.col("_g")), "left").select(F.col("_group").alias(by), "n", *ranks, "most")
 
 
 def parked(rows: DataFrame, now: Column, before: Column | None = None) -> DataFrame:

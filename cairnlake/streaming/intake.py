@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairnlake.operators.intake import classify, contract_violations
@@ -77,6 +77,73 @@ def guard_stream(log: DataFrame, threshold: int = 3, seconds: int = 900, latenes
     return log.withWatermark("at", lateness).groupBy("key").applyInPandasWithState(step, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Budget(StatefulProcessor):
+    """One key's budget entry, and its requests that the watermark hasn't passed yet."""
+
+    def __init__(self, names: tuple[str, ...], ceilings: tuple[float, ...], seconds: int):
+        self.names, self.ceilings, self.length = names, ceilings, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        amounts = "".join(f", {n} double" for n in self.names)
+        self.handle = handle
+        self.entry = handle.getValueState("entry", f"until long{amounts}")
+        self.waiting = handle.getListState("waiting", f"t long, request_id long{amounts}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            t = part["at"].astype("datetime64[us]").astype("int64")
+            first = int(t.min()) if first is None else min(first, int(t.min()))
+            self.waiting.appendList(list(zip(t.tolist(), part["request_id"].tolist(), *(part[n].astype("float64").tolist() for n in self.names), strict=True)))
+        self.handle.registerTimer(max(-(-first // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ready = [r for r in rows if r[0] <= now * 1000]
+        rest = rows[len(ready) :]
+        until, *used = self.entry.get() if self.entry.exists() else (None, *(0.0 for _ in self.names))
+        out = []
+        for t, request, *amounts in ready:
+            fresh = until is None or t >= until
+            sums = amounts if fresh else [u + a for u, a in zip(used, amounts, strict=True)]
+            admitted = fresh or all(s <= c for s, c in zip(sums, self.ceilings, strict=True))
+            if fresh:
+                until = t + self.length
+            if admitted:
+                used = sums
+            out.append((key[0], pd.Timestamp(t, unit="us"), request, admitted))
+        self.waiting.clear()
+        if until is None or until <= now * 1000 and not rest:
+            self.entry.clear()  # whatever comes starts anew
+        else:
+            self.entry.update((until, *used))
+        if rest:
+            self.waiting.put(rest)
+        if rest or until is not None and until > now * 1000:
+            self.handle.registerTimer(max(-(-(rest[0][0] if rest else until) // 1000), now + 1))
+        yield pd.DataFrame(out, columns=["key", "at", "request_id", "admitted"])
+
+    def close(self) -> None:
+        pass
+
+
+def budget_stream(log: DataFrame, amounts: Mapping[str, str], ceilings: Mapping[str, float], seconds: int = 900, lateness: str = "1 minute") -> DataFrame:
+    """admission.admit() for a stream log(key, at, request_id, amounts): key, at, request_id, admitted.
+
+    Requests may come in any order within the lateness: they wait in the key's state until the
+    watermark has passed them and are then decided in order of (at, request_id), so the outcome is
+    the batch's. An entry goes from the state when its time is over; later arrivals than the
+    watermark allows are left out, as are requests without a time. The session needs a state store of RocksDB
+    (spark.sql.streaming.stateStore.providerClass).
+    """
+    names = tuple(amounts)
+    rows = log.filter("at IS NOT NULL").select(F.col("key").cast("string").alias("key"), "at", F.col("request_id").cast("long").alias("request_id"), *[F.col(amounts[n]).cast("double").alias(n) for n in names])
+    step = _Budget(names, tuple(float(ceilings[n]) for n in names), seconds)
+    return rows.withWatermark("at", lateness).groupBy("key").transformWithStateInPandas(step, "key string, at timestamp, request_id long, admitted boolean", "append", "eventTime")
+
+
 def release_parked(state: Versions, batch: DataFrame, now: datetime, version: int) -> None:
     """Observations whose validity begins later wait; each tick writes what became due, the
     batch's own and the waiting ones', and keeps the rest for the next."""
