@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import schema
 from cairnlake.functions.hashing import sha256_ref
-from cairnlake.operators import access, admission, canonical, governance, graph, identity, identity_index, intake, lake, paging, reconcile, relate, revisions, serve, spatial
+from cairnlake.operators import access, admission, canonical, governance, graph, identity, identity_index, intake, lake, paging, reconcile, relate, replay, revisions, serve, spatial
 from cairnlake.plans import envelopes
 from cairnlake.sources import packs
 from cairnlake.sources.registry import registry, registry_sql
@@ -1628,3 +1628,88 @@ def lake_packs(spark, sf):
     done = stored(packs.compact(entries, plan, entries, folder).filter("outcome = 'COMPACTED'"), "compacted")
     back = packs.read_packed(done, folder)
     return back.select("lake_id", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+# --- replay plans and recovery ---
+
+_REPLAY_HANDOFFS = """SELECT CAST(event_id AS STRING) AS handoff_id, concat('c', event_id) AS content_hash, concat('r', event_id) AS raw_id, array(named_struct('kind', 'BUNDLE', 'ref', concat('b', event_id % 5)), named_struct('kind', 'MAPPING', 'ref', concat('m', event_id % 7))) AS refs, event_id FROM {events}"""
+_REPLAY_RAWS = "SELECT concat('r', event_id) AS raw_id, concat('t', event_id % 2) AS tenant_id, 'RAW' AS tier, CASE event_id % 9 WHEN 0 THEN 'STAGED' ELSE 'VERIFIED' END AS state, CASE event_id % 11 WHEN 0 THEN 'other' ELSE concat('c', event_id) END AS content_hash, 10L AS size_bytes FROM {events}"
+_REPLAY_REQUESTS = "SELECT concat('p', event_id) AS plan_id, concat('t', event_id % 2) AS tenant_id, CAST(event_id AS STRING) AS source_handoff_id, CASE WHEN event_id % 13 <> 0 THEN 'audit' END AS reason FROM {events}"
+_REPLAY_COMMANDS = """SELECT concat('p', event_id) AS plan_id, concat('t', event_id % 2) AS tenant_id, x.* FROM {events} LATERAL VIEW inline(filter(array(
+  named_struct('seq', 1, 'command', 'RESUME', 'expected_version', 0L, 'reason', CAST(NULL AS STRING), 'on', event_id % 3 = 0),
+  named_struct('seq', 2, 'command', 'EXECUTE', 'expected_version', event_id % 2, 'reason', CAST(NULL AS STRING), 'on', true),
+  named_struct('seq', 3, 'command', 'ABORT', 'expected_version', 1L, 'reason', CASE WHEN event_id % 4 <> 0 THEN 'enough' END, 'on', event_id % 5 = 0)), e -> e.on)) x AS seq, command, expected_version, reason, on"""
+
+
+def _replay_refs(handoffs: DataFrame, anew: str, gone: str) -> DataFrame:
+    """What is published of the references in use: one in a new version, one revoked."""
+    refs = handoffs.select(F.explode("refs").alias("r")).select("r.kind", "r.ref").distinct()
+    return refs.select("kind", "ref", F.when(F.col("ref") == anew, "2").otherwise("1").alias("version"), F.lit("h").alias("content_hash"), F.when(F.col("ref") == gone, "REVOKED").otherwise("AVAILABLE").alias("status"))
+
+
+@query("""
+WITH v AS (
+  SELECT event_id AS k, event_id % 5 AS b, event_id % 7 AS m, m <> 3 AS ready_a, b <> 4 AS ready_b,
+    'BUNDLE' || chr(10) || 'b' || b || chr(10) || '1' || chr(10) || 'h' || chr(10) || 'MAPPING' || chr(10) || 'm' || m || chr(10) AS head,
+    'sha256:' || sha256(head || '1' || chr(10) || 'h') AS hash_a, 'sha256:' || sha256(head || CASE WHEN m = 5 THEN '2' ELSE '1' END || chr(10) || 'h') AS hash_b
+  FROM events WHERE event_id % 9 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0
+), s0 AS (
+  SELECT *, CASE WHEN ready_a THEN 'READY' ELSE 'PAUSED' END AS state, 0 AS version, CASE WHEN ready_a THEN hash_a END AS pin, CASE WHEN ready_a THEN 0 ELSE 1 END AS gone FROM v
+), o1 AS (
+  SELECT *, CASE WHEN k % 3 <> 0 THEN NULL WHEN state <> 'PAUSED' THEN 'VERSION_CONFLICT' WHEN ready_b THEN 'REPRODUCE_RESUMED' ELSE 'REPRODUCE_RECHECK_FAILED' END AS a FROM s0
+), s1 AS (
+  SELECT * REPLACE (CASE WHEN a = 'REPRODUCE_RESUMED' THEN 'READY' ELSE state END AS state, CASE WHEN a = 'REPRODUCE_RESUMED' THEN 1 ELSE 0 END AS version, CASE WHEN a = 'REPRODUCE_RESUMED' THEN hash_b ELSE pin END AS pin, CASE WHEN a = 'REPRODUCE_RESUMED' THEN 0 ELSE gone END AS gone) FROM o1
+), o2 AS (
+  SELECT *, CASE WHEN state <> 'READY' OR version <> k % 2 THEN 'VERSION_CONFLICT' WHEN ready_b AND pin = hash_b THEN 'REPRODUCE_EXECUTED' ELSE 'REPRODUCE_PAUSED' END AS e FROM s1
+), s2 AS (
+  SELECT * REPLACE (CASE e WHEN 'REPRODUCE_EXECUTED' THEN 'SUCCEEDED' WHEN 'REPRODUCE_PAUSED' THEN 'PAUSED' ELSE state END AS state, CASE WHEN e <> 'VERSION_CONFLICT' THEN version + 1 ELSE version END AS version, CASE WHEN e <> 'REPRODUCE_PAUSED' THEN pin END AS pin, CASE WHEN e = 'REPRODUCE_PAUSED' THEN 1 ELSE gone END AS gone) FROM o2
+), o3 AS (
+  SELECT *, CASE WHEN k % 5 <> 0 THEN NULL WHEN k % 4 = 0 THEN 'REASON_REQUIRED' WHEN state IN ('READY', 'PAUSED') AND version = 1 THEN 'REPRODUCE_ABORTED' ELSE 'VERSION_CONFLICT' END AS x FROM s2
+)
+SELECT 'p' || k AS plan_id, CASE WHEN x = 'REPRODUCE_ABORTED' THEN 'ABORTED' ELSE state END AS state, CAST(CASE WHEN x = 'REPRODUCE_ABORTED' THEN version + 1 ELSE version END AS BIGINT) AS version,
+  pin AS baseline_hash, CAST(gone AS INT) AS n_missing, concat_ws(',', a, e, x) AS outcomes, CASE WHEN state = 'SUCCEEDED' THEN 'replay-p' || k END AS replay_handoff_id FROM o3
+""")
+def replay_steps(spark, sf):
+    """A plan for every handoff, and up to three commands of each carried out after publications changed."""
+    events = base(spark, sf, "events")
+    handoffs, raws = spark.sql(_REPLAY_HANDOFFS, events=events), spark.sql(_REPLAY_RAWS, events=events)
+    plans = replay.plan_replays(spark.sql(_REPLAY_REQUESTS, events=events), handoffs, raws, _replay_refs(handoffs, "", "m3"))
+    plans = stored(plans.filter("state IS NOT NULL").drop("outcome"), "replay-plans")
+    out = replay.step_replays(plans, spark.sql(_REPLAY_COMMANDS, events=events).drop("on"), handoffs, raws, _replay_refs(handoffs, "m5", "b4"))
+    return out.select("plan_id", "state", "version", "baseline_hash", F.size("missing").alias("n_missing"), F.array_join("said.outcome", ",").alias("outcomes"), "replay_handoff_id")
+
+
+_OUTAGES = "SELECT user_id AS job_id, {ms} AS at_ms, {ms} - event_id % 1000 AS claimed_ms, CASE WHEN event_id % 17 = 0 THEN 'OK' WHEN event_id % 23 = 0 THEN 'CONTRACT_INVALID' ELSE 'UNAVAILABLE' END AS outcome, CASE WHEN event_id % 3 = 0 THEN {ms} + 3600000 END AS not_before_ms FROM {events}"
+
+
+@query(f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at_ms, claimed_ms, outcome, not_before_ms NULLS FIRST) AS i FROM ({_OUTAGES.replace('{ms}', '(epoch_us(ts) // 1000)').replace('{events}', 'events')}) a),
+w AS (
+  SELECT DISTINCT user_id AS job_id, 0::BIGINT AS i, 'RUNNING' AS state, NULL::BIGINT AS started, 0::BIGINT AS n, 0::BIGINT AS total, NULL::BIGINT AS due, NULL::VARCHAR AS code FROM events
+  UNION ALL
+  SELECT job_id, i,
+    CASE act WHEN 'none' THEN state WHEN 'ok' THEN 'SUCCEEDED' WHEN 'wait' THEN 'PAUSED' ELSE 'QUARANTINED' END,
+    CASE act WHEN 'ok' THEN NULL WHEN 'wait' THEN began WHEN 'late' THEN began ELSE started END,
+    CASE WHEN act = 'ok' THEN 0 WHEN act IN ('wait', 'late') OR act = 'other' AND started IS NOT NULL THEN n1 ELSE n END,
+    CASE WHEN act IN ('wait', 'late') OR act IN ('ok', 'other') AND started IS NOT NULL THEN total + 1 ELSE total END,
+    CASE act WHEN 'none' THEN due WHEN 'wait' THEN due1 END,
+    CASE act WHEN 'none' THEN code WHEN 'wait' THEN 'DEPENDENCY_UNAVAILABLE' WHEN 'other' THEN outcome WHEN 'ok' THEN NULL ELSE 'RETRY_EXHAUSTED' END
+  FROM (
+    SELECT *, CASE WHEN state IN ('QUARANTINED', 'SUCCEEDED') THEN 'none' WHEN started IS NOT NULL AND (n >= 6 OR at_ms >= started + 432000000) THEN 'spent' WHEN outcome = 'OK' THEN 'ok'
+      WHEN outcome <> 'UNAVAILABLE' THEN 'other' WHEN n1 >= 6 OR due1 >= began + 432000000 THEN 'late' ELSE 'wait' END AS act
+    FROM (
+      SELECT *, greatest(at_ms + CAST(floor([5000, 15000, 60000, 300000, 900000][least(n1, 5)] * (0.8::DOUBLE + CAST('0x' || substr(sha256(job_id || '|' || n1), 1, 3) AS BIGINT)::DOUBLE / 4095 * 0.4::DOUBLE)) AS BIGINT), not_before_ms) AS due1
+      FROM (SELECT w.job_id, t.i, w.state, w.started, w.n, w.total, w.due, w.code, t.at_ms, t.outcome, t.not_before_ms, CASE WHEN w.started IS NULL THEN 1 ELSE w.n + 1 END AS n1, coalesce(w.started, t.claimed_ms) AS began FROM w JOIN t ON t.job_id = w.job_id AND t.i = w.i + 1) x
+    ) y
+  ) z
+)
+SELECT job_id, state, started AS started_ms, n AS attempts, total AS cumulative, due AS due_ms, code AS failure_code FROM w QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1
+""", recursive=True)
+def dependency_recovery(spark, sf):
+    """Every user's job after its attempts, of six an episode and five days at most."""
+    events = base(spark, sf, "events")
+    null = lambda t: F.lit(None).cast(t)
+    zero = F.lit(0).cast("long")
+    jobs = events.select(F.col("user_id").alias("job_id")).distinct().select("job_id", F.lit("RUNNING").alias("state"), null("long").alias("started_ms"), zero.alias("attempts"), zero.alias("cumulative"), null("long").alias("due_ms"), null("string").alias("failure_code"))
+    ms = "unix_millis(CAST(ts AS TIMESTAMP))"
+    return replay.recover(jobs, spark.sql(_OUTAGES.replace("{ms}", ms), events=events), 6, 5 * 86_400_000)
