@@ -69,9 +69,16 @@ def test_steps():
             assert next((e for u, e in zip(upto, exits) if u >= until), until) == end
 
 
-def test_budget_stream(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_budget_stream(spark, rocks, tmp_path):
     """Files of shuffled requests, one run each, give what a loop in order gives; entries leave the state."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows, ceilings, seconds = made(11, 120, 1200, ("a", "b")), {"calls": 5, "nodes": 9}, 60
     want = plainly(rows, ["calls", "nodes"], ceilings, seconds)
     late = random.Random(3)
