@@ -44,16 +44,24 @@ def nearby_pairs(anchors: DataFrame, targets: DataFrame, radius: float, distance
     (MOST_IN_CELL, if not given) anchors or targets is split, both ways. distance: sphere (JVM only)
     or spheroid.
     """
-    most = most or MOST_IN_CELL
+    t = targets.filter("lon IS NOT NULL AND lat IS NOT NULL").select("object_id", F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
+    a = anchors.filter("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("object_id").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
+    pairs = _close(a, t, radius, most or MOST_IN_CELL).filter("anchor_id <> object_id")
+    return _measured(pairs, radius, distance).select("anchor_id", "object_id", "distance_m")
+
+
+def _close(a: DataFrame, t: DataFrame, radius: float, most: int) -> DataFrame:
+    """Each row of a(alon, alat, ...) beside the rows of t(tlon, tlat, ...) that share a cell with it:
+    all within the radius, and some beyond."""
     if not 0 < radius <= MOST_RADIUS:
         raise ValueError(f"a radius is above 0 and up to {MOST_RADIUS:g} m")
+    few = a.select("alon").limit(most + 1).count() <= most >= t.select("tlon").limit(most + 1).count()
+    a_ids, t_ids = a.columns, [c for c in t.columns if c != "ids"]
     step = radius / DEGREE * 1.02
     # a column's width in a row: by the row's latitude farthest from the equator
     width = lambda row: F.when(F.greatest(F.abs(row), F.abs(row + 1)) * step > 85, F.lit(360.0)).otherwise(step / F.cos(F.radians(F.greatest(F.abs(row), F.abs(row + 1)) * step)))
     cell = lambda lon, row: F.floor(F.pmod(lon + 180, F.lit(360.0)) / width(row))
-    t = targets.filter("lon IS NOT NULL AND lat IS NOT NULL").select("object_id", F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
     t = t.withColumn("row", F.floor(F.col("tlat") / step)).withColumn("cell", cell(F.col("tlon"), F.col("row")))
-    a = anchors.filter("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("object_id").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
     a = a.withColumn("row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("alat") / step) + d)))
     reach = F.when(F.abs(F.col("alat")) + step > 85, F.lit(180.0)).otherwise(step / F.cos(F.radians(F.least(F.abs(F.col("alat")) + step, F.lit(85.0)))))
     a = a.withColumn("w", width(F.col("row"))).withColumn("reach", reach)
@@ -62,20 +70,49 @@ def nearby_pairs(anchors: DataFrame, targets: DataFrame, radius: float, distance
     a = a.withColumn("cell", F.explode(cells)).drop("w", "reach")
     key = ["row", "cell"]
     # a side of so few rows has no dense cell, so nothing is counted by cell
-    if not anchors.select("object_id").limit(most + 1).count() <= most >= targets.select("object_id").limit(most + 1).count():
-        (a, t), key = _split_cells(a, t, most, key, ["anchor_id"], ["object_id"]), [*key, "_part"]
-    pairs = a.join(t, key).filter("anchor_id <> object_id")
-    kind = haversine if distance == "sphere" else spheroid
-    out = pairs.select("anchor_id", "object_id", kind(F.col("alon"), F.col("alat"), F.col("tlon"), F.col("tlat")).alias("distance_m"))
-    return out.filter(F.col("distance_m") <= radius)
+    if not few:
+        (a, t), key = _split_cells(a, t, most, key, a_ids, t_ids), [*key, "_part"]
+    return a.join(t, key)
+
+
+def _measured(pairs: DataFrame, radius: float, distance: str) -> DataFrame:
+    """pairs with distance_m, up to the radius. The sphere's distance is within 0.6 % of the
+    spheroid's, so geodesics are solved for few pairs beyond the radius only."""
+    here = [F.col(c) for c in ("alon", "alat", "tlon", "tlat")]
+    if distance != "sphere":
+        pairs = pairs.filter(haversine(*here) <= radius * 1.01)
+    return pairs.withColumn("distance_m", (haversine if distance == "sphere" else spheroid)(*here)).filter(F.col("distance_m") <= radius)
+
+
+def nearest_pairs(anchors: DataFrame, targets: DataFrame, radius: float, k: int, distance: str = "sphere", digits: int | None = None, most: int | None = None) -> DataFrame:
+    """Of nearby_pairs() each anchor's k nearest, by distance (rounded to `digits`, if given) and
+    id, with rank.
+
+    Pairs are made between places. Of the targets at one place only the k + 1 least ids can be
+    among the nearest (one may be the anchor), and anchors at one place share their nearest, so
+    neither copies of targets nor of anchors make pairs. An id is at one place.
+    """
+    top = lambda df, n, by, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+    here, there = ["alon", "alat"], ["tlon", "tlat"]
+    t = targets.filter("lon IS NOT NULL AND lat IS NOT NULL AND object_id IS NOT NULL").select("object_id", F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
+    t = stored(top(t, k + 1, there, "object_id").groupBy(*there).agg(F.sort_array(F.collect_list("object_id")).alias("ids")), "places")
+    a = anchors.filter("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("object_id").alias("anchor_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
+    places = stored(a.select(*here).distinct(), "places")
+    pairs = _measured(_close(places, t, radius, most or MOST_IN_CELL), radius, distance)
+    if digits is not None:
+        pairs = pairs.withColumn("distance_m", F.round("distance_m", digits))
+    # k + 1 nearer rows, one of each nearer place, leave no room for a farther place
+    pairs = top(pairs, k + 1, here, "distance_m", F.col("ids")[0])
+    rows = top(pairs.select(*here, "distance_m", F.explode("ids").alias("object_id")), k + 1, here, "distance_m", "object_id")
+    out = a.join(rows, here).filter("anchor_id <> object_id").select("anchor_id", "object_id", "distance_m")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("anchor_id").orderBy("distance_m", "object_id"))).filter(F.col("rank") <= k)
 
 
 def nearby(anchors: DataFrame, targets: DataFrame, radius: float, k: int, distance: str = "sphere") -> DataFrame:
     """Each anchor's k nearest within the radius, by distance and id, with rank."""
     if not 1 <= k <= MOST_HITS:
         raise ValueError(f"1 to {MOST_HITS} hits can be asked for")
-    w = Window.partitionBy("anchor_id").orderBy("distance_m", "object_id")
-    return nearby_pairs(anchors, targets, radius, distance).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return nearest_pairs(anchors, targets, radius, k, distance)
 
 
 def envelope_km2(min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> float:
