@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.sources.scratch import stored
+
 #: Allowed transitions of a catalogue entry (fixed values).
 TRANSITIONS = {
     "STAGED": ("DURABLE", "FAILED"),
@@ -19,7 +23,7 @@ TRANSITIONS = {
     "DELETION_PENDING": ("DELETED", "VERIFIED"),
 }
 IDENTITY = ("tenant_id", "source_id", "type_code", "tier", "content_hash", "media_type", "size_bytes", "retention_class", "label", "created_at")
-#: Entries of one boundary that a task packs, about.
+#: Entries that a task packs, about.
 PACKED_ENTRIES = 50_000
 MOST_INPUTS, MOST_BYTES = 100, 64 << 20
 
@@ -103,36 +107,63 @@ def compaction_plan(catalogue: DataFrame, boundary: Sequence[str] = ("tenant_id"
     reason why they are in none: TOO_LARGE (over most_bytes alone) or SINGLE_INPUT.
 
     In id order an entry joins its boundary's open bin if that stays within most_bytes and
-    most_inputs, and else opens the next; a bin of one entry isn't packed. A boundary of over
-    `packed` entries is dealt by hash of the id into parts of about so many, so no boundary
-    value, however common, lands in one task.
+    most_inputs, and else opens the next; a bin of one entry isn't packed. The order is cut into
+    blocks of about `packed` entries. Where a block's first new bin begins decides the rest of it,
+    and that is among its first most_inputs entries, so each block tells for each of these how its
+    last bin ends; only that passes through one task a boundary, then the blocks are packed apart.
     """
     own = list(boundary)
-    rows = catalogue.filter(F.col("status") == "VERIFIED").select("lake_id", *own, "size_bytes")
     named = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in own])
-    parts = rows.groupBy(named.alias("_k")).agg(F.ceil(F.count(F.lit(1)) / packed).alias("_parts"))
-    rows = rows.withColumn("_k", named).join(parts, "_k").withColumn("_part", F.pmod(F.xxhash64("lake_id"), F.col("_parts")))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("lake_id", kind="stable")
-        bins, positions, offsets, held, n, no = [], [], [], 0, 0, 0
-        for size in part["size_bytes"]:
-            if size > most_bytes:
-                bins.append(-1), positions.append(0), offsets.append(0)
-                continue
+    rows = catalogue.filter(F.col("status") == "VERIFIED").select("lake_id", named.alias("_k"), F.col("size_bytes").cast("long").alias("size_bytes"))
+    fits = rows.filter(F.col("size_bytes") <= most_bytes)
+    blocks = max(1, math.ceil(fits.count() / packed))
+    fits = stored(fits.repartitionByRange(blocks, "_k", "lake_id").withColumn("_block", F.spark_partition_id()), "blocks")
+
+    def ends(block: pd.DataFrame) -> pd.DataFrame:
+        sizes = block.sort_values("lake_id", kind="stable")["size_bytes"].to_numpy()
+        n, sums = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+        after = np.minimum(np.searchsorted(sums, sums[:-1] + most_bytes, side="right") - 1, np.arange(n) + most_inputs)
+        last, opened = np.arange(n), np.ones(n, "int64")
+        for i in range(n - 1, -1, -1):
+            if after[i] < n:
+                last[i], opened[i] = last[after[i]], opened[after[i]] + 1
+        head = min(most_inputs, n)
+        lists = [x.tolist() for x in (sizes[:head], opened[:head], sums[n] - sums[last[:head]], n - last[:head])]
+        return pd.DataFrame([(block["_k"].iloc[0], block["_block"].iloc[0], n, *lists)], columns=["_k", "_block", "n", "sizes", "opened", "held", "inputs"])
+
+    def carry(found: pd.DataFrame) -> pd.DataFrame:
+        out, no, held, inputs = [], 0, 0, 0
+        for b in found.sort_values("_block").itertuples(index=False):
+            out.append((b[0], b[1], no, held, inputs))
+            for i, size in enumerate(b.sizes):
+                if not inputs or held + size > most_bytes or inputs == most_inputs:
+                    no, held, inputs = no + (inputs > 0) + b.opened[i] - 1, b.held[i], b.inputs[i]
+                    break
+                held, inputs = held + size, inputs + 1
+        return pd.DataFrame(out, columns=["_k", "_block", "_no", "_held", "_inputs"])
+
+    def pack(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("lake_id", kind="stable")
+        no, held, n = (int(block[c].iloc[0]) for c in ("_no", "_held", "_inputs"))
+        bins, positions, offsets = [], [], []
+        for size in block["size_bytes"]:
             if n and (held + size > most_bytes or n == most_inputs):
                 held, n, no = 0, 0, no + 1
             bins.append(no), positions.append(n + 1), offsets.append(held)
             held, n = held + size, n + 1
-        part = part[["lake_id", "_k", "_part"]].assign(bin_no=bins, position=positions, logical_offset=offsets)
-        part["inputs"] = part.groupby("bin_no")["lake_id"].transform("size")
-        return part
-
-    done = rows.groupBy("_k", "_part").applyInPandas(pack, "lake_id string, _k string, _part long, bin_no long, position long, logical_offset long, inputs long")
-    reason = F.when(F.col("bin_no") < 0, "TOO_LARGE").when(F.col("inputs") < 2, "SINGLE_INPUT")
-    in_bin = lambda c: F.when(reason.isNull(), c)
-    bin_id = F.md5(F.concat_ws("|", "_k", F.col("_part").cast("string"), F.col("bin_no").cast("string")))
-    return done.select("lake_id", in_bin(bin_id).alias("bin_id"), in_bin(F.col("position")).alias("position"), in_bin(F.col("logical_offset")).alias("logical_offset"), reason.alias("reason"))
+        return block[["lake_id", "_k"]].assign(bin_no=bins, position=positions, logical_offset=offsets)
+
+    at = fits.groupBy("_k", "_block").applyInPandas(ends, "_k string, _block int, n long, sizes array<long>, opened array<long>, held array<long>, inputs array<long>")
+    start = at.groupBy("_k").applyInPandas(carry, "_k string, _block int, _no long, _held long, _inputs long")
+    done = fits.join(start, ["_k", "_block"]).groupBy("_k", "_block").applyInPandas(pack, "lake_id string, _k string, bin_no long, position long, logical_offset long")
+    inputs = F.count(F.lit(1)).over(Window.partitionBy("_k", "bin_no"))
+    done = done.withColumn("reason", F.when(inputs < 2, "SINGLE_INPUT"))
+    in_bin = lambda c: F.when(F.col("reason").isNull(), c)
+    bin_id = F.md5(F.concat_ws("|", "_k", F.lit("0"), F.col("bin_no").cast("string")))
+    out = done.select("lake_id", in_bin(bin_id).alias("bin_id"), in_bin(F.col("position")).alias("position"), in_bin(F.col("logical_offset")).alias("logical_offset"), "reason")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("bin_id", "string"), ("position", "long"), ("logical_offset", "long"))]
+    rest = rows.filter(F.coalesce(F.col("size_bytes") > most_bytes, F.lit(True)))
+    return out.unionByName(rest.select("lake_id", *none, F.when(F.col("size_bytes") > most_bytes, "TOO_LARGE").alias("reason")))
 
 
 def snapshot_digest(catalogue: DataFrame, ranges: int = 256) -> DataFrame:
