@@ -243,8 +243,9 @@ def _split_cells(cells: DataFrame, other: DataFrame, most: int, key: Sequence[st
     return deal(cells, "_p", "_q", ids), deal(other, "_q", "_p", other_ids)
 
 
-def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> DataFrame:
-    """Pairs (left columns as l_*, right as r_*) whose bounds meet, each once.
+def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL, same: Sequence[str] = ()) -> DataFrame:
+    """Pairs (left columns as l_*, right as r_*) whose bounds meet, each once; if `same` names
+    columns, only pairs that agree in them.
 
     A shape has a level by its size and lies in four cells of it or so; two shapes meet in cells of
     the larger one's level. So a row is dealt into a few cells of each larger level that occurs on
@@ -274,7 +275,7 @@ def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> Da
         for axis in ("x", "y"):
             span = F.sequence(*(F.floor(F.col(f"{p}_{end}_{axis}") / F.pow(F.lit(2.0), F.col("_lv"))) for end in ("min", "max")))
             out = out.withColumn(f"_c{axis}", F.explode(span))
-        return out
+        return out.withColumns({f"_s_{c}": F.col(f"{p}_{c}") for c in same}) if same else out
 
     def joined(large: str, small: str, strictly: bool) -> DataFrame | None:
         levels = [v for v in sorted(sizes[large]) if v >= min(sizes[small], default=0) + strictly]
@@ -282,7 +283,7 @@ def box_pairs(left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> Da
             return None
         over = F.filter(F.array(*map(F.lit, levels)), lambda v: v > F.col(f"{small}_level") if strictly else v >= F.col(f"{small}_level"))
         both = {large: dealt(large, F.array(f"{large}_level")), small: dealt(small, over)}
-        l, r, key = both["l"], both["r"], ["_lv", "_cx", "_cy"]
+        l, r, key = both["l"], both["r"], ["_lv", "_cx", "_cy", *(f"_s_{c}" for c in same)]
         if max(sum(sizes["l"].values()), sum(sizes["r"].values())) > most:
             (l, r), key = _split_cells(l, r, most, key, ["l_object_id", "l_min_x", "l_min_y"], ["r_object_id", "r_min_x", "r_min_y"]), [*key, "_part"]
         pairs = l.join(r, key)
@@ -338,16 +339,51 @@ def _within(q: str, p: str) -> Column:
     return _open(F.when(_both_boxes(), F.lit(True)).otherwise(_in_clear_cell(q, p)), lies_within, f"{q}_wkb", f"{p}_wkb")
 
 
+def _shapes(df: DataFrame, same: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(shapes, members): a row per distinct shape, as with_bounds() makes it, with its hash as
+    object_id, its number n of rows and the least id; and (shape, object_id) of all rows, null where
+    a row has no shape. Rows that differ in the columns `same` have different shapes."""
+    parts = [F.hex("wkb"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in same)]
+    named = df.withColumn("shape", F.when(F.col("wkb").isNotNull(), F.sha2(F.concat_ws("|", *parts), 256)))
+    firsts = [F.first(c).alias(c) for c in ("wkb", "min_x", "min_y", "max_x", "max_y", "is_box", *(c for c in same if c != "object_id"))]
+    shapes = named.filter("shape IS NOT NULL").groupBy("shape").agg(*firsts, F.count(F.lit(1)).alias("n"), F.min("object_id").alias("least"))
+    return shapes.withColumnRenamed("shape", "object_id"), named.select("shape", "object_id")
+
+
+#: Pairs that a task makes of members of shapes, about.
+PAIRS_A_TASK = 4_000_000
+
+
+def _member_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, most: int = MOST_IN_CELL) -> DataFrame:
+    """(anchor_id, object_id and pairs' further columns) for pairs of shapes(l_object_id, r_object_id,
+    l_n, r_n, ...): all pairs of their members, but none with itself. The tasks are as many as the
+    counted pairs ask for, so that none makes much more than its share."""
+    pairs = stored(pairs, "pairs")
+    more = [c for c in pairs.columns if c not in ("l_object_id", "r_object_id", "l_n", "r_n")]
+    total = pairs.agg(F.sum(F.col("l_n") * F.col("r_n"))).first()[0] or 0
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PAIRS_A_TASK))
+    l = pairs.join(left.select(F.col("shape").alias("l_object_id"), F.col("object_id").alias("anchor_id")), "l_object_id")
+    l = l.select(F.col("r_object_id").alias("shape"), "anchor_id", *more)
+    r, key = right.filter("shape IS NOT NULL"), ["shape"]
+    if pairs.filter(F.greatest("l_n", "r_n") > most).limit(1).count() or l.groupBy("shape").count().filter(F.col("count") > most).limit(1).count():
+        (l, r), key = _split_cells(l, r, most, key, ["anchor_id"], ["object_id"]), ["shape", "_part"]
+    out = l.repartition(tasks, *key).join(r.repartition(tasks, *key), key).filter("anchor_id <> object_id")
+    return out.select("anchor_id", "object_id", *more)
+
+
 def intersection_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(anchor_id, object_id) of the shapes that share a point, none with itself."""
-    out = box_pairs(left, right).filter("l_object_id <> r_object_id").filter(_intersects())
-    return out.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"))
+    """(anchor_id, object_id) of the shapes that share a point, none with itself. Equal shapes are
+    compared once."""
+    (a, members), (b, others) = _shapes(left), _shapes(right)
+    return _member_pairs(box_pairs(a, b).filter(_intersects()).select("l_object_id", "r_object_id", "l_n", "r_n"), members, others)
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(anchor_id, object_id, share) with share of the anchor's area >= least."""
-    pairs = box_pairs(left, right).filter("l_object_id <> r_object_id")
-    return pairs.select(F.col("l_object_id").alias("anchor_id"), F.col("r_object_id").alias("object_id"), _overlaps().alias("share")).filter(F.col("share") >= least)
+    """(anchor_id, object_id, share) with share of the anchor's area >= least. Equal shapes are
+    compared once."""
+    (a, members), (b, others) = _shapes(left), _shapes(right)
+    pairs = box_pairs(a, b).select("l_object_id", "r_object_id", "l_n", "r_n", _overlaps().alias("share")).filter(F.col("share") >= least)
+    return _member_pairs(pairs, members, others)
 
 
 METRICS = StructType([StructField("topologically_equal", BooleanType()), *(StructField(c, DoubleType()) for c in ("minimum_distance_m", "current_area_m2", "candidate_area_m2"))])
@@ -369,9 +405,9 @@ def geometry_metrics(current: pd.Series, candidate: pd.Series) -> pd.DataFrame:
 PREDICATES = ("INTERSECTS", "WITHIN", "CONTAINS", "NEAREST", "OVERLAP_RATIO")
 
 
-def spatial_candidates(sources: DataFrame, targets: DataFrame, predicate: str, max_distance: float | None = None, min_overlap: float | None = None) -> DataFrame:
+def spatial_candidates(sources: DataFrame, targets: DataFrame, predicate: str, max_distance: float | None = None, min_overlap: float | None = None, same: Sequence[str] = ()) -> DataFrame:
     """(anchor_id, object_id, distance_m) of the pairs that a predicate holds for; both sides come
-    from with_bounds(). Only NEAREST has distances. A source is its own candidate if it is among
+    from with_bounds() and agree in the columns `same`. Only NEAREST has distances. A source is its own candidate if it is among
     the targets."""
     if predicate not in PREDICATES:
         raise ValueError("SPATIAL_PREDICATE_UNSUPPORTED")
@@ -383,7 +419,7 @@ def spatial_candidates(sources: DataFrame, targets: DataFrame, predicate: str, m
         sources = sources.withColumns({"min_x": F.col("min_x") - side, "max_x": F.col("max_x") + side, "min_y": F.col("min_y") - up, "max_y": F.col("max_y") + up})
     if predicate == "OVERLAP_RATIO" and min_overlap is None:
         raise ValueError("SPATIAL_MIN_OVERLAP_REQUIRED")
-    pairs, distance = box_pairs(sources, targets), F.lit(None).cast("double")
+    pairs, distance = box_pairs(sources, targets, same=same), F.lit(None).cast("double")
     if predicate == "INTERSECTS":
         pairs = pairs.filter(_intersects())
     elif predicate == "WITHIN":
@@ -398,24 +434,31 @@ def spatial_candidates(sources: DataFrame, targets: DataFrame, predicate: str, m
     return out.filter(F.col("distance_m") <= max_distance) if predicate == "NEAREST" else out
 
 
-def spatial_relate(sources: DataFrame, targets: DataFrame, predicate: str, max_distance: float | None = None, min_overlap: float | None = None, margin: float | None = None, self_loops: bool = False) -> DataFrame:
+def spatial_relate(sources: DataFrame, targets: DataFrame, predicate: str, max_distance: float | None = None, min_overlap: float | None = None, margin: float | None = None, self_loops: bool = False, same: Sequence[str] = ()) -> DataFrame:
     """A row per source: anchor_id, outcome, object_id, candidates.
 
     One candidate is MATCHED, none SPATIAL_NO_MATCH, several SPATIAL_MULTIPLE_MATCHES unless the
     predicate is NEAREST and the second stays at least `margin` metres behind; a source that
-    would match itself is SELF_LOOP_NOT_ALLOWED. Pairs are made once; candidates are counted and
-    the least kept before the exchange, but for NEAREST with a margin, which sorts them by anchor.
+    would match itself is SELF_LOOP_NOT_ALLOWED. If `same` names columns, candidates agree with
+    the source in them. Pairs are made of distinct shapes, which know their number of rows and the
+    least id, so that copies are counted and make no pairs.
     """
-    pairs = spatial_candidates(sources, targets, predicate, max_distance, min_overlap)
+    (a, members), (b, _) = _shapes(sources, same), _shapes(targets, same)
+    keys = ["_same"] if same else []
+    if same:
+        a, b = (df.withColumn("_same", F.to_json(F.struct(*(F.col("least" if c == "object_id" else c).alias(c) for c in same)))) for df in (a, b))
+    a, b = stored(a, "shapes"), stored(b, "shapes")
+    pairs = spatial_candidates(a, b, predicate, max_distance, min_overlap, keys).join(b.select("object_id", "n", "least"), "object_id")
     if predicate == "NEAREST" and margin is not None:
-        nth = F.row_number().over(Window.partitionBy("anchor_id").orderBy("distance_m", "object_id"))
+        nth = F.row_number().over(Window.partitionBy("anchor_id").orderBy("distance_m", "least"))
         own = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
-        best = pairs.withColumn("_n", nth).groupBy("anchor_id").agg(F.count(F.lit(1)).alias("candidates"), own(1, "object_id").alias("object_id"), (own(2, "distance_m") - own(1, "distance_m")).alias("_gap"))
+        gap = F.when(own(1, "n") > 1, 0.0).otherwise(own(2, "distance_m") - own(1, "distance_m"))
+        best = pairs.withColumn("_n", nth).groupBy("anchor_id").agg(F.sum("n").alias("candidates"), own(1, "least").alias("object_id"), gap.alias("_gap"))
         sure = F.col("_gap").isNull() | (F.col("_gap") >= margin)
     else:
-        best = pairs.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("object_id").alias("object_id"))
+        best = pairs.groupBy("anchor_id").agg(F.sum("n").alias("candidates"), F.min("least").alias("object_id"))
         sure = F.col("candidates") == 1
-    rows = sources.select(F.col("object_id").alias("anchor_id")).join(best, "anchor_id", "left")
+    rows = members.select("shape", F.col("object_id").alias("anchor_id")).join(best.withColumnRenamed("anchor_id", "shape"), "shape", "left")
     loop = F.lit(not self_loops) & (F.col("object_id") == F.col("anchor_id"))
     outcome = F.when(F.col("candidates").isNull(), "SPATIAL_NO_MATCH").when(~sure, "SPATIAL_MULTIPLE_MATCHES").when(loop, "SELF_LOOP_NOT_ALLOWED").otherwise("MATCHED")
     return rows.select("anchor_id", outcome.alias("outcome"), F.when(outcome == "MATCHED", F.col("object_id")).alias("object_id"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
