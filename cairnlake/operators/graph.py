@@ -13,6 +13,7 @@ from cairnlake.sources.scratch import stored
 
 from .access import checked_iris, label_filter
 
+EDGE = ("relationship_id", "source_id", "relation", "target_id")
 MOST_HITS, MOST_TYPES, MOST_RELATIONS, MOST_DEPTH = 200, 10, 20, 4
 
 
@@ -47,12 +48,18 @@ def related_search(objects: DataFrame, edges: DataFrame, anchor: str, anchor_typ
     return top.select(F.posexplode(F.slice("h", 1, most)).alias("rank", "x"), (F.size("h") > most).alias("truncated")).select("rank", "x.*", "truncated")
 
 
+def _permitted(edges: DataFrame, relations: Sequence[str], scope: Scope) -> DataFrame:
+    seen = label_filter(edges.filter(F.col("relation").isin(checked_iris(relations, MOST_RELATIONS)) & (F.col("status") == "ACTIVE")), scope.labels)
+    return seen.select(*[c for c in EDGE if c in edges.columns])
+
+
 def neighbors(objects: DataFrame, edges: DataFrame, starts: DataFrame, relations: Sequence[str], scope: Scope) -> DataFrame:
     """One hop outwards from starts(object_id): ACTIVE permitted edges to targets of the tenant.
-    The ends' status plays no part, as in traverse."""
-    seen = label_filter(edges.filter(F.col("relation").isin(checked_iris(relations, MOST_RELATIONS)) & (F.col("status") == "ACTIVE")), scope.labels)
+    The ends' status plays no part, as in traverse. Edges whose id derives from the others' columns
+    may come without it; it is then left to the caller, and no exchange carries it."""
     own = objects.filter(F.col("tenant_id") == scope.tenant).select(F.col("object_id").alias("target_id"))
-    return seen.join(starts.select(F.col("object_id").alias("source_id")), "source_id", "left_semi").join(own, "target_id", "left_semi").select("relationship_id", "source_id", "relation", "target_id")
+    seen = _permitted(edges, relations, scope)
+    return seen.join(starts.select(F.col("object_id").alias("source_id")), "source_id", "left_semi").join(own, "target_id", "left_semi").select(*seen.columns)
 
 
 def bounded(df: DataFrame, order: Sequence[str], most: int) -> DataFrame:
@@ -65,26 +72,34 @@ def bounded(df: DataFrame, order: Sequence[str], most: int) -> DataFrame:
 
 def traverse(objects: DataFrame, edges: DataFrame, starts: DataFrame, relations: Sequence[str], depth: int, scope: Scope) -> DataFrame:
     """Simple outward paths of 1 to depth edges from each start: (start_id, depth, relationship_id,
-    source_id, relation, target_id, path). An edge appears once for each path that ends with it.
+    source_id, relation, target_id, path). An edge appears once for each path that ends with it;
+    relationship_id is there if the edges have it.
 
-    One equi-join a level, each on the stored level before, so none is walked twice; the path
-    array, at most depth + 1 long, stops cycles.
+    Edges are stored once, without those that no path can use: an edge's source is a start, or one
+    of the tenant's objects, as all targets are. The first level is the starts' own edges; each further
+    one is an equi-join of the stored level before with the edges that can follow another, so none is
+    walked twice. The path array, at most depth + 1 long, stops cycles.
     """
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth is 1 to {MOST_DEPTH}")
-    seen = label_filter(edges.filter(F.col("relation").isin(checked_iris(relations, MOST_RELATIONS)) & (F.col("status") == "ACTIVE")), scope.labels)
+    seen = _permitted(edges, relations, scope)
+    columns = seen.columns
+    kept = [c for c in columns if c not in ("source_id", "target_id")]  # the path has the rest
     own = objects.filter(F.col("tenant_id") == scope.tenant).select(F.col("object_id").alias("target_id"))
-    seen = seen.join(own, "target_id", "left_semi").select("relationship_id", "source_id", "relation", "target_id")
+    sources = starts.select(F.col("object_id").alias("source_id"), F.lit(1).alias("_n"))
+    if depth > 1:
+        sources = sources.unionByName(own.select(F.col("target_id").alias("source_id"), F.lit(0).alias("_n")))
+    sources = sources.groupBy("source_id").agg(F.sum("_n").cast("int").alias("_starts"), F.max(F.col("_n") == 0).alias("_inner"))
+    seen = seen.join(sources, "source_id").join(own, "target_id", "left_semi")
     seen = stored(seen, "edges") if depth > 1 else seen
-    ends = starts.select(F.col("object_id").alias("start_id"), F.col("object_id").alias("source_id"), F.array("object_id").alias("path"))
-    levels = []
-    for d in range(1, depth + 1):
-        step = ends.join(seen, "source_id").filter(~F.array_contains("path", F.col("target_id")))
-        step = step.select("start_id", F.lit(d).alias("depth"), "relationship_id", "source_id", "relation", "target_id", F.array_append("path", F.col("target_id")).alias("path"))
+    step = seen.filter("_starts > 0 AND source_id <> target_id")
+    step = step.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_starts")))).select(*kept, F.array("source_id", "target_id").alias("path"))
+    out = step
+    inner = stored(seen.filter("_inner").select(*columns), "inner-edges") if depth > 1 else seen
+    for d in range(2, depth + 1):
+        ends = step.select("path", F.element_at("path", -1).alias("source_id"))
+        step = ends.join(inner, "source_id").filter(~F.array_contains("path", F.col("target_id"))).select(*kept, F.array_append("path", F.col("target_id")).alias("path"))
         step = stored(step, "paths") if d < depth else step
-        levels.append(step)
-        ends = step.select("start_id", F.col("target_id").alias("source_id"), "path")
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        out = out.unionByName(step)
+    ends = {"source_id": F.element_at("path", -2).alias("source_id"), "target_id": F.element_at("path", -1).alias("target_id")}
+    return out.select(F.element_at("path", 1).alias("start_id"), (F.size("path") - 1).alias("depth"), *[ends.get(c, c) for c in columns], "path")

@@ -7,6 +7,7 @@ braces name the tables, so that any SQL engine can make the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -44,7 +45,10 @@ _RAW_EDGES = "\nUNION ALL ".join([
     _edge("order", "(SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem}) s", "l_orderkey", "suppliedBy", "supplier", "l_suppkey"),
     _edge("order", "(SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}) p", "l_orderkey", "contains", "part", "l_partkey"),
 ])
-EDGES = f"SELECT md5(concat(source_id, '|', relation, '|', target_id)) AS relationship_id, * FROM ({_RAW_EDGES}) e"
+RELATIONSHIP_ID = "md5(concat(source_id, '|', relation, '|', target_id))"
+EDGES = f"SELECT {RELATIONSHIP_ID} AS relationship_id, * FROM ({_RAW_EDGES}) e"
+#: The same without ids: they derive from the other columns, so with_ids() can add them behind all exchanges.
+BARE_EDGES = _RAW_EDGES
 
 #: Each event is one observation of the property `value` of a user, by the source event_type.
 OBSERVATIONS = """
@@ -69,12 +73,17 @@ FROM (SELECT *, {SHA} AS sha256hex FROM {documents}) d
 
 
 def registry(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the derived tables: OBJECTS, EDGES, OBSERVATIONS, POINTS or LAKE."""
+    """One of the derived tables: OBJECTS, EDGES, BARE_EDGES, OBSERVATIONS, POINTS or LAKE."""
     text = globals()[name].replace("{OBJECTS}", OBJECTS).replace("{SHA}", "sha2(text, 256)")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
     return spark.sql(text, **used)
 
 
+def with_ids(edges: DataFrame) -> DataFrame:
+    """Edges, or rows with their columns, with the relationship_id that EDGES gives them."""
+    return edges.withColumn("relationship_id", F.expr(RELATIONSHIP_ID))
+
+
 def registry_sql(name: str) -> str:
     """The same rows for DuckDB, over views of the tables' names."""
     text = globals()[name].replace("{OBJECTS}", OBJECTS).replace("{SHA}", "sha256(text)")
