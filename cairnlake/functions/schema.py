@@ -59,6 +59,10 @@ class _Compiler:
 
     def find(self, schema: Mapping[str, Any], v: Column, path: Column, base: str = "", depth: int = 0) -> Column:
         """Array of the violating paths of v, which is at path."""
+        return _let(v, lambda x: _let(_looked_at(x), lambda look: self._at(schema, x, look, path, base, depth)))
+
+    def _at(self, schema: Mapping[str, Any], v: Column, look: Column, path: Column, base: str, depth: int) -> Column:
+        """The same of a value that was looked at: schemas of one value share the look."""
         if unknown := {k for k in schema if k not in KNOWN and not k.startswith("x-")}:
             raise SchemaError(f"unknown keywords {sorted(unknown)}")
         if "$ref" in schema:
@@ -67,11 +71,11 @@ class _Compiler:
                 raise SchemaError(f"no schema {name}")
             if depth >= DEEPEST:
                 raise SchemaError(f"$ref {name} is nested too deep")
-            return self.find(self.files[name], v, path, posixpath.dirname(name), depth + 1)
-        return _let(v, lambda x: _let(_looked_at(x), lambda look: self._node(schema, x, look, path, base, depth)))
+            return self._at(self.files[name], v, look, path, posixpath.dirname(name), depth + 1)
+        return self._node(schema, v, look, path, base, depth)
 
     def _node(self, schema: Mapping[str, Any], v: Column, look: Column, path: Column, base: str, depth: int) -> Column:
-        inner = lambda s: self.find(s, v, path, base, depth)
+        inner = lambda s: self._at(s, v, look, path, base, depth)
         fits = lambda s: F.size(inner(s)) == 0
         here = lambda bad: F.when(F.coalesce(bad, F.lit(False)), F.array(path)).otherwise(F.expr(_NONE))
         if "oneOf" in schema:
@@ -80,10 +84,11 @@ class _Compiler:
         if "type" in schema:
             names = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
             out.append(here(~is_.isin(*names, *(["integer"] if "number" in names else []))))
-        if "const" in schema:
-            out.append(here(F.to_json(v) != _literal(schema["const"])))
-        if "enum" in schema:
-            out.append(here(~F.to_json(v).isin(*[_literal(x) for x in schema["enum"]])))
+        for values in ([schema["const"]] if "const" in schema else None, schema.get("enum")):
+            if values and all(isinstance(x, str) for x in values):  # texts are compared as they are
+                out.append(here(~((is_ == "string") & text.isin(*values))))
+            elif values is not None:
+                out.append(here(~F.to_json(v).isin(*[_literal(x) for x in values])))
         if "minLength" in schema:
             out.append(here((is_ == "string") & (F.length(text) < schema["minLength"])))
         if "minimum" in schema:

@@ -34,3 +34,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to two tasks a core, for work that costs more than an exchange: a file is read by
+    no more tasks than it has row groups."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)

@@ -48,3 +48,8 @@ def test_schemas_that_cannot_be_used():
     with pytest.raises(SchemaError):
         violations(text, {"$ref": "a"}, {"a": {"$ref": "a"}})
     violations(text, ENVELOPE, FILES)
+
+
+def test_schemas_of_one_value_share_its_look(spark):
+    one, more = (str(violations(F.lit("1"), {"allOf": [{"type": "string"}] * n})) for n in (1, 3))
+    assert one.count("schema_of_variant") == more.count("schema_of_variant") > 0
