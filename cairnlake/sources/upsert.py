@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tasks that may write one bucket.
+SPREAD = 32
+
 
 class Upserts:
     def __init__(self, spark: SparkSession, root: str, key: Sequence[str], buckets: int = 64, deal: Sequence[str] | None = None):
@@ -50,7 +53,7 @@ class Upserts:
         kept = [c for c in changes.columns if c != deleted]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.select(*kept).schema)
         last = changes.withColumn("_n", F.row_number().over(Window.partitionBy(*self.key).orderBy(F.col(order).desc()))).filter("_n = 1").drop("_n").withColumn("_b", self._bucket())
-        touched = sorted(r._b for r in last.select("_b").distinct().collect())  # no more than buckets
+        touched = sorted(r._b for r in changes.select(self._bucket().alias("_b")).distinct().collect())  # no more than buckets
         if not touched:
             return 0
         versions = self._versions()
@@ -60,7 +63,8 @@ class Upserts:
         stay = old.alias("o").join(newer, same, "left").filter(F.col("_new").isNull() | (F.col(f"o.{order}") > F.col("_at"))).select("o.*").withColumn("_b", self._bucket())
         fresh = last.join(old.select(*self.key, F.col(order).alias("_was")), self.key, "left").filter(F.col("_was").isNull() | (F.col(order) >= F.col("_was"))).filter(f"NOT coalesce({deleted}, false)").select(*kept, "_b")
         version = self.version() + 1
-        stay.unionByName(fresh).repartition("_b").withColumn("b", F.col("_b")).drop("_b").write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/v{version}")
+        # a large bucket is written by several tasks; adaptive execution merges those of small ones
+        stay.unionByName(fresh).repartition("_b", F.pmod(F.hash(*self.key), F.lit(SPREAD))).withColumn("b", F.col("_b")).drop("_b").write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/v{version}")
         written = {r.b for r in self.spark.read.parquet(f"{self.root}/v{version}").select("b").distinct().collect()} if self._any(version) else set()
         now = {b: v for b, v in versions.items() if b not in touched} | {b: version for b in touched if b in written}
         self.spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").json(f"{self.root}/_manifest/{version}")

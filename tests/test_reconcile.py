@@ -95,3 +95,12 @@ def test_upsert_of_few_touches_few(spark, tmp_path):
     assert table.apply(spark.range(1).selectExpr("17L k", "'b' v", "2L at", "false deleted"), "at") == 1
     after = table._versions()
     assert sum(before[b] != after[b] for b in before) == 1 and table.read("k long, v string, at long").filter(F.col("v") == "b").count() == 1
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        Upserts(spark, f"file://{tmp_path}/t", ["k"], 1).apply(spark.range(500).selectExpr("id k", "'a' v", "1L at", "false deleted"), "at")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "t" / "v1" / "b=0").glob("*.parquet"))) > 1
